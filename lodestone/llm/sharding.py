@@ -92,8 +92,8 @@ fill(step, taken, slot) AS (
   UNION ALL
   SELECT step + 1, set_bit(taken, s::INTEGER, 1), s FROM (
     SELECT step, taken,
-           list_filter(list_transform(range(0, {slots}), j -> (offs[step % {n} + 1] + j * skips[step % {n} + 1]) % {slots}),
-                       p -> get_bit(taken, p::INTEGER) = 0)[1] AS s
+           list_filter(list_transform(range(0, {slots}), lambda j: (offs[step % {n} + 1] + j * skips[step % {n} + 1]) % {slots}),
+                       lambda p: get_bit(taken, p::INTEGER) = 0)[1] AS s
     FROM fill, lists WHERE step < {slots}) AS turn),
 lookup AS (SELECT slot, shard FROM fill JOIN names ON (step - 1) % {n} = i WHERE slot >= 0)
 SELECT d.{key}, l.slot, l.shard

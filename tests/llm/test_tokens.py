@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, packing, tokenfile
-from lodestone.llm.encoders import piece_encoder
+from lodestone.llm.encoders import word_encoder
 
 from .data import SCHEMA, documents
 
@@ -45,8 +45,8 @@ def docs(spark):
 @given(st.text(alphabet=st.sampled_from(" \n\t \x1c.,'abcAB1é́你s"), max_size=40))
 @settings(max_examples=300, deadline=None)
 def test_pieces_give_the_ids_of_the_text(text):
-    for name, drop in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
-        got = piece_encoder(P.path(name), drop).encode([text])[0]
+    for name, plain in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        got = word_encoder(P.path(name), plain).encode([text])[0]
         assert np.frombuffer(got, "<u2").tolist() == ids_of(name, text)
 
 

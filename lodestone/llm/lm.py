@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, column, crc_of_id, steps, texts
+from .common import LOWER_ASCII, column, crc_of_id, steps, texts, written
 
 #: Counts are quantised to powers of this.
 BASE = 1.5
@@ -96,12 +96,12 @@ class Filter:
     shift: int
 
     @classmethod
-    def of(cls, segments: dict[int, bytes], n: int) -> Filter:
+    def of(cls, bits: np.ndarray, sizes: dict[int, int], n: int) -> Filter:
+        """``sizes``: bytes of each of the ``n`` segments that has keys."""
         size = np.zeros(n, np.int64)
-        for s, b in segments.items():
-            size[s] = 8 * len(b)
-        joined = b"".join(segments[s] for s in sorted(segments))
-        return cls(np.frombuffer(joined, np.uint8), np.concatenate(([0], np.cumsum(size)[:-1])), size, 64 - (n.bit_length() - 1))
+        for s, b in sizes.items():
+            size[s] = 8 * b
+        return cls(bits, np.concatenate(([0], np.cumsum(size)[:-1])), size, 64 - (n.bit_length() - 1))
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts by repeated probes; 0 where level 1 misses."""
@@ -124,7 +124,7 @@ class Filter:
 @dataclass
 class Model:
     """What one pass broadcasts.  ``words``/``word_counts``: exact counts by
-    word hash, ascending; ``single``: all words' filter; ``pairs``: the filter
+    word key, ascending; ``single``: all words' filter; ``pairs``: the filter
     of this pass's share of pairs."""
 
     words: np.ndarray
@@ -134,7 +134,6 @@ class Model:
     n: int
     v: int
     new_pairs: float
-    share: int
     shares: int
 
 
@@ -149,7 +148,7 @@ def tokenise(texts_: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np
         for w in words:
             h = get(w)
             if h is None:
-                if len(known) > 500_000:
+                if len(known) > 300_000:
                     known.clear()
                 h = known[w] = digest(w)
             flat.append(h)
@@ -167,19 +166,18 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
-    """Rows (segment, kind, hash, n): kind 1 for words, whose hash is the
-    word's; 2 for pairs.  Tasks add up what they hold before the shuffle."""
+    """Rows (segment, kind, hash, n): kind 1 for words' keys, 2 for pairs.
+    Tasks add up what they hold before the shuffle."""
     shift = np.uint64(64 - (segments.bit_length() - 1))
 
     def run(batches):
         known: dict[bytes, int] = {}
-        for batch in steps(batches, limit=16 << 20):
+        for batch in steps(batches, limit=8 << 20):
             tokens, sizes = tokenise(texts(column(batch, "text")), known)
             pairs = pair_hash(contexts(tokens, sizes), tokens)
-            for kind, hashes in ((1, tokens), (2, pairs)):
+            for kind, hashes in ((1, word_key(tokens)), (2, pairs)):
                 h, n = np.unique(hashes, return_counts=True)
-                key = word_key(h) if kind == 1 else h
-                segment = (key >> shift).astype(np.int32) if segments > 1 else np.zeros(len(h), np.int32)
+                segment = (h >> shift).astype(np.int32) if segments > 1 else np.zeros(len(h), np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["segment", "kind", "hash", "n"])
 
     return training.select("text").mapInArrow(run, "segment int, kind byte, hash long, n long")
@@ -197,39 +195,61 @@ def _segments(training: DataFrame, segments: int) -> DataFrame:
         word = kind == 1
         order = np.argsort(hashes[word])
         words, counts = hashes[word][order], n[word][order].astype(np.int64)
-        single = build_segment(word_key(words), counts)
-        pairs = build_segment(hashes[~word], n[~word])
-        return pa.table({"segment": pa.array([table["segment"][0].as_py()], pa.int32()), "single": [single.tobytes()], "pairs": [pairs.tobytes()], "words": [words.tobytes()], "counts": [counts.tobytes()], "once": [int((n[~word] == 1).sum())]})
-
-    return summed.groupBy("segment").applyInArrow(build, "segment int, single binary, pairs binary, words binary, counts binary, once long")
+        columns = {
+            "segment": pa.array([table["segment"][0].as_py()], pa.int32()),
+            "single": [build_segment(words, counts).tobytes()],
+            "pairs": [build_segment(hashes[~word], n[~word]).tobytes()],
+            "words": [words.tobytes()],
+            "counts": [counts.tobytes()],
+            "once": [int((n[~word] == 1).sum())],
+            "total": [int(counts.sum())],
+        }
+        return pa.table(columns)
+
+    return summed.groupBy("segment").applyInArrow(build, "segment int, single binary, pairs binary, words binary, counts binary, once long, total long")
+
+
+def _joined(built: DataFrame, name: str, sizes: dict[int, int]) -> np.ndarray:
+    """One column of the segments as one array of bytes, in order, fetched a
+    few segments at a time."""
+    first = dict(zip(sorted(sizes), np.concatenate(([0], np.cumsum([sizes[s] for s in sorted(sizes)]))).tolist(), strict=False))
+    out = np.zeros(sum(sizes.values()), np.uint8)
+    if sizes:
+        rows = built.where(F.col("segment").between(min(sizes), max(sizes))).select("segment", name)
+        for r in rows.toLocalIterator():
+            out[first[r[0]] : first[r[0]] + sizes[r[0]]] = np.frombuffer(r[1], np.uint8)
+    return out
 
 
 def models(training: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
     """The models whose shares of pairs together make the whole; one unless
     the filter passes ``broadcast_bytes``.  Each pass holds all words and as
     many segments of pairs as fit."""
-    from .common import written
-
     rough = training.agg(F.sum(F.length("text"))).first()[0] or 0  # the n-grams are about a quarter of it
     segments = 1 << max(0, math.ceil(math.log2(max(1, rough / 4 / SEGMENT_NGRAMS))))
     built = written(_segments(training, segments))
-    sizes = {r.segment: r.b for r in built.select("segment", F.octet_length("pairs").alias("b")).collect()}
-    rows = built.select("segment", "single", "words", "counts", "once").collect()
-    single = Filter.of({r.segment: bytes(r.single) for r in rows}, segments)
-    words = np.concatenate([np.frombuffer(r.words, np.uint64) for r in rows] or [np.zeros(0, np.uint64)])
-    counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows] or [np.zeros(0, np.int64)])
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    new_pairs = (sum(r.once for r in rows) + 0.5) / (int(counts.sum()) + 1)
+    names = ("single", "pairs", "words", "counts")
+    size = {n: {} for n in names}
+    once = total = 0
+    for r in built.select("segment", "once", "total", *[F.octet_length(n).alias(n) for n in names]).collect():
+        once, total = once + r.once, total + r.total
+        for n in names:
+            size[n][r.segment] = r[n]
+    single = Filter.of(_joined(built, "single", size["single"]), size["single"], segments)
+    words = _joined(built, "words", size["words"]).view(np.uint64)
+    counts = _joined(built, "counts", size["counts"]).view(np.int64)
+    counts = counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
+    new_pairs = (once + 0.5) / (total + 1)
     groups: list[list[int]] = [[]]
-    room = max(1, broadcast_bytes - len(single.bits) - 16 * len(words))
-    for s in sorted(sizes):
-        if groups[-1] and sum(sizes[x] for x in groups[-1]) + sizes[s] > room:
+    room = max(1, broadcast_bytes - len(single.bits) - 12 * len(words))
+    for s in sorted(size["pairs"]):
+        if groups[-1] and sum(size["pairs"][x] for x in groups[-1]) + size["pairs"][s] > room:
             groups.append([])
         groups[-1].append(s)
     for k, group in enumerate(groups):
-        held = {r.segment: bytes(r.pairs) for r in built.where(F.col("segment").between(group[0], group[-1])).select("segment", "pairs").collect()} if group else {}
-        yield Model(words, counts, single, Filter.of(held, segments), int(counts.sum()), len(words), new_pairs, k, len(groups)), (group[0] if k else 0, groups[k + 1][0] if k + 1 < len(groups) else segments)
+        held = {s: size["pairs"][s] for s in group}
+        pairs = Filter.of(_joined(built, "pairs", held), held, segments)
+        yield Model(words, counts, single, pairs, total, len(words), new_pairs, len(groups)), (group[0] if k else 0, groups[k + 1][0] if k + 1 < len(groups) else segments)
 
 
 def _score_with(docs: DataFrame, model: Model, of: tuple[int, int]) -> DataFrame:
@@ -240,20 +260,22 @@ def _score_with(docs: DataFrame, model: Model, of: tuple[int, int]) -> DataFrame
         m = held.value
         known: dict[bytes, int] = {}
         shift, smooth = np.uint64(m.pairs.shift), m.n + 0.5 * (m.v + 1)
-        for batch in steps(batches):
+        start_count = m.single.counts(word_key(np.array([END], np.uint64)))[0]  # as many starts as ends
+        for batch in steps(batches, limit=2 << 20):
             tokens, sizes = tokenise(texts(column(batch, "text")), known)
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             distinct, back = np.unique(tokens, return_inverse=True)
+            keys = word_key(distinct)
             if len(m.words):
-                at = np.minimum(np.searchsorted(m.words, distinct), len(m.words) - 1)
-                exact = np.where(m.words[at] == distinct, m.word_counts[at], 0)
+                at = np.minimum(np.searchsorted(m.words, keys), len(m.words) - 1)
+                exact = np.where(m.words[at] == keys, m.word_counts[at], 0)
             else:
                 exact = np.zeros(len(distinct), np.int64)
-            quantised = np.minimum(m.single.counts(word_key(distinct)), m.n)
+            quantised = np.minimum(m.single.counts(keys), m.n)
             before = contexts(tokens, sizes)
             in_context = np.empty(len(tokens))
             in_context[1:] = quantised[back[:-1]]
-            in_context[starts] = m.single.counts(word_key(np.array([END], np.uint64)))[0]  # as many starts as ends
+            in_context[starts] = start_count
             pairs = pair_hash(before, tokens)
             mine = np.ones(len(pairs), bool)
             if m.shares > 1:

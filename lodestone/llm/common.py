@@ -76,20 +76,23 @@ def steps(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = ST
             yield batch.slice(a, b - a)
 
 
-def pieces_at_spaces(text: str) -> list[str]:
-    """The text cut before each space that follows a character other than
-    white space, so that the pieces joined give the text again.
+def split_at_spaces(text: str) -> list[str]:
+    """The text cut at each space that follows a character other than white
+    space; joined by spaces the parts give the text again.
 
     No pretokeniser used here puts such a space into one token with what stands
-    before it; hence the tokens of the pieces are the tokens of the text.
+    before it.  Hence the tokens of the first part, and of a space and each
+    other part, are the tokens of the text.
     """
-    if _SPACE_AFTER_SPACE.search(text):
-        found = _CUT.split(text)
-    else:
-        found = text.split(" ")
-        if found[0] == "" and len(found) > 1:  # a leading space
-            found = [f" {found[1]}", *found[2:]]
-    return [found[0], *[f" {x}" for x in found[1:]]]
+    if text[:1] == " " or _SPACE_AFTER_SPACE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
+def pieces_at_spaces(text: str) -> list[str]:
+    """The parts of ``split_at_spaces``, each but the first with its space."""
+    first, *rest = split_at_spaces(text)
+    return [first, *[f" {x}" for x in rest]]
 
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")

@@ -1,61 +1,80 @@
-"""Token ids by the tokenizers library, with each distinct piece encoded once
+"""Token ids by the tokenizers library, with each distinct word encoded once
 per Python worker."""
 
 from __future__ import annotations
 
 import functools
 import os
+from array import array
 
 import numpy as np
 
-from .common import pieces_at_spaces
+from .common import split_at_spaces
 
-#: Distinct pieces that a worker remembers; beyond that it starts anew.
-CACHE_PIECES = 600_000
+#: Distinct words that a worker remembers; beyond that it starts anew.
+CACHE_WORDS = 600_000
 #: And their characters together.
 CACHE_CHARS = 16 << 20
 
 
-class PieceEncoder:
+class WordEncoder:
     """Ids of whole texts as little-endian unsigned integers.
 
-    The tokenizer itself encodes every distinct piece (see
-    ``pieces_at_spaces``); a text's ids are those of its pieces in order.
-    ``drop_space``: the tokenizer drops white space, so pieces go without.
-    Strings of special tokens in a text are ordinary text.
+    The tokenizer itself encodes every distinct word; a text's ids are those of
+    its words in order (see ``split_at_spaces``).  A final full stop or comma
+    after a letter is a pretoken of its own, and so is encoded apart.
+    ``plain``: the tokenizer drops white space and lower-cases, so that words
+    go without either.  Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, drop_space: bool = False):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drop_space = drop_space
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.plain = plain
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
         self.known: dict[str, bytes] = {}
         self.held = 0
 
-    def _pieces(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.drop_space else pieces_at_spaces(text)
+    def _ids(self, words: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        for i in range(0, len(words), 4096):
+            found += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Remembers the ids of ``words``, each with a space before it unless
+        space is dropped."""
+        space = "" if self.plain else " "
+        stems = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w for w in words]
+        cores = [s.lower() if self.plain and s.isascii() else s for s in stems]
+        new = list(set(cores))
+        ids = dict(zip(new, self._ids([space + c for c in new]), strict=True))
+        tail = dict(zip((".", ","), self._ids([".", ","]), strict=True)) | {"": b""}
+        for word, stem, core in zip(words, stems, cores, strict=True):
+            self.known[word] = ids[core] + tail[word[len(stem) :]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._pieces(t) for t in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        if self.plain:
+            split, firsts = [t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts)
+        else:
+            split = [split_at_spaces(t) for t in texts]
+            firsts = self._ids([x.pop(0) for x in split])
+        new = list(set().union(*split).difference(self.known))
         self.held += sum(map(len, new))
-        if len(self.known) + len(new) > CACHE_PIECES or self.held > CACHE_CHARS:
+        if len(self.known) + len(new) > CACHE_WORDS or self.held > CACHE_CHARS:
             self.known.clear()
             new = list(set().union(*split))
             self.held = sum(map(len, new))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
+        self._learn(new)
         get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return [first + b"".join(map(get, words)) for first, words in zip(firsts, split, strict=True)]
 
 
 @functools.cache
-def piece_encoder(path: str, drop_space: bool = False) -> PieceEncoder:
+def word_encoder(path: str, plain: bool = False) -> WordEncoder:
     """One encoder per worker process and vocabulary file."""
-    return PieceEncoder(path, drop_space)
+    return WordEncoder(path, plain)

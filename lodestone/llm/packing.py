@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, only, steps, texts
-from .encoders import piece_encoder
+from .encoders import word_encoder
 
 #: Sequence numbers within a bucket use this many bits.
 LOCAL_BITS = 24
@@ -60,7 +60,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: i
     """Each document's ids and ``end_id``, cut at multiples of ``capacity``."""
 
     def run(batches):
-        encoder = piece_encoder(vocabulary)
+        encoder = word_encoder(vocabulary)
         dtype, width = encoder.dtype, encoder.dtype.itemsize
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in steps(batches):

@@ -22,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, only, scratch_dir, steps, texts
-from .encoders import piece_encoder
+from .encoders import word_encoder
 
 MAGIC = b"LSEF1\0\0\0"
 SAMPLE = 256
 #: A file is closed once it has this many ids.
-FILE_TOKENS = 8 << 20
+FILE_TOKENS = 4 << 20
 
 
 class EliasFano:
@@ -149,7 +149,7 @@ def write(documents: DataFrame, vocabulary: str, folder: str, end_id: int = 1, f
     ranged = only(documents, doc_id="doc_id", text="text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
-        encoder = piece_encoder(vocabulary, drop_space=True)
+        encoder = word_encoder(vocabulary, plain=True)
         width = encoder.dtype.itemsize
         end = np.array([end_id], encoder.dtype).tobytes()
         store, root = pafs.FileSystem.from_uri(folder)

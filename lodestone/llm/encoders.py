@@ -12,7 +12,7 @@ import numpy as np
 from .common import split_at_spaces
 
 #: Distinct words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: And their characters together.
 CACHE_CHARS = 16 << 20
 

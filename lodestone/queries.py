@@ -1,6 +1,416 @@
-"""The registered queries of the search engine, with their DuckDB SQL."""
+"""The registered queries of the search engine, with their DuckDB SQL.
+
+Each query reads whole tables.  Where a search needs queries of its own, every
+row whose id is divisible by 100 is one.  Floating-point results are rounded to
+six decimals on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import tokenize, vector
+from .operators import chunk, graph, keyword, ranking, tables
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+SEARCH_TEXT = "the and estion"
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _one(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(text).alias("text"))
+
+
+# --- SQL pieces; the word pattern is that of functions.tokenize ---
+
+_WORDS = r"regexp_extract_all({0}, '[a-zA-Z0-9_\-]+|[\x{{AC00}}-\x{{D7A3}}\x{{1100}}-\x{{11FF}}\x{{3130}}-\x{{318F}}]+|[\x{{3040}}-\x{{309F}}\x{{30A0}}-\x{{30FF}}]+|[\x{{4E00}}-\x{{9FFF}}]+')"
+_SPLIT = r"""(CASE WHEN contains(w, '_') THEN list_filter(string_split(w, '_'), lambda p: p <> '')
+ WHEN contains(w, '-') THEN list_filter(string_split(w, '-'), lambda p: p <> '')
+ WHEN unicode(w) < 128 THEN regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')
+ ELSE [w] END)"""
+
+
+def _tokens(text: str) -> str:
+    split = _SPLIT.replace("w, ", "w_, ").replace("(w)", "(w_)").replace("[w]", "[w_]")
+    return f"list_filter(flatten(list_transform({_WORDS.format(text)}, lambda w_: list_transform({split}, lambda x: lower(x)))), lambda t: length(t) > 1 OR unicode(t) >= 128)"
+
+
+_HASH = "('0x' || left(sha256({0}), 8))::BIGINT"
+_COSINE = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
+
+_POSTED = f"""
+tok AS (SELECT doc_id AS id, field, boost, unnest(t) AS token, greatest(1, n) AS len FROM (
+  SELECT doc_id, 0 AS field, 5.0 AS boost, {_tokens("source")} AS t, len({_tokens("source")}) + len({_tokens("text")}) AS n FROM documents
+  UNION ALL SELECT doc_id, 1, 5.0, {_tokens("text")}, len({_tokens("source")}) + len({_tokens("text")}) FROM documents)),
+tf AS (SELECT id, field, boost, len, token, count(*) AS tf FROM tok GROUP BY ALL),
+posted AS (SELECT id, {_HASH.format("token")} AS token_hash, sum(boost * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / 100.0))) AS weight FROM tf GROUP BY 1, 2),
+idf AS (SELECT token_hash, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM posted GROUP BY 1)"""
+
+_SCORED = f"""{_POSTED},
+terms AS (SELECT {_HASH.format("t")} AS token_hash, count(*) AS qtf FROM (SELECT unnest({_tokens("'" + SEARCH_TEXT + "'")}) AS t) GROUP BY 1),
+sparse AS (SELECT id, sum(weight * qtf * idf) AS score FROM posted JOIN terms USING (token_hash) JOIN idf USING (token_hash) GROUP BY 1)"""
+
+FIELDS = {"source": 5.0, "text": 5.0}
+
+
+def _sparse(spark, sf_dir) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return keyword.keyword_scores(keyword.postings(docs, "doc_id", FIELDS), keyword.query_terms(_one(spark, SEARCH_TEXT), "query_id", "text"), docs.count())
+
+
+# --- keyword search (X1-X4, A1-A5, J16, L1) ---
+
+
+@query(f"WITH {_SCORED} SELECT id AS doc_id, round(score, 6) AS score FROM sparse ORDER BY sparse.score DESC, id LIMIT 10")
+def keyword_search(spark, sf_dir):
+    """The ten best documents for a text: the limit is the feature."""
+    return ranking.top_k(_sparse(spark, sf_dir), 10, ["query_id"]).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL")
+def token_frequencies(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(tokenize.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+
+
+@query(f"WITH {_POSTED} SELECT id, token_hash, round(weight, 6) AS weight FROM posted")
+def field_postings(spark, sf_dir):
+    return keyword.postings(_read(spark, sf_dir, "documents"), "doc_id", FIELDS).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"WITH {_POSTED} SELECT token_hash, df, round(idf, 6) AS idf FROM idf")
+def inverse_document_frequencies(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    return keyword.document_frequencies(keyword.postings(docs, "doc_id", FIELDS), docs.count()).withColumn("idf", F.round("idf", 6))
+
+
+@query(f"""SELECT doc_id, len({_tokens("text")}) AS token_count, len(list_distinct({_tokens("text")})) AS unique_token_count FROM documents""")
+def token_count_columns(spark, sf_dir):
+    a, b = tokenize.token_counts(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("doc_id", a.alias("token_count"), b.alias("unique_token_count"))
+
+
+# --- dense search and fusion (X11, F3, F4, J15, J17, W1, W9, R2) ---
+
+_NEAR = f"""near AS (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COSINE.format("e.embedding", "q.embedding")} AS score
+ FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)"""
+
+
+def _near(spark, sf_dir, k):
+    rows = _read(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ranking.nearest(rows, "vec_id", "embedding", asked, k)
+
+
+@query(f"WITH {_NEAR} SELECT query_id, id, round(score, 6) AS score, row_number() OVER w AS rank FROM near WINDOW w AS (PARTITION BY query_id ORDER BY near.score DESC, id) QUALIFY rank <= 5")
+def vector_search(spark, sf_dir):
+    return _near(spark, sf_dir, 5).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding) AS dimension FROM embeddings")
+def vector_norms(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings").where(vector.finite(F.col("embedding")))
+    return rows.select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"), F.size("embedding").alias("dimension"))
+
+
+_DENSE = f"""dense AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM (
+ SELECT vec_id AS id, {_COSINE.format("embedding", "(SELECT embedding FROM embeddings WHERE vec_id = 0)")} AS score FROM embeddings) ORDER BY score DESC, id LIMIT 210),
+top AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank, score FROM sparse ORDER BY score DESC, id LIMIT 90)"""
+
+
+def _branches(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    dense_k, sparse_k = ranking.prefetch(30)
+    asked = rows.where("vec_id = 0").select(F.lit(0).cast("long").alias("query_id"), "embedding")
+    return [ranking.nearest(rows, "vec_id", "embedding", asked, dense_k), ranking.top_k(_sparse(spark, sf_dir), sparse_k, ["query_id"])]
+
+
+@query(f"WITH {_SCORED}, {_DENSE}, fused AS (SELECT id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT id, rank FROM dense UNION ALL SELECT id, rank FROM top) GROUP BY 1) SELECT id, round(score, 6) AS score FROM fused")
+def hybrid_rank_fusion(spark, sf_dir):
+    return ranking.fuse_ranks(_branches(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+_Z = "least(greatest(((score - avg(score) OVER ()) / stddev_pop(score) OVER () + 3) / 6, 0), 1)"
+
+
+@query(f"WITH {_SCORED}, {_DENSE} SELECT id, round(sum(z), 6) AS score FROM (SELECT id, {_Z} AS z FROM dense UNION ALL SELECT id, {_Z} FROM top) GROUP BY 1")
+def hybrid_distribution_fusion(spark, sf_dir):
+    return ranking.fuse_distributions(_branches(spark, sf_dir)).select("id", F.round("score", 6).alias("score"))
+
+
+# --- boosts and diversity (X10, X15, U5, U6, F5, W2, L4, L5) ---
+
+_PARTS = f"""parts AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file_path, {_tokens("'steel part'")} AS qt, list_distinct({_tokens("lower(p_name)")}) AS nt,
+  p_size / 50.0 AS base, CASE p_size % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 2 THEN 'enum' WHEN 3 THEN 'interface' ELSE 'variable' END AS kind FROM part),
+boosted AS (SELECT id, file_path, base * (1 + CASE kind WHEN 'class' THEN 0.12 WHEN 'method' THEN 0.10 WHEN 'enum' THEN 0.08 WHEN 'interface' THEN 0.06 ELSE 0 END
+  + CASE WHEN lower(name) = 'steel part' THEN 0.25 WHEN contains(lower(name), 'steel part') THEN 0.20
+    WHEN len(nt) > 0 AND len(list_filter(nt, lambda x: NOT list_contains(qt, x))) = 0 THEN 0.15
+    WHEN len(nt) > 0 AND len(list_filter(qt, lambda x: NOT list_contains(nt, x))) = 0 THEN 0.12
+    WHEN len(list_intersect(qt, nt)) > 0 THEN 0.05 * len(list_intersect(qt, nt)) / len(qt) ELSE 0 END) AS score FROM parts)"""
+
+
+def _parts(spark, sf_dir):
+    kinds = F.element_at(F.array(*map(F.lit, ("class", "method", "enum", "interface", "variable"))), F.col("p_size") % 5 + 1)
+    rows = _read(spark, sf_dir, "part").select(
+        F.lit(0).alias("query_id"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_name").alias("qualified_name"), F.col("p_brand").alias("file_path"),
+        (F.col("p_size") / 50.0).alias("score"), kinds.alias("object_type"), F.lit("code").alias("result_type"), F.lit(1.0).alias("score_weight"))
+    return ranking.boosted(rows, F.lit("steel part"))
+
+
+@query(f"WITH {_PARTS} SELECT id, round(score, 6) AS score FROM boosted")
+def boosted_scores(spark, sf_dir):
+    return _parts(spark, sf_dir).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_PARTS}, rounded AS (SELECT id, file_path, round(score, 6) AS score FROM boosted WHERE round(score, 6) >= 0.5), ranked AS (SELECT *, row_number() OVER (ORDER BY rounded.score DESC, id) AS position FROM rounded),
+numbered AS (SELECT *, sum((position > 1)::INT) OVER (PARTITION BY file_path ORDER BY position) AS nth FROM ranked)
+SELECT id, score, position FROM numbered WHERE position <= 1 OR nth <= 2""")
+def diverse_results(spark, sf_dir):
+    scored = _parts(spark, sf_dir).withColumn("score", F.round("score", 6)).where("score >= 0.5")
+    return ranking.diverse(scored, 1).select("id", "score", F.col("position").cast("long").alias("position"))
+
+
+@query(f"""SELECT doc_id, round(least(greatest(CASE WHEN n >= 20 THEN 1.0::DOUBLE WHEN n >= 10 THEN 0.5::DOUBLE + (n - 10) / 20.0::DOUBLE ELSE greatest(0.1::DOUBLE, n / 10.0::DOUBLE) END
+ * (1.0::DOUBLE + CASE WHEN lang = 'en' THEN 0.15 ELSE 0 END + CASE WHEN source = 'src1' THEN 0.10 ELSE 0 END), 0.1), 1.2), 6) AS weight
+FROM (SELECT *, len({_tokens("text")}) AS n FROM documents)""")
+def score_weights(spark, sf_dir):
+    n, _ = tokenize.token_counts(F.col("text"))
+    return _read(spark, sf_dir, "documents").withColumn("n", n).select("doc_id", F.round(T.score_weight(F.col("n"), F.col("lang") == "en", F.col("source") == "src1"), 6).alias("weight"))
+
+
+# --- relationships (U2, U7, J3-J6, J18, A6, A10, A11, X13, X14, X17) ---
+
+_EDGES = """edges AS (
+  SELECT 'n' || c_nationkey AS source_id, 'c' || c_custkey AS target_id, 'CONTAINS' AS relation_type FROM customer
+  UNION SELECT 'c' || o_custkey, 'o' || o_orderkey, 'CALLS' FROM orders
+  UNION SELECT 'o' || l_orderkey, 'p' || l_partkey, 'REFERENCES' FROM lineitem
+  UNION SELECT 's' || l_suppkey, 'p' || l_partkey, 'IMPORTS' FROM lineitem),
+both_ways AS (SELECT * FROM edges UNION SELECT target_id, source_id, CASE relation_type WHEN 'CONTAINS' THEN 'CONTAINED_BY' WHEN 'CALLS' THEN 'CALLED_BY' WHEN 'REFERENCES' THEN 'REFERENCED_BY' ELSE 'IMPORTED_BY' END FROM edges)"""
+
+
+def _edges(spark, sf_dir):
+    def side(table, a, source, b, target, kind):
+        return _read(spark, sf_dir, table).select(F.concat(F.lit(a), source).alias("source_id"), F.concat(F.lit(b), target).alias("target_id"), F.lit(kind).alias("relation_type"))
+
+    return (
+        side("customer", "n", "c_nationkey", "c", "c_custkey", "CONTAINS")
+        .unionByName(side("orders", "c", "o_custkey", "o", "o_orderkey", "CALLS"))
+        .unionByName(side("lineitem", "o", "l_orderkey", "p", "l_partkey", "REFERENCES"))
+        .unionByName(side("lineitem", "s", "l_suppkey", "p", "l_partkey", "IMPORTS"))
+        .distinct()
+    )
+
+
+@query(f"WITH {_EDGES} SELECT * FROM both_ways")
+def edges_both_ways(spark, sf_dir):
+    return graph.with_reverse(_edges(spark, sf_dir))
+
+
+@query(f"""WITH {_EDGES}, n AS (SELECT *, row_number() OVER (PARTITION BY source_id, relation_type ORDER BY target_id) AS i FROM edges)
+SELECT source_id AS id, relation_type, count(*) AS total_count, array_to_string(list_sort(list(target_id) FILTER (i <= 10)), ',') AS items FROM n GROUP BY ALL""")
+def relationship_summary(spark, sf_dir):
+    return graph.summarise(_edges(spark, sf_dir)).withColumn("items", F.array_join("items", ","))
+
+
+@query(f"WITH {_EDGES} SELECT target_id AS id, count(*) AS direct_callers FROM edges WHERE relation_type = 'CALLS' GROUP BY 1")
+def direct_callers(spark, sf_dir):
+    return graph.direct_callers(_edges(spark, sf_dir))
+
+
+@query("SELECT 'r' || n_regionkey AS source_id, 'n' || n_nationkey AS target_id, 'CONTAINS' AS relation_type FROM nation")
+def containment(spark, sf_dir):
+    nations = _read(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"))
+    regions = _read(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit(None).cast("string").alias("parent_id"))
+    return graph.contains_edges(nations.unionByName(regions))
+
+
+@query(f"""WITH {_EDGES}, seeds AS (SELECT 'c' || c_custkey AS id, 1.0 / (1 + c_custkey % 7) AS score, c_nationkey AS query_id FROM customer),
+first AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM seeds),
+reached AS (SELECT query_id, target_id AS id, max(score * CASE relation_type WHEN 'CONTAINED_BY' THEN 0.8 ELSE 0.7 END * 0.15) AS ppr FROM first JOIN both_ways ON first.id = source_id WHERE n <= 5 GROUP BY 1, 2)
+SELECT query_id, id, round(ppr * 0.3, 6) AS score FROM reached WHERE ppr >= 0.01 AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.query_id = reached.query_id AND s.id = reached.id)""")
+def graph_expansion(spark, sf_dir):
+    results = _read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query_id"), F.concat(F.lit("c"), "c_custkey").alias("id"), (1.0 / (1 + F.col("c_custkey") % 7)).alias("score"))
+    return graph.expand(results, graph.with_reverse(_edges(spark, sf_dir)), threshold=0.01).withColumn("score", F.round("score", 6))
+
+
+@query("""SELECT capture_id, target_id, distance FROM (
+ SELECT c.event_id AS capture_id, o.event_id AS target_id, abs(CASE WHEN o.event_id = min(o.event_id) OVER (PARTITION BY c.event_id) THEN c.event_id % 97 ELSE o.event_id % 1009 END - c.event_id % 211) AS distance
+ FROM events c JOIN events o ON c.user_id = o.user_id AND c.event_type = o.event_type)
+QUALIFY row_number() OVER (PARTITION BY capture_id ORDER BY distance, target_id) = 1""")
+def nearest_targets(spark, sf_dir):
+    events = _read(spark, sf_dir, "events")
+    key = [F.col("user_id").alias("file_path"), F.col("event_type").alias("name")]
+    captures = events.select(F.col("event_id").alias("capture_id"), *key, (F.col("event_id") % 211).alias("line"), (F.col("event_id") % 97).alias("source_line"))
+    objects = events.select(F.col("event_id").alias("id"), *key, (F.col("event_id") % 1009).alias("start_line"), F.col("event_id").alias("ordinal"))
+    return graph.nearest_target(captures, objects)
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS capture_id, max_by(o.o_orderkey, o.o_orderkey) AS scope_id
+FROM lineitem JOIN orders o ON l_orderkey % 50 = o.o_orderkey % 50 AND l_orderkey BETWEEN o.o_orderkey AND o.o_orderkey + 120 GROUP BY 1""")
+def enclosing_scopes(spark, sf_dir):
+    captures = _read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("capture_id"), (F.col("l_orderkey") % 50).alias("file_path"), F.col("l_orderkey").alias("line")).distinct()
+    scopes = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50).alias("file_path"), F.col("o_orderkey").alias("start_line"), (F.col("o_orderkey") + 120).alias("end_line"))
+    return graph.enclosing_scope(captures, scopes)
+
+
+# --- tables and snapshots (J10-J14, S10-S22, U4) ---
+
+_SNAPSHOTS = """old AS (SELECT doc_id, md5(text) AS checksum FROM documents WHERE doc_id % 13 <> 0),
+new AS (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS checksum FROM documents WHERE doc_id % 17 <> 0)"""
+
+
+def _snapshots(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    edited = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return docs.where("doc_id % 13 <> 0").select("doc_id", F.md5(F.col("text").cast("binary")).alias("checksum")), docs.where("doc_id % 17 <> 0").select("doc_id", F.md5(edited.cast("binary")).alias("checksum"))
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT new.doc_id, CASE WHEN new.checksum = old.checksum THEN 'unchanged' ELSE 'changed' END AS status FROM new LEFT JOIN old USING (doc_id)")
+def changed_files(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return tables.changed_files(new, old, "doc_id")
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT coalesce(new.doc_id, old.doc_id) AS doc_id, CASE WHEN old.doc_id IS NULL THEN 'new' WHEN new.doc_id IS NULL THEN 'deleted'
+ WHEN new.checksum = old.checksum THEN 'unchanged' ELSE 'changed' END AS status FROM new FULL JOIN old ON new.doc_id = old.doc_id""")
+def snapshot_difference(spark, sf_dir):
+    return tables.difference(*_snapshots(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT * FROM new UNION ALL SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)")
+def upserted_table(spark, sf_dir):
+    return tables.upsert(*_snapshots(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT * FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)")
+def deleted_rows(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return tables.delete(old, "doc_id", new)
+
+
+@query(f"WITH {_SNAPSHOTS} SELECT new.doc_id, new.checksum, old.doc_id IS NOT NULL AS reused FROM new LEFT JOIN old ON new.doc_id = old.doc_id AND new.checksum = old.checksum")
+def reused_embeddings(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    none = F.lit(None).cast("array<float>")
+    return tables.reuse_embeddings(new.withColumn("embedding", none), old.withColumn("embedding", F.array(F.lit(1.0).cast("float"))), "doc_id").drop("embedding")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def batch_lookup(spark, sf_dir):
+    ids = _read(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    return tables.lookup(_read(spark, sf_dir, "part"), "p_partkey", ids).select("p_partkey", "p_name")
+
+
+# --- counts and reports (A7-A9, A17-A20, S8, L6-L8, J22, J23) ---
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def language_counts(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("SELECT coalesce(source, 'total') AS source, count(*) AS n_rows, count(*) FILTER (contains(text, '#')) AS with_marks FROM documents GROUP BY ROLLUP (source)")
+def collection_statistics(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").rollup("source").agg(F.count("*").alias("n_rows"), F.count_if(F.contains("text", F.lit("#"))).alias("with_marks"))
+    return rows.withColumn("source", F.coalesce("source", F.lit("total")))
+
+
+_WORDS_OF = r"CASE WHEN trim(regexp_replace({0}, '\s+', ' ', 'g')) = '' THEN 0 ELSE len(string_split(trim(regexp_replace({0}, '\s+', ' ', 'g')), ' ')) END"
+
+
+@query(f"SELECT role, count(*) AS requests, sum(n) AS tokens, round(sum(n) * 0.00002, 6) AS cost, round(avg(n), 6) AS average FROM (SELECT role, floor({_WORDS_OF.format('text')} * 1.3)::BIGINT AS n FROM conversations) GROUP BY 1")
+def cost_summary(spark, sf_dir):
+    rows = _read(spark, sf_dir, "conversations").select("role", T.billed_tokens(F.col("text")).cast("long").alias("n"))
+    return rows.groupBy("role").agg(F.count("*").alias("requests"), F.sum("n").alias("tokens"), F.round(F.sum("n") * 0.00002, 6).alias("cost"), F.round(F.avg("n"), 6).alias("average"))
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 20")
+def recent_records(spark, sf_dir):
+    """The twenty latest records: the limit is the feature."""
+    return _read(spark, sf_dir, "events").orderBy(F.desc("ts"), "event_id").limit(20).select("event_id", "ts", "event_type")
+
+
+@query("""SELECT source, max(quality = 1) AS has_good, max(toxic = 1) AS has_toxic, count(DISTINCT lang) AS n_languages, round(avg(quality), 6) AS precision_rate
+FROM documents JOIN labels USING (doc_id) GROUP BY 1""")
+def relevance_report(spark, sf_dir):
+    rows = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    return rows.groupBy("source").agg(F.max(F.col("quality") == 1).alias("has_good"), F.max(F.col("toxic") == 1).alias("has_toxic"), F.count_distinct("lang").alias("n_languages"), F.round(F.avg("quality"), 6).alias("precision_rate"))
+
+
+# --- texts, names and paths (X5-X9, X16, X17, X22-X26, X34-X39, F8-F12, C1, C3) ---
+
+
+@query("SELECT doc_id, left(sha256(concat_ws(':', source, lang, doc_id::VARCHAR)), 32) AS id, left(sha256(concat_ws(':', source, lang, doc_id::VARCHAR)), 16) AS chunk_id FROM documents")
+def deterministic_ids(spark, sf_dir):
+    parts = [F.col(c) for c in ("source", "lang", "doc_id")]
+    return _read(spark, sf_dir, "documents").select("doc_id", T.object_id(*parts).alias("id"), T.short_id(*parts).alias("chunk_id"))
+
+
+@query(r"""WITH p AS (SELECT page_id, url, trim(regexp_replace(lower(url), '[^a-z0-9-]', '-', 'g'), '-') AS c FROM pages)
+SELECT page_id, string_split(url, '/')[-1] AS base, CASE WHEN c = '' THEN 'default-project' WHEN length(c) > 63 THEN left(c, 50) || '-' || left(sha1(c), 10) ELSE c END AS project_id,
+replace(regexp_replace(string_split(url, '/src/')[-1], '\.py$', ''), '/', '.') AS module FROM p""")
+def path_functions(spark, sf_dir):
+    url = F.col("url")
+    return _read(spark, sf_dir, "pages").select("page_id", T.basename(url).alias("base"), T.normal_project_id(url).alias("project_id"), T.module_path(url).alias("module"))
+
+
+@query(r"""SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '\$\{([A-Z_][A-Z0-9_]*)\}', 1) || regexp_extract_all(html, '\$([A-Z_][A-Z0-9_]*)', 1) || regexp_extract_all(html, '%([A-Z_][A-Z0-9_]*)%', 1))), ',') AS env,
+len(regexp_extract_all(html, '`([A-Z][A-Za-z0-9_]*)`', 1)) AS n_classes FROM pages""")
+def reference_extraction(spark, sf_dir):
+    html = F.col("html")
+    refs = F.filter(T.code_references(html), lambda x: x["type"] == "class")
+    return _read(spark, sf_dir, "pages").select("page_id", F.array_join(T.env_references(html), ",").alias("env"), F.size(refs).alias("n_classes"))
+
+
+@query("""WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, 1 + length(substr(text, 1, instr(text, substr(text, 101, 80)) - 1)) - length(replace(substr(text, 1, instr(text, substr(text, 101, 80)) - 1), chr(10), '')) AS start_line,
+ floor(length(text) / 4)::INTEGER AS estimate, len(list_filter(l[2:], lambda y: regexp_matches(y, 'return|=|await|raise|yield'))) AS n_key_lines
+FROM x WHERE length(text) > 100""")
+def chunk_places(spark, sf_dir):
+    text = F.col("text")
+    place = T.chunk_lines(text, F.substring(text, 101, 80))
+    later = F.filter(F.slice(F.split(text, "\n"), 2, F.size(F.split(text, "\n"))), lambda x: F.rlike(x, F.lit("return|=|await|raise|yield")))
+    return _read(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", place["start_line"].alias("start_line"), T.token_estimate(text).alias("estimate"), F.size(later).alias("n_key_lines"))
+
+
+@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+marked AS (SELECT *, length(regexp_extract(trim(line), '^(#{1,3}) ', 1)) AS level FROM lines),
+parts AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY no) AS part FROM marked),
+joined AS (SELECT doc_id, part, max(level) AS level, string_agg(line, chr(10) ORDER BY no) AS content FROM parts GROUP BY 1, 2)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section, level, md5(content) AS content_md5 FROM joined WHERE regexp_matches(content, '\S')""")
+def markdown_sections(spark, sf_dir):
+    found = chunk.markdown_sections(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("section").cast("long").alias("section"), F.col("level").cast("long").alias("level"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def recursive_chunks(spark, sf_dir):
+    """Tested against properties of the chunks: SQL has no recursion over
+    separators."""
+    return chunk.recursive_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT DISTINCT lang, CASE lang WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' ELSE 'eng_Latn' END AS code FROM documents")
+def translation_codes(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("lang", T.translation_code(F.col("lang")).alias("code")).distinct()

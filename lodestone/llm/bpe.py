@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import functools
-import hashlib
 import heapq
 
 import numpy as np
@@ -22,8 +21,8 @@ from .common import column, only, pieces_at_spaces, steps, texts
 #: Longer pretokens (in bytes) are merged by a heap, row by row, in the same order.
 LONG_PRETOKEN = 256
 #: Entries of one matrix.
-MATRIX_CELLS = 1 << 20
-CACHE_PIECES = 600_000
+MATRIX_CELLS = 1 << 18
+CACHE_PIECES = 400_000
 #: And their characters together.
 CACHE_CHARS = 16 << 20
 _NONE = np.int64(1) << 40
@@ -90,11 +89,15 @@ class ByteBPE:
             self.tokens = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
         self.bytes_of = {i: t for t, i in self.tokens.items()}
         self.first = np.array([self.tokens[bytes([b])] for b in range(256)], np.int64)
-        self.pairs = PairTable(self.tokens)
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.held = 0
 
+    @functools.cached_property
+    def pairs(self) -> PairTable:
+        """Made on first use: decoders have none."""
+        return PairTable(self.tokens)
+
     def encode_pretokens(self, pretokens: list[bytes]) -> list[np.ndarray]:
         """Ids of each pretoken."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pretokens)
@@ -223,7 +226,7 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = byte_bpe(vocabulary, pattern)
-        for batch in steps(batches):
+        for batch in steps(batches, limit=1 << 20):
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(coder.encode(texts(column(batch, "text"))), pa.binary())], ["doc_id", "ids"])
 
     return only(documents, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, ids binary")
@@ -234,12 +237,8 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
     def run(batches):
         coder = byte_bpe(vocabulary, pattern)
-        for batch in steps(batches, "ids"):
+        for batch in steps(batches, "ids", 1 << 20):
             ids = column(batch, "ids")
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), ids, pa.array([None if x is None else coder.decode(x) for x in ids.to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
 
     return only(encoded, doc_id="doc_id", ids="ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
-
-
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lm, media, packing, quality, sharding, simhash, tokenfile, toxicity
-from .common import column, crc_of_id
+from .common import crc_of_id
 
 
 def _vocabulary(name: str) -> str:
@@ -60,16 +57,7 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary, pattern = _vocabulary("byte_bpe_50k.tiktoken"), _pattern()
     coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, pattern), vocabulary, pattern)
-
-    def digest(batches):
-        for batch in batches:
-            ids, decoded = column(batch, "ids").to_pylist(), column(batch, "decoded").to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return coded.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

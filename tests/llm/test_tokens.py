@@ -161,5 +161,11 @@ def test_empty_tables(spark):
     assert tokenfile.write_and_read(none, P.path("word_bpe_49k.json")).count() == 0
 
 
-def test_digests():
-    assert bpe.sha256_hex(b"") == hashlib.sha256(b"").hexdigest()
+def test_bpe_query_digests(spark, tmp_path):
+    from lodestone.llm.queries import op7_bpe
+
+    spark.createDataFrame(documents(20), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    coder = bpe.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter((d, len(i) // 4, sha(i), sha((t or "").encode())) for d, t, *_ in documents(20) for i in coder.encode([t or ""]))
+    assert Counter(map(tuple, op7_bpe(spark, str(tmp_path)).collect())) == want

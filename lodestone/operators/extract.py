@@ -20,7 +20,7 @@ _DECISIONS = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.BoolOp, ast.IfE
 _NESTING = (ast.If, ast.For, ast.While, ast.Try, ast.With)
 _CLASS = re.compile(r"\b(enum\s+class|class|interface|enum)\s+(\w+)")
 _FUNCTION = re.compile(r"\b(?:fun|function)\s*\*?\s*(?:<[^>]*>\s*)?(\w+)\s*\(|\bconst\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>")
-_METHOD = re.compile(r"^\s*(?:@\w+\s+)*(?:(?:public|private|protected|static|final|async|override|abstract|suspend)\s+)*(?:[\w<>\[\],.?]+\s+)?(\w+)\s*\([^;]*\)\s*(?::\s*[\w<>\[\]., ]+)?(?:throws\s+[\w., ]+)?\s*\{")
+_METHOD = re.compile(r"^\s*(?:@\w+\s+)*(?:(?:public|private|protected|static|final|async|override|abstract|suspend)\s+)*(?:[\w<>\[\],.?]+\s+)?(\w+)\s*\([^;]*\)\s*(?::\s*[\w<>\[\]., ]+)?(?:throws\s+[\w., ]+)?\s*$")
 _IMPORT = re.compile(r"^\s*import\s+(?:static\s+)?(?:[^'\";]*?from\s+)?['\"]?([\w./@\-*]+)['\"]?", re.M)
 _CALL = re.compile(r"\b(\w+)\s*\(")
 # --- fixed values: words that look like calls or methods ---
@@ -86,18 +86,11 @@ def brace_objects(text: str, language: str) -> tuple[list[dict], list[str]]:
     pending: tuple[str, str] | None = None
     package = re.search(r"^\s*package\s+([\w.]+)", plain, re.M)
     for no, line in enumerate(lines, 1):
-        owner = next((q for k, q, _ in reversed(stack) if q), None)
-        in_class = bool(stack) and stack[-1][0] in ("class", "interface", "enum")
-        if m := _CLASS.search(line):
-            pending = ("enum" if m[1].startswith("enum") else m[1], m[2])
-        elif m := _FUNCTION.search(line):
-            pending = ("method" if in_class else "function", m[1] or m[2])
-        elif in_class and (m := _METHOD.match(line)) and m[1] not in NOT_CALLS and m[1] != "constructor":
-            pending = ("method", m[1])
-        for c in line:
-            if c == "{":
+        for part in re.findall(r"[{}]|[^{}]+", line):
+            if part == "{":
                 if pending:
                     kind, name = pending
+                    owner = next((q for _, q, _ in reversed(stack) if q), None)
                     top = package[1] if package and not owner and language in ("java", "kotlin") else owner
                     qualified = f"{top}.{name}" if top else name
                     found.append(_row(kind, name, qualified, owner, no, no, None, source[no - 1].strip().rstrip("{").strip(), "", [], 1, 0))
@@ -105,10 +98,18 @@ def brace_objects(text: str, language: str) -> tuple[list[dict], list[str]]:
                     pending = None
                 else:
                     stack.append((None, None, -1))
-            elif c == "}" and stack:
-                _, _, at = stack.pop()
-                if at >= 0:
+            elif part == "}":
+                pending = None
+                if stack and (at := stack.pop()[2]) >= 0:
                     _close(found[at], no, lines, source)
+            else:
+                in_class = bool(stack) and stack[-1][0] in ("class", "interface", "enum")
+                if m := _CLASS.search(part):
+                    pending = ("enum" if m[1].startswith("enum") else m[1], m[2])
+                elif m := _FUNCTION.search(part):
+                    pending = ("method" if in_class else "function", m[1] or m[2])
+                elif in_class and (m := _METHOD.match(part)) and m[1] not in NOT_CALLS and m[1] != "constructor":
+                    pending = ("method", m[1])
     for _, _, at in stack:
         if at >= 0:
             _close(found[at], len(lines), lines, source)

@@ -43,11 +43,16 @@ def without_nan(v: Column) -> Column:
 
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """A deterministic embedding without a model: each token adds one, with a
-    sign, at the place that its hash names; the sum is scaled to length one."""
+    sign, at the place that its hash names; the sum is scaled to length one.
+    Where the signs cancel throughout, the tokens count without them, so only
+    a text without tokens has the zero vector."""
     hashes = F.transform(tokens(text), token_hash)
-    zero = F.array_repeat(F.lit(0.0), dimension)
 
-    def add(v: Column, h: Column) -> Column:
-        return F.transform(v, lambda x, i: F.when(i == h % dimension, x + F.when(F.shiftright(h, 16) % 2 == 0, 1.0).otherwise(-1.0)).otherwise(x))
+    def total(sign) -> Column:
+        def add(v: Column, h: Column) -> Column:
+            return F.transform(v, lambda x, i: F.when(i == h % dimension, x + sign(h)).otherwise(x))
 
-    return normalised(F.aggregate(hashes, zero, add))
+        return F.aggregate(hashes, F.array_repeat(F.lit(0.0), dimension), add)
+
+    signed = total(lambda h: F.when(F.shiftright(h, 16) % 2 == 0, 1.0).otherwise(-1.0))
+    return normalised(F.when(F.exists(signed, lambda x: x != 0), signed).otherwise(total(lambda h: F.lit(1.0))))

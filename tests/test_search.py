@@ -31,7 +31,7 @@ def test_chunks_cover_the_text(spark):
 
 
 def test_recursive_split():
-    assert chunk.split_recursively("a" * 100, 50, 10) == ["a" * 50, "a" * 50]
+    assert chunk.split_recursively("a" * 100, 50, 10) == ["a" * 50, "a" * 50, "a" * 20]  # each begins with the last ten of the one before
     assert chunk.split_recursively("one two three", 8, 0) == ["one two", "three"]
     assert chunk.split_recursively(" \n ", 2) == [] and chunk.split_recursively("", 5) == []
     assert chunk.split_recursively("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]

@@ -5,24 +5,58 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+import unicodedata
 from array import array
 
 import numpy as np
 
-from .common import split_at_spaces
-
 #: Distinct words that a worker remembers; beyond that it starts anew.
 CACHE_WORDS = 1_200_000
 #: And their characters together.
 CACHE_CHARS = 16 << 20
 
+#: ASCII punctuation other than the apostrophe, which can begin a contraction.
+_PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_SPACES = re.compile(r"\s\s")
+_CUT = re.compile(r"(?<=\S) (?!\n)")
+
+#: Below it, letters have one form when normalised, and a lower case of one letter.
+_LATIN_END = "\u0130"
+#: Byte-level vocabularies write a printable Latin-1 byte as itself, the others, in order, as the characters from 256 on.
+_UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_STAND_INS = {b: chr(b) for b in range(256)} | {b: chr(256 + i) for i, b in enumerate(_UNPRINTABLE)}
+
+
+def _parts(text: str) -> list[str]:
+    """The first word of a text and the others: each follows a space, or begins
+    with a newline, which then is a pretoken of its own.
+
+    Texts with several white-space characters in a row keep their newlines
+    within words, and are cut only at spaces between other characters.
+    """
+    if not text[:1].isspace() and not _SPACES.search(text):
+        return text.replace("\n", " \n").split(" ")
+    return _CUT.split(text)
+
+
+def _stem(word: str) -> tuple[str, str]:
+    """``word`` without final punctuation, and that punctuation, if a letter
+    stands before it that stays one when normalised and lower-cased."""
+    core = word.rstrip(_PUNCTUATION)
+    if len(core) < len(word) and core:
+        last = core[-1]
+        if (last if last.isascii() else unicodedata.normalize("NFC", last).lower()[-1]).isalpha():
+            return core, word[len(core) :]
+    return word, ""
+
 
 class WordEncoder:
     """Ids of whole texts as little-endian unsigned integers.
 
     The tokenizer itself encodes every distinct word; a text's ids are those of
-    its words in order (see ``split_at_spaces``).  A final full stop or comma
-    after a letter is a pretoken of its own, and so is encoded apart.
+    its words in order (see ``_parts``).  Punctuation at the end of a word, after a
+    letter, is a pretoken of its own, and so is encoded apart.
     ``plain``: the tokenizer drops white space and lower-cases, so that words
     go without either.  Strings of special tokens in a text are ordinary text.
     """
@@ -45,23 +79,39 @@ class WordEncoder:
             found += [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
         return found
 
+    def _cores(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, with a space before it unless space is
+        dropped or it begins with a newline.  A run of Latin letters is one
+        pretoken, so the tokenizer's model takes it as it is, its bytes written
+        as their stand-ins."""
+        tokenize, space, newline = self.tokenizer.model.tokenize, "" if self.plain else _STAND_INS[32], self._ids(["\n"])[0]
+        found = {}
+        for word in words:
+            opens = word[:1] == "\n"
+            w = word[1:] if opens else word
+            if w.isalpha() and (w.isascii() or max(w) < _LATIN_END):
+                w = w.lower() if self.plain else w
+                w = w if w.isascii() else w.encode().decode("latin-1").translate(_STAND_INS)
+                ids = array(self.code, [t.id for t in tokenize(w if opens else space + w)]).tobytes()
+                found[word] = newline + ids if opens else ids
+        others = [w for w in words if w not in found]
+        found.update(zip(others, self._ids([w if self.plain or w[:1] == "\n" else " " + w for w in others]), strict=True))
+        return [found[w] for w in words]
+
     def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of ``words``, each with a space before it unless
-        space is dropped."""
-        space = "" if self.plain else " "
-        stems = [w[:-1] if w[-1:] in (".", ",") and w[-2:-1].isalpha() else w for w in words]
-        cores = [s.lower() if self.plain and s.isascii() else s for s in stems]
-        new = list(set(cores))
-        ids = dict(zip(new, self._ids([space + c for c in new]), strict=True))
-        tail = dict(zip((".", ","), self._ids([".", ","]), strict=True)) | {"": b""}
-        for word, stem, core in zip(words, stems, cores, strict=True):
-            self.known[word] = ids[core] + tail[word[len(stem) :]]
+        """Remembers the ids of ``words``."""
+        cut = [_stem(w) for w in words]
+        cores, tails = list({core for core, _ in cut}), list({tail for _, tail in cut})
+        core_ids = dict(zip(cores, self._cores(cores), strict=True))
+        tail_ids = dict(zip(tails, self._ids(tails), strict=True))
+        for word, (core, tail) in zip(words, cut, strict=True):
+            self.known[word] = core_ids[core] + tail_ids[tail] if tail else core_ids[core]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.plain:
             split, firsts = [t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts)
         else:
-            split = [split_at_spaces(t) for t in texts]
+            split = [_parts(t) for t in texts]
             firsts = self._ids([x.pop(0) for x in split])
         new = list(set().union(*split).difference(self.known))
         self.held += sum(map(len, new))

@@ -3,6 +3,7 @@
 import base64
 import functools
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, packing, tokenfile
-from lodestone.llm.encoders import word_encoder
+from lodestone.llm.encoders import WordEncoder, word_encoder
 
 from .data import SCHEMA, documents
 
@@ -169,3 +170,15 @@ def test_bpe_query_digests(spark, tmp_path):
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = Counter((d, len(i) // 4, sha(i), sha((t or "").encode())) for d, t, *_ in documents(20) for i in coder.encode([t or ""]))
     assert Counter(map(tuple, op7_bpe(spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize(("name", "plain"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_word_encoder_agrees_with_the_library_on_odd_texts(name, plain):
+
+    draw = random.Random(7)
+    letters = "ab Zé'İक़़.,\n\t_-%9² 　\x85\x1cċß̈漢가"
+    odd = ["", "a\n\nb", "x \ny z", "x.\n", "\n y", "İ. x", "क़. क़,\nक़.", "it's. don't, I'll!", "a  b\n\n c.\n"]
+    odd += ["".join(draw.choice(letters) for _ in range(draw.randint(0, 40))) for _ in range(3000)]
+    encoder = WordEncoder(P.path(name), plain)
+    want = [np.array(e.ids, dtype=encoder.dtype).tobytes() for e in encoder.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+    assert encoder.encode(odd) == want

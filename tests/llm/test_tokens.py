@@ -174,7 +174,6 @@ def test_bpe_query_digests(spark, tmp_path):
 
 @pytest.mark.parametrize(("name", "plain"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_word_encoder_agrees_with_the_library_on_odd_texts(name, plain):
-
     draw = random.Random(7)
     letters = "ab Zé'İक़़.,\n\t_-%9² 　\x85\x1cċß̈漢가"
     odd = ["", "a\n\nb", "x \ny z", "x.\n", "\n y", "İ. x", "क़. क़,\nक़.", "it's. don't, I'll!", "a  b\n\n c.\n"]

@@ -53,15 +53,16 @@ def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint as a signed long) of every row."""
+def fingerprints(documents: DataFrame, width: int = 3, more: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id``, ``fp`` (the fingerprint as a signed long) and the strings
+    named in ``more`` of every row."""
 
     def run(batches):
         for batch in steps(batches):
             fps = np.array([fingerprint(t, width) for t in texts(column(batch, "text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(fps, pa.int64()), *[column(batch, m) for m in more]], ["doc_id", "fp", *more])
 
-    return only(documents, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, fp long")
+    return only(documents, doc_id="doc_id", text="text", **{m: m for m in more}).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{m} string" for m in more]]))
 
 
 @dataclass
@@ -230,6 +231,15 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     return distinct.select("fp").mapInArrow(send, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(link, "a long, b long")
 
 
+def _components(fps: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``root`` and ``component_id`` of each fingerprint of ``fps``."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    parts = connected_components(links(distinct, radius))
+    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return written(rooted.join(least, "root").select("fp", "root", "component_id"))
+
+
 def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the
     least ``doc_id`` that links lead to) of every row.
@@ -243,18 +253,27 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> Da
     no rows; columns other than ``doc_id`` and ``text`` are ignored.
     """
     fps = written(fingerprints(documents, width))
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(links(distinct, radius))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    component = written(rooted.join(least, "root").select("fp", "component_id"))
+    component = _components(fps, radius)
     return fps.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_key():
+    """A key of ``doc_id`` and ``text``, nulls told apart from empty texts."""
+    return F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))).cast("binary"))
+
+
+def least_of_each(rows: DataFrame, group: str, documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for every ``group`` of ``rows`` (doc_id, key):
+    that of the least ``doc_id``, nulls last, and then of the least key.  Rows
+    of one key have one text, so they are of one group."""
+    least = rows.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("least"))
+    keyed = documents.withColumn("key__", row_key())
+    return keyed.join(least.select(F.col("least.key").alias("key__")), "key__", "left_semi").dropDuplicates(["key__"]).drop("key__")
+
+
 def one_of_each_group(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of the document with the least ``doc_id`` of every group, once
-    each.  All columns stay.  Where a group has no id at all, one row with a
-    null id stays."""
-    kept = near_duplicates(documents, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"), F.conv("fingerprint", 16, -10).cast("long").alias("fp")).distinct()
-    same = documents["doc_id"].eqNullSafe(kept["kept_id"])
-    return documents.join(kept.select("kept_id").distinct(), same, "left_semi").dropDuplicates(["doc_id"])
+    """One row of every group, that with the least ``doc_id``, nulls last; of
+    several texts with this id the one with the least hash.  All columns stay."""
+    keyed = only(documents, doc_id="doc_id", text="text").withColumn("key", row_key())
+    fps = written(fingerprints(keyed, width, ("key",)))
+    return least_of_each(fps.join(_components(fps, radius), "fp"), "root", documents)

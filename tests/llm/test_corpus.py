@@ -117,6 +117,14 @@ def test_one_of_each_group(docs):
     assert len(got) == len(set(got)) and set(got) - {None} == with_id
 
 
+def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
+    text = {x[0]: " ".join(x) for x in (a, b, c, d)}
+    rows = [(None, text["a0"]), (None, text["b0"]), (None, text["b0"]), (7, text["c0"]), (7, text["d0"]), (9, text["d0"]), (None, text["c0"]), (7, text["c0"]), (None, None), (None, "")]
+    got = simhash.one_of_each_group(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)).collect()
+    assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(None, text["a0"]), (None, text["b0"]), (7, text["c0"]), (7, text["d0"]), (None, "")])
+
+
 # --- media ---
 
 

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, lm, media, quality, sharding, simhash, toxicity
+from lodestone.llm import chat, components, lm, media, nearcopies, quality, sharding, simhash, toxicity
 
 from .data import ODD_TEXTS, SCHEMA, documents
 
@@ -125,6 +125,44 @@ def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(None, text["a0"]), (None, text["b0"]), (7, text["c0"]), (7, text["d0"]), (None, "")])
 
 
+def edited_texts(seed=11):
+    """Groups of texts with more and more words changed, and loose ones."""
+    rnd = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(500)]
+    out = []
+    for g in range(12):
+        text = list(rnd.choice(words, 150))
+        out.append(" ".join(text))
+        for _ in range(12 if g else 40):
+            copy = list(text)
+            for at in rnd.integers(0, 150, rnd.integers(1, 6)):
+                copy[at] = "changed"
+            out.append(" ".join(copy))
+    return [*out, *out[:5], None, "", "one two", "One  two"]
+
+
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(nearcopies, "CELL", 8)
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(edited_texts())]
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    plain = {i: plain_fingerprint(t) for i, t, *_ in rows}
+    bits = plain_components(set(plain.values()))
+    assert len(set(root)) < len({bits[f] for f in plain.values()})
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(got) == sorted(set(root))
+
+
 # --- media ---
 
 

@@ -6,8 +6,10 @@ rolling hash of the turns so far.  A conversation whose whole hash is that of a
 proper prefix of another is dropped by an anti-join; of equal conversations the
 least id stays.
 
-Running sums are taken within blocks of turns and over the blocks' sums, so
-that a conversation of any length is spread over tasks.
+Rows are dealt to parts by ranges of conversation, turn, role and text.  Running
+sums are taken within the parts of a conversation and over the parts' sums, so
+that a conversation of any length is spread over tasks, whatever its turn
+numbers.  A rendered segment is one value, so it has to fit in one task.
 """
 
 from __future__ import annotations
@@ -15,8 +17,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 BLOCK = 1024
 
+#: Rows that a part should have.
+PART_ROWS = 200_000
+
 #: What opens and closes a rendered turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n"
 
@@ -32,19 +39,23 @@ def turns(conversations: DataFrame) -> DataFrame:
     role and text (nulls first), and the rolling hashes ``h1`` and ``h2``."""
     block = F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 53)))
     rows = conversations.select("conv_id", "turn", "role", "text").distinct().withColumn("block", block)
-    in_block = Window.partitionBy("conv_id", "block")
-    rows = rows.withColumn("place", F.row_number().over(in_block.orderBy("turn", "role", "text")))
-    blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = blocks.select(F.col("conv_id").alias("c__"), F.col("block").alias("b__"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
-    rows = rows.join(earlier, F.col("conv_id").eqNullSafe(F.col("c__")) & (F.col("block") == F.col("b__"))).withColumn("place", F.col("place") + F.col("earlier")).drop("c__", "b__", "earlier")
+    order = ("conv_id", "turn", "role", "text")
+    parts = max(int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-conversations.count() // PART_ROWS))
+    # written, as the ranges come from a sample
+    rows = written(rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    in_part = Window.partitionBy("conv_id", "part")
+    rows = rows.withColumn("place", F.row_number().over(in_part.orderBy("turn", "role", "text")))
+    sizes = rows.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
+    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.select(F.col("conv_id").alias("c__"), F.col("part").alias("b__"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("earlier"))
+    rows = rows.join(earlier, F.col("conv_id").eqNullSafe(F.col("c__")) & (F.col("part") == F.col("b__"))).withColumn("place", F.col("place") + F.col("earlier")).drop("c__", "b__", "earlier")
     rows = rows.withColumn("t1", _digits(1)).withColumn("t2", _digits(16))
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("t1").cast("decimal(38,0)").alias("s1"), F.sum("t2").cast("decimal(38,0)").alias("s2"))
+    sums = rows.groupBy("conv_id", "part").agg(F.sum("t1").cast("decimal(38,0)").alias("s1"), F.sum("t2").cast("decimal(38,0)").alias("s2"))
     zero = F.lit(0).cast("decimal(38,0)")
-    earlier = sums.select(F.col("conv_id").alias("c__"), F.col("block").alias("b__"), *[F.coalesce(F.sum(f"s{k}").over(before).cast("decimal(38,0)"), zero).alias(f"e{k}") for k in (1, 2)])
-    rows = rows.join(earlier, F.col("conv_id").eqNullSafe(F.col("c__")) & (F.col("block") == F.col("b__")))
-    running = in_block.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("conv_id", "turn", "role", "text", "block", "place", *[(F.sum(f"t{k}").over(running).cast("decimal(38,0)") + F.col(f"e{k}")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)])
+    earlier = sums.select(F.col("conv_id").alias("c__"), F.col("part").alias("b__"), *[F.coalesce(F.sum(f"s{k}").over(before).cast("decimal(38,0)"), zero).alias(f"e{k}") for k in (1, 2)])
+    rows = rows.join(earlier, F.col("conv_id").eqNullSafe(F.col("c__")) & (F.col("part") == F.col("b__")))
+    running = in_part.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("conv_id", "turn", "role", "text", "block", "part", "place", *[(F.sum(f"t{k}").over(running).cast("decimal(38,0)") + F.col(f"e{k}")).cast("decimal(38,0)").alias(f"h{k}") for k in (1, 2)])
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
@@ -74,9 +85,15 @@ def render(conversations: DataFrame) -> DataFrame:
     kept = maximal(rolled).withColumnRenamed("conv_id", "c__")
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
     joined = rolled.join(kept, F.col("conv_id").eqNullSafe(F.col("c__"))).withColumn("line", line)
-    lines = joined.groupBy("conv_id", "block", "n_turns", "n_copies").agg(F.min("place").alias("first_place"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    whole = ("conv_id", "block", "n_turns", "n_copies")
+
+    def in_order(rows, *by):
+        lines = rows.groupBy(*by).agg(F.min("place").alias("place"), F.array_sort(F.collect_list(F.struct("place", "line"))).alias("lines"))
+        return lines.select(*by, "place", F.array_join(F.col("lines.line"), "").alias("line"))
+
+    lines = in_order(in_order(joined, *whole, "part"), *whole)
     number = Window.partitionBy("conv_id").orderBy("block")
-    return lines.select("conv_id", (F.row_number().over(number) - 1).alias("segment"), "n_turns", "n_copies", "first_place", F.array_join(F.col("lines.line"), "").alias("rendered"))
+    return lines.select("conv_id", (F.row_number().over(number) - 1).alias("segment"), "n_turns", "n_copies", F.col("place").alias("first_place"), F.col("line").alias("rendered"))
 
 
 ORACLE = """

@@ -450,6 +450,19 @@ def test_chat_against_sql(spark):
     assert Counter(map(tuple, got.collect())) == Counter(result.fetchall())
 
 
+def test_chat_spreads_a_conversation_with_few_turn_numbers(spark):
+    rows = [(None, i % 20 if i % 3 else None, "user", f"text {i}") for i in range(3000)] + [(1, 0, "user", "text 1"), (None, 0, "user", "text 3")]
+    rolled = chat.turns(spark.createDataFrame(rows, CHAT))
+    held = rolled.groupBy("conv_id", "part").count().agg(F.max("count")).first()[0]
+    assert held < 1500
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    result = con.sql(chat.ORACLE)
+    got = chat.render(spark.createDataFrame(rows, CHAT)).select(*result.columns)
+    assert Counter(map(tuple, got.collect())) == Counter(result.fetchall())
+
+
 # --- pipeline ---
 
 

@@ -11,10 +11,7 @@ from array import array
 
 import numpy as np
 
-#: Distinct words that a worker remembers; beyond that it starts anew.
-CACHE_WORDS = 1_200_000
-#: And their characters together.
-CACHE_CHARS = 16 << 20
+from .wordcache import WordCache
 
 #: ASCII punctuation other than the apostrophe, which can begin a contraction.
 _PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
@@ -28,15 +25,16 @@ _UNPRINTABLE = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172
 _STAND_INS = {b: chr(b) for b in range(256)} | {b: chr(256 + i) for i, b in enumerate(_UNPRINTABLE)}
 
 
-def _parts(text: str) -> list[str]:
-    """The first word of a text and the others: each follows a space, or begins
-    with a newline, which then is a pretoken of its own.
+def _parts(text: str) -> str | list[str]:
+    """The words of a text, as a list or as a text to be cut at each space: the
+    first, and others that follow a space, or begin with a newline, which then
+    is a pretoken of its own.
 
     Texts with several white-space characters in a row keep their newlines
     within words, and are cut only at spaces between other characters.
     """
     if not text[:1].isspace() and not _SPACES.search(text):
-        return text.replace("\n", " \n").split(" ")
+        return text.replace("\n", " \n")
     return _CUT.split(text)
 
 
@@ -58,20 +56,25 @@ class WordEncoder:
     its words in order (see ``_parts``).  Punctuation at the end of a word, after a
     letter, is a pretoken of its own, and so is encoded apart.
     ``plain``: the tokenizer drops white space and lower-cases, so that words
-    go without either.  Strings of special tokens in a text are ordinary text.
+    go without either.
+
+    Strings of special tokens in a text are ordinary text, as the description
+    of the vocabulary files sets it (``encode_special_tokens = True``).  With
+    ``special`` they become the ids of their tokens, which is the library's own
+    default: texts that hold one are then encoded whole.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()) if special else ()
         self.plain = plain
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.cache = WordCache(self.dtype, self._learn, None if plain else self._ids)
 
     def _ids(self, words: list[str]) -> list[bytes]:
         found: list[bytes] = []
@@ -98,33 +101,25 @@ class WordEncoder:
         found.update(zip(others, self._ids([w if self.plain or w[:1] == "\n" else " " + w for w in others]), strict=True))
         return [found[w] for w in words]
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of ``words``."""
+    def _learn(self, words: list[str]) -> list[bytes]:
         cut = [_stem(w) for w in words]
         cores, tails = list({core for core, _ in cut}), list({tail for _, tail in cut})
         core_ids = dict(zip(cores, self._cores(cores), strict=True))
         tail_ids = dict(zip(tails, self._ids(tails), strict=True))
-        for word, (core, tail) in zip(words, cut, strict=True):
-            self.known[word] = core_ids[core] + tail_ids[tail] if tail else core_ids[core]
+        return [core_ids[core] + tail_ids[tail] if tail else core_ids[core] for core, tail in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.plain:
-            split, firsts = [t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts)
-        else:
-            split = [_parts(t) for t in texts]
-            firsts = self._ids([x.pop(0) for x in split])
-        new = list(set().union(*split).difference(self.known))
-        self.held += sum(map(len, new))
-        if len(self.known) + len(new) > CACHE_WORDS or self.held > CACHE_CHARS:
-            self.known.clear()
-            new = list(set().union(*split))
-            self.held = sum(map(len, new))
-        self._learn(new)
-        get = self.known.__getitem__
-        return [first + b"".join(map(get, words)) for first, words in zip(firsts, split, strict=True)]
+        whole = [i for i, t in enumerate(texts) if any(map(t.__contains__, self.special))]
+        if whole:
+            texts = list(texts)
+            for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                texts[i] = ids
+            others = iter(self.encode([t for t in texts if isinstance(t, str)]))
+            return [next(others) if isinstance(t, str) else t for t in texts]
+        return self.cache.encode([t.replace("\n", " ") if self.plain else _parts(t) for t in texts])
 
 
 @functools.cache
-def word_encoder(path: str, plain: bool = False) -> WordEncoder:
+def word_encoder(path: str, plain: bool = False, special: bool = False) -> WordEncoder:
     """One encoder per worker process and vocabulary file."""
-    return WordEncoder(path, plain)
+    return WordEncoder(path, plain, special)

@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import column, only, scratch_dir, steps, texts
+from .common import column, only, scratch_dir, steps, texts, written
 from .encoders import word_encoder
 
 MAGIC = b"LSEF1\0\0\0"
@@ -135,21 +135,24 @@ class TokenFile:
         return self.tokens[start:end]
 
 
-def write(documents: DataFrame, vocabulary: str, folder: str, end_id: int = 1, file_tokens: int = FILE_TOKENS, partitions: int | None = None) -> DataFrame:
+def write(documents: DataFrame, vocabulary: str, folder: str, end_id: int = 1, file_tokens: int = FILE_TOKENS, partitions: int | None = None, special: bool = False) -> DataFrame:
     """Encode all documents and write them to ``folder`` in ascending order of
     ``doc_id``; a row per file: ``file``, ``part``, ``piece``, ``n_docs``,
     ``n_tokens``.
 
-    The rows are ranged by ``doc_id``; each task writes its range as files of
-    about ``file_tokens`` ids.  A file is written under a name of its own and
-    then moved, and a task that runs again writes the same files.
+    The rows are ranged by ``doc_id``, rows of one id by a hash of the text and
+    of their place, so that neither a common id nor a repeated row makes a
+    large range.  Each task writes its range as files of about ``file_tokens``
+    ids.  A file is written under a name of its own and then moved, and a task
+    that runs again writes the same files.
     """
     spark = documents.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = only(documents, doc_id="doc_id", text="text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = only(documents, doc_id="doc_id", text="text").withColumn("hash", F.xxhash64("text")).withColumn("place", F.xxhash64(F.monotonically_increasing_id()))
+    ranged = keyed.repartitionByRange(n, "doc_id", "hash", "place").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
 
     def run(batches):
-        encoder = word_encoder(vocabulary, plain=True)
+        encoder = word_encoder(vocabulary, True, special)
         width = encoder.dtype.itemsize
         end = np.array([end_id], encoder.dtype).tobytes()
         store, root = pafs.FileSystem.from_uri(folder)
@@ -183,42 +186,47 @@ def write(documents: DataFrame, vocabulary: str, folder: str, end_id: int = 1, f
     return ranged.mapInArrow(run, "file string, part long, piece long, n_docs long, n_tokens long")
 
 
-def read(spark, folder: str, files: DataFrame) -> DataFrame:
+def first_ids(files: DataFrame) -> DataFrame:
+    """``file`` and ``first`` (ids in all files before) of what ``write``
+    lists.  Only the parts' sums, a row per range, are added up in one task."""
+    sums = files.groupBy(F.col("part").alias("p__")).agg(F.sum("n_tokens").alias("n"))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sums.select("p__", F.coalesce(F.sum("n").over(before(Window.orderBy("p__"))), F.lit(0)).alias("earlier"))
+    within = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("part").orderBy("piece"))), F.lit(0))
+    placed = files.withColumn("within", within).join(earlier, F.col("part") == F.col("p__"))
+    return placed.select("file", (F.col("earlier") + F.col("within")).alias("first"))
+
+
+def read(folder: str, files: DataFrame) -> DataFrame:
     """A row per document from the files listed in ``files`` (``file``,
     ``first``: ids in all files before): ``doc_id``, ``start``, ``n_tokens``,
-    ``ids_crc32``.  A file is read whole, by one task; its size is bounded."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("content", F.element_at(F.split("path", "/"), -1).alias("file"))
+    ``ids_crc32``.  Boundaries are taken by ``select``.  A file is read whole,
+    by one task; its size is bounded."""
 
     def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for data, first in zip(column(batch, "content").to_pylist(), column(batch, "first").to_pylist(), strict=True):
-                f = TokenFile(data)
-                ends = f.ends.all().astype(np.int64)
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                wide = f.tokens.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            for name, first in zip(column(batch, "file").to_pylist(), column(batch, "first").to_pylist(), strict=True):
+                with store.open_input_stream(f"{root}/{name}") as data:
+                    f = TokenFile(data.read())
+                ends = np.fromiter(map(f.ends.select, range(len(f))), np.int64, len(f))
+                starts = np.concatenate(([0], ends[:-1]))
+                crc = [zlib.crc32(f.tokens[a:b].astype("<u4")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids(), pa.int64()), pa.array(starts + first), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return found.join(F.broadcast(files), "file").select("content", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("file", "first").repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def write_and_read(documents: DataFrame, vocabulary: str, end_id: int = 1, file_tokens: int = FILE_TOKENS) -> DataFrame:
+def write_and_read(documents: DataFrame, vocabulary: str, end_id: int = 1, file_tokens: int = FILE_TOKENS, special: bool = False) -> DataFrame:
     """Writes all documents to the shared folder and reads them back.
 
-    The list of files (one per ``file_tokens`` ids or range) passes through
-    the driver, which adds up their ids.
-
     Defined cases: null and empty texts are the end id alone; null ids come
-    first; repeated rows are written one by one; an empty table gives no rows;
-    columns other than ``doc_id`` and ``text`` are ignored.
+    first; rows of one id follow each other by a hash of their text; repeated
+    rows are written one by one; an empty table gives no rows; columns other
+    than ``doc_id`` and ``text`` are ignored; strings of special tokens are
+    ordinary text unless ``special`` is set; a text of any length is one
+    document of one file.
     """
-    spark = documents.sparkSession
-    folder = scratch_dir(spark)
-    listed = sorted(write(documents, vocabulary, folder, end_id, file_tokens).collect(), key=lambda r: (r.part, r.piece))
-    if not listed:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    first, rows = 0, []
-    for r in listed:
-        rows.append((r.file, first))
-        first += r.n_tokens
-    return read(spark, folder, spark.createDataFrame(rows, "file string, first long"))
+    folder = scratch_dir(documents.sparkSession)
+    return read(folder, first_ids(written(write(documents, vocabulary, folder, end_id, file_tokens, special=special))))

@@ -3,16 +3,20 @@
 A piece of ``n`` tokens costs ``linear * n + quadratic * n ** 2``, as attention
 does.  Pieces go, in descending order, to the sequence of the lowest cost that
 has room.  Pieces are packed within buckets; a bucket is a hash of the piece,
-so that no id and no text, however common, makes one large.
+of the task and of how often the task had the same piece before, so that no id,
+no text and no repeated row, however common, makes one large.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +60,12 @@ def pack_lengths(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadra
     return placed
 
 
-def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int, n_buckets: int) -> DataFrame:
+def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int, n_buckets: int, special: bool = False) -> DataFrame:
     """Each document's ids and ``end_id``, cut at multiples of ``capacity``."""
 
     def run(batches):
-        encoder = word_encoder(vocabulary)
+        encoder = word_encoder(vocabulary, special=special)
+        task, had = TaskContext.get().partitionId(), Counter()
         dtype, width = encoder.dtype, encoder.dtype.itemsize
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in steps(batches):
@@ -70,7 +75,9 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: i
                 n = len(ids) // width
                 for start in range(0, n, capacity):
                     part = ids[start * width : (start + capacity) * width]
-                    bucket = zlib.crc32(part, zlib.crc32(f"{doc_id}:{start}".encode())) % n_buckets
+                    piece = zlib.crc32(part, zlib.crc32(f"{doc_id}:{start}".encode()))
+                    bucket = zlib.crc32(struct.pack("<QQQ", piece, task, had[piece])) % n_buckets
+                    had[piece] += 1
                     rows.append((doc_id, start, len(part) // width, n, part, bucket))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "doc_tokens", "ids", "bucket"])
 
@@ -85,6 +92,7 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
     docs_per_bucket: int = 4096,
+    special: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
@@ -95,20 +103,23 @@ def pack(
     Defined cases: a null or empty text is a document of the end id alone;
     repeated rows are packed one by one; an empty table gives no rows; a null
     ``doc_id`` stays null; columns other than ``doc_id`` and ``text`` are
-    ignored; a text longer than a sequence fills whole sequences first.
+    ignored; a text longer than a sequence fills whole sequences first; pieces
+    of one length go by id (nulls last), start and content; strings of special
+    tokens are ordinary text unless ``special`` is set.
     """
     n_buckets = max(1, math.ceil(documents.count() / docs_per_bucket))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         lengths = np.asarray(table["length"], dtype=np.int64)
-        order = sorted(range(table.num_rows), key=lambda i: (-lengths[i], ids[i] is None, ids[i] or 0, starts[i])) if (ids := table["doc_id"].to_pylist()) is not None and (starts := table["start"].to_pylist()) is not None else []
+        ids, starts, data = (table[c].to_pylist() for c in ("doc_id", "start", "ids"))
+        order = sorted(range(table.num_rows), key=lambda i: (-lengths[i], ids[i] is None, ids[i] or 0, starts[i], data[i]))
         whole = [i for i in order if lengths[i] == capacity]
         rest = [i for i in order if lengths[i] < capacity]
         placed = [(rest[p], s, n, at, offset) for p, s, n, at, offset in pack_lengths(lengths[rest], capacity, linear, quadratic)]
         first = -(-int(lengths[rest].sum()) // capacity)
         placed += [(i, 0, capacity, first + k, 0) for k, i in enumerate(whole)]
-        data, doc_tokens, bucket = table["ids"].to_pylist(), table["doc_tokens"].to_pylist(), table["bucket"][0].as_py()
+        doc_tokens, bucket = table["doc_tokens"].to_pylist(), table["bucket"][0].as_py()
         out = []
         for i, start, n, at, offset in placed:
             width = len(data[i]) // int(lengths[i])
@@ -118,7 +129,7 @@ def pack(
         kinds = [pa.int64()] * 7 + [pa.binary()]
         return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    return token_pieces(documents, vocabulary, end_id, capacity, n_buckets).groupBy("bucket").applyInArrow(run, PACKED_SCHEMA)
+    return token_pieces(documents, vocabulary, end_id, capacity, n_buckets, special).groupBy("bucket").applyInArrow(run, PACKED_SCHEMA)
 
 
 def padding(packed: DataFrame, capacity: int = 2048) -> DataFrame:

@@ -2,29 +2,28 @@
 
 Rows of about equal length form a matrix of token ids.  In each round every row
 merges its leftmost pair of minimum rank, pairs are looked up in a hash table,
-and the matrix is compacted.  Ids equal ranks, as in files of that format.
+and the matrix is compacted.  A very long row is a matrix of its own.  Ids equal
+ranks, as in files of that format.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import column, only, pieces_at_spaces, steps, texts
+from .common import column, cut_at_spaces, only, steps, texts
+from .wordcache import WordCache
 
-#: Longer pretokens (in bytes) are merged by a heap, row by row, in the same order.
+#: Longer pretokens (in bytes) get a matrix of one row each, whose rounds merge
+#: all pairs of the minimum rank at once.
 LONG_PRETOKEN = 256
 #: Entries of one matrix.
 MATRIX_CELLS = 1 << 18
-CACHE_PIECES = 400_000
-#: And their characters together.
-CACHE_CHARS = 16 << 20
 _NONE = np.int64(1) << 40
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,8 +89,7 @@ class ByteBPE:
         self.bytes_of = {i: t for t, i in self.tokens.items()}
         self.first = np.array([self.tokens[bytes([b])] for b in range(256)], np.int64)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.cache = WordCache(np.dtype("<u4"), lambda words: self._learn([f" {w}" for w in words]), self._learn)
 
     @functools.cached_property
     def pairs(self) -> PairTable:
@@ -107,7 +105,7 @@ class ByteBPE:
         while at < len(order):
             n = int(lengths[order[at]])
             if n > LONG_PRETOKEN:
-                out[order[at]] = self._by_heap(pretokens[order[at]])
+                out[order[at]] = self._by_rounds(pretokens[order[at]])
                 at += 1
                 continue
             width = max(4, 1 << max(0, n - 1).bit_length())  # lengths up to the next power of two share a matrix
@@ -160,50 +158,55 @@ class ByteBPE:
                 ids, ranks, columns = ids[:, :width].copy(), ranks[:, :width].copy(), columns[:width]
         return done
 
-    def _by_heap(self, token: bytes) -> np.ndarray:
-        """The same merges, in the same order, for one long pretoken."""
-        ids = self.first[np.frombuffer(token, np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        known: dict[tuple[int, int], int | None] = {}
-
-        def merged(a: int, b: int) -> int | None:
-            if (a, b) not in known:
-                known[a, b] = self.tokens.get(self.bytes_of[a] + self.bytes_of[b])
-            return known[a, b]
-
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := merged(ids[i], ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-                if (m := merged(ids[i], ids[after[j]])) is not None:
-                    heapq.heappush(heap, (m, i, ids[i], ids[after[j]]))
-            if before[i] >= 0 and (m := merged(ids[before[i]], ids[i])) is not None:
-                heapq.heappush(heap, (m, before[i], ids[before[i]], ids[i]))
-        return np.array([x for x, a in zip(ids, alive, strict=True) if a], np.int64)
+    def _by_rounds(self, token: bytes) -> np.ndarray:
+        """The same merges for one long pretoken, a matrix of one row: a round
+        merges all pairs of the minimum rank from the left, unless merging one
+        makes a pair of a lower rank, which would come first; then the leftmost
+        alone is merged."""
+        ids = self.first[np.frombuffer(token, np.uint8)]
+        ranks = self.pairs(ids[:-1], ids[1:])
+        while len(ranks) and (rank := ranks.min()) < _NONE:
+            at = np.flatnonzero(ranks == rank)
+            # of a run of overlapping pairs every other one, from the first
+            opens = np.concatenate(([True], np.diff(at) > 1))
+            run = np.maximum.accumulate(np.where(opens, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            new = np.full(len(at), rank)
+            right = at + 2 < len(ids)
+            if (self.pairs(new[right], ids[at[right] + 2]) < rank).any() or self._lower_left(ids, at, rank):
+                at = at[:1]
+            merged = ids.copy()
+            merged[at] = rank
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids = merged[keep]
+            ranks = np.append(ranks, _NONE)[keep]
+            now = np.flatnonzero(keep[: len(merged)])
+            now = np.searchsorted(now, at)  # where the merged ones stand now
+            for some in (now, now - 1):
+                some = some[(some >= 0) & (some + 1 < len(ids))]
+                ranks[some] = self.pairs(ids[some], ids[some + 1])
+            ranks = ranks[: len(ids) - 1]
+        return ids
+
+    def _lower_left(self, ids: np.ndarray, at: np.ndarray, rank: int) -> bool:
+        """Whether a merged pair and what stands before it, merged or not, make
+        a pair of a lower rank."""
+        at = at[at > 0]
+        before = ids[at - 1]
+        joined = np.isin(at - 2, at)
+        new = np.full(len(at), rank)
+        return bool((self.pairs(np.where(joined, rank, before), new) < rank).any() or (self.pairs(before, new) < rank).any())
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        parts = [self.pattern.findall(p) for p in pieces]
+        pretokens = list(set().union(*parts))
+        ids = {p: i.astype("<u4").tobytes() for p, i in zip(pretokens, self.encode_pretokens([p.encode("utf-8", "surrogatepass") for p in pretokens]), strict=True)}
+        return [b"".join([ids[p] for p in part]) for part in parts]
 
     def encode(self, texts_: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [pieces_at_spaces(t) for t in texts_]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        self.held += sum(map(len, new))
-        if len(self.known) + len(new) > CACHE_PIECES or self.held > CACHE_CHARS:
-            self.known.clear()
-            new = list(set().union(*split))
-            self.held = sum(map(len, new))
-        parts = [self.pattern.findall(p) for p in new]
-        pretokens = list(set().union(*parts)) if parts else []
-        ids = {p: i.astype("<u4").tobytes() for p, i in zip(pretokens, self.encode_pretokens([p.encode("utf-8", "surrogatepass") for p in pretokens]), strict=True)}
-        for piece, part in zip(new, parts, strict=True):
-            self.known[piece] = b"".join([ids[p] for p in part])
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.cache.encode(list(map(cut_at_spaces, texts_)))
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids in the form that ``encode`` returns."""
@@ -233,7 +236,12 @@ def encode(documents: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id``, ``ids`` and the ``decoded`` bytes; null ids give null."""
+    """``doc_id``, ``ids`` and the ``decoded`` bytes.
+
+    Defined cases: null ids give null, empty ones empty bytes; repeated rows
+    give repeated results; an empty table gives no rows; other columns are
+    ignored; an id that the vocabulary lacks is an error.
+    """
 
     def run(batches):
         coder = byte_bpe(vocabulary, pattern)

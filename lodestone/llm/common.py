@@ -76,9 +76,9 @@ def steps(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = ST
             yield batch.slice(a, b - a)
 
 
-def split_at_spaces(text: str) -> list[str]:
-    """The text cut at each space that follows a character other than white
-    space; joined by spaces the parts give the text again.
+def cut_at_spaces(text: str) -> str | list[str]:
+    """The text's parts, cut at each space that follows a character other than
+    white space; or the text itself, where that means each of its spaces.
 
     No pretokeniser used here puts such a space into one token with what stands
     before it.  Hence the tokens of the first part, and of a space and each
@@ -86,13 +86,7 @@ def split_at_spaces(text: str) -> list[str]:
     """
     if text[:1] == " " or _SPACE_AFTER_SPACE.search(text):
         return _CUT.split(text)
-    return text.split(" ")
-
-
-def pieces_at_spaces(text: str) -> list[str]:
-    """The parts of ``split_at_spaces``, each but the first with its space."""
-    first, *rest = split_at_spaces(text)
-    return [first, *[f" {x}" for x in rest]]
+    return text
 
 
 _SPACE_AFTER_SPACE = re.compile(r"\s ")

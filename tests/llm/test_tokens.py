@@ -3,6 +3,7 @@
 import base64
 import functools
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -112,12 +113,53 @@ def test_bpe_any_text(text):
 
 def test_long_pretokens_merge_as_in_matrices(monkeypatch):
     coder = bpe.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    draw = random.Random(3)
     rows = [b"thequickbrown" * 12, b"a" * 200, "éè".encode() * 50, b"zz" * 99]
+    rows += [bytes(draw.choice(b) for _ in range(draw.randint(11, 250))) for b in (b"ab", b"aab -", b"etaoinshrdlu", bytes(range(256))) for _ in range(60)]
     short = coder.encode_pretokens(rows)
     monkeypatch.setattr(bpe, "LONG_PRETOKEN", 10)
     assert [x.tolist() for x in coder.encode_pretokens(rows)] == [x.tolist() for x in short]
 
 
+def test_pretokens_far_beyond_a_matrix_have_the_ids_of_tiktoken():
+    tiktoken = pytest.importorskip("tiktoken")
+    coder = bpe.byte_bpe(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.tokens, special_tokens={})
+    draw = random.Random(9)
+    for text in ("a" * 20_001, "".join(draw.choice("abcdefghijklmnop") for _ in range(30_000)), "ab" * 9_000 + "b" * 77, "=-" * 8_000, "é" * 5_000):
+        assert coder.encode([text])[0] == u32(own.encode_ordinary(text))
+
+
+@pytest.mark.parametrize(("name", "plain"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_special_strings_are_text_or_tokens(name, plain):
+    from tokenizers import Tokenizer
+
+    texts = ["hi <|endoftext|> yo", "<|startoftext|>", "no such string", "<|endoftext|><|endoftext|>  x\n"]
+    untouched = Tokenizer.from_file(P.path(name))
+    for special, library in ((False, tokenizer(name)), (True, untouched)):
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+        assert word_encoder(P.path(name), plain, special).encode(texts) == want
+    assert 50256 in untouched.encode(texts[0]).ids or plain
+
+
+def test_a_full_word_cache_starts_anew():
+    from lodestone.llm.wordcache import WordCache
+
+    asked = []
+    cache = WordCache(np.dtype("<u2"), lambda words: asked.append(len(words)) or [np.array([len(w), 7], "<u2").tobytes() for w in words], None, 60)
+    for n in range(40):
+        texts = [" ".join(f"w{n + k}" * (k % 3) for k in range(5)), ["one", "two words"]]
+        want = [np.array([x for w in t for x in (len(w), 7)], "<u2").tobytes() for t in (texts[0].split(" "), texts[1])]
+        assert cache.encode(texts) == want and cache.nbytes() < 400
+    assert len(asked) == 40
+
+
+def test_a_repeated_row_is_spread_over_buckets(spark):
+    rows = spark.createDataFrame([(7, "the same row", "en", "s", 12)] * 400, SCHEMA)
+    sizes = [r["count"] for r in packing.token_pieces(rows, P.path("byte_bpe_50k.json"), 1, 2048, 8).groupBy("bucket").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 100
+
+
 @given(st.lists(st.integers(0, 5000), max_size=700), st.integers(0, 1 << 40))
 @settings(max_examples=60, deadline=None)
 def test_elias_fano_round_trip(values, far):
@@ -138,13 +180,22 @@ def test_elias_fano_is_small():
 def test_token_files_hold_all_documents_in_order(spark, docs):
     path = P.path("word_bpe_49k.json")
     rows = tokenfile.write_and_read(docs, path, file_tokens=3000).collect()
-    data = sorted(documents(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    start, want = 0, Counter()
-    for doc_id, text, *_ in data:
+    want = Counter()
+    for doc_id, text, *_ in documents():
         ids = [*ids_of("word_bpe_49k.json", text), 1]
-        want[doc_id, start, len(ids), zlib.crc32(u32(ids))] += 1
-        start += len(ids)
-    assert Counter(map(tuple, rows)) == want
+        want[doc_id, len(ids), zlib.crc32(u32(ids))] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows) == want
+    start, before = 0, -math.inf
+    for r in sorted(rows, key=lambda r: r.start):
+        now = -math.inf if r.doc_id is None else r.doc_id
+        assert r.start == start and now >= before
+        start, before = start + r.n_tokens, now
+
+
+def test_a_common_id_is_spread_over_ranges(spark, tmp_path):
+    rows = spark.createDataFrame([(7, f"text {i % 3}", "en", "s", 6) for i in range(600)], SCHEMA)
+    listed = tokenfile.write(rows, P.path("word_bpe_49k.json"), f"file://{tmp_path}", partitions=6).collect()
+    assert len(listed) == 6 and max(r.n_docs for r in listed) < 250
 
 
 def test_a_file_gives_single_documents():

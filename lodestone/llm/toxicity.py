@@ -8,6 +8,7 @@ logistic regression is fitted over the scaled features.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,23 +21,20 @@ from .common import column, crc_of_id, steps, texts, written
 SIZES = (4, 5, 6)
 FEATURE_BITS = 20
 FEATURES = 1 << FEATURE_BITS
-#: Features of fewer labelled documents, or with a smaller log ratio (of either
-#: sign), have no weight.
-LEAST_DOCUMENTS, LEAST_RATIO = 5, 1.5
 #: Labelled rows, at most, on which the weights are fitted: those of the least
-#: hash of the id.  The ratios are of all labelled rows.
-FIT_ROWS = 6_000
+#: hash of the id, a row per id, as far as their features are not more than
+#: FIT_FEATURES together.  The ratios are of all labelled rows.
+FIT_ROWS, FIT_FEATURES = 4_000, 1 << 23
 SMOOTH = 1.0
-RIDGE = 1e-3
-STEPS = 100
+PASSES = 6
+#: Characters whose features are taken at a time.
+CHUNK = 1 << 20
 #: Labelled ids that are broadcast at most.
 BROADCAST_IDS = 1_000_000
 
 
-def hashed(text: str) -> np.ndarray:
-    """The features of a text, with repeats: n-grams of its lower-cased
-    characters, with one space for each run of white space and at both ends."""
-    c = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+def _hashed(c: np.ndarray) -> np.ndarray:
+    """The features of code points, with repeats."""
     found = []
     for n in SIZES:
         if len(c) < n:
@@ -52,8 +50,24 @@ def hashed(text: str) -> np.ndarray:
 
 
 def present(text: str) -> np.ndarray:
-    """The sorted features of a text, without repeats."""
-    return np.unique(hashed(text)).astype(np.int32)
+    """The features of a text, each once: n-grams of its lower-cased
+    characters, with one space for each run of white space and at both ends."""
+    c = np.frombuffer(f" {' '.join(text.lower().split())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(c) > CHUNK:
+        seen = np.zeros(FEATURES, bool)
+        for i in range(0, len(c), CHUNK):
+            seen[_hashed(c[i : i + CHUNK + max(SIZES) - 1])] = True
+        return np.flatnonzero(seen).astype(np.int32)
+    found = _hashed(c)
+    order = np.arange(len(found), dtype=np.int32)
+    last = _scratch()
+    last[found] = order  # of equal features one stays
+    return found[last[found] == order].astype(np.int32)
+
+
+@functools.cache
+def _scratch() -> np.ndarray:
+    return np.zeros(FEATURES, np.int32)
 
 
 @dataclass
@@ -62,8 +76,7 @@ class Classifier:
     bias: float
 
     def score(self, text: str) -> float:
-        found = hashed(text)
-        z = self.bias + float(self.weights[np.unique(found[self.weights[found] != 0])].sum())
+        z = self.bias + float(self.weights[present(text)].sum())
         return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
 
 
@@ -76,12 +89,16 @@ def _labelled(documents: DataFrame, labels: DataFrame, held: tuple[int, int]) ->
     return docs.join(F.broadcast(own) if few else own, docs["doc_id"] == own["label_id__"]).drop("label_id__")
 
 
-def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, rows: int = FIT_ROWS) -> Classifier:
+def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, rows: int = FIT_ROWS, most_features: int = FIT_FEATURES) -> Classifier:
     """Learns from the labelled documents whose crc32(id) mod ``folds`` is not
     ``held_fold``.  The ratios count all of them, in vectors of fixed size per
-    task; the weights are fitted on at most ``rows`` of them, by their ids' hash.
+    task; the weights are fitted on at most ``rows`` of them and
+    ``most_features`` features, in order of their ids' hash.
 
-    With labels of one kind, or none, the score is the smoothed base rate."""
+    Defined cases: labels without id or verdict are left out; an id with both
+    labels is toxic; null texts are empty; repeated rows count each in the
+    ratios and once in the fit; with labels of one kind, or none, or with empty
+    tables, the score is the smoothed base rate; other columns are ignored."""
     known = _labelled(documents, labels, (folds, held_fold))
 
     def count(batches):
@@ -101,52 +118,57 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int
     if not clean or not toxic:
         return Classifier(np.zeros(FEATURES), float(np.log(rate / (1 - rate))))
     ratio = F.log((F.col("toxic") + SMOOTH) / (toxic + 2 * SMOOTH)) - F.log((F.col("clean") + SMOOTH) / (clean + 2 * SMOOTH))
-    chosen = sums.where(F.col("feature") >= 0).where(F.col("clean") + F.col("toxic") >= LEAST_DOCUMENTS).select("feature", ratio.alias("ratio")).where(F.abs("ratio") >= LEAST_RATIO).orderBy("feature").toArrow()
-    used = np.asarray(chosen["feature"]).astype(np.int32)
+    chosen = sums.where("feature >= 0").select("feature", ratio.alias("ratio")).toArrow()
     ratios = np.zeros(FEATURES)
-    ratios[used] = np.asarray(chosen["ratio"])
+    ratios[np.asarray(chosen["feature"])] = np.asarray(chosen["ratio"])
 
     def features(batches):
         for batch in steps(batches):
-            rows = [np.intersect1d(present(t), used, assume_unique=True).tobytes() for t in texts(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.array(rows, pa.binary())], ["toxic", "features"])
-
-    ids = labels.select("doc_id").where("doc_id is not null").distinct().where(crc_of_id("doc_id") % folds != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    picked = known.join(F.broadcast(ids), "doc_id").select("toxic", "text").mapInArrow(features, "toxic int, features binary").collect()
-    found = sorted((bytes(r.features), int(r.toxic > 0)) for r in picked)
-    return _logistic([np.frombuffer(x, np.int32) for x, _ in found], np.array([y for _, y in found], float), ratios)
-
-
-def _logistic(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray) -> Classifier:
-    """Ridge logistic regression by accelerated gradient descent."""
-    where = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    which = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    used, which = np.unique(which, return_inverse=True)
-    x = ratio[used]
-    value = x[which]
-    n = len(rows)
-    rate = (y.sum() + 1) / (n + 2)
-    w, bias = np.zeros(len(used)), float(np.log(rate / (1 - rate)))
-    # the step follows from the largest eigenvalue of X'X / 4n, by power iteration
-    v = np.ones(len(used))
-    size = 1.0
-    for _ in range(8):
-        v = np.bincount(which, value * np.bincount(where, value * v[which], n)[where], len(used)) / (4 * n)
-        size = float(np.linalg.norm(v)) or 1.0
-        v /= size
-    step = 1 / (1.2 * size + 0.25 + RIDGE)
-    ahead, ahead_bias, t = w.copy(), bias, 1.0
-    for _ in range(STEPS):
-        z = np.bincount(where, value * ahead[which], n) + ahead_bias
-        miss = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - y
-        grad = np.bincount(which, value * miss[where], len(used)) / n + RIDGE * ahead
-        new, new_bias = ahead - step * grad, ahead_bias - step * float(miss.mean())
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias + (t - 1) / t_new * (new_bias - bias)
-        w, bias, t = new, new_bias, t_new
+            found = [present(t).tobytes() for t in texts(column(batch, "text"))]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
+
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    ids = labels.select("doc_id").where("doc_id is not null").distinct().where(crc_of_id("doc_id") % folds != held_fold).orderBy(*order).limit(rows)
+    one = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    picked = written(one.mapInArrow(features, "doc_id long, toxic int, features binary"))
+    sizes = picked.select("doc_id", (F.octet_length("features") / 4).cast("long").alias("n")).orderBy(*order).collect()
+    upto = np.searchsorted(np.cumsum([r.n for r in sizes]), most_features, side="right")
+    if not upto:
+        return Classifier(np.zeros(FEATURES), float(np.log(rate / (1 - rate))))
+    last = picked.where(F.col("doc_id") == sizes[upto - 1].doc_id).select(*[x.alias(n) for x, n in zip(order, ("hash", "id"), strict=True)]).first()
+    taken = picked.where(F.struct(*order) <= F.struct(F.lit(last.hash).cast("long"), F.lit(last.id).cast("long")))
+
+    def train(batches):
+        held = list(batches)
+        found = [np.frombuffer(x.as_buffer(), np.int32) for b in held for x in column(b, "features")]
+        c = _logistic(found, np.array([t for b in held for t in column(b, "toxic").to_pylist()]) > 0, ratios)
+        used = np.flatnonzero(c.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([c.weights[used].tobytes()]), pa.array([c.bias])], ["used", "weights", "bias"])
+
+    # the bounded sample is fitted in a task, so that the driver gets the weights alone
+    fitted = taken.coalesce(1).sortWithinPartitions(*order).select("toxic", "features").mapInArrow(train, "used binary, weights binary, bias double").first()
     weights = np.zeros(FEATURES)
-    weights[used] = w * x
-    return Classifier(weights, bias)
+    weights[np.frombuffer(fitted.used, np.int32)] = np.frombuffer(fitted.weights)
+    return Classifier(weights, fitted.bias)
+
+
+def _logistic(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> Classifier:
+    """Logistic regression by gradient steps over the rows, in order, each by
+    the row's own length; the mean of the weights after each pass but the
+    first, which damps the last rows' pull."""
+    rate = (toxic.sum() + 1) / (len(rows) + 2)
+    w, bias = np.zeros(FEATURES), float(np.log(rate / (1 - rate)))
+    mean, mean_bias = np.zeros(FEATURES), 0.0
+    for p in range(PASSES):
+        for row, y in zip(rows, toxic.tolist(), strict=True):
+            x = ratio[row]
+            z = float(w[row] @ x) + bias
+            step = 2.0 / (1 + p) * (y - 1 / (1 + np.exp(-np.clip(z, -35, 35)))) / (1 + float(x @ x))
+            w[row] += step * x
+            bias += step
+        if p:
+            mean, mean_bias = mean + w, mean_bias + bias
+    return Classifier(mean / (PASSES - 1) * ratio, mean_bias / (PASSES - 1))
 
 
 def score(documents: DataFrame, classifier: Classifier, threshold: float = 0.3) -> DataFrame:
@@ -166,7 +188,10 @@ def score(documents: DataFrame, classifier: Classifier, threshold: float = 0.3)
 
 
 def clean(documents: DataFrame, classifier: Classifier, threshold: float = 0.3) -> DataFrame:
-    """The rows that score below ``threshold``, all columns unchanged."""
+    """The rows that score below ``threshold``, all columns unchanged.
+
+    Defined cases: as for ``score``; repeated rows stay or go together.
+    """
 
     def run(batches):
         for batch in steps(batches):

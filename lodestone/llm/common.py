@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,21 +25,41 @@ WORD_SPACE = " \t\n\x0b\x0c\r"
 LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
+#: Keys of more than one row in so many are joined by a broadcast of their own.
+HOT = 1000
+
+_LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent, as in local tests, a folder of this
-    machine is used.
+    Where that setting is absent, a local session uses a folder of its machine
+    and any other is an error.  ``clear_scratch`` deletes the folders.
     """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(context.applicationId)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext._conf.set("spark.checkpoint.dir", root)
-        spark.conf.set("spark.checkpoint.dir", root)
-        import shutil
-
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-    return f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/lodestone-{uuid.uuid4().hex}"
+    _MADE.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the tables and files that this session has put into the shared
+    folder, and returns their number.  DataFrames made before then no longer
+    work, so their results have to be stored first."""
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        store, place = pafs.FileSystem.from_uri(path)
+        if store.get_file_info(place).type != pafs.FileType.NotFound:
+            store.delete_dir(place)
+    return len(made)
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -48,6 +70,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, n: str, total: int) -> DataFrame:
+    """``rows`` joined to ``unique``, which has one row per key, neither with
+    null keys.  ``counts`` has the number ``n`` of each key's rows.
+
+    A key of more than one row in ``HOT`` would make one task large.  Of such
+    keys there are fewer than ``HOT``, whatever the input, so they are joined by
+    a broadcast and never shuffled by the key.
+    """
+    held = counts.where(F.col(n) * HOT > total).select(*keys)
+    found = held.collect()
+    if not found:
+        return rows.join(unique, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(found, held.schema))
+    return rows.join(F.broadcast(unique.join(hot, keys, "left_semi")), keys).unionByName(rows.join(hot, keys, "left_anti").join(unique, keys))
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the names the operator uses, whatever
     else ``df`` holds."""

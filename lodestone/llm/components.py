@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_unique, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node's larger neighbours are tied to its least neighbour."""
     both = _both_ways(edges)
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    tied = join_unique(both.where("b > a"), least.select("a", "m"), ["a"], least, "n", 2 * total)
+    return tied.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    tied = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    tied = join_unique(down, least.select("a", "m"), ["a"], least, "n", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
@@ -33,11 +34,13 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Each round's edges are written to the shared folder, which cuts the
     lineage; the rounds end when every tree is a star.  They grow with the
-    logarithm of the longest path.
+    logarithm of the longest path.  A hub of very many edges is joined by a
+    broadcast (see ``join_unique``).
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct())
     for _ in range(rounds):
-        edges = written(_small_star(_large_star(edges)))
+        edges = written(_large_star(edges, edges.count()))
+        edges = written(_small_star(edges, edges.count()))
         # stars: no root is itself tied to another node, and no node has two roots
         loose = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
         if loose.isEmpty() and edges.groupBy("a").count().where("count > 1").isEmpty():

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, column, only, steps, texts, written
+from .common import LOWER_ASCII, column, join_unique, only, steps, texts, written
 from .components import connected_components
 
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -232,12 +232,18 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def _components(fps: DataFrame, radius: int) -> DataFrame:
-    """``fp``, ``root`` and ``component_id`` of each fingerprint of ``fps``."""
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """``fp``, ``copies``, ``root`` and ``component_id`` of each fingerprint of
+    ``fps``."""
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     parts = connected_components(links(distinct, radius))
-    rooted = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return written(rooted.join(least, "root").select("fp", "root", "component_id"))
+    rooted = written(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    return written(join_unique(rooted, least.select("root", "component_id"), ["root"], least, "n", rooted.count()).select("fp", "copies", "root", "component_id"))
+
+
+def _of_rows(fps: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of ``fps`` with the columns of their fingerprint's component."""
+    return join_unique(fps, component.drop("copies"), ["fp"], component, "copies", fps.count())
 
 
 def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -253,8 +259,7 @@ def near_duplicates(documents: DataFrame, width: int = 3, radius: int = 3) -> Da
     no rows; columns other than ``doc_id`` and ``text`` are ignored.
     """
     fps = written(fingerprints(documents, width))
-    component = _components(fps, radius)
-    return fps.join(component, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _of_rows(fps, _components(fps, radius)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def row_key():
@@ -266,9 +271,10 @@ def least_of_each(rows: DataFrame, group: str, documents: DataFrame) -> DataFram
     """One row of ``documents`` for every ``group`` of ``rows`` (doc_id, key):
     that of the least ``doc_id``, nulls last, and then of the least key.  Rows
     of one key have one text, so they are of one group."""
-    least = rows.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("least"))
+    keys = written(rows.groupBy("key").agg(F.min(group).alias(group), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumnRenamed("key", "key__"))
+    least = keys.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key__")).alias("least"))
     keyed = documents.withColumn("key__", row_key())
-    return keyed.join(least.select(F.col("least.key").alias("key__")), "key__", "left_semi").dropDuplicates(["key__"]).drop("key__")
+    return join_unique(keyed, least.select("least.key__"), ["key__"], keys, "n", rows.count()).dropDuplicates(["key__"]).select(*documents.columns)
 
 
 def one_of_each_group(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
@@ -276,4 +282,4 @@ def one_of_each_group(documents: DataFrame, width: int = 3, radius: int = 3) ->
     several texts with this id the one with the least hash.  All columns stay."""
     keyed = only(documents, doc_id="doc_id", text="text").withColumn("key", row_key())
     fps = written(fingerprints(keyed, width, ("key",)))
-    return least_of_each(fps.join(_components(fps, radius), "fp"), "root", documents)
+    return least_of_each(_of_rows(fps, _components(fps, radius)), "root", documents)

@@ -3,8 +3,8 @@
 An n-gram of count ``c`` is entered with each of the numbers 1 to
 ``1 + floor(log_base(c))``; asking for 1, 2, ... until a miss gives its
 quantised count, never too low.  The filter is made of segments, each holding
-the n-grams of one range of hashes; a task builds a segment, the driver joins
-them, and workers get it by broadcast.
+the n-grams of one range of hashes; a task builds a segment, and workers get
+them by broadcast, as many at a time as a bound in bytes allows.
 
 The model mixes a word pair's share with the smoothed share of the word:
 ``p(w | u) = (1 - g) c(u, w) / c(u) + g p(w)``, ``p(w) = (c(w) + 0.5) /
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, column, crc_of_id, steps, texts, written
+from .common import LOWER_ASCII, column, crc_of_id, only, steps, texts, written
 
 #: Counts are quantised to powers of this.
 BASE = 1.5
@@ -36,6 +36,8 @@ BITS_PER_ENTRY = 8
 BROADCAST_BYTES = 256 << 20
 #: N-grams that should be in a segment.
 SEGMENT_NGRAMS = 200_000
+#: N-grams of either kind that a task adds up before it sends them on.
+TASK_NGRAMS = 1 << 20
 
 END, START = xxhash.xxh64_intdigest(b"\x00end"), xxhash.xxh64_intdigest(b"\x00start")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -88,26 +90,33 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """Joined segments; segment ``s`` holds the keys whose top bits are ``s``."""
+    """Joined segments from ``lo`` on; a key's top bits name its segment."""
 
     bits: np.ndarray
     first: np.ndarray  # each segment's first bit
     size: np.ndarray  # and number of bits; 0: no keys
     shift: int
+    lo: int = 0
 
     @classmethod
-    def of(cls, bits: np.ndarray, sizes: dict[int, int], n: int) -> Filter:
-        """``sizes``: bytes of each of the ``n`` segments that has keys."""
-        size = np.zeros(n, np.int64)
-        for s, b in sizes.items():
-            size[s] = 8 * b
-        return cls(bits, np.concatenate(([0], np.cumsum(size)[:-1])), size, 64 - (n.bit_length() - 1))
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes; 0 where level 1 misses."""
-        segment = (keys >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
+    def of(cls, parts: dict[int, bytes], shift: int, lo: int, hi: int) -> Filter:
+        """``parts``: the bytes of those segments from ``lo`` to ``hi`` that
+        have keys."""
+        size = np.array([8 * len(parts.get(s, b"")) for s in range(lo, hi)], np.int64)
+        bits = np.frombuffer(b"".join(parts[s] for s in sorted(parts)), np.uint8)
+        return cls(bits, np.cumsum(size) - size, size, shift, lo)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """Which keys are of these segments."""
+        segment = segment_of(keys, self.shift)
+        return (segment >= self.lo) & (segment < self.lo + len(self.size))
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts, as levels, of keys of these segments, by repeated
+        probes; 0 where level 1 misses."""
+        segment = segment_of(keys, self.shift) - self.lo
         first, size = self.first[segment], self.size[segment]
-        level = np.zeros(len(keys), np.int64)
+        level = np.zeros(len(keys), np.uint8)
         left = np.flatnonzero(size)
         for k in range(1, LEVELS + 1):
             hit = np.ones(len(left), bool)
@@ -118,23 +127,31 @@ class Filter:
             if not len(left):
                 break
             level[left] = k
-        return _MIDDLE[level]
+        return level
+
+
+def segment_of(keys: np.ndarray, shift: int) -> np.ndarray:
+    return (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
 
 
 @dataclass
-class Model:
-    """What one pass broadcasts.  ``words``/``word_counts``: exact counts by
-    word key, ascending; ``single``: all words' filter; ``pairs``: the filter
-    of this pass's share of pairs."""
+class Words:
+    """A share of the words: exact counts by key, ascending, and the filter."""
 
-    words: np.ndarray
-    word_counts: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
     single: Filter
-    pairs: Filter
+
+
+@dataclass
+class Model:
+    """What one pass broadcasts: a share of the words, of the pairs, or both."""
+
+    words: Words | None
+    pairs: Filter | None
     n: int
     v: int
     new_pairs: float
-    shares: int
 
 
 def tokenise(texts_: list[str], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -165,20 +182,41 @@ def contexts(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return before
 
 
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash once, with the sum of its counts."""
+    h, n = np.concatenate(hashes), np.concatenate(counts)
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(n, first)
+
+
 def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
     """Rows (segment, kind, hash, n): kind 1 for words' keys, 2 for pairs.
-    Tasks add up what they hold before the shuffle."""
-    shift = np.uint64(64 - (segments.bit_length() - 1))
+    Tasks add up what they hold, up to ``TASK_NGRAMS``, before the shuffle."""
+    shift = 64 - (segments.bit_length() - 1)
+
+    def rows(kind, h, n):
+        return pa.RecordBatch.from_arrays([pa.array(segment_of(h, shift).astype(np.int32)), pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(n)], ["segment", "kind", "hash", "n"])
 
     def run(batches):
         known: dict[bytes, int] = {}
+        held = {1: ([], []), 2: ([], [])}
         for batch in steps(batches, limit=8 << 20):
             tokens, sizes = tokenise(texts(column(batch, "text")), known)
-            pairs = pair_hash(contexts(tokens, sizes), tokens)
-            for kind, hashes in ((1, word_key(tokens)), (2, pairs)):
+            for kind, hashes in ((1, word_key(tokens)), (2, pair_hash(contexts(tokens, sizes), tokens))):
                 h, n = np.unique(hashes, return_counts=True)
-                segment = (h >> shift).astype(np.int32) if segments > 1 else np.zeros(len(h), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(segment), pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["segment", "kind", "hash", "n"])
+                held[kind][0].append(h)
+                held[kind][1].append(n.astype(np.int64))
+                if sum(map(len, held[kind][0])) > 2 * TASK_NGRAMS:
+                    h, n = _summed(*held[kind])
+                    held[kind] = ([h], [n])
+                    if len(h) > TASK_NGRAMS:
+                        held[kind] = ([], [])
+                        yield rows(kind, h, n)
+        for kind, parts in held.items():
+            if parts[0]:
+                yield rows(kind, *_summed(*parts))
 
     return training.select("text").mapInArrow(run, "segment int, kind byte, hash long, n long")
 
@@ -203,126 +241,150 @@ def _segments(training: DataFrame, segments: int) -> DataFrame:
             "counts": [counts.tobytes()],
             "once": [int((n[~word] == 1).sum())],
             "total": [int(counts.sum())],
+            "v": [len(words)],
         }
         return pa.table(columns)
 
-    return summed.groupBy("segment").applyInArrow(build, "segment int, single binary, pairs binary, words binary, counts binary, once long, total long")
-
+    return summed.groupBy("segment").applyInArrow(build, "segment int, single binary, pairs binary, words binary, counts binary, once long, total long, v long")
 
-def _joined(built: DataFrame, name: str, sizes: dict[int, int]) -> np.ndarray:
-    """One column of the segments as one array of bytes, in order, fetched a
-    few segments at a time."""
-    first = dict(zip(sorted(sizes), np.concatenate(([0], np.cumsum([sizes[s] for s in sorted(sizes)]))).tolist(), strict=False))
-    out = np.zeros(sum(sizes.values()), np.uint8)
-    if sizes:
-        rows = built.where(F.col("segment").between(min(sizes), max(sizes))).select("segment", name)
-        for r in rows.toLocalIterator():
-            out[first[r[0]] : first[r[0]] + sizes[r[0]]] = np.frombuffer(r[1], np.uint8)
-    return out
 
+@dataclass
+class Plan:
+    """Counts of the corpus, and how its segments are dealt to passes: first
+    ``word_shares``, then ``pair_shares``; one of each make one pass."""
+
+    built: DataFrame
+    segments: int
+    word_shares: int
+    pair_shares: int
+    n: int
+    v: int
+    new_pairs: float
 
-def models(training: DataFrame, broadcast_bytes: int = BROADCAST_BYTES):
-    """The models whose shares of pairs together make the whole; one unless
-    the filter passes ``broadcast_bytes``.  Each pass holds all words and as
-    many segments of pairs as fit."""
+    def passes(self) -> list[tuple[tuple[int, int] | None, tuple[int, int] | None]]:
+        """The ranges of segments of words and of pairs of each pass."""
+        ranges = lambda n: [(k * self.segments // n, (k + 1) * self.segments // n) for k in range(n)]
+        words, pairs = ranges(self.word_shares), ranges(self.pair_shares)
+        if len(words) == len(pairs) == 1:
+            return [(words[0], pairs[0])]
+        return [*[(x, None) for x in words], *[(None, x) for x in pairs]]
+
+    def model(self, words: tuple[int, int] | None, pairs: tuple[int, int] | None) -> Model:
+        """One pass's share, fetched a few segments at a time."""
+        shift = 64 - (self.segments.bit_length() - 1)
+
+        def fetch(lo, hi, *names):
+            found = {n: {} for n in names}
+            for r in self.built.where(F.col("segment").between(lo, hi - 1)).select("segment", *names).toLocalIterator():
+                for n in names:
+                    found[n][r.segment] = bytes(r[n])
+            return [found[n] for n in names]
+
+        own = None
+        if words:
+            single, keys, counts = fetch(*words, "single", "words", "counts")
+            joined = lambda x, kind: np.frombuffer(b"".join(x[s] for s in sorted(x)), kind)
+            number = joined(counts, np.int64)
+            own = Words(joined(keys, np.uint64), number.astype(np.min_scalar_type(int(number.max()) if len(number) else 0)), Filter.of(single, shift, *words))
+        shared = Filter.of(*fetch(*pairs, "pairs"), shift, *pairs) if pairs else None
+        return Model(own, shared, self.n, self.v, self.new_pairs)
+
+
+def learn(training: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> Plan:
+    """Counts all n-grams of ``training`` into segments, in the shared folder.
+
+    The driver sees their sums alone.  Where words and pairs together pass
+    ``broadcast_bytes``, both are dealt to as many passes as that bound asks."""
     rough = training.agg(F.sum(F.length("text"))).first()[0] or 0  # the n-grams are about a quarter of it
     segments = 1 << max(0, math.ceil(math.log2(max(1, rough / 4 / SEGMENT_NGRAMS))))
     built = written(_segments(training, segments))
-    names = ("single", "pairs", "words", "counts")
-    size = {n: {} for n in names}
-    once = total = 0
-    for r in built.select("segment", "once", "total", *[F.octet_length(n).alias(n) for n in names]).collect():
-        once, total = once + r.once, total + r.total
-        for n in names:
-            size[n][r.segment] = r[n]
-    single = Filter.of(_joined(built, "single", size["single"]), size["single"], segments)
-    words = _joined(built, "words", size["words"]).view(np.uint64)
-    counts = _joined(built, "counts", size["counts"]).view(np.int64)
-    counts = counts.astype(np.min_scalar_type(int(counts.max()) if len(counts) else 0))
-    new_pairs = (once + 0.5) / (total + 1)
-    groups: list[list[int]] = [[]]
-    room = max(1, broadcast_bytes - len(single.bits) - 12 * len(words))
-    for s in sorted(size["pairs"]):
-        if groups[-1] and sum(size["pairs"][x] for x in groups[-1]) + size["pairs"][s] > room:
-            groups.append([])
-        groups[-1].append(s)
-    for k, group in enumerate(groups):
-        held = {s: size["pairs"][s] for s in group}
-        pairs = Filter.of(_joined(built, "pairs", held), held, segments)
-        yield Model(words, counts, single, pairs, total, len(words), new_pairs, len(groups)), (group[0] if k else 0, groups[k + 1][0] if k + 1 < len(groups) else segments)
-
-
-def _score_with(docs: DataFrame, model: Model, of: tuple[int, int]) -> DataFrame:
+    size = lambda *names: F.coalesce(F.sum(sum(F.octet_length(n) for n in names)), F.lit(0))
+    count = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    r = built.agg(size("single", "words", "counts").alias("w"), size("pairs").alias("p"), count("once"), count("total"), count("v")).first()
+    shares = (1, 1) if r.w + r.p <= broadcast_bytes else tuple(min(segments, -(-2 * x // broadcast_bytes)) for x in (r.w, r.p))
+    return Plan(built, segments, *(max(1, x) for x in shares), r.total, r.v, (r.once + 0.5) / (r.total + 1))
+
+
+STATE = "doc_id long, text string, held_out boolean, levels binary, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _score_with(docs: DataFrame, model: Model, last: bool):
+    """One pass over rows of ``STATE``, and its broadcast.  ``levels`` has the
+    quantised count of every token whose word has had its pass; the last pass
+    leaves it and the text out."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    lo, hi = of
 
     def run(batches):
         m = held.value
         known: dict[bytes, int] = {}
-        shift, smooth = np.uint64(m.pairs.shift), m.n + 0.5 * (m.v + 1)
-        start_count = m.single.counts(word_key(np.array([END], np.uint64)))[0]  # as many starts as ends
+        smooth = m.n + 0.5 * (m.v + 1)
         for batch in steps(batches, limit=2 << 20):
             tokens, sizes = tokenise(texts(column(batch, "text")), known)
-            starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            distinct, back = np.unique(tokens, return_inverse=True)
-            keys = word_key(distinct)
-            if len(m.words):
-                at = np.minimum(np.searchsorted(m.words, keys), len(m.words) - 1)
-                exact = np.where(m.words[at] == keys, m.word_counts[at], 0)
-            else:
-                exact = np.zeros(len(distinct), np.int64)
-            quantised = np.minimum(m.single.counts(keys), m.n)
-            before = contexts(tokens, sizes)
-            in_context = np.empty(len(tokens))
-            in_context[1:] = quantised[back[:-1]]
-            in_context[starts] = start_count
-            pairs = pair_hash(before, tokens)
-            mine = np.ones(len(pairs), bool)
-            if m.shares > 1:
-                segment = (pairs >> shift).astype(np.int64)
-                mine = (segment >= lo) & (segment < hi)
-            seen = np.zeros(len(pairs))
-            keys, where = np.unique(pairs[mine], return_inverse=True)
-            seen[mine] = m.pairs.counts(keys)[where]
-            seen = np.minimum(seen, in_context)
-            p = ((quantised + 0.5) / smooth)[back]
-            known_context = in_context > 0
-            g = m.new_pairs
-            p[known_context] = (1 - g) * seen[known_context] / in_context[known_context] + g * p[known_context]
-            logs = np.where(mine, np.log10(p), 0.0)
-            base = np.log10((exact + 0.5) / smooth)[back]
-            yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "held_out"), pa.array(sizes), pa.array(np.add.reduceat((exact > 0).astype(np.int64)[back], starts)), pa.array(np.full(len(sizes), m.n)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)), column(batch, "row__")],
-                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "row__"],
-            )
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, row__ long"
-    return docs.mapInArrow(run, schema)
+            ends = np.cumsum(sizes)
+            starts = ends - sizes
+            carried = column(batch, "levels").to_pylist()
+            levels = np.concatenate([np.zeros(n, np.uint8) if x is None else np.frombuffer(x, np.uint8) for x, n in zip(carried, sizes.tolist(), strict=True)])
+            sums = {c: np.asarray(column(batch, c)) for c in ("n_known", "base_score", "score")}
+            if m.words:
+                distinct, back = np.unique(tokens, return_inverse=True)
+                keys = word_key(distinct)
+                mine = m.words.single.holds(keys)
+                exact = np.zeros(len(keys), np.int64)
+                if len(m.words.keys):
+                    at = np.minimum(np.searchsorted(m.words.keys, keys), len(m.words.keys) - 1)
+                    exact = np.where(m.words.keys[at] == keys, m.words.counts[at], 0).astype(np.int64)
+                found = np.zeros(len(keys), np.uint8)
+                found[mine] = m.words.single.levels(keys[mine])
+                levels = np.where(mine[back], found[back], levels)
+                sums["n_known"] = sums["n_known"] + np.add.reduceat((exact > 0).astype(np.int64)[back], starts)
+                sums["base_score"] = sums["base_score"] + np.add.reduceat(np.where(mine, np.log10((exact + 0.5) / smooth), 0.0)[back], starts)
+            if m.pairs:
+                count = np.minimum(_MIDDLE, m.n)[levels]
+                in_context = np.empty(len(tokens))
+                in_context[1:] = count[:-1]
+                in_context[starts] = count[ends - 1]  # as many starts as ends
+                keys, back = np.unique(pair_hash(contexts(tokens, sizes), tokens), return_inverse=True)
+                mine = m.pairs.holds(keys)
+                found = np.zeros(len(keys), np.uint8)
+                found[mine] = m.pairs.levels(keys[mine])
+                seen = np.minimum(_MIDDLE[found[back]], in_context)
+                p = (count + 0.5) / smooth
+                known_context = in_context > 0
+                p[known_context] = (1 - m.new_pairs) * seen[known_context] / in_context[known_context] + m.new_pairs * p[known_context]
+                sums["score"] = sums["score"] + np.add.reduceat(np.where(mine[back], np.log10(p), 0.0), starts)
+            out = {"doc_id": column(batch, "doc_id"), "held_out": column(batch, "held_out"), "n_tokens": sizes, "train_tokens": np.full(len(sizes), m.n), **sums}
+            if not last:
+                out |= {"text": column(batch, "text"), "levels": pa.array([levels[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())}
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in (out[c] for c in names)], names)
+
+    fields = [x for x in STATE.split(", ") if not last or x.split(" ")[0] not in ("text", "levels")]
+    names = [x.split(" ")[0] for x in fields]
+    return docs.mapInArrow(run, ", ".join(fields)), held
 
 
 def score(documents: DataFrame, folds: int = 5, held_fold: int = 1, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Scores of all documents by a model of those outside the held-out fold.
 
-    Words are counted by their 64-bit hash.  Where the filter is larger than a
-    broadcast may be, several passes each score the pairs of their share, and
-    the sums are added.
+    Words are counted by their 64-bit hash.  Where filter and counts are larger
+    than a broadcast may be, passes over the documents each add what their
+    share of the words, then of the pairs, says; the sums so far and a byte per
+    token are carried along in written tables, and no process holds more than
+    one share.
 
     Defined cases: null and empty texts are the end token alone; a null id
     counts as the empty text in the fold; repeated rows count and are scored
     each; an empty table gives no rows; without training rows every count is
-    0; columns other than ``doc_id`` and ``text`` are ignored.
+    0; a text of any length is scored whole; columns other than ``doc_id`` and
+    ``text`` are ignored.
     """
-    docs = documents.select("doc_id", "text").withColumn("held_out", crc_of_id("doc_id") % folds == held_fold)
-    passes = list(models(docs.where("not held_out"), broadcast_bytes))
-    if len(passes) == 1:
-        return _score_with(docs.withColumn("row__", F.lit(0).cast("long")), *passes[0]).drop("row__")
-    # rows of one id and text score alike, so a number among them tells them apart
-    docs = docs.withColumn("row__", F.xxhash64("text"))
-    parts = [_score_with(docs, *p) for p in passes]
-    union = parts[0].withColumn("pass__", F.lit(0))
-    for k, part in enumerate(parts[1:], 1):
-        union = union.unionByName(part.withColumn("pass__", F.lit(k)))
-    first = F.count_if(F.col("pass__") == 0)
-    same = ("doc_id", "row__", "held_out", "n_tokens", "n_known", "train_tokens")
-    summed = union.groupBy(*same).agg(F.max("base_score").alias("base_score"), (F.sum("score") / first).alias("score"), first.alias("times__"))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", F.explode(F.sequence(F.lit(1), "times__")).alias("t__")).drop("t__")
+    docs = only(documents, doc_id="doc_id", text="text").withColumn("held_out", crc_of_id("doc_id") % folds == held_fold)
+    plan = learn(docs.where("not held_out"), broadcast_bytes)
+    zero = lambda kind: F.lit(0).cast(kind)
+    state = docs.select("doc_id", "text", "held_out", F.lit(None).cast("binary").alias("levels"), zero("long").alias("n_tokens"), zero("long").alias("n_known"), zero("long").alias("train_tokens"), zero("double").alias("base_score"), zero("double").alias("score"))
+    passes = plan.passes()
+    for k, share in enumerate(passes, 1):
+        state, held = _score_with(state, plan.model(*share), k == len(passes))
+        if k < len(passes):
+            state = written(state)
+            held.destroy()
+    return state

@@ -208,6 +208,16 @@ def test_every_format_is_found_whole_embedded_and_not_when_cut():
         assert all(k != kind for k, _, _ in media.find_media(data[:-1])), kind
 
 
+def test_false_magics_take_one_scan():
+    import time
+
+    n = 1_000_000
+    for part in (b"%PDF-1 ", b"PK\x03\x04", b"GIF89a.......!", b"GIF89a\0\0\0\0\0\0\0,........\0.", b"OggS\0\0" + bytes(21), b"P5\n1 1\n", b"BM", b"\x1f\x8b\x08", b"RIFF....WAVE"):
+        began = time.time()
+        assert media.find_media(part * (n // len(part)) + b"x") is not None
+        assert time.time() - began < 15, part
+
+
 def test_declared_types(spark):
     png = samples()["image/png"]
     rows = [(1, png, "image/jpeg"), (2, png, "image/png"), (3, b"plain", "text/plain"), (4, b"plain", "image/gif"), (5, None, "image/gif"), (6, b"", None), (7, b"head" + png, None)]
@@ -316,9 +326,11 @@ def test_language_model_is_near_the_model_of_exact_counts(docs):
 def test_shares_of_the_filter_give_the_same_scores(docs, monkeypatch):
     monkeypatch.setattr(lm, "SEGMENT_NGRAMS", 2000)
     whole = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 6)) for r in lm.score(docs).collect())
-    parts = list(lm.models(docs, broadcast_bytes=1))
-    assert len(parts) > 2
-    shared = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 6)) for r in lm.score(docs, broadcast_bytes=1).collect())
+    plan = lm.learn(docs, broadcast_bytes=4000)
+    assert plan.word_shares > 2 and plan.pair_shares > 2
+    sizes = [(m.words.keys.nbytes + len(m.words.single.bits)) if m.words else len(m.pairs.bits) for m in (plan.model(*x) for x in plan.passes())]
+    assert max(sizes) < 12_000
+    shared = sorted((r.doc_id is not None, r.doc_id or 0, round(r.score, 6)) for r in lm.score(docs, broadcast_bytes=4000).collect())
     assert [x[:2] for x in shared] == [x[:2] for x in whole]
     assert [x[2] for x in shared] == pytest.approx([x[2] for x in whole], abs=1e-5)
 
@@ -327,11 +339,11 @@ def test_filter_never_counts_too_low():
     keys = lm._mixed(np.arange(1, 5001, dtype=np.uint64))
     counts = np.arange(1, 5001)
     bits = lm.build_segment(keys, counts)
-    f = lm.Filter.of(bits, {0: len(bits)}, 1)
-    got = f.counts(keys)
+    f = lm.Filter.of({0: bits.tobytes()}, 64, 0, 1)
+    got = lm._MIDDLE[f.levels(keys)]
     exact = lm._MIDDLE[lm.levels_of(counts)]
     assert (got >= exact).all() and (got == exact).mean() > 0.9
-    unseen = f.counts(lm._mixed(np.arange(10_000, 20_000, dtype=np.uint64)))
+    unseen = f.levels(lm._mixed(np.arange(10_000, 20_000, dtype=np.uint64)))
     assert (unseen > 0).mean() < 0.06
 
 
@@ -369,6 +381,68 @@ def test_toxicity_on_held_out_rows(spark):
     assert clean.columns == [*docs.columns, "score"] and abs(clean.count() - 320) <= 6
 
 
+def test_toxicity_scores_against_a_plain_model(spark):
+    """Dictionaries and loops over the same n-grams, ratios and steps."""
+    rows, labels = labelled(120)
+    rows = [*rows, rows[3], (None, "no id", None, None, None)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    c = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def grams(text):
+        s = f" {' '.join(text.lower().split())} "
+        out = set()
+        for n in toxicity.SIZES:
+            for i in range(len(s) - n + 1):
+                h = n
+                for k in range(n):
+                    h = ((h ^ ord(s[i + k])) * 0x01000193) % 2**32
+                h = ((h ^ h >> 15) * 0x9E3779B1) % 2**32
+                out.add(h >> 32 - toxicity.FEATURE_BITS)
+        return out
+
+    verdict = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    known = [(i, grams(t), verdict[i]) for i, t, *_ in rows if i in verdict]
+    clean, toxic = Counter(), Counter()
+    for _, g, t in known:
+        (toxic if t else clean).update(g)
+    n_toxic = sum(t for *_, t in known)
+    n_clean = len(known) - n_toxic
+    ratio = {f: math.log((toxic[f] + 1) / (n_toxic + 2)) - math.log((clean[f] + 1) / (n_clean + 2)) for f in {*clean, *toxic}}
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    once = sorted({i: (g, t) for i, g, t in known}.items(), key=lambda x: (hashes[x[0]], x[0]))
+    w, mean = defaultdict(float), defaultdict(float)
+    rate = (sum(t for _, (_, t) in once) + 1) / (len(once) + 2)
+    bias, mean_bias = math.log(rate / (1 - rate)), 0.0
+    for p in range(toxicity.PASSES):
+        for _, (g, t) in once:
+            z = bias + sum(w[f] * ratio[f] for f in g)
+            step = 2 / (1 + p) * (t - 1 / (1 + math.exp(-z))) / (1 + sum(ratio[f] ** 2 for f in g))
+            for f in g:
+                w[f] += step * ratio[f]
+            bias += step
+        if p:
+            for f in w:
+                mean[f] += w[f]
+            mean_bias += bias
+    want = {}
+    for i, t, *_ in rows:
+        z = (mean_bias + sum(mean[f] * ratio[f] for f in grams(t) if f in mean)) / (toxicity.PASSES - 1)
+        want[i] = 1 / (1 + math.exp(-z))
+    got = {r.doc_id: r.score for r in toxicity.score(docs, c).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_toxicity_of_very_long_texts_and_bounded_samples(spark, monkeypatch):
+    text = "The  quick brown Fox " * 400
+    short = set(toxicity.present(text).tolist())
+    monkeypatch.setattr(toxicity, "CHUNK", 100)
+    assert set(toxicity.present(text).tolist()) == short
+    rows, labels = labelled(120)
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.fit(docs, marks, most_features=3).weights.any() == np.False_
+    assert toxicity.fit(docs, marks, most_features=5000).weights.any()
+
+
 def test_toxicity_ignores_held_out_labels(spark):
     rows, labels = labelled(200)
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -433,11 +507,14 @@ def snapshots():
 
 def test_chat_keeps_maximal_conversations(spark):
     got = {(r.conv_id, r.segment): r for r in chat.render(spark.createDataFrame(snapshots(), CHAT).withColumn("block", F.lit("clash"))).collect()}
-    assert {k[0] for k in got} == {3, 5, 6, 7, 8, 9, 10, None}
+    assert set(got) == {(c, 0) for c in (3, 5, 6, 7, 8, 9, 10, None)}
     assert got[3, 0].n_turns == 6 and got[3, 0].n_copies == 2
     assert got[3, 0].rendered == "".join(f"<|{'user' if t % 2 == 0 else 'assistant'}|>\nline {t}\n" for t in range(6))
     assert got[9, 0].rendered == "<|assistant|>\nc\n<|user|>\na\n<|user|>\nb\n"
-    assert "".join(got[10, s].rendered for s in range(4)) == "".join(f"<|user|>\nfar {t}\n" for t in range(4))
+    assert got[10, 0].rendered == "".join(f"<|user|>\nfar {t}\n" for t in range(4))
+    cut = {r.segment: r for r in chat.render(spark.createDataFrame(snapshots(), CHAT), segment_turns=3).where("conv_id = 10").collect()}
+    assert {s: (r.n_turns, r.first_place) for s, r in cut.items()} == {0: (4, 1), 1: (4, 4)}
+    assert cut[0].rendered + cut[1].rendered == got[10, 0].rendered
     assert chat.render(spark.createDataFrame([], CHAT)).count() == 0
 
 

@@ -40,8 +40,9 @@ def short_id(*parts: Column) -> Column:
 
 
 def checksum(text: Column) -> Column:
-    """A content checksum; only its equality means anything."""
-    return F.lower(F.hex(F.xxhash64(F.coalesce(text, F.lit("")))))
+    """A content checksum of 16 hex digits; only its equality means anything.
+    Built-in, so it is XXH64 of the text with the engine's own seed, 42."""
+    return F.lpad(F.lower(F.hex(F.xxhash64(F.coalesce(text, F.lit(""))))), 16, "0")
 
 
 def normal_path(path: Column) -> Column:

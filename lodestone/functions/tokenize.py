@@ -6,9 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values: character classes and patterns ---
-HANGUL = r"가-힣ᄀ-ᇿ㄰-㆏"
-KANA = r"぀-ゟ゠-ヿ"
-CJK = r"一-鿿"
+HANGUL = "\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f"
+KANA = "\u3040-\u309f\u30a0-\u30ff"
+CJK = "\u4e00-\u9fff"
 WORD_PATTERN = rf"([a-zA-Z0-9_\-]+|[{HANGUL}]+|[{KANA}]+|[{CJK}]+)"
 CAMEL_PATTERN = r"([a-z]+|[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z][a-z]+|[0-9]+)"
 # --- end of fixed values ---

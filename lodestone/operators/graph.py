@@ -19,9 +19,11 @@ EDGE = ("source_id", "target_id", "relation_type")
 
 
 def with_reverse(edges: DataFrame) -> DataFrame:
-    """The edges and the opposite of each forward one, each once."""
-    back = edges.where(F.upper("relation_type").isin(*REVERSE_RELATION)).select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), reverse_relation(F.col("relation_type")).alias("relation_type"))
-    return edges.select(*EDGE).unionByName(back).dropDuplicates(list(EDGE))
+    """The edges and the opposite of each forward one, each once; the edges
+    are read once."""
+    back = F.when(F.upper("relation_type").isin(*REVERSE_RELATION), F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), reverse_relation(F.col("relation_type")).alias("relation_type")))
+    both = F.filter(F.array(F.struct(*EDGE), back), lambda e: e.isNotNull())
+    return edges.select(F.explode(both).alias("e")).select("e.*").dropDuplicates(list(EDGE))
 
 
 def contains_edges(objects: DataFrame) -> DataFrame:
@@ -101,5 +103,8 @@ def resolve_imports(imports: DataFrame, objects: DataFrame) -> DataFrame:
 def resolve_calls(calls: DataFrame, objects: DataFrame) -> DataFrame:
     """CALLS edges by name within the project: the first object, in order, of
     the called name other than the caller.  ``calls``: source_id, name."""
-    pairs = calls.select("source_id", "name").distinct().join(objects.select("name", "id", "ordinal"), "name").where("id <> source_id")
+    # the caller itself is one object, so the first two of a name are enough
+    order = Window.partitionBy("name").orderBy("ordinal")
+    two = objects.select("name", "id", "ordinal").withColumn("n", F.row_number().over(order)).where("n <= 2")
+    pairs = calls.select("source_id", "name").distinct().join(two, "name").where("id <> source_id")
     return pairs.groupBy("source_id", "name").agg(F.min_by("id", "ordinal").alias("target_id")).select("source_id", "target_id", F.lit("CALLS").alias("relation_type"))

@@ -15,9 +15,13 @@ CODE_FIELDS = {"name": 15.0, "qualified_name": 12.0, "signature": 10.0, "docstri
 DOCUMENT_FIELDS = {"name": 5.0, "content": 5.0, "file_path": 2.0}
 # --- end of fixed values ---
 
+#: Up to so many tokens of queries, rows without stored postings are searched for these tokens alone.
+FEW_TOKENS = 200
 
-def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH) -> DataFrame:
-    """``id, token_hash, weight`` of every row and token.
+
+def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH, wanted: list[str] | None = None) -> DataFrame:
+    """``id, token_hash, weight`` of every row and token, or of those tokens
+    that are ``wanted``: then only they are exploded, hashed and shuffled.
 
     Tokens are counted per field; each count is saturated against the length
     of the whole row, weighted, and summed.  One pass: a row's fields are
@@ -25,7 +29,10 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float =
     """
     held = F.array(*[F.struct(F.lit(w).alias("boost"), tokens(F.col(f)).alias("tokens")) for f, w in fields.items()])
     sized = rows.select(F.col(key).alias("id"), held.alias("fields")).withColumn("length", F.greatest(F.lit(1), F.aggregate("fields", F.lit(0), lambda s, f: s + F.size(f["tokens"]))))
-    spread = sized.select("id", "length", F.posexplode("fields").alias("field", "f")).select("id", "length", "field", "f.boost", F.explode("f.tokens").alias("token"))
+    each = F.col("f.tokens")
+    if wanted is not None:
+        each = F.filter(each, lambda t: t.isin(wanted)) if wanted else F.slice(each, 1, 0)
+    spread = sized.select("id", "length", F.posexplode("fields").alias("field", "f")).select("id", "length", "field", "f.boost", F.explode(each).alias("token"))
     counted = spread.groupBy("id", "length", "field", "boost", "token").agg(F.count("*").alias("tf"))
     saturated = F.col("boost") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     return counted.groupBy("id", token_hash(F.col("token")).alias("token_hash")).agg(F.sum(saturated).alias("weight"))
@@ -44,6 +51,12 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     return spread.groupBy("query_id", token_hash(F.col("token")).alias("token_hash")).agg(F.count("*").alias("qtf"))
 
 
+def wanted_tokens(queries: DataFrame, text: str) -> list[str] | None:
+    """The queries' distinct tokens, if they are at most ``FEW_TOKENS``."""
+    found = queries.select(F.explode(tokens(F.col(text))).alias("t")).distinct().limit(FEW_TOKENS + 1).collect()
+    return sorted(r.t for r in found) if len(found) <= FEW_TOKENS else None
+
+
 def keyword_scores(posted: DataFrame, terms: DataFrame, total: int) -> DataFrame:
     """``query_id, id, score``: the sum of qtf, weight and idf over shared tokens.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import tokens
-from ..functions.vector import cosine, finite
+from ..functions.vector import dot, finite, normalised
 
 # --- fixed values: boosts and fusion constants ---
 TYPE_BOOST = {"class": 0.12, "method": 0.10, "function": 0.10, "enum": 0.08, "interface": 0.06}
@@ -14,24 +14,29 @@ RRF_K = 60
 DENSE_SHARE, SPARSE_SHARE = 7.0, 3.0
 # --- end of fixed values ---
 
-#: Query vectors that are broadcast at most.
-MOST_QUERIES = 100_000
+#: Query vectors that are broadcast together, about; more go in slices.
+SLICE_QUERIES = 100_000
 
 
 def nearest(rows: DataFrame, key: str, vector: str, queries: DataFrame, k: int, query_key: str = "query_id") -> DataFrame:
     """``query_id, id, score, rank``: the ``k`` rows nearest to each query by
     cosine, ties by id; vectors with NaN or infinities are left out.
 
-    The queries, a stated set whose number is checked, are broadcast as one
-    array, so that each row meets them in its own task; only the rows' best
-    are shuffled: each task keeps ``k`` per query before the final rank.
+    The queries, a stated set, are broadcast, so that each row meets them in its
+    own task; beyond ``SLICE_QUERIES`` of them, a slice after the other, by a
+    hash of their id.  Vectors are scaled to length one before they meet.  Only
+    the rows' best are shuffled: each task keeps ``k`` per query before the
+    final rank.
     """
-    n = queries.count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"{n} queries; at most {MOST_QUERIES} at a time")
-    held = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("qv")).where(finite(F.col("qv")))
-    pairs = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(finite(F.col("v"))).join(F.broadcast(held)).select("query_id", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
-    return top_k(pairs, k, ["query_id"])
+    slices = -(-queries.count() // SLICE_QUERIES)
+    held = queries.select(F.col(query_key).alias("query_id"), F.col(vector).alias("qv")).where(finite(F.col("qv"))).withColumn("qv", normalised(F.col("qv")))
+    scaled = rows.select(F.col(key).alias("id"), F.col(vector).alias("v")).where(finite(F.col("v"))).withColumn("v", normalised(F.col("v")))
+    found = None
+    for k_ in range(max(1, slices)):
+        some = held.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == k_) if slices > 1 else held
+        best = top_k(scaled.join(F.broadcast(some)).select("query_id", "id", dot(F.col("v"), F.col("qv")).alias("score")), k, ["query_id"])
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def top_k(scored: DataFrame, k: int, by: list[str]) -> DataFrame:

@@ -53,7 +53,9 @@ def search(rows: DataFrame, queries: DataFrame, fields: dict[str, float], option
         held = held.where(F.col("file_path") == options.file)
     dense = ranking.nearest(held, "id", "embedding", queries, dense_k)
     if posted is None:
-        posted = keyword.postings(held, "id", fields)
+        posted = keyword.postings(held, "id", fields, wanted=keyword.wanted_tokens(queries, "text"))
+    elif held is not rows:
+        posted = posted.join(held.select("id"), "id", "left_semi")
     scored = keyword.keyword_scores(posted, keyword.query_terms(queries, "query_id", "text"), total if total is not None else held.count())
     sparse = ranking.top_k(scored, sparse_k, ["query_id"])
     fused = ranking.fuse_ranks([dense, sparse]) if options.fusion == "rrf" else ranking.fuse_distributions([dense, sparse])

@@ -76,7 +76,9 @@ FIELDS = {"source": 5.0, "text": 5.0}
 
 def _sparse(spark, sf_dir) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return keyword.keyword_scores(keyword.postings(docs, "doc_id", FIELDS), keyword.query_terms(_one(spark, SEARCH_TEXT), "query_id", "text"), docs.count())
+    asked = _one(spark, SEARCH_TEXT)
+    posted = keyword.postings(docs, "doc_id", FIELDS, wanted=keyword.wanted_tokens(asked, "text"))
+    return keyword.keyword_scores(posted, keyword.query_terms(asked, "query_id", "text"), docs.count())
 
 
 # --- keyword search (X1-X4, A1-A5, J16, L1) ---

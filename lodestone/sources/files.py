@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,16 +75,31 @@ def scan(spark: SparkSession, root: str, ignores: list[str] | tuple[str, ...] =
     """``file_path`` (relative), ``kind``, ``language``, ``size``, ``content``
     of all files that are supported, not ignored and not too large.
 
-    Paths and sizes are filtered before any content is read."""
+    Paths and sizes are listed and filtered first, without content; only the
+    files that are left are read.  A file that is not UTF-8 has a replacement
+    character for each byte that is not."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].lstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^" + re.escape(base) + "/", "")
-    rows = files.select(relative.alias("file_path"), F.col("length").alias("size"), "content")
+    rows = files.select("path", relative.alias("file_path"), F.col("length").alias("size"))
     rows = rows.where(F.col("size") <= int(max_mb * (1 << 20))).where(~ignored(F.col("file_path"), [*DEFAULT_IGNORES, *ignores]))
     rows = rows.withColumn("kind", file_kind(F.col("file_path"))).where("kind is not null").withColumn("language", language_of(F.col("file_path")))
     if languages:
         rows = rows.where((F.col("kind") != "code") | F.col("language").isin(*languages))
-    return rows.select("file_path", "kind", "language", "size", F.decode("content", "UTF-8").alias("content"))
+    # the reader has no filter on paths, so that tasks read the files left by the store's own interface
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches):
+        for batch in batches:
+            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+            for i, path in enumerate(paths):
+                store, place = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with store.open_input_stream(place) as data:
+                    text = data.read().decode("utf-8", "replace")
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*[one.column(one.schema.get_field_index(c)) for c in ("file_path", "kind", "language", "size")], pa.array([text])], ["file_path", "kind", "language", "size", "content"])
+
+    return rows.repartition(n, "path").mapInArrow(read, "file_path string, kind string, language string, size long, content string")
 
 
 def statistics(files: DataFrame) -> DataFrame:

@@ -134,6 +134,23 @@ def test_extraction_and_relationships(spark):
     assert {r.target_id for r in graph.resolve_imports(wanted, stock).collect()} == {"stock-id"}
 
 
+def test_scan_of_a_file_in_another_encoding(spark, tmp_path):
+    (tmp_path / "a.py").write_bytes("x = 'caf\u00e9'\n".encode("latin-1"))
+    (tmp_path / "b.py").write_text("y = 1\n")
+    got = {r.file_path: r.content for r in files.scan(spark, str(tmp_path)).collect()}
+    assert got == {"a.py": "x = 'caf\ufffd'\n", "b.py": "y = 1\n"}
+
+
+def test_many_queries_go_in_slices(spark, monkeypatch):
+    from lodestone.operators import ranking
+
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    asked = rows.selectExpr("vec_id AS query_id", "embedding")
+    whole = sorted(map(tuple, ranking.nearest(rows, "vec_id", "embedding", asked, 3).collect()))
+    monkeypatch.setattr(ranking, "SLICE_QUERIES", 9)
+    assert sorted(map(tuple, ranking.nearest(rows, "vec_id", "embedding", asked, 3).collect())) == whole and len(whole) == 180
+
+
 def test_scan(spark, tmp_path):
     for name, body in {"a/x.py": "x = 1", "a/build/y.py": "y", "docs/r.md": "# r", "conf/c.yml": "a: 1", "keep.log.py": "z", "skip/me.py": "m", "skip/not.py": "n", "image.bin": "b", "pom.xml": "<a/>", "a/big.py": "b" * 3000}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

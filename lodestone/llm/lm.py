@@ -36,8 +36,8 @@ BITS_PER_ENTRY = 8
 BROADCAST_BYTES = 256 << 20
 #: N-grams that should be in a segment.
 SEGMENT_NGRAMS = 200_000
-#: N-grams of either kind that a task adds up before it sends them on.
-TASK_NGRAMS = 1 << 20
+#: N-grams of either kind that a task holds before it adds them up and sends them on.
+TASK_NGRAMS = 1 << 21
 
 END, START = xxhash.xxh64_intdigest(b"\x00end"), xxhash.xxh64_intdigest(b"\x00start")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -193,7 +193,7 @@ def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
     """Rows (segment, kind, hash, n): kind 1 for words' keys, 2 for pairs.
-    Tasks add up what they hold, up to ``TASK_NGRAMS``, before the shuffle."""
+    Tasks add up what they hold, about ``TASK_NGRAMS``, before the shuffle."""
     shift = 64 - (segments.bit_length() - 1)
 
     def rows(kind, h, n):
@@ -201,22 +201,24 @@ def count_ngrams(training: DataFrame, segments: int) -> DataFrame:
 
     def run(batches):
         known: dict[bytes, int] = {}
-        held = {1: ([], []), 2: ([], [])}
-        for batch in steps(batches, limit=8 << 20):
+        words: tuple[list, list] = ([], [])
+        pairs: list[np.ndarray] = []
+        for batch in steps(batches, limit=4 << 20):
             tokens, sizes = tokenise(texts(column(batch, "text")), known)
-            for kind, hashes in ((1, word_key(tokens)), (2, pair_hash(contexts(tokens, sizes), tokens))):
-                h, n = np.unique(hashes, return_counts=True)
-                held[kind][0].append(h)
-                held[kind][1].append(n.astype(np.int64))
-                if sum(map(len, held[kind][0])) > 2 * TASK_NGRAMS:
-                    h, n = _summed(*held[kind])
-                    held[kind] = ([h], [n])
-                    if len(h) > TASK_NGRAMS:
-                        held[kind] = ([], [])
-                        yield rows(kind, h, n)
-        for kind, parts in held.items():
-            if parts[0]:
-                yield rows(kind, *_summed(*parts))
+            h, n = np.unique(word_key(tokens), return_counts=True)
+            words[0].append(h)
+            words[1].append(n.astype(np.int64))
+            if sum(map(len, words[0])) > TASK_NGRAMS:
+                yield rows(1, *_summed(*words))
+                words = ([], [])
+            pairs.append(pair_hash(contexts(tokens, sizes), tokens))
+            if sum(map(len, pairs)) > TASK_NGRAMS:
+                yield rows(2, *np.unique(np.concatenate(pairs), return_counts=True))
+                pairs = []
+        if words[0]:
+            yield rows(1, *_summed(*words))
+        if pairs:
+            yield rows(2, *np.unique(np.concatenate(pairs), return_counts=True))
 
     return training.select("text").mapInArrow(run, "segment int, kind byte, hash long, n long")
 

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 #: Text bytes that one step inside a task handles at a time.
 STEP_BYTES = 4 << 20
 
+#: Bytes, at most, of the rows that the JVM hands to Python workers at a time,
+#: or one row; Spark's own bound is 64 MB, which both sides hold several times.
+BATCH_BYTES = 8 << 20
+
 #: The six ASCII white-space characters between words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
@@ -70,6 +74,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session from now on exchanges at most ``BATCH_BYTES`` (or
+    less, where it is set so) with Python at a time."""
+    name, spark = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession
+    held = spark.conf.get(name)
+    bound = re.fullmatch(r"(\d+)b?", held)
+    if not bound or not 0 < int(bound[1]) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], counts: DataFrame, n: str, total: int) -> DataFrame:
     """``rows`` joined to ``unique``, which has one row per key, neither with
     null keys.  ``counts`` has the number ``n`` of each key's rows.
@@ -89,7 +104,7 @@ def join_unique(rows: DataFrame, unique: DataFrame, keys: list[str], counts: Dat
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns, under the names the operator uses, whatever
     else ``df`` holds."""
-    return df.select(*[df[old].alias(new) for new, old in columns.items()])
+    return small_batches(df).select(*[df[old].alias(new) for new, old in columns.items()])
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -19,8 +19,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, steps, texts
+from .common import column, small_batches, steps, texts
 
+#: Words whose hashes a task remembers at a time.
+KNOWN_WORDS = 1 << 17
 BUCKETS = 1 << 16
 #: Standard deviations below the trusted mean at which a document fails.
 DEVIATIONS = 4.0
@@ -83,7 +85,7 @@ def ngram_buckets(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     for w in words:
         h = known.get(w)
         if h is None:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             h = known[w] = xxhash.xxh64_intdigest(w) >> 1
         hashes.append(h)
@@ -191,7 +193,7 @@ def judge(documents: DataFrame, rule: Ratio) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, score double"
-    return documents.select("doc_id", "text").mapInArrow(run, schema)
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, schema)
 
 
 def kept(documents: DataFrame, rule: Ratio) -> DataFrame:
@@ -206,4 +208,4 @@ def kept(documents: DataFrame, rule: Ratio) -> DataFrame:
                 mask.append(len(words) >= 50 and not base_counts(text, words).failed and rule.passes(rule.score(ngram_buckets(words, known))))
             yield batch.filter(pa.array(mask, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, crc_of_id, steps, texts, written
+from .common import column, crc_of_id, small_batches, steps, texts, written
 
 SIZES = (4, 5, 6)
 FEATURE_BITS = 20
@@ -85,7 +85,7 @@ def _labelled(documents: DataFrame, labels: DataFrame, held: tuple[int, int]) ->
     held-out fold.  Rows of an id with both labels count as toxic."""
     own = labels.where("doc_id is not null and toxic is not null").where(crc_of_id("doc_id") % held[0] != held[1]).groupBy(F.col("doc_id").alias("label_id__")).agg(F.max("toxic").cast("int").alias("toxic"))
     few = own.count() <= BROADCAST_IDS
-    docs = documents.select("doc_id", "text")
+    docs = small_batches(documents).select("doc_id", "text")
     return docs.join(F.broadcast(own) if few else own, docs["doc_id"] == own["label_id__"]).drop("label_id__")
 
 
@@ -184,7 +184,7 @@ def score(documents: DataFrame, classifier: Classifier, threshold: float = 0.3)
             s = np.array([classifier.score(t) for t in texts(column(batch, "text"))])
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return small_batches(documents).select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
 
 
 def clean(documents: DataFrame, classifier: Classifier, threshold: float = 0.3) -> DataFrame:
@@ -197,4 +197,4 @@ def clean(documents: DataFrame, classifier: Classifier, threshold: float = 0.3)
         for batch in steps(batches):
             yield batch.filter(pa.array([classifier.score(t) < threshold for t in texts(column(batch, "text"))], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return small_batches(documents).mapInArrow(run, documents.schema)

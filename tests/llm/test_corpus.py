@@ -141,10 +141,12 @@ def edited_texts(seed=11):
     return [*out, *out[:5], None, "", "one two", "One  two"]
 
 
-def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_keys", [0, nearcopies.BROADCAST_KEYS])
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch, broadcast_keys):
     import corpus_pipeline
 
     monkeypatch.setattr(nearcopies, "CELL", 8)
+    monkeypatch.setattr(nearcopies, "BROADCAST_KEYS", broadcast_keys)
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(edited_texts())]
     sets = []
     for _, t, *_ in rows:

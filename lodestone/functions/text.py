@@ -22,6 +22,9 @@ TRANSLATION_CODE = {
 }
 ENV_PATTERNS = (r"\$\{([A-Z_][A-Z0-9_]*)\}", r"\$([A-Z_][A-Z0-9_]*)", r"%([A-Z_][A-Z0-9_]*)%")
 CODE_PATH_PATTERN = r"([\w/.\-]+\.(?:py|kt|java|ts|js|tsx|jsx))\b"
+CONFIG_CLASS = r"([a-z][a-z0-9_]*\.)+[A-Z][a-zA-Z0-9_]*"
+CONFIG_FILE = r"['\"]([^'\"]*\.(?:py|js|ts|java|kt|go|rs|cpp|c|h|sh))['\"]"
+CONFIG_URL = r"https?://[^\s\"']+(?:\.git|/blob/|/tree/)"
 # --- end of fixed values ---
 
 
@@ -174,3 +177,18 @@ def with_instruction(kind: Column, text: Column, instructions: dict[str, str]) -
 def describe(kind: Column, name: Column, language: Column) -> Column:
     """One sentence on a code object."""
     return F.concat_ws(" ", F.initcap(kind), name, F.lit("in"), F.initcap(language))
+
+
+def line_of_offset(content: Column, offset: Column) -> Column:
+    """The line, from 1, of a byte offset into the text's UTF-8."""
+    before = F.decode(F.substring(F.encode(F.coalesce(content, F.lit("")), "UTF-8"), F.lit(1), offset.cast("int")), "ISO-8859-1")
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def config_references(text: Column) -> Column:
+    """What a config file names: qualified classes, quoted paths of code files
+    and addresses in code repositories, an array of (name, type)."""
+    kinds = {"class_reference": (CONFIG_CLASS, 0), "file_reference": (CONFIG_FILE, 1), "repository_url": (CONFIG_URL, 0)}
+    mark = lambda kind: lambda x: F.struct(x.alias("name"), F.lit(kind).alias("type"))
+    found = [F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(group)), mark(kind)) for kind, (p, group) in kinds.items()]
+    return F.concat(*found)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 SECTION_TOKENS, SECTION_DEPTH = 512, 4
+SECTION_HEADER = r"^(#{2,6})\s+(.+)$"
 # --- end of fixed values ---
 
 
@@ -82,6 +83,26 @@ def recursive_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SI
     return split.select(key, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select(key, "chunk_index", "total_chunks", "content")
 
 
+def hybrid_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """``key, section, level, title, part, content``: the sections of Markdown,
+    those longer than ``size`` cut further by ``recursive_chunks``."""
+    sections = markdown_sections(texts, key, text).select(F.struct(F.col(key), "section", "level", "title").alias("k"), "content")
+    return recursive_chunks(sections, "k", "content", size, overlap).select("k.*", F.col("chunk_index").alias("part"), "content")
+
+
+def header_sections(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, depth, title, start_line, end_line, content``: the text from each
+    header of level two to six to the next; what stands before the first is
+    left out.  Lines count from 1."""
+    lines = texts.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    head = F.rlike("line", F.lit(SECTION_HEADER))
+    parts = lines.withColumn("part", F.sum(head.cast("int")).over(Window.partitionBy(key).orderBy("n"))).where("part > 0")
+    title = F.trim(F.regexp_extract("line", SECTION_HEADER, 2))
+    ordered = F.array_sort(F.collect_list(F.struct("n", "line")))
+    grouped = parts.groupBy(key, "part").agg(F.min_by(F.length(F.regexp_extract("line", SECTION_HEADER, 1)), "n").alias("depth"), F.min_by(title, "n").alias("title"), F.min("n").alias("start_line"), F.max("n").alias("end_line"), ordered.alias("lines"))
+    return grouped.select(key, "depth", "title", "start_line", "end_line", F.array_join("lines.line", "\n").alias("content"))
+
+
 def properties_sections(files: DataFrame, key: str, text: str) -> DataFrame:
     """The entries of .properties files grouped by their prefix before the
     first full stop: ``key, prefix, n_keys, keys, content``."""

@@ -416,3 +416,111 @@ def recursive_chunks(spark, sf_dir):
 @query("SELECT DISTINCT lang, CASE lang WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' ELSE 'eng_Latn' END AS code FROM documents")
 def translation_codes(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("lang", T.translation_code(F.col("lang")).alias("code")).distinct()
+
+
+# --- Markdown headers, config references, offsets (C3, C5, X24, X39) ---
+
+
+@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+parts AS (SELECT *, sum(regexp_matches(line, '^(#{2,6})\s+(.+)$')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM lines)
+SELECT doc_id, length(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 1)) AS depth, trim(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 2)) AS title, min(n) AS start_line, max(n) AS end_line,
+ md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM parts WHERE part > 0 GROUP BY doc_id, part""")
+def header_sections(spark, sf_dir):
+    found = chunk.header_sections(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.col("depth").cast("long").alias("depth"), "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def hybrid_chunks(spark, sf_dir):
+    """Tested against the sections put together again: SQL has no recursion
+    over separators."""
+    return chunk.hybrid_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-z][a-z0-9_]*\.)+[A-Z][a-zA-Z0-9_]*')) AS name, 'class_reference' AS type FROM pages
+UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '[''"]([^''"]*\.(?:py|js|ts|java|kt|go|rs|cpp|c|h|sh))[''"]', 1)), 'file_reference' FROM pages
+UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s"'']+(?:\.git|/blob/|/tree/)')), 'repository_url' FROM pages)
+SELECT page_id, type, name, count(*) AS n FROM r GROUP BY ALL""")
+def config_references(spark, sf_dir):
+    refs = _read(spark, sf_dir, "pages").select("page_id", F.explode(T.config_references(F.col("html"))).alias("r")).select("page_id", "r.*")
+    return refs.groupBy("page_id", "type", "name").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, 1 + len(list_filter(range(1, least(octet_length(encode(text)), n_chars // 2) + 1), lambda i: substr(hex(encode(text)), 2 * i - 1, 2) = '0A')) AS line
+FROM documents""")
+def line_offsets(spark, sf_dir):
+    """The line of the byte at half of each document's length."""
+    return _read(spark, sf_dir, "documents").select("doc_id", T.line_of_offset(F.col("text"), F.floor(F.col("n_chars") / 2)).cast("long").alias("line"))
+
+
+# --- fetches, projects, checks, state (S11, S21, J19, J20, J22, F13) ---
+
+
+@query("""WITH wanted AS (SELECT DISTINCT l_partkey AS id FROM lineitem), code AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size > 25), docs AS (SELECT s_suppkey AS id, s_name AS name FROM supplier)
+SELECT id, name, 'code' AS result_type FROM code WHERE id IN (FROM wanted) UNION ALL SELECT id, name, 'document' FROM docs WHERE id IN (FROM wanted) AND id NOT IN (SELECT id FROM code)""")
+def entity_fetch(spark, sf_dir):
+    code = _read(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    docs = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return tables.fetch(_read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")), code, docs)
+
+
+@query("SELECT DISTINCT url AS file_path FROM pages WHERE url IS NOT NULL")
+def indexed_files(spark, sf_dir):
+    return tables.indexed_files(_read(spark, sf_dir, "pages").withColumnRenamed("url", "file_path"))
+
+
+@query("""WITH q AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE 'p' || p_partkey END AS query FROM part),
+p AS (SELECT 'p' || p_partkey AS project_id, p_brand AS name, p_size::BIGINT AS n, p_retailprice AS last FROM part),
+m AS (SELECT query, project_id, 0 AS by_name, n, last FROM q JOIN p ON query = project_id UNION ALL SELECT query, project_id, 1, n, last FROM q JOIN p ON lower(query) = lower(name))
+SELECT query, project_id FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY by_name, n DESC, last DESC, project_id DESC) = 1""")
+def project_resolution(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    by_id = F.concat(F.lit("p"), "p_partkey")
+    asked = part.select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(by_id).alias("query"))
+    return tables.resolve(asked, part.select(by_id.alias("project_id"), F.col("p_brand").alias("name"), F.col("p_size").cast("long").alias("total_objects"), F.col("p_retailprice").alias("last_indexed")))
+
+
+@query("""SELECT coalesce(c_custkey, o_custkey) AS project_id, coalesce(c_name, coalesce(c_custkey, o_custkey)::VARCHAR) AS name, coalesce(n, 0) AS total_objects
+FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def registry_enrichment(spark, sf_dir):
+    registry = _read(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("name"))
+    states = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("project_id")).agg(F.count("*").alias("total_objects"))
+    return tables.enrich(registry, states)
+
+
+@query("""SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_returnflag = 'R' THEN 'checksum' END, CASE WHEN l_linenumber - 1 < 1 THEN 'start_line' END, CASE WHEN l_quantity < l_linenumber - 1 THEN 'end_line' END) AS problems
+FROM lineitem WHERE l_returnflag = 'R' OR l_linenumber < 2 OR l_quantity < l_linenumber - 1""")
+def invalid_rows(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").withColumns({"id": F.col("l_orderkey").cast("string"), "checksum": F.when(F.col("l_returnflag") != "R", "c"), "start_line": F.col("l_linenumber") - 1, "end_line": F.col("l_quantity")})
+    return tables.invalid_rows(rows).select("l_orderkey", "l_linenumber", F.array_join("problems", ",").alias("problems"))
+
+
+@query("SELECT c_custkey::VARCHAR AS key, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS value FROM customer")
+def stored_state(spark, sf_dir):
+    """State written twice, the second time over a part of it, and read."""
+    rows = _read(spark, sf_dir, "customer").withColumn("key", F.col("c_custkey").cast("string"))
+    first = tables.set_state(rows.where("false").select("key", F.col("c_name").alias("value")), rows.where("c_custkey % 3 = 0").withColumn("value", F.col("c_mktsegment")))
+    return tables.get_state(tables.set_state(first, rows.where("c_custkey % 4 = 0").withColumn("value", F.col("c_name"))), rows)
+
+
+# --- relevance against expected results (A20, J23) ---
+
+_EXPECTED = """truth AS (SELECT source AS query_id, CASE doc_id % 4 WHEN 0 THEN 'implementation' WHEN 1 THEN 'domain_model' WHEN 2 THEN 'documentation' ELSE 'context' END AS category,
+ CASE WHEN quality = 1 THEN 'H1' ELSE 'H2' END AS priority, lang AS path, 'x::' || (doc_id % 50) AS symbol FROM documents JOIN labels USING (doc_id)),
+results AS (SELECT DISTINCT source AS query_id, 'src/' || lang AS file_path, 'n' || (doc_id % 70) AS name FROM documents WHERE doc_id % 3 = 0),
+near AS (SELECT * FROM results JOIN truth USING (query_id) WHERE contains(file_path, path)),
+seen AS (SELECT query_id, max(category = 'implementation' AND contains(name, substr(symbol, 4))) AS i, max((category = 'domain_model' AND contains(name, symbol)) OR category = 'documentation') AS d,
+ max(category = 'context') AS c, count(DISTINCT symbol) FILTER (priority = 'H1' AND contains(name, substr(symbol, 4))) AS hits FROM near GROUP BY 1),
+symbols AS (SELECT query_id, count(*) FILTER (priority = 'H1') AS n FROM truth GROUP BY 1),
+scored AS (SELECT query_id, coalesce(i, false)::BIGINT + coalesce(d, false)::BIGINT + coalesce(c OR i OR d, false)::BIGINT AS coverage, CASE WHEN n > 0 THEN coalesce(hits, 0) / n ELSE 0 END AS precision
+ FROM (SELECT DISTINCT query_id FROM results) LEFT JOIN seen USING (query_id) LEFT JOIN symbols USING (query_id))"""
+
+
+@query(f"WITH {_EXPECTED} SELECT query_id, coverage, round(precision, 6) AS precision, coverage >= 2 AND precision >= 0.3 AS passes FROM scored")
+def relevance_gate(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    kinds = F.element_at(F.array(*map(F.lit, ("implementation", "domain_model", "documentation", "context"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    truth = docs.join(_read(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("source").alias("query_id"), kinds.alias("category"), F.when(F.col("quality") == 1, "H1").otherwise("H2").alias("priority"), F.col("lang").alias("path"), F.concat(F.lit("x::"), (F.col("doc_id") % 50).cast("string")).alias("symbol"))
+    results = docs.where("doc_id % 3 = 0").select(F.col("source").alias("query_id"), F.concat(F.lit("src/"), "lang").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 70).cast("string")).alias("name")).distinct()
+    return tables.relevance(truth, results).withColumn("precision", F.round("precision", 6))

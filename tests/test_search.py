@@ -203,3 +203,16 @@ def test_edges_attach(spark):
     edges = spark.createDataFrame([("a", "b", "CALLS")], "source_id string, target_id string, relation_type string")
     got = {r.id: (r.outgoing, r.incoming) for r in tables.attach_edges(objects, edges).collect()}
     assert got["a"][0][0].target_id == "b" and got["b"][1][0].source_id == "a" and got["z"] == (None, None)
+
+
+def test_hybrid_chunks_hold_all_sections(spark):
+    docs = spark.createDataFrame([(1, "intro\n# A\nshort\n## B\n" + "word " * 60), (2, None), (3, " ")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.section, r.part, r.title, r.content) for r in chunk.hybrid_chunks(docs, "doc_id", "text", 100, 20).collect())
+    assert [(s, p, t) for _, s, p, t, _ in got[:2]] == [(0, 0, None), (1, 0, "A")] and {s for _, s, *_ in got} == {0, 1, 2}
+    assert len(got) > 5 and all(len(c) <= 100 for *_, c in got)
+
+
+def test_lines_of_offsets_and_state(spark):
+    assert [one(spark, "é\nb\n", lambda c, n=n: T.line_of_offset(c, F.lit(n))) for n in (0, 2, 3, 5, 99)] == [1, 1, 2, 3, 3]
+    state = tables.set_state(spark.createDataFrame([], "key string, value string"), spark.createDataFrame([("a", "é")], "key string, value string"))
+    assert state.first().value == "w6k=" and {(r.key, r.value) for r in tables.get_state(state, spark.createDataFrame([("a",), ("b",)], "key string")).collect()} == {("a", "é"), ("b", None)}

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
 SECTION_TOKENS, SECTION_DEPTH = 512, 4
+LEAST_TOKENS, MOST_TOKENS, HEADING_CHUNK = 100, 1024, 1500
 SECTION_HEADER = r"^(#{2,6})\s+(.+)$"
 # --- end of fixed values ---
 
@@ -103,6 +106,65 @@ def header_sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     return grouped.select(key, "depth", "title", "start_line", "end_line", F.array_join("lines.line", "\n").alias("content"))
 
 
+def groups_of_small(lengths: list[int], least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> list[int]:
+    """A group number for each chunk of these lengths in characters: small
+    ones gather until together they are no longer small, or until one that
+    is large comes; small ones at the end join the group before, if the whole
+    stays below ``most``."""
+    groups, n, held = [], 0, 0  # held: tokens of the open group
+    for length in lengths:
+        size = length // 4
+        if size >= least and groups and groups[-1] == n:
+            n, held = n + 1, 0
+        groups.append(n)
+        held += size
+        if held >= least or size >= least:
+            n, held = n + 1, 0
+    tail = [length for length, g in zip(lengths, groups, strict=True) if g == n]
+    last = [length for length, g in zip(lengths, groups, strict=True) if g == n - 1]
+    joined = (sum(last) + 2 * (len(last) - 1)) // 4
+    if tail and last and joined + sum(length // 4 for length in tail) < most:
+        groups = [min(g, n - 1) for g in groups]
+    return groups
+
+
+def merge_small(chunks: DataFrame, key: str, least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> DataFrame:
+    """``key, chunk_index, path, keys, merged_count, content``: the chunks of a
+    file (chunk_index, path, keys, content) with small neighbours merged.
+    Python sees the lengths alone."""
+
+    @F.pandas_udf("array<int>")
+    def grouped(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: groups_of_small(list(x), least, most))
+
+    ordered = F.array_sort(F.collect_list(F.struct("chunk_index", "path", "keys", "content")))
+    files = chunks.groupBy(key).agg(ordered.alias("c")).withColumn("g", grouped(F.transform("c", lambda x: F.length(x["content"]))))
+    rows = files.select(key, F.explode(F.arrays_zip("c", "g")).alias("x")).select(key, F.col("x.g").alias("g"), F.col("x.c").alias("c"))
+    merged = rows.groupBy(key, "g").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    return merged.select(key, F.col("g").alias("chunk_index"), F.array_join("c.path", " + ").alias("path"), F.array_sort(F.array_distinct(F.flatten("c.keys"))).alias("keys"), F.size("c").alias("merged_count"), F.array_join("c.content", "\n\n").alias("content"))
+
+
+def cut_at_headings(text: str, size: int = HEADING_CHUNK) -> list[tuple[str, int, int]]:
+    """(content, start, end) of pieces that begin at a heading, as soon as
+    what came before is longer than ``size``."""
+    cuts = [0]
+    for m in re.finditer(r"^#+[^\S\n]+.+$", text, re.M):
+        if m.start() - cuts[-1] - 1 > size:
+            cuts.append(m.start())
+    return [(text[a : b - 1], a, b) for a, b in zip(cuts, cuts[1:], strict=False)] + [(text[cuts[-1] :], cuts[-1], len(text))]
+
+
+def heading_chunks(texts: DataFrame, key: str, text: str, size: int = HEADING_CHUNK) -> DataFrame:
+    """``key, chunk_index, start, end, content`` by ``cut_at_headings``; null
+    counts as empty, which is one empty chunk."""
+
+    @F.pandas_udf("array<struct<content: string, start: long, end: long>>")
+    def cut(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: [{"content": c, "start": a, "end": b} for c, a, b in cut_at_headings(t, size)])
+
+    return texts.select(key, F.posexplode(cut(F.coalesce(F.col(text), F.lit("")))).alias("chunk_index", "c")).select(key, "chunk_index", "c.start", "c.end", "c.content")
+
+
 def properties_sections(files: DataFrame, key: str, text: str) -> DataFrame:
     """The entries of .properties files grouped by their prefix before the
     first full stop: ``key, prefix, n_keys, keys, content``."""

@@ -42,12 +42,13 @@ def expand(results: DataFrame, edges: DataFrame, seeds: int = SEEDS, threshold:
 
     A neighbour's rank is the seed's score, the edge's weight and 1 - damping
     multiplied; the largest counts, if it reaches ``threshold``, and a fixed
-    share of it becomes the score.  Results that are there already are left
-    out.  The seeds, few per query, meet the edges in an equi-join.
+    share of it becomes the score.  Results that are there already, and edges
+    of a kind without weight, are left out.  The seeds, few per query, meet the edges in an equi-join.
     """
     first = results.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("n") <= seeds).select("query_id", F.col("id").alias("source_id"), F.col("score").alias("seed"))
     rank = F.col("seed") * edge_weight(F.col("relation_type")) * (1 - DAMPING)
-    reached = first.join(edges.select(*EDGE), "source_id").groupBy("query_id", F.col("target_id").alias("id")).agg(F.max(rank).alias("ppr"))
+    known = edges.select(*EDGE).where(F.upper("relation_type").isin(*EDGE_WEIGHT))
+    reached = first.join(known, "source_id").groupBy("query_id", F.col("target_id").alias("id")).agg(F.max(rank).alias("ppr"))
     new = reached.where(F.col("ppr") >= threshold).join(results.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return new.select("query_id", "id", (F.col("ppr") * KEEP_SHARE).alias("score"))
 

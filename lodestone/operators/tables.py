@@ -163,3 +163,9 @@ def relevance(truth: DataFrame, results: DataFrame, least_coverage: int = 2, lea
     some = F.col("implementation") | F.col("domain")
     scored = both.withColumn("coverage", point(F.col("implementation")) + point(F.col("domain")) + point(F.col("context") | some)).withColumn("precision", F.when(F.col("symbols") > 0, F.col("hits") / F.col("symbols")).otherwise(0.0))
     return scored.select("query_id", "coverage", "precision", ((F.col("coverage") >= least_coverage) & (F.col("precision") >= least_precision)).alias("passes"))
+
+
+def latencies(runs: DataFrame, name: str, seconds: str) -> DataFrame:
+    """Least, most and mean duration of each kind of run, and runs a second."""
+    r = lambda c: F.round(c, 6)
+    return runs.groupBy(name).agg(F.count("*").alias("runs"), r(F.min(seconds)).alias("least"), r(F.max(seconds)).alias("most"), r(F.avg(seconds)).alias("average"), r(F.count("*") / F.sum(seconds)).alias("per_second"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -421,12 +421,14 @@ def translation_codes(spark, sf_dir):
 # --- Markdown headers, config references, offsets (C3, C5, X24, X39) ---
 
 
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM (SELECT doc_id, replace(replace(text, '. ', chr(10) || '## '), ', ', chr(10) || '#### ') AS text FROM documents)),
 parts AS (SELECT *, sum(regexp_matches(line, '^(#{2,6})\s+(.+)$')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM lines)
 SELECT doc_id, length(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 1)) AS depth, trim(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 2)) AS title, min(n) AS start_line, max(n) AS end_line,
  md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM parts WHERE part > 0 GROUP BY doc_id, part""")
 def header_sections(spark, sf_dir):
-    found = chunk.header_sections(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    """Over the documents with each sentence and clause made a header."""
+    docs = _read(spark, sf_dir, "documents").withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit("\n## ")), F.lit(", "), F.lit("\n#### ")))
+    found = chunk.header_sections(docs, "doc_id", "text")
     return found.select("doc_id", F.col("depth").cast("long").alias("depth"), "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
@@ -437,12 +439,16 @@ def hybrid_chunks(spark, sf_dir):
     return chunk.hybrid_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-z][a-z0-9_]*\.)+[A-Z][a-zA-Z0-9_]*')) AS name, 'class_reference' AS type FROM pages
+@query(r"""WITH pages AS (SELECT page_id, html || ' org.shop.Item' || page_id || ' "src/' || page_id || '.py" ' || url || '/blob/main' AS html FROM pages),
+r AS (SELECT page_id, unnest(regexp_extract_all(html, '([a-z][a-z0-9_]*\.)+[A-Z][a-zA-Z0-9_]*')) AS name, 'class_reference' AS type FROM pages
 UNION ALL SELECT page_id, unnest(regexp_extract_all(html, '[''"]([^''"]*\.(?:py|js|ts|java|kt|go|rs|cpp|c|h|sh))[''"]', 1)), 'file_reference' FROM pages
 UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'https?://[^\s"'']+(?:\.git|/blob/|/tree/)')), 'repository_url' FROM pages)
 SELECT page_id, type, name, count(*) AS n FROM r GROUP BY ALL""")
 def config_references(spark, sf_dir):
-    refs = _read(spark, sf_dir, "pages").select("page_id", F.explode(T.config_references(F.col("html"))).alias("r")).select("page_id", "r.*")
+    """Over the pages, each with a class, a path and an address added."""
+    page = F.col("page_id").cast("string")
+    html = F.concat("html", F.lit(" org.shop.Item"), page, F.lit(' "src/'), page, F.lit('.py" '), "url", F.lit("/blob/main"))
+    refs = _read(spark, sf_dir, "pages").select("page_id", F.explode(T.config_references(html)).alias("r")).select("page_id", "r.*")
     return refs.groupBy("page_id", "type", "name").agg(F.count("*").alias("n"))
 
 
@@ -524,3 +530,40 @@ def relevance_gate(spark, sf_dir):
         F.col("source").alias("query_id"), kinds.alias("category"), F.when(F.col("quality") == 1, "H1").otherwise("H2").alias("priority"), F.col("lang").alias("path"), F.concat(F.lit("x::"), (F.col("doc_id") % 50).cast("string")).alias("symbol"))
     results = docs.where("doc_id % 3 = 0").select(F.col("source").alias("query_id"), F.concat(F.lit("src/"), "lang").alias("file_path"), F.concat(F.lit("n"), (F.col("doc_id") % 70).cast("string")).alias("name")).distinct()
     return tables.relevance(truth, results).withColumn("precision", F.round("precision", 6))
+
+
+# --- small reports and folds (A19, L6, X45, W6, A15, C6) ---
+
+
+@query("SELECT event_type, count(*) AS runs, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS average, round(count(*) / sum(value), 6) AS per_second FROM events GROUP BY 1")
+def latency_summary(spark, sf_dir):
+    return tables.latencies(_read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY lower(c_name), c_custkey) AS place FROM customer QUALIFY place <= 100")
+def project_list(spark, sf_dir):
+    """The first hundred names in order: the limit is the feature."""
+    first = _read(spark, sf_dir, "customer").orderBy(F.lower("c_name"), "c_custkey").limit(100)
+    return first.select("c_custkey", "c_name", F.row_number().over(Window.orderBy(F.lower("c_name"), "c_custkey")).cast("long").alias("place"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, ts = strptime(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '%Y-%m-%dT%H:%M:%S.%f') AS same FROM events")
+def iso_times(spark, sf_dir):
+    """Times written as ISO 8601 text and read back."""
+    iso = "yyyy-MM-dd'T'HH:mm:ss"
+    back = F.to_timestamp(F.date_format("ts", iso + ".SSSSSS"), iso + ".SSSSSS")
+    return _read(spark, sf_dir, "events").select("event_id", F.date_format("ts", iso).alias("iso"), (back.cast("timestamp") == F.col("ts").cast("timestamp")).alias("same"))
+
+
+@query()
+def merged_chunks(spark, sf_dir):
+    """Sections of documents with small neighbours merged; tested against a
+    fold over lists."""
+    pieces = chunk.recursive_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text").withColumns({"path": F.col("chunk_index").cast("string"), "keys": F.array(F.left("content", F.lit(8)))})
+    return chunk.merge_small(pieces, "doc_id")
+
+
+@query()
+def heading_chunks(spark, sf_dir):
+    """Tested against a fold over lines."""
+    return chunk.heading_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")

@@ -216,3 +216,49 @@ def test_lines_of_offsets_and_state(spark):
     assert [one(spark, "é\nb\n", lambda c, n=n: T.line_of_offset(c, F.lit(n))) for n in (0, 2, 3, 5, 99)] == [1, 1, 2, 3, 3]
     state = tables.set_state(spark.createDataFrame([], "key string, value string"), spark.createDataFrame([("a", "é")], "key string, value string"))
     assert state.first().value == "w6k=" and {(r.key, r.value) for r in tables.get_state(state, spark.createDataFrame([("a",), ("b",)], "key string")).collect()} == {("a", "é"), ("b", None)}
+
+
+def plain_merge(chunks, least, most):
+    out, small = [], []
+    for c in [*chunks, None]:
+        if c is not None and len(c) // 4 < least:
+            small.append(c)
+            if sum(len(x) // 4 for x in small) >= least:
+                out, small = [*out, "\n\n".join(small)], []
+        elif c is not None:
+            out, small = [*out, *(["\n\n".join(small)] if small else []), c], []
+    if small and out and len(out[-1]) // 4 + sum(len(x) // 4 for x in small) < most:
+        small = [out.pop(), *small]
+    return [*out, *(["\n\n".join(small)] if small else [])]
+
+
+@pytest.mark.parametrize("lengths", [[], [3], [40, 40], [8, 8, 8, 40, 8], [40, 8, 8], [8] * 9, [8, 40, 8, 8, 8, 8], [300, 8], [0, 0, 40, 0]])
+def test_small_chunks_merge(spark, lengths):
+    parts = [chr(97 + i) * n for i, n in enumerate(lengths)]
+    rows = spark.createDataFrame([(1, i, str(i), [str(i)], c) for i, c in enumerate(parts)], "f int, chunk_index int, path string, keys array<string>, content string")
+    got = chunk.merge_small(rows, "f", 6, 60).orderBy("chunk_index").collect()
+    assert [r.content for r in got] == plain_merge(parts, 6, 60) and sum(r.merged_count for r in got) == len(parts)
+
+
+def test_heading_chunks(spark):
+    def plain(text, size):
+        out, held, start, at = [], [], 0, 0
+        for line in text.split("\n"):
+            if line.startswith("#") and line.lstrip("#")[:1].isspace() and line.lstrip("#").strip() and len("\n".join(held)) > size:
+                out, held, start = [*out, ("\n".join(held), start, at)], [line], at
+            else:
+                held.append(line)
+            at += len(line) + 1
+        return [*out, ("\n".join(held), start, len(text))]
+
+    text = "# a\nxx\n## b\n" + "y" * 30 + "\n#no\n# c\n\n#\nz\n### d\nend\n"
+    for size in (0, 3, 10, 100):
+        assert chunk.cut_at_headings(text, size) == plain(text, size)
+    rows = chunk.heading_chunks(spark.createDataFrame([(1, text), (2, None)], "i int, t string"), "i", "t", 10).collect()
+    assert [(r.content, r.start, r.end) for r in rows if r.i == 1] == plain(text, 10) and [r.content for r in rows if r.i == 2] == [""]
+
+
+def test_edges_of_unknown_kinds_do_not_expand(spark):
+    results = spark.createDataFrame([(1, "a", 1.0)], "query_id int, id string, score double")
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "c", "LIKES")], "source_id string, target_id string, relation_type string")
+    assert [r.id for r in graph.expand(results, edges, threshold=0.0).collect()] == ["b"]

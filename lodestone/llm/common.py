@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ HOT = 1000
 
 _LOCAL: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
+#: The folder of each table that ``written`` has returned.
+_TABLES: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -71,7 +74,20 @@ def written(df: DataFrame) -> DataFrame:
     later steps do not compute it again."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES[table] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` returned and that no DataFrame still to
+    be computed reads; of others it takes no notice.  Spark's own interface to
+    the store deletes them, so any store that Spark can write to will do."""
+    for table in tables:
+        if path := _TABLES.pop(table, None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small_batches(df: DataFrame) -> DataFrame:

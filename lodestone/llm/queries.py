@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lm, media, packing, quality, sharding, simhash, tokenfile, toxicity
+from . import bpe, centroids, chat, collocation, decontam, lm, media, packing, quality, sharding, simhash, tokenfile, toxicity
 from .common import crc_of_id
 
 
@@ -74,12 +74,31 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.write_and_read(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontam.items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack, op2_simhash, op3_sharding, op4_media, op5_quality, op6_lm, op7_bpe, op8_toxicity, op9_chat, op10_token_files)
-}
+    for f in (
+        op1_pack, op2_simhash, op3_sharding, op4_media, op5_quality, op6_lm, op7_bpe, op8_toxicity, op9_chat, op10_token_files,
+        op11_decontaminate, op12_centroids, op13_collocations,
+    )
+}
 
 ORACLE = {
     "op3_sharding": sharding.oracle("documents", "doc_id"),
     "op9_chat": chat.ORACLE,
+    "op11_decontaminate": decontam.ORACLE,
+    "op12_centroids": centroids.oracle(),
+    "op13_collocations": collocation.oracle(),
 }

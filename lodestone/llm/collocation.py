@@ -13,10 +13,9 @@ filter of bounded size; a false hit costs a row in the shuffle and nothing else.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +27,11 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: Percentage of a phrase's count from which a longer phrase stands for it.
 COVERED = 50
 #: Text bytes of a shard, or one text.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+#: Phrases that a task hands on at a time.
+PHRASES = 1 << 16
+#: Parts in which a language's phrases are ranked first.
+PARTS = 16
 
 # A full stop stands for every break, as none is left in a word; spaces and tabs separate.
 _BREAKS = bytes(0x2E if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c in b" \t" else c for c in LOWER_ASCII)
@@ -39,91 +42,156 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BREAKS).replace(b".", b" . ").split()
 
 
-def phrase_key(lang: str, phrase: bytes) -> int:
-    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\x00" + phrase, seed=42)
+def _word_hash(lang: str, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass") + b"\x00" + word, seed=42)
+
+
+def _chained(values: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH64 of 8-byte values, each with a seed of its own."""
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    h = (seeds + _P5 + np.uint64(8)) ^ (turn(values * _P2, 31) * _P1)
+    h = turn(h, 27) * _P1 + _P4
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+# --- fixed values: the primes of XXH64 ---
+_P1, _P2, _P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+_P4, _P5 = np.uint64(0x85EBCA77C2B2AE63), np.uint64(0x27D4EB2F165667C5)
+# --- end of fixed values ---
+
+
+def phrase_hashes(word_hashes: np.ndarray) -> np.ndarray:
+    """A hash of each row of words, as Spark's ``xxhash64`` gives it for the
+    words' hashes in as many columns."""
+    h = np.full(len(word_hashes), 42, np.uint64)
+    for k in range(word_hashes.shape[1]):
+        h = _chained(word_hashes[:, k], h)
+    return h
+
 
+def phrase_hash_column(n: int):
+    """The same for the columns ``lang`` and ``phrase``, of ``n`` words."""
+    word = lambda k: F.xxhash64(F.concat("lang", F.lit("\x00"), F.element_at(F.split("phrase", " "), k)))
+    return F.xxhash64(*[word(k) for k in range(1, n + 1)])
 
-def suffix_order(numbers: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+
+def suffix_order(ranks: dict[int, np.ndarray], at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes from the places ``at``, in order of their first ``n``
-    numbers at least, and how many of these ``n`` each has in common with the
-    one before it."""
-    rank, width = numbers, 1
-    while width < n:
-        later = np.zeros_like(rank)
-        later[:-width] = rank[width:]
-        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + later, return_inverse=True)[1].astype(np.int64)
-        width *= 2
-    order = at[np.argsort(rank[at], kind="stable")]
+    words, and how many of these each has in common with the one before it.
+
+    ``ranks`` has, for every width so far, the rank of each place by so many
+    words; those of the widest power of two below ``n`` double to ``n``."""
+    width = 1 << (n - 1).bit_length() - 1 if n > 1 else 1
+    rank, later = ranks[width][at], ranks[width][at + n - width]
+    by = np.argsort(rank * (int(ranks[width].max(initial=0)) + 1) + later)
+    order = at[by]
     common = np.zeros(len(order), np.int64)
-    padded = np.concatenate([numbers, np.zeros(n, np.int64)])
     for k in range(n):
         same = np.zeros(len(order), bool)
-        same[1:] = padded[order[1:] + k] == padded[order[:-1] + k]
+        words = ranks[1][order + k]
+        same[1:] = words[1:] == words[:-1]
         common += same & (common == k)
     return order, common
 
 
-def intervals(order: np.ndarray, common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each interval of suffixes that share ``n`` numbers begins, and its
+def intervals(common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each interval of suffixes that share ``n`` words begins, and its
     width."""
     first = np.flatnonzero(common < n)
-    return first, np.diff(np.append(first, len(order)))
-
-
-def shard_counts(lang: str, words: list[bytes], n: int, filters: list[BloomFilter]) -> tuple[list[bytes], np.ndarray]:
-    """The phrases of ``n`` words of a shard, and their counts; ``filters``
-    tell which shorter phrases, of 1 to ``n - 1`` words, are frequent."""
-    numbers: dict[bytes, int] = dict.fromkeys(words)
-    numbers |= {w: i for i, w in enumerate(numbers, 1)}
-    numbers[b"."] = 0
-    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-    able = ids > 0
-    for m in range(1, n + 1):
-        if m > 1:  # a phrase of m words needs two of m - 1
-            able = able & np.append(able[1:], False)
-        order, common = suffix_order(ids, np.flatnonzero(able), m)
-        first, width = intervals(order, common, m)
-        phrases = [b" ".join(words[a : a + m]) for a in order[first].tolist()]
+    return first, np.diff(np.append(first, len(common)))
+
+
+def shard_counts(lang: str, words: list[bytes], ids: np.ndarray, n: int, filters: list[BloomFilter]) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of ``n`` words of a shard, each as the numbers of its words,
+    and their counts.  ``ids`` numbers ``words`` from 1; 0 is a break.
+    ``filters`` tell which phrases of 1 to ``n - 1`` words are frequent."""
+    if n == 1:
+        return np.arange(1, len(words) + 1)[:, None], np.bincount(ids, minlength=len(words) + 1)[1:]
+    hashes = np.array([0, *[_word_hash(lang, w) for w in words]], np.uint64)
+    able = filters[0].holds(phrase_hashes(hashes[:, None]))
+    able[0] = False
+    able = able[ids]
+    ranks = {1: ids}
+    for m in range(2, n + 1):
+        at = np.flatnonzero(able[:-1] & able[1:])  # a phrase of m words needs two of m - 1
+        order, common = suffix_order(ranks, at, m)
+        first, width = intervals(common, m)
+        phrases = ids[order[first][:, None] + np.arange(m)]
         if m == n:
             return phrases, width
-        frequent = filters[m - 1].holds(np.array([phrase_key(lang, p) for p in phrases], np.uint64))
+        frequent = filters[m - 1].holds(phrase_hashes(hashes[phrases]))
         able = np.zeros(len(ids), bool)
         able[order[np.repeat(frequent, width)]] = True
+        if m & (m - 1) == 0:
+            ranks[m] = np.zeros(len(ids), np.int64)
+            ranks[m][order] = np.repeat(np.arange(1, len(first) + 1), width)
     raise ValueError(n)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """The words of each language, about ``SHARD_BYTES`` of text at a time."""
-    held: dict[str, list[str]] = {}
-    size: dict[str, int] = {}
-    for batch in steps(batches):
-        for lang, text in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), strict=True):
-            held.setdefault(lang, []).append(text)
-            size[lang] = size.get(lang, 0) + len(text)
-        if sum(size.values()) > SHARD_BYTES:  # the largest goes, so that few languages do not make small shards of many
-            lang = max(size, key=size.get)
-            del size[lang]
-            yield lang, words_of("\n".join(held.pop(lang)))
-    for lang, some in held.items():
-        yield lang, words_of("\n".join(some))
+class _Numbers(dict):
+    """A number for each word, by order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
 
+def shards(rows: DataFrame) -> DataFrame:
+    """``lang, words, ids``: the distinct words of about ``SHARD_BYTES`` of
+    texts of a language, and the texts as 32-bit numbers of these words from 1
+    on, with 0 for each break and between texts."""
 
-def counted(rows: DataFrame, n: int, filters: list[BloomFilter], least: int) -> DataFrame:
+    def run(batches):
+        held: dict[str, tuple[_Numbers, list[np.ndarray]]] = {}
+        size: dict[str, int] = {}
+
+        def shard(lang: str) -> pa.RecordBatch:
+            numbers, ids = held.pop(lang)
+            del size[lang]
+            columns = [pa.array([lang], pa.string()), pa.array([list(numbers)[1:]], pa.list_(pa.binary())), pa.array([np.concatenate(ids).tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "words", "ids"])
+
+        for batch in steps(batches):
+            new: dict[str, list[str]] = {}
+            for lang, text in zip(column(batch, "lang").to_pylist(), texts(column(batch, "text")), strict=True):
+                new.setdefault(lang, []).append(text)
+            for lang, some in new.items():
+                numbers, ids = held.setdefault(lang, (_Numbers({b".": 0}), []))
+                words = words_of("\n".join(some))
+                # a break after the last word keeps phrases within a text
+                ids.append(np.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)), np.int32(0)))
+                size[lang] = size.get(lang, 0) + sum(map(len, some))
+            while sum(size.values()) > SHARD_BYTES:  # the largest first, so that few languages do not make small shards of many
+                yield shard(max(size, key=size.get))
+        for lang in list(held):
+            yield shard(lang)
+
+    return rows.mapInArrow(run, "lang string, words array<binary>, ids binary")
+
+
+def counted(cut: DataFrame, n: int, filters: list[BloomFilter], least: int) -> DataFrame:
     """``lang, phrase, f`` of the phrases of ``n`` words that occur ``least``
-    times or more; with ``n = 1`` also the empty phrase, which stands for all
-    words of the language."""
-    held = rows.sparkSession.sparkContext.broadcast(filters)
+    times or more in the shards ``cut``; with ``n = 1`` also the empty phrase,
+    which stands for all words of the language."""
+    held = cut.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
-        for lang, words in _shards(batches):
-            phrases, count = shard_counts(lang, words, n, held.value)
-            if n == 1:
-                phrases, count = [*phrases, b""], np.append(count, count.sum())
-            for a in range(0, len(phrases), 1 << 17):
-                some = phrases[a : a + (1 << 17)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array([p.decode("utf-8", "surrogatepass") for p in some]), pa.array(count[a : a + len(some)])], ["lang", "phrase", "f"])
-
-    summed = rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang, words = column(batch, "lang")[k].as_py(), column(batch, "words")[k].values
+                ids = np.frombuffer(column(batch, "ids")[k].as_buffer(), np.int32).astype(np.int64)
+                phrases, count = shard_counts(lang, words.to_pylist() if n > 1 else words, ids, n, held.value)
+                named = words.cast(pa.string())
+                for a in range(0, len(phrases), PHRASES):
+                    some = phrases[a : a + PHRASES]
+                    joined = pc.binary_join_element_wise(*[named.take(pa.array(some[:, k] - 1)) for k in range(n)], " ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), joined, pa.array(count[a : a + PHRASES])], ["lang", "phrase", "f"])
+                if n == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(count.sum())])], ["lang", "phrase", "f"])
+
+    summed = cut.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     table = written(summed.where((F.col("f") >= least) | (F.col("phrase") == "")))
     held.destroy()
     return table
@@ -174,18 +242,21 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     texts of any length are read whole; other columns are ignored.
     """
     rows = only(documents, lang="lang", text="text").withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("und")))
-    tables, filters = [counted(rows, 1, [], least)], []
+    cut = written(shards(rows))
+    tables, filters = [counted(cut, 1, [], least)], []
     for n in range(2, longest + 1):
         phrases = tables[-1].where("phrase <> ''")
-        filters.append(bloom_filter(phrases.select(F.xxhash64(F.concat("lang", F.lit("\x00"), "phrase")).alias("h")), "h"))
-        tables.append(counted(rows, n, filters, least))
+        filters.append(bloom_filter(phrases.select(phrase_hash_column(n - 1).alias("h")), "h"))
+        tables.append(counted(cut, n, filters, least))
+    discard(cut)
     frequent = tables[0].where("phrase <> ''").withColumn("n_words", F.lit(1))
     for n, table in enumerate(tables[1:], 2):
         frequent = frequent.unionByName(table.withColumn("n_words", F.lit(n)))
     candidates = frequent.where("n_words > 1").withColumnRenamed("f", "a")
     scored = _cuts(_uncovered(candidates, covered), frequent)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # the best of each part first, so that the task of a language has few rows
+    best = lambda rows, *by: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    ranked = best(best(scored, F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))).withColumn("rank", F.col("rank").cast("long"))
     totals = tables[0].where("phrase = ''").select("lang", F.col("f").alias("n"))
     found = written(ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
     discard(*tables)

@@ -235,12 +235,22 @@ def test_collocations_of_small_shards(spark, monkeypatch):
 
 
 def test_suffix_intervals():
-    numbers = np.array([1, 2, 3, 1, 2, 3, 1, 2, 0, 1, 2, 3])
-    order, common = collocation.suffix_order(numbers, np.array([0, 1, 3, 4, 9]), 3)
-    first, width = collocation.intervals(order, common, 3)
+    numbers = np.array([1, 2, 3, 1, 2, 3, 1, 2, 0, 1, 2, 3, 0])
+    pairs = np.unique(numbers[:-1] * 10 + numbers[1:], return_inverse=True)[1]
+    order, common = collocation.suffix_order({1: numbers, 2: np.append(pairs, 0)}, np.array([0, 1, 3, 4, 9]), 3)
+    first, width = collocation.intervals(common, 3)
     assert {tuple(numbers[order[a] : order[a] + 3].tolist()): n for a, n in zip(first, width, strict=True)} == {(1, 2, 3): 3, (2, 3, 1): 2}
 
 
+def test_phrase_hashes_are_those_of_spark(spark):
+    rows = [("en", "a"), ("", "a b"), ("fr", "dé x ''q"), ("en", "the of the")]
+    for lang, phrase in rows:
+        words = phrase.split(" ")
+        own = collocation.phrase_hashes(np.array([[collocation._word_hash(lang, w.encode()) for w in words]], np.uint64)).view(np.int64)[0]
+        table = spark.createDataFrame([(lang, phrase)], "lang string, phrase string")
+        assert table.select(collocation.phrase_hash_column(len(words))).first()[0] == own
+
+
 def test_bloom_filter_loses_nothing(spark):
     hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 5_000)
     table = spark.createDataFrame([(int(h),) for h in hashes], "h long")

@@ -27,7 +27,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: Percentage of a phrase's count from which a longer phrase stands for it.
 COVERED = 50
 #: Text bytes of a shard, or one text.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Phrases that a task hands on at a time.
 PHRASES = 1 << 16
 #: Parts in which a language's phrases are ranked first.
@@ -84,15 +84,15 @@ def suffix_order(ranks: dict[int, np.ndarray], at: np.ndarray, n: int) -> tuple[
     ``ranks`` has, for every width so far, the rank of each place by so many
     words; those of the widest power of two below ``n`` double to ``n``."""
     width = 1 << (n - 1).bit_length() - 1 if n > 1 else 1
-    rank, later = ranks[width][at], ranks[width][at + n - width]
-    by = np.argsort(rank * (int(ranks[width].max(initial=0)) + 1) + later)
-    order = at[by]
-    common = np.zeros(len(order), np.int64)
+    keys = ranks[width][at].astype(np.int64)
+    keys *= int(ranks[width].max(initial=0)) + 1
+    keys += ranks[width][at + n - width]
+    order = at[np.argsort(keys)]
+    del keys
+    common = np.zeros(len(order), np.int8)
     for k in range(n):
-        same = np.zeros(len(order), bool)
         words = ranks[1][order + k]
-        same[1:] = words[1:] == words[:-1]
-        common += same & (common == k)
+        common[1:] += (words[1:] == words[:-1]) & (common[1:] == k)
     return order, common
 
 
@@ -115,18 +115,18 @@ def shard_counts(lang: str, words: list[bytes], ids: np.ndarray, n: int, filters
     able = able[ids]
     ranks = {1: ids}
     for m in range(2, n + 1):
-        at = np.flatnonzero(able[:-1] & able[1:])  # a phrase of m words needs two of m - 1
+        at = np.flatnonzero(able[:-1] & able[1:]).astype(np.int32)  # a phrase of m words needs two of m - 1
         order, common = suffix_order(ranks, at, m)
         first, width = intervals(common, m)
-        phrases = ids[order[first][:, None] + np.arange(m)]
+        phrases = ids[order[first][:, None] + np.arange(m, dtype=np.int32)]
         if m == n:
             return phrases, width
         frequent = filters[m - 1].holds(phrase_hashes(hashes[phrases]))
         able = np.zeros(len(ids), bool)
         able[order[np.repeat(frequent, width)]] = True
         if m & (m - 1) == 0:
-            ranks[m] = np.zeros(len(ids), np.int64)
-            ranks[m][order] = np.repeat(np.arange(1, len(first) + 1), width)
+            ranks[m] = np.zeros(len(ids), np.int32)
+            ranks[m][order] = np.repeat(np.arange(1, len(first) + 1, dtype=np.int32), width)
     raise ValueError(n)
 
 
@@ -181,12 +181,12 @@ def counted(cut: DataFrame, n: int, filters: list[BloomFilter], least: int) -> D
         for batch in batches:
             for k in range(batch.num_rows):
                 lang, words = column(batch, "lang")[k].as_py(), column(batch, "words")[k].values
-                ids = np.frombuffer(column(batch, "ids")[k].as_buffer(), np.int32).astype(np.int64)
+                ids = np.frombuffer(column(batch, "ids")[k].as_buffer(), np.int32)
                 phrases, count = shard_counts(lang, words.to_pylist() if n > 1 else words, ids, n, held.value)
                 named = words.cast(pa.string())
                 for a in range(0, len(phrases), PHRASES):
                     some = phrases[a : a + PHRASES]
-                    joined = pc.binary_join_element_wise(*[named.take(pa.array(some[:, k] - 1)) for k in range(n)], " ")
+                    joined = pc.binary_join_element_wise(*[named.take(pa.array(some[:, i] - 1)) for i in range(n)], " ")
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), joined, pa.array(count[a : a + PHRASES])], ["lang", "phrase", "f"])
                 if n == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(count.sum())])], ["lang", "phrase", "f"])

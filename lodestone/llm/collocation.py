@@ -191,7 +191,10 @@ def counted(cut: DataFrame, n: int, filters: list[BloomFilter], least: int) -> D
                 if n == 1:
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([int(count.sum())])], ["lang", "phrase", "f"])
 
-    summed = cut.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a shard has each phrase once, so the rows are dealt out first: a map of all phrases of a task would be large and combine little
+    parts = 2 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut.mapInArrow(run, "lang string, phrase string, f long").repartition(parts, "lang", "phrase")
+    summed = dealt.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     table = written(summed.where((F.col("f") >= least) | (F.col("phrase") == "")))
     held.destroy()
     return table

@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits for each hash, and bits at most (16 MB).
@@ -33,13 +34,24 @@ class BloomFilter:
         return found
 
 
-def bloom_filter(hashes: DataFrame, name: str, most_bits: int = MOST_BITS) -> BloomFilter:
+def bloom_filter(hashes: DataFrame, name: str, most_bits: int | None = None) -> BloomFilter:
     """The filter of a column of longs without nulls.  The words are put
     together by an aggregation; the driver sees these alone."""
     n = max(1, hashes.count())
-    bits = min(most_bits, 1 << max(10, (n * BITS_PER_HASH - 1).bit_length()))
+    bits = min(most_bits or MOST_BITS, 1 << max(10, (n * BITS_PER_HASH - 1).bit_length()))
     places = F.explode(F.array(F.col(name).bitwiseAND(bits - 1), F.shiftrightunsigned(name, 32).bitwiseAND(bits - 1)))
     words = hashes.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 AS int))")).alias("m")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[np.asarray(words["w"], dtype=np.int64)] = np.asarray(words["m"], dtype=np.int64).view(np.uint64)
     return BloomFilter(out)
+
+
+def may_hold(spark: SparkSession, held: BloomFilter, hashes: Column) -> Column:
+    """Whether a long may have been entered; only the longs go to Python."""
+    shared = spark.sparkContext.broadcast(held)
+
+    @F.pandas_udf("boolean")
+    def probe(h: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.holds(h.to_numpy(np.int64).view(np.uint64)))
+
+    return probe(hashes)

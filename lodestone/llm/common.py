@@ -90,6 +90,21 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def reading(df: DataFrame, table: DataFrame) -> DataFrame:
+    """``df``, the only reader of ``table`` from now on: discarding the one
+    deletes the other."""
+    if table in _TABLES:
+        _TABLES[df] = _TABLES[table]
+    return df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as keep it apart from the columns."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, whose session from now on exchanges at most ``BATCH_BYTES`` (or
     less, where it is set so) with Python at a time."""

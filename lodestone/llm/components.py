@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, written
+from .common import discard, join_unique, reading, written
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -33,14 +33,15 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     of ``edges`` (a long, b long; any direction, repeats allowed).
 
     Each round's edges are written to the shared folder, which cuts the
-    lineage; the rounds end when every tree is a star.  They grow with the
+    lineage, and go when the next ones stand; the rounds end when every tree is a star.  They grow with the
     logarithm of the longest path.  A hub of very many edges is joined by a
     broadcast (see ``join_unique``).
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct())
     for _ in range(rounds):
-        edges = written(_large_star(edges, edges.count()))
-        edges = written(_small_star(edges, edges.count()))
+        for star in (_large_star, _small_star):
+            before, edges = edges, written(star(edges, edges.count()))
+            discard(before)
         # stars: no root is itself tied to another node, and no node has two roots
         loose = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
         if loose.isEmpty() and edges.groupBy("a").count().where("count > 1").isEmpty():
@@ -48,4 +49,4 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"no stars after {rounds} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return reading(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), edges)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, column, crc_of_id, only, steps, texts, written
+from .common import LOWER_ASCII, column, crc_of_id, discard, only, steps, texts, written
 
 #: Counts are quantised to powers of this.
 BASE = 1.5
@@ -370,8 +370,8 @@ def score(documents: DataFrame, folds: int = 5, held_fold: int = 1, broadcast_by
     Words are counted by their 64-bit hash.  Where filter and counts are larger
     than a broadcast may be, passes over the documents each add what their
     share of the words, then of the pairs, says; the sums so far and a byte per
-    token are carried along in written tables, and no process holds more than
-    one share.
+    token are carried along with the texts in written tables, each of which
+    goes when the next one stands, and no process holds more than one share.
 
     Defined cases: null and empty texts are the end token alone; a null id
     counts as the empty text in the fold; repeated rows count and are scored
@@ -385,8 +385,10 @@ def score(documents: DataFrame, folds: int = 5, held_fold: int = 1, broadcast_by
     state = docs.select("doc_id", "text", "held_out", F.lit(None).cast("binary").alias("levels"), zero("long").alias("n_tokens"), zero("long").alias("n_known"), zero("long").alias("train_tokens"), zero("double").alias("base_score"), zero("double").alias("score"))
     passes = plan.passes()
     for k, share in enumerate(passes, 1):
-        state, held = _score_with(state, plan.model(*share), k == len(passes))
+        before, (state, held) = state, _score_with(state, plan.model(*share), k == len(passes))
         if k < len(passes):
             state = written(state)
             held.destroy()
+            discard(before)
+    discard(plan.built)
     return state

@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, column, join_unique, only, steps, texts, written
+from .bloom import bloom_filter, may_hold
+from .common import LOWER_ASCII, column, discard, free_name, join_unique, only, steps, texts, written
 from .components import connected_components
 
 HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
@@ -237,8 +238,11 @@ def _components(fps: DataFrame, radius: int) -> DataFrame:
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")))
     parts = connected_components(links(distinct, radius))
     rooted = written(distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "copies", F.coalesce("root", "fp").alias("root")))
+    discard(distinct, parts)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    return written(join_unique(rooted, least.select("root", "component_id"), ["root"], least, "n", rooted.count()).select("fp", "copies", "root", "component_id"))
+    found = written(join_unique(rooted, least.select("root", "component_id"), ["root"], least, "n", rooted.count()).select("fp", "copies", "root", "component_id"))
+    discard(rooted)
+    return found
 
 
 def _of_rows(fps: DataFrame, component: DataFrame) -> DataFrame:
@@ -267,19 +271,28 @@ def row_key():
     return F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("="), "text"), F.lit(""))).cast("binary"))
 
 
-def least_of_each(rows: DataFrame, group: str, documents: DataFrame) -> DataFrame:
-    """One row of ``documents`` for every ``group`` of ``rows`` (doc_id, key):
-    that of the least ``doc_id``, nulls last, and then of the least key.  Rows
-    of one key have one text, so they are of one group."""
-    keys = written(rows.groupBy("key").agg(F.min(group).alias(group), F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).withColumnRenamed("key", "key__"))
-    least = keys.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key__")).alias("least"))
-    keyed = documents.withColumn("key__", row_key())
-    return join_unique(keyed, least.select("least.key__"), ["key__"], keys, "n", rows.count()).dropDuplicates(["key__"]).select(*documents.columns)
+def least_of_each(keys: DataFrame, group: str, documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for every ``group`` of ``keys`` (key, doc_id,
+    n: its rows): that of the least ``doc_id``, nulls last, then of the least
+    key.  Of rows of one id and text, the first by all columns, written as JSON, stays.
 
-
-def one_of_each_group(documents: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """One row of every group, that with the least ``doc_id``, nulls last; of
-    several texts with this id the one with the least hash.  All columns stay."""
-    keyed = only(documents, doc_id="doc_id", text="text").withColumn("key", row_key())
-    fps = written(fingerprints(keyed, width, ("key",)))
-    return least_of_each(_of_rows(fps, _components(fps, radius)), "root", documents)
+    Only rows that may have to go are shuffled: those of keys that are not the
+    least of their group, or that have several rows.  A broadcast Bloom filter
+    tells which, and an exact join decides on them.
+    """
+    spark, key = documents.sparkSession, free_name(documents, "key")
+    least = keys.groupBy(group).agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key")).alias("least"), F.count("*").alias("n"))
+    marked = written(join_unique(keys, least.select(group, F.col("least.key").alias("least")), [group], least, "n", keys.count()).select("key", "n", (F.col("key") == F.col("least")).alias("stays")))
+    doubtful = marked.where("not stays or n > 1")
+    held = bloom_filter(doubtful.select(F.xxhash64("key").alias("h")), "h")
+    keyed = documents.withColumn(key, row_key())
+    maybe = free_name(keyed, "maybe")
+    probed = keyed.withColumn(maybe, may_hold(spark, held, F.xxhash64(key)))
+    sure = probed.where(~F.col(maybe)).drop(maybe, key)
+    asked = probed.where(F.col(maybe)).drop(maybe)
+    chosen = marked.where("stays").select(F.col("key").alias(key))
+    total = marked.agg(F.sum("n")).first()[0] or 0
+    found = join_unique(asked, chosen, [key], marked.withColumnRenamed("key", key), "n", total)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    first = found.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias(key + "row")).select(f"{key}row.*")
+    return sure.unionByName(first)

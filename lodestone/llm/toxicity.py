@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, crc_of_id, small_batches, steps, texts, written
+from .common import column, crc_of_id, discard, small_batches, steps, texts, written
 
 SIZES = (4, 5, 6)
 FEATURE_BITS = 20
@@ -121,6 +121,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int
     chosen = sums.where("feature >= 0").select("feature", ratio.alias("ratio")).toArrow()
     ratios = np.zeros(FEATURES)
     ratios[np.asarray(chosen["feature"])] = np.asarray(chosen["ratio"])
+    discard(sums)
 
     def features(batches):
         for batch in steps(batches):
@@ -128,7 +129,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
 
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
-    ids = labels.select("doc_id").where("doc_id is not null").distinct().where(crc_of_id("doc_id") % folds != held_fold).orderBy(*order).limit(rows)
+    ids = known.select("doc_id").distinct().orderBy(*order).limit(rows)
     one = known.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
     picked = written(one.mapInArrow(features, "doc_id long, toxic int, features binary"))
     sizes = picked.select("doc_id", (F.octet_length("features") / 4).cast("long").alias("n")).orderBy(*order).collect()
@@ -147,6 +148,7 @@ def fit(documents: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int
 
     # the bounded sample is fitted in a task, so that the driver gets the weights alone
     fitted = taken.coalesce(1).sortWithinPartitions(*order).select("toxic", "features").mapInArrow(train, "used binary, weights binary, bias double").first()
+    discard(picked)
     weights = np.zeros(FEATURES)
     weights[np.frombuffer(fitted.used, np.int32)] = np.frombuffer(fitted.weights)
     return Classifier(weights, fitted.bias)

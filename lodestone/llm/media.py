@@ -50,6 +50,8 @@ class Value:
         self.blocks: dict[int, int] = {}
         self.pages: dict[int, int] = {}
         self.deflated: dict[int, int] = {}
+        self.parts: dict[int, tuple[int, bool]] = {0: (0, False)}
+        self.chunks: dict[int, tuple[int, int, int, int, int]] = {}
 
     @functools.cached_property
     def zeros(self) -> np.ndarray:
@@ -122,18 +124,67 @@ class Value:
 
         return self.follow(self.pages, at, step)
 
+    def after_parts(self, at: int) -> tuple[int, bool]:
+        """The place after a GIF's extensions and images, and whether there is
+        an image; 0: they do not end.  Every part is passed once."""
+        b, passed = self.data, []
+        while at not in self.parts:
+            mark = b[at] if at < len(b) else -1
+            if mark == 0x3B:
+                self.parts[at] = (at + 1, False)
+                break
+            image = mark == 0x2C and at + 10 <= len(b)
+            passed.append((at, image))
+            if image:
+                at = self.after_blocks(at + 11 + (3 << (b[at + 9] & 7) + 1 if b[at + 9] & 128 else 0))
+            else:
+                at = self.after_blocks(at + 2) if mark == 0x21 else 0
+        end, images = self.parts[at]
+        for p, image in reversed(passed):
+            images |= image
+            self.parts[p] = (end, images)
+        return end, images
+
+    def chunk(self, at: int) -> tuple[int, int, int, int, int]:
+        """Of the RIFF chunk at a place: the next chunk's place, a place some
+        chunks on, the number of chunks from here on, and the places of the
+        next format and data chunks.  Places past the end stand for none.
+
+        Chains that meet go on alike, so every chunk is read once; the places
+        further on are spaced so that a search takes logarithmic time."""
+        b, chunks, passed, none = self.data, self.chunks, [], len(self.data) + 1
+        p = at
+        while p not in chunks:
+            if p + 8 > len(b):
+                chunks[p] = (none, none, 0, none, none)
+                break
+            n = struct.unpack_from("<I", b, p + 4)[0]
+            after = min(p + 8 + n + n % 2, none)
+            passed.append((p, after, b[p : p + 4] == b"fmt " and n >= 16, b[p : p + 4] == b"data"))
+            p = after
+        for p, after, fmt, data in reversed(passed):
+            _, far, depth, next_fmt, next_data = chunks[after]
+            _, further, far_depth, _, _ = chunks.get(far, (none, none, 0, none, none))
+            further_depth = chunks[further][2] if further in chunks else 0
+            jump = further if depth - far_depth == far_depth - further_depth else after
+            chunks[p] = (after, jump, depth + 1, p if fmt else next_fmt, p if data else next_data)
+        return chunks[at]
+
+    def reaches(self, at: int, end: int) -> bool:
+        """Whether the chain of chunks from ``at`` on has one that ends at ``end``."""
+        while at < end:
+            after, far, *_ = self.chunk(at)
+            at = far if far <= end else after
+        return at == end
+
 
 def _wav(b: bytes, at: int, value: Value) -> int:
     if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
         return 0
     end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
-    p, fmt, data = at + 12, False, False
-    while p + 8 <= end <= len(b):
-        n = struct.unpack_from("<I", b, p + 4)[0]
-        fmt |= b[p : p + 4] == b"fmt " and n >= 16
-        data |= b[p : p + 4] == b"data"
-        p += 8 + n + n % 2
-    return end - at if p == end and fmt and data else 0
+    if end > len(b) or max(value.chunk(at + 12)[3:]) >= end:
+        return 0
+    return end - at if value.reaches(at + 12, end) else 0
 
 
 def _bmp(b: bytes, at: int, value: Value) -> int:
@@ -173,23 +224,8 @@ def _png(b: bytes, at: int, value: Value) -> int:
 def _gif(b: bytes, at: int, value: Value) -> int:
     if len(b) < at + 14:
         return 0
-    p = at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0)
-    images = 0
-    while p < len(b):
-        mark = b[p]
-        if mark == 0x3B:
-            return p + 1 - at if images else 0
-        if mark == 0x21:
-            p += 2
-        elif mark == 0x2C and p + 10 <= len(b):
-            p += 11 + (3 << (b[p + 9] & 7) + 1 if b[p + 9] & 128 else 0)
-            images += 1
-        else:
-            return 0
-        p = value.after_blocks(p)
-        if not p:
-            return 0
-    return 0
+    end, images = value.after_parts(at + 13 + (3 << (b[at + 10] & 7) + 1 if b[at + 10] & 128 else 0))
+    return end - at if images else 0
 
 
 def _jpeg(b: bytes, at: int, value: Value) -> int:

@@ -6,6 +6,7 @@ import math
 import struct
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, components, lm, media, nearcopies, quality, sharding, simhash, toxicity
+from lodestone.llm import bloom, chat, common, components, lm, media, nearcopies, quality, sharding, simhash, toxicity
 
 from .data import ODD_TEXTS, SCHEMA, documents
 
@@ -108,20 +109,11 @@ def test_long_paths_and_empty_edges(spark):
     assert components.connected_components(path.where("a < 0")).count() == 0
 
 
-def test_one_of_each_group(docs):
-    kept = simhash.one_of_each_group(docs)
-    assert kept.columns == docs.columns
-    rows = simhash.near_duplicates(docs).collect()
-    with_id = {r.component_id for r in rows if r.component_id is not None}
-    got = [r.doc_id for r in kept.collect()]
-    assert len(got) == len(set(got)) and set(got) - {None} == with_id
-
-
 def test_one_row_of_each_group_with_null_and_repeated_ids(spark):
     a, b, c, d = ([f"{x}{i}" for i in range(60)] for x in "abcd")
     text = {x[0]: " ".join(x) for x in (a, b, c, d)}
     rows = [(None, text["a0"]), (None, text["b0"]), (None, text["b0"]), (7, text["c0"]), (7, text["d0"]), (9, text["d0"]), (None, text["c0"]), (7, text["c0"]), (None, None), (None, "")]
-    got = simhash.one_of_each_group(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)).collect()
+    got = nearcopies.one_of_each_group(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)).collect()
     assert Counter((r.doc_id, r.text or "") for r in got) == Counter([(None, text["a0"]), (None, text["b0"]), (7, text["c0"]), (7, text["d0"]), (None, "")])
 
 
@@ -141,12 +133,13 @@ def edited_texts(seed=11):
     return [*out, *out[:5], None, "", "one two", "One  two"]
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, nearcopies.BROADCAST_KEYS])
-def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch, broadcast_keys):
+@pytest.mark.parametrize("most_bits", [64, bloom.MOST_BITS])
+def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch, most_bits):
+    """Also where the filters let everything through."""
     import corpus_pipeline
 
     monkeypatch.setattr(nearcopies, "CELL", 8)
-    monkeypatch.setattr(nearcopies, "BROADCAST_KEYS", broadcast_keys)
+    monkeypatch.setattr(bloom, "MOST_BITS", most_bits)
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(edited_texts())]
     sets = []
     for _, t, *_ in rows:
@@ -161,8 +154,22 @@ def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch, broa
     plain = {i: plain_fingerprint(t) for i, t, *_ in rows}
     bits = plain_components(set(plain.values()))
     assert len(set(root)) < len({bits[f] for f in plain.values()})
-    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
-    assert sorted(got) == sorted(set(root))
+    table = spark.createDataFrame(rows, SCHEMA).withColumnsRenamed({"source": "key", "n_chars": "MAYBE"}).withColumn("root", F.col("doc_id") + 1)
+    kept = corpus_pipeline.drop_near_copies(spark, table, "")
+    assert kept.columns == table.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(got) == [(*rows[i], i + 1) for i in sorted(set(root))]
+    assert corpus_pipeline.drop_near_copies(spark, table.limit(0), "").count() == 0
+
+
+def test_steps_drop_their_tables(spark, tmp_path, monkeypatch):
+    """Near copies leave the shared folder less than what they read."""
+    made = []
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: made.append(f"{tmp_path}/{len(made)}") or f"file://{made[-1]}")
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(edited_texts())], SCHEMA)
+    assert nearcopies.one_of_each_group(rows).count() < rows.count()
+    left = [p for p in made if Path(p).exists()]
+    assert len(made) > 15 and len(left) == 1
 
 
 # --- media ---
@@ -220,6 +227,50 @@ def test_false_magics_take_one_scan():
         assert time.time() - began < 15, part
 
 
+@pytest.mark.parametrize("kind", ["wav", "gif"])
+def test_chains_of_false_headers_take_linear_time(kind):
+    """Headers within chunks of each other, as valid UTF-8 of 10 MB."""
+    import time
+
+    if kind == "wav":
+        one = b"RIFF\x7f\x7f\x7f\x00WAVEJUNK\x04\0\0\0" + b"JUNK\x0c\0\0\0"
+    else:
+        one = b"GIF89a\1\0\1\0\0\0\0!\1\3abc\0!\2\x0f"
+    text = one * (10_000_000 // len(one))
+    began = time.process_time()
+    assert media.find_media(text) == []
+    assert time.process_time() - began < 10
+
+
+def test_wav_and_gif_against_plain_walks():
+    rnd = np.random.default_rng(8)
+
+    def plain_wav(b, at):
+        if len(b) < at + 44 or b[at + 8 : at + 12] != b"WAVE":
+            return 0
+        end, p, seen = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), at + 12, set()
+        while p + 8 <= end <= len(b):
+            n = int.from_bytes(b[p + 4 : p + 8], "little")
+            seen.add(b[p : p + 4] if b[p : p + 4] != b"fmt " or n >= 16 else b"")
+            p += 8 + n + n % 2
+        return end - at if p == end and {b"fmt ", b"data"} <= seen else 0
+
+    found = 0
+    for _ in range(300):
+        parts = []
+        for _ in range(rnd.integers(2, 12)):
+            body = b"".join(k + int(n).to_bytes(4, "little") + bytes(int(n)) for k, n in zip(rnd.choice([b"fmt ", b"data", b"JUNK"], 4), rnd.choice([0, 2, 16, 18], 4), strict=True))
+            parts.append(b"RIFF" + (4 + len(body) + int(rnd.choice([0, 0, 1, 8, 40]))).to_bytes(4, "little") + b"WAVE" + body)
+        data = b"".join(parts)
+        value = media.Value(data)
+        for at in range(len(data)):
+            if data[at : at + 4] == b"RIFF":
+                want = plain_wav(data, at)
+                assert media._wav(data, at, value) == want
+                found += want > 0
+    assert found > 100
+
+
 def test_declared_types(spark):
     png = samples()["image/png"]
     rows = [(1, png, "image/jpeg"), (2, png, "image/png"), (3, b"plain", "text/plain"), (4, b"plain", "image/gif"), (5, None, "image/gif"), (6, b"", None), (7, b"head" + png, None)]

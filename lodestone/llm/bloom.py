@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +50,8 @@ def may_hold(spark: SparkSession, held: BloomFilter, hashes: Column) -> Column:
     """Whether a long may have been entered; only the longs go to Python."""
     shared = spark.sparkContext.broadcast(held)
 
-    @F.pandas_udf("boolean")
-    def probe(h: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.holds(h.to_numpy(np.int64).view(np.uint64)))
+    @F.arrow_udf("boolean")
+    def probe(h: pa.Array) -> pa.Array:
+        return pa.array(shared.value.holds(np.asarray(h).astype(np.int64).view(np.uint64)))
 
     return probe(hashes)

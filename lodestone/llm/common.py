@@ -22,7 +22,7 @@ STEP_BYTES = 4 << 20
 
 #: Bytes, at most, of the rows that the JVM hands to Python workers at a time,
 #: or one row; Spark's own bound is 64 MB, which both sides hold several times.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: The six ASCII white-space characters between words.
 WORD_SPACE = " \t\n\x0b\x0c\r"

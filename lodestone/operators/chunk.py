@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_bytes
+
 # --- fixed values: chunk sizes and separators ---
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 50
 SEPARATORS = ("\n\n", "\n", " ", "")
@@ -24,63 +29,73 @@ def markdown_sections(texts: DataFrame, key: str, text: str, strip_headers: bool
     level one to three; what stands before the first has level 0.  Sections of
     white space alone are dropped; ``####`` is no header.
 
-    Lines are exploded and numbered, each belongs to the last header above.
+    Each row is cut on its own, without a shuffle: the text is split at the
+    line breaks before headers.  Hence rows that share a key, or have none, are
+    numbered each from 0; null and empty texts have no sections.
+    """
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?= *#{1,3} +[^ \n])")
+
+    def section(part: Column) -> Column:
+        line = F.trim(F.element_at(F.split(part, "\n", 2), 1))
+        level = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
+        title = F.when(level > 0, F.trim(F.regexp_replace(line, r"^#{1,3} ", "")))
+        shown = F.when(level > 0, F.regexp_replace(part, r"^[^\n]*\n?", "")).otherwise(part) if strip_headers else part
+        return F.struct(level.alias("level"), title.alias("title"), shown.alias("content"))
+
+    kept = F.filter(F.transform(parts, section), lambda x: F.rlike(x["content"], F.lit(r"\S")))
+    return texts.select(F.col(key), F.posexplode(kept).alias("section", "s")).select(key, "section", "s.level", "s.title", "s.content")
+
+
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS, begin: int = 0, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """The chunks of a text, or of a part of it, as spans of offsets in order.
+
+    The offsets of all pieces between the first separator are found first.  A
+    chunk is then a run of pieces, and a binary search finds the last that it
+    can take.  In a first chunk, the last piece counts with a separator, in
+    later ones without.  These begin with those last pieces that fit into
+    ``overlap``, each counted with a separator, even where that makes them
+    longer than ``size``.  A piece that is too long by itself is cut at the next
+    separator, or at every ``size - overlap`` characters where there is none,
+    and shares nothing with its neighbours.
     """
-    lines = texts.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
-    mark = F.regexp_extract(F.trim("line"), r"^(#{1,3}) ", 1)
-    numbered = lines.withColumn("level", F.length(mark)).withColumn("part", F.sum(F.when(mark != "", 1).otherwise(0)).over(Window.partitionBy(key).orderBy("line_no")))
-    shown = F.when((F.col("level") > 0) & F.lit(strip_headers), None).otherwise(F.struct("line_no", "line"))
-    title = F.max(F.when(F.col("level") > 0, F.trim(F.regexp_replace(F.trim("line"), r"^#{1,3} ", ""))))
-    grouped = numbered.groupBy(key, "part").agg(F.max("level").alias("level"), title.alias("title"), F.array_sort(F.collect_list(shown)).alias("lines"))
-    joined = grouped.withColumn("content", F.array_join(F.col("lines.line"), "\n")).where(F.rlike("content", F.lit(r"\S")))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("part")) - 1
-    return joined.select(key, number.alias("section"), "level", "title", "content")
-
-
-def split_recursively(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most ``size`` characters, cut at the coarsest separator
-    that serves; whole trailing pieces of up to ``overlap`` characters are
-    repeated at the start of the next chunk."""
-    if len(text) <= size:
-        return [text] if text.strip() else []
-    sep = next((s for s in separators if s in text), "")
-    finer = separators[separators.index(sep) + 1 :] if sep in separators else ()
-    out: list[str] = []
-    held: list[str] = []
-    length = 0
-    for piece in text.split(sep) if sep else list(text):
-        cost = len(piece) + len(sep)
-        if len(piece) > size and finer:
-            if held:
-                out.append(sep.join(held))
-                held, length = [], 0
-            out += split_recursively(piece, size, overlap, finer)
-            continue
-        if held and length + cost > size:
-            out.append(sep.join(held))
-            while held and length > overlap:
-                length -= len(held.pop(0)) + len(sep)
-            if length + cost > size:
-                held, length = [], 0
-        held.append(piece)
-        length += cost
-    if held:
-        out.append(sep.join(held))
-    return [x for x in out if x.strip()]
+    end = len(text) if end is None else end
+    if end - begin <= size:
+        if end > begin:
+            yield begin, end
+        return
+    if not separators:
+        yield from ((i, min(i + size, end)) for i in range(begin, end, max(1, size - overlap)))
+        return
+    sep, n = separators[0], len(separators[0])
+    if n:
+        at = [m.start() for m in re.compile(re.escape(sep)).finditer(text, begin, end)]
+        starts, ends = [begin, *(x + n for x in at)], [*at, end]
+        long = [k for k, (x, y) in enumerate(zip(starts, ends, strict=True)) if y - x + n > size]
+    else:
+        starts, ends, long = range(begin, end), range(begin + 1, end + 1), []
+    new = 0  # the first piece that no chunk has had
+    for stop in (*long, len(starts)):
+        first, extra = new, n
+        while new < stop:
+            after = max(new + 1, bisect.bisect_right(ends, starts[first] + size - extra, new, stop))
+            yield starts[first], ends[after - 1]
+            new, extra = after, 0
+            first = bisect.bisect_left(starts, ends[after - 1] + n - overlap, first, after) if overlap else after
+        if stop < len(starts):
+            yield from chunk_spans(text, size, overlap, separators[1:], starts[stop], ends[stop])
+        new = stop + 1
 
 
 def recursive_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """``key, chunk_index, total_chunks, content`` by ``split_recursively``."""
+    """``key, chunk_index, total_chunks, content`` by ``chunk_spans``; chunks of
+    white space alone are dropped.  Null and empty texts have none; rows that
+    share a key are cut each on its own."""
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            keys, found = [], []
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                pieces = split_recursively(t or "", size, overlap)
-                keys.append(k)
-                found.append(pieces)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(found, pa.list_(pa.string()))], [key, "pieces"])
+        for batch in by_bytes(batches, text):
+            found = [[t[a:b] for a, b in chunk_spans(t, size, overlap) if not t[a:b].isspace()] if t else [] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "pieces"])
 
     split = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
     return split.select(key, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select(key, "chunk_index", "total_chunks", "content")
@@ -96,14 +111,24 @@ def hybrid_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SIZE,
 def header_sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     """``key, depth, title, start_line, end_line, content``: the text from each
     header of level two to six to the next; what stands before the first is
-    left out.  Lines count from 1."""
-    lines = texts.select(F.col(key), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
-    head = F.rlike("line", F.lit(SECTION_HEADER))
-    parts = lines.withColumn("part", F.sum(head.cast("int")).over(Window.partitionBy(key).orderBy("n"))).where("part > 0")
-    title = F.trim(F.regexp_extract("line", SECTION_HEADER, 2))
-    ordered = F.array_sort(F.collect_list(F.struct("n", "line")))
-    grouped = parts.groupBy(key, "part").agg(F.min_by(F.length(F.regexp_extract("line", SECTION_HEADER, 1)), "n").alias("depth"), F.min_by(title, "n").alias("title"), F.min("n").alias("start_line"), F.max("n").alias("end_line"), ordered.alias("lines"))
-    return grouped.select(key, "depth", "title", "start_line", "end_line", F.array_join("lines.line", "\n").alias("content"))
+    left out.  Lines count from 1.
+
+    Each row is cut on its own, without a shuffle, so that rows which share a
+    key, or have none, do not mix; null and empty texts have no sections.  Only
+    the sections' numbers of lines go to Python, to be added up.
+    """
+
+    @F.pandas_udf("array<int>")
+    def added_up(sizes: pd.Series) -> pd.Series:
+        return sizes.map(lambda x: np.cumsum(x).tolist())
+
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?=#{2,6}[^\S\n]+[^\n])")
+    cut = texts.select(F.col(key), parts.alias("p")).withColumn("upto", added_up(F.transform("p", lambda x: F.size(F.split(x, "\n")))))
+    rows = cut.select(key, F.explode(F.arrays_zip("p", "upto")).alias("x")).select(key, F.col("x.p").alias("content"), F.col("x.upto").alias("end_line"))
+    first = F.element_at(F.split("content", "\n", 2), 1)
+    head = lambda k: F.regexp_extract(first, SECTION_HEADER, k)
+    found = rows.where(F.rlike(first, F.lit(SECTION_HEADER)))
+    return found.select(key, F.length(head(1)).alias("depth"), F.trim(head(2)).alias("title"), (F.col("end_line") - F.size(F.split("content", "\n")) + 1).alias("start_line"), "end_line", "content")
 
 
 def groups_of_small(lengths: list[int], least: int = LEAST_TOKENS, most: int = MOST_TOKENS) -> list[int]:
@@ -167,12 +192,13 @@ def heading_chunks(texts: DataFrame, key: str, text: str, size: int = HEADING_CH
 
 def properties_sections(files: DataFrame, key: str, text: str) -> DataFrame:
     """The entries of .properties files grouped by their prefix before the
-    first full stop: ``key, prefix, n_keys, keys, content``."""
-    lines = files.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
+    first full stop: ``key, prefix, n_keys, keys, content``.  Rows that share a
+    key, or have none, are grouped each on its own; null texts have no entry."""
+    lines = files.select(key, F.monotonically_increasing_id().alias("row__"), F.col(text)).select(key, "row__", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line")).withColumn("line", F.trim("line"))
     entries = lines.where(F.contains("line", F.lit("=")) & ~F.rlike("line", F.lit("^[#!]"))).withColumn("name", F.trim(F.split("line", "=", 2)[0]))
     prefix = F.split("name", r"\.", 2)[0]
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "name", "line")))
-    grouped = entries.groupBy(key, prefix.alias("prefix")).agg(ordered.alias("e"))
+    grouped = entries.groupBy(key, "row__", prefix.alias("prefix")).agg(ordered.alias("e"))
     return grouped.select(key, "prefix", F.size("e").alias("n_keys"), F.col("e.name").alias("keys"), F.array_join(F.col("e.line"), "\n").alias("content"))
 
 
@@ -227,7 +253,7 @@ def config_sections(files: DataFrame, key: str, text: str, kind: str) -> DataFra
     item = pa.list_(pa.struct([("path", pa.string()), ("keys", pa.list_(pa.string())), ("depth", pa.int32()), ("oversized", pa.bool_()), ("content", pa.string())]))
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             keys, texts, kinds = (batch.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([parse_config(t or "", k) for t, k in zip(texts, kinds, strict=True)], item)], [key, "s"])
 

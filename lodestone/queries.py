@@ -385,22 +385,28 @@ def reference_extraction(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", F.array_join(T.env_references(html), ",").alias("env"), F.size(refs).alias("n_classes"))
 
 
-@query("""WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)
-SELECT doc_id, 1 + length(substr(text, 1, instr(text, substr(text, 101, 80)) - 1)) - length(replace(substr(text, 1, instr(text, substr(text, 101, 80)) - 1), chr(10), '')) AS start_line,
- floor(length(text) / 4)::INTEGER AS estimate, len(list_filter(l[2:], lambda y: regexp_matches(y, 'return|=|await|raise|yield'))) AS n_key_lines
-FROM x WHERE length(text) > 100""")
+@query(r"""WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, text, unnest(l) AS line, unnest(range(len(l))) AS no FROM rows),
+parts AS (SELECT *, sum((regexp_extract(trim(line), '^(#{1,3}) ', 1) <> '')::INT) OVER (PARTITION BY rid ORDER BY no) AS part FROM lines),
+chunk AS (SELECT rid, doc_id, part, any_value(text) AS text, string_agg(line, chr(10) ORDER BY no) AS content FROM parts GROUP BY 1, 2, 3),
+placed AS (SELECT *, 1 + length(left(text, instr(text, content) - 1)) - length(replace(left(text, instr(text, content) - 1), chr(10), '')) AS first, string_split(content, chr(10)) AS l FROM chunk WHERE regexp_matches(content, '\S'))
+SELECT doc_id, first AS start_line, first + len(l) - 1 AS end_line, floor(length(content) / 4)::INTEGER AS estimate,
+ len(list_filter(l[2:], lambda y: regexp_matches(y, 'return|=|await|raise|yield'))) AS n_key_lines FROM placed""")
 def chunk_places(spark, sf_dir):
-    text = F.col("text")
-    place = T.chunk_lines(text, F.substring(text, 101, 80))
-    later = F.filter(F.slice(F.split(text, "\n"), 2, F.size(F.split(text, "\n"))), lambda x: F.rlike(x, F.lit("return|=|await|raise|yield")))
-    return _read(spark, sf_dir, "documents").where(F.length("text") > 100).select("doc_id", place["start_line"].alias("start_line"), T.token_estimate(text).alias("estimate"), F.size(later).alias("n_key_lines"))
+    """The lines of every section in its document."""
+    docs = _read(spark, sf_dir, "documents").select("text", F.struct("doc_id", "text").alias("doc"))
+    found = chunk.markdown_sections(docs, "doc", "text").withColumn("lines", F.split("content", "\n"))
+    place = T.chunk_lines(F.col("doc.text"), F.col("content"))
+    later = F.filter(F.slice("lines", 2, F.greatest(F.size("lines"), F.lit(1))), lambda x: F.rlike(x, F.lit("return|=|await|raise|yield")))
+    return found.select("doc.doc_id", place["start_line"].cast("long").alias("start_line"), place["end_line"].cast("long").alias("end_line"), T.token_estimate(F.col("content")).alias("estimate"), F.size(later).cast("long").alias("n_key_lines"))
 
 
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS no FROM documents),
+@query(r"""WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(len(l))) AS no FROM rows),
 marked AS (SELECT *, length(regexp_extract(trim(line), '^(#{1,3}) ', 1)) AS level FROM lines),
-parts AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY doc_id ORDER BY no) AS part FROM marked),
-joined AS (SELECT doc_id, part, max(level) AS level, string_agg(line, chr(10) ORDER BY no) AS content FROM parts GROUP BY 1, 2)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS section, level, md5(content) AS content_md5 FROM joined WHERE regexp_matches(content, '\S')""")
+parts AS (SELECT *, sum((level > 0)::INT) OVER (PARTITION BY rid ORDER BY no) AS part FROM marked),
+joined AS (SELECT rid, doc_id, part, max(level) AS level, string_agg(line, chr(10) ORDER BY no) AS content FROM parts GROUP BY 1, 2, 3)
+SELECT doc_id, row_number() OVER (PARTITION BY rid ORDER BY part) - 1 AS section, level, md5(content) AS content_md5 FROM joined WHERE regexp_matches(content, '\S')""")
 def markdown_sections(spark, sf_dir):
     found = chunk.markdown_sections(_read(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("doc_id", F.col("section").cast("long").alias("section"), F.col("level").cast("long").alias("level"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
@@ -421,10 +427,11 @@ def translation_codes(spark, sf_dir):
 # --- Markdown headers, config references, offsets (C3, C5, X24, X39) ---
 
 
-@query(r"""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM (SELECT doc_id, replace(replace(text, '. ', chr(10) || '## '), ', ', chr(10) || '#### ') AS text FROM documents)),
-parts AS (SELECT *, sum(regexp_matches(line, '^(#{2,6})\s+(.+)$')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM lines)
+@query(r"""WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, string_split(replace(replace(text, '. ', chr(10) || '## '), ', ', chr(10) || '#### '), chr(10)) AS l FROM documents),
+lines AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM rows),
+parts AS (SELECT *, sum(regexp_matches(line, '^(#{2,6})\s+(.+)$')::INT) OVER (PARTITION BY rid ORDER BY n) AS part FROM lines)
 SELECT doc_id, length(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 1)) AS depth, trim(regexp_extract(arg_min(line, n), '^(#{2,6})\s+(.+)$', 2)) AS title, min(n) AS start_line, max(n) AS end_line,
- md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM parts WHERE part > 0 GROUP BY doc_id, part""")
+ md5(string_agg(line, chr(10) ORDER BY n)) AS content_md5 FROM parts WHERE part > 0 GROUP BY rid, doc_id, part""")
 def header_sections(spark, sf_dir):
     """Over the documents with each sentence and clause made a header."""
     docs = _read(spark, sf_dir, "documents").withColumn("text", F.replace(F.replace("text", F.lit(". "), F.lit("\n## ")), F.lit(", "), F.lit("\n#### ")))

@@ -62,6 +62,14 @@ def ignored(path: Column, patterns: list[str] | tuple[str, ...]) -> Column:
     return out
 
 
+def included(path: Column, patterns: list[str] | tuple[str, ...]) -> Column:
+    """Whether one of the patterns, read like those of an ignore file, matches."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | F.rlike(path, F.lit(pattern_regex(p)))
+    return out
+
+
 def file_kind(path: Column) -> Column:
     extension = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
     return (
@@ -71,35 +79,44 @@ def file_kind(path: Column) -> Column:
     )
 
 
-def scan(spark: SparkSession, root: str, ignores: list[str] | tuple[str, ...] = (), max_mb: float = 10.0, languages: tuple[str, ...] | None = None) -> DataFrame:
+def scan(spark: SparkSession, root: str, ignores: list[str] | tuple[str, ...] = (), max_mb: float = 10.0, languages: tuple[str, ...] | None = None, includes: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """``file_path`` (relative), ``kind``, ``language``, ``size``, ``content``
     of all files that are supported, not ignored and not too large.
 
-    Paths and sizes are listed and filtered first, without content; only the
-    files that are left are read.  A file that is not UTF-8 has a replacement
-    character for each byte that is not."""
+    Paths and sizes are listed and filtered first, without content; tasks then
+    open the files that are left below the root's own store, so that a name may
+    hold any character.  A file that is not UTF-8 has a replacement character
+    for each byte that is not.  A file is handed on by itself, which bounds what
+    a task holds to one file of ``max_mb``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://", 1)[-1].split(":", 1)[-1].lstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^" + re.escape(base) + "/", "")
-    rows = files.select("path", relative.alias("file_path"), F.col("length").alias("size"))
+    base = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = store.makeQualified(base).toString().rstrip("/") + "/"
+    # Spark's path is the qualified one, as an unencoded text
+    relative = F.when(F.startswith("path", F.lit(top)), F.substr("path", F.lit(len(top) + 1))).otherwise(F.regexp_replace(F.regexp_replace("path", r"^\w+:/*", ""), "^" + re.escape(re.sub(r"^\w+:/*", "", top)), ""))
+    rows = files.select(relative.alias("file_path"), F.col("length").alias("size"))
     rows = rows.where(F.col("size") <= int(max_mb * (1 << 20))).where(~ignored(F.col("file_path"), [*DEFAULT_IGNORES, *ignores]))
+    if includes:
+        rows = rows.where(included(F.col("file_path"), includes))
     rows = rows.withColumn("kind", file_kind(F.col("file_path"))).where("kind is not null").withColumn("language", language_of(F.col("file_path")))
     if languages:
         rows = rows.where((F.col("kind") != "code") | F.col("language").isin(*languages))
     # the reader has no filter on paths, so that tasks read the files left by the store's own interface
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    uri = store.getUri().toString()
+    place = base.toUri().getPath().rstrip("/")
 
     def read(batches):
+        opened = pafs.LocalFileSystem() if uri.startswith("file:") else pafs.FileSystem.from_uri(uri + "/")[0]
         for batch in batches:
-            paths = batch.column(batch.schema.get_field_index("path")).to_pylist()
+            paths = batch.column(batch.schema.get_field_index("file_path")).to_pylist()
             for i, path in enumerate(paths):
-                store, place = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                with store.open_input_stream(place) as data:
+                with opened.open_input_stream(f"{place}/{path}") as data:
                     text = data.read().decode("utf-8", "replace")
                 one = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*[one.column(one.schema.get_field_index(c)) for c in ("file_path", "kind", "language", "size")], pa.array([text])], ["file_path", "kind", "language", "size", "content"])
 
-    return rows.repartition(n, "path").mapInArrow(read, "file_path string, kind string, language string, size long, content string")
+    return rows.repartition(n, "file_path").mapInArrow(read, "file_path string, kind string, language string, size long, content string")
 
 
 def statistics(files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The search engine's queries against SQL, and its parts on small inputs."""
 
 import json
+import random
 import time
 
 import pytest
@@ -26,15 +27,77 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_chunks_cover_the_text(spark):
     rows = QUERIES["recursive_chunks"](spark, SF)
-    assert rows.where(F.length("content") > chunk.CHUNK_SIZE).count() == 0
+    assert rows.where(F.length("content") > chunk.CHUNK_SIZE + chunk.CHUNK_OVERLAP).count() == 0
     assert rows.groupBy("doc_id").agg(F.max("chunk_index").alias("m"), F.max("total_chunks").alias("t"), F.count("*").alias("n")).where("m + 1 <> t or n <> t").count() == 0
 
 
+def pieces(text, *args):
+    return [text[a:b] for a, b in chunk.chunk_spans(text, *args)]
+
+
 def test_recursive_split():
-    assert chunk.split_recursively("a" * 100, 50, 10) == ["a" * 50, "a" * 50, "a" * 20]  # each begins with the last ten of the one before
-    assert chunk.split_recursively("one two three", 8, 0) == ["one two", "three"]
-    assert chunk.split_recursively(" \n ", 2) == [] and chunk.split_recursively("", 5) == []
-    assert chunk.split_recursively("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+    assert pieces("a" * 100, 50, 10) == ["a" * 50, "a" * 50, "a" * 20]  # each begins with the last ten of the one before
+    assert pieces("one two three", 8, 0) == ["one two", "three"]
+    assert pieces("", 5) == [] and pieces("abcdefgh", 3, 1, ()) == ["abc", "cde", "efg", "gh"]
+    assert pieces("aa bb cc dd", 6, 3) == ["aa bb", "bb cc", "cc dd"]
+
+
+def piece_by_piece(text, size, overlap, separators):
+    """The stated rule, one piece after the other."""
+    if len(text) <= size or not separators:
+        return [text[i : i + size] for i in range(0, len(text), max(1, size - overlap) if len(text) > size else size)]
+    sep, out, held, fresh = separators[0], [], [], True
+
+    def close():
+        if held:
+            out.append(sep.join(held))
+
+    for piece in text.split(sep) if sep else text:
+        if len(piece) + len(sep) > size:
+            close()
+            held, fresh = [], True
+            out += piece_by_piece(piece, size, overlap, separators[1:])
+            continue
+        if held and len(sep.join([*held, piece])) + len(sep) * fresh > size:
+            close()
+            while held and sum(len(x) + len(sep) for x in held) > overlap:
+                held = held[1:]
+            if not overlap:
+                held = []
+            fresh = False
+        held = [*held, piece]
+    close()
+    return out
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(10, 0), (10, 4), (25, 12), (60, 20), (7, 6)])
+def test_recursive_split_against_pieces(size, overlap):
+    rnd = random.Random(size)
+    for _ in range(150):
+        text = "".join(rnd.choice(("a", "bb", "word", "x" * 12, " ", " ", "\n", "\n\n")) for _ in range(rnd.randint(0, 60)))
+        assert pieces(text, size, overlap) == piece_by_piece(text, size, overlap, chunk.SEPARATORS), text
+
+
+def test_rows_that_share_an_id_do_not_mix(spark):
+    docs = spark.createDataFrame([(1, "# A\nx"), (1, "# B\ny"), (None, "## C\nz"), (None, "## D\n\n## E f\nw"), (2, None), (3, "")], "id long, text string")
+    got = sorted((r.id or 0, r.section, r.level, r.title or "", r.content) for r in chunk.markdown_sections(docs, "id", "text").collect())
+    assert got == [(0, 0, 2, "C", "## C\nz"), (0, 0, 2, "D", "## D\n"), (0, 1, 2, "E f", "## E f\nw"), (1, 0, 1, "A", "# A\nx"), (1, 0, 1, "B", "# B\ny")]
+    bare = [r.content for r in chunk.markdown_sections(docs.where("id = 1"), "id", "text", strip_headers=True).collect()]
+    assert sorted(bare) == ["x", "y"]
+    heads = sorted((r.id or 0, r.depth, r.title, r.start_line, r.end_line, r.content) for r in chunk.header_sections(docs, "id", "text").collect())
+    assert heads == [(0, 2, "C", 1, 2, "## C\nz"), (0, 2, "D", 1, 2, "## D\n"), (0, 2, "E f", 3, 4, "## E f\nw")]
+    entries = spark.createDataFrame([("f", "a.x=1\na.y=2"), ("f", "a.x=3")], "id string, text string")
+    assert sorted(r.content for r in chunk.properties_sections(entries, "id", "text").collect()) == ["a.x=1\na.y=2", "a.x=3"]
+
+
+def test_file_names_of_any_kind(spark, tmp_path):
+    names = ["a b.py", "c#d.py", "e[1].py", "f%20g.py", "ü.py", "h?i.py", "j+k&l.py", "dir x#/m:n.py"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    assert {r.file_path: r.content for r in files.scan(spark, str(tmp_path)).collect()} == {n: n for n in names}
+    assert {r.file_path for r in files.scan(spark, f"file://{tmp_path}", includes=["*.py", "!x"], ignores=["c*"]).collect()} == set(names) - {"c#d.py"}
+    assert {r.file_path for r in files.scan(spark, str(tmp_path), includes=["dir*/"]).collect()} == {"dir x#/m:n.py"}
 
 
 def one(spark, value, make):

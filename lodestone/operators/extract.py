@@ -8,12 +8,17 @@ relates files is left to joins (see ``graph``).
 from __future__ import annotations
 
 import ast
+import bisect
+import io
+import keyword
 import re
+import tokenize
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import by_bytes
 from ..functions.text import object_id
 
 _DECISIONS = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.BoolOp, ast.IfExp, ast.comprehension, ast.match_case)
@@ -25,6 +30,11 @@ _IMPORT = re.compile(r"^\s*import\s+(?:static\s+)?(?:[^'\";]*?from\s+)?['\"]?([\
 _CALL = re.compile(r"\b(\w+)\s*\(")
 # --- fixed values: words that look like calls or methods ---
 NOT_CALLS = frozenset("if for while switch catch return new function fun super when do else try".split())
+SCRIPT_WORDS = frozenset(
+    """abstract as async await break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if
+    implements import in instanceof interface let new null of private protected public readonly return set static super switch this throw true try type typeof undefined
+    var void while with yield any boolean never number object string symbol unknown constructor""".split()
+)
 # --- end of fixed values ---
 
 
@@ -130,23 +140,153 @@ def _close(row: dict, end: int, lines: list[str], source: list[str]) -> None:
     row["nesting"] = max(0, most - 1)
 
 
+def _capture(kind, name, line, scope):
+    return {"kind": kind, "name": name, "line": line, "scope_name": scope[0], "scope_line": scope[1]}
+
+
+def python_captures(text: str) -> list[dict]:
+    """Names that a Python file uses, each with the definition around it.
+
+    A name before a parenthesis is called, unless it follows a full stop; every
+    other name is a reference; the bases of a class are extended.  What no
+    function or class encloses is left out, as it has no source.
+    """
+    try:
+        tree = ast.parse(text)
+        tokens = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type in (tokenize.NAME, tokenize.OP)]
+    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+        return []
+    lines = text.split("\n")
+    place = lambda line, column: (line, len(lines[line - 1].encode()[:column].decode("utf-8", "ignore")))
+    nodes = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
+    scopes = sorted((place(n.lineno, n.col_offset), place(n.end_lineno, n.end_col_offset), n.name) for n in nodes)
+    out = [_capture("EXTENDS", ast.unparse(b), b.lineno, (n.name, n.lineno)) for n in nodes if isinstance(n, ast.ClassDef) for b in n.bases if isinstance(b, (ast.Name, ast.Attribute))]
+    open_, k = [], 0
+    for i, t in enumerate(tokens):
+        while k < len(scopes) and scopes[k][0] <= t.start:
+            open_.append(scopes[k])
+            k += 1
+        while open_ and open_[-1][1] <= t.start:
+            open_.pop()
+        if t.type != tokenize.NAME or keyword.iskeyword(t.string) or not open_:
+            continue
+        before, after = tokens[i - 1].string if i else "", tokens[i + 1].string if i + 1 < len(tokens) else ""
+        called = after == "(" and before not in (".", "def", "class")
+        out.append(_capture("CALLS" if called else "REFERENCES", t.string, t.start[0], (open_[-1][2], open_[-1][0][0])))
+    return out
+
+
+def script_captures(text: str) -> list[dict]:
+    """The same for JavaScript and TypeScript.  Property names, keys of objects
+    and implemented types are no references; a called member is none either."""
+    plain = _blank(text)
+    ends = [m.start() for m in re.finditer("\n", plain)]
+    tokens = [(m[0], m.start()) for m in re.finditer(r"[A-Za-z_$][\w$]*|=>|[^\s\w]", plain)]
+    out: list[dict] = []
+    stack: list[tuple[str, int, bool] | None] = []  # (name, line, whether a class) of open braces
+    pending: tuple[str, int, bool] | None = None
+    parens = outer = angles = 0
+    listed = ""
+    for i, (t, at) in enumerate(tokens):
+        before, after = tokens[i - 1][0] if i else "", tokens[i + 1][0] if i + 1 < len(tokens) else ""
+        line = bisect.bisect_left(ends, at) + 1
+        scope = pending or next((s for s in reversed(stack) if s), None)
+        if t == "{":
+            stack.append(pending if parens == outer else None)
+            pending, listed = (None, "") if parens == outer else (pending, listed)
+        elif t == "}":
+            if stack:
+                stack.pop()
+        elif t in "()":
+            parens += 1 if t == "(" else -1
+        elif t == ";" and parens == outer:
+            pending, listed = None, ""
+        elif listed and t in "<>":
+            angles += 1 if t == "<" else -1
+        elif not re.match(r"[A-Za-z_$]", t):
+            continue
+        elif t in ("class", "function") and re.match(r"[A-Za-z_$*]", after) and before != ".":
+            name = tokens[i + 2][0] if after == "*" and i + 2 < len(tokens) else after
+            pending, outer, listed, angles = (name, line, t == "class"), parens, "", 0
+        elif pending and pending[2] and t in ("extends", "implements"):
+            listed, angles = t.upper(), 0
+        elif listed == "IMPLEMENTS":
+            if not angles and before != ".":
+                out.append(_capture(listed, t, line, pending))
+        elif stack and stack[-1] and stack[-1][2] and not pending and after == "(" and before != "." and t not in ("if", "for", "while", "switch", "catch", "return", "new"):
+            pending, outer = (t, line, False), parens
+        elif t in SCRIPT_WORDS or before == "." or not scope or before in "{," and after == ":":
+            continue
+        else:
+            if listed == "EXTENDS" and not angles:
+                out.append(_capture(listed, t, line, pending))
+                if after != ".":
+                    listed = ""
+            named = before in ("new", "function") or before == "*" and i > 1 and tokens[i - 2][0] == "function"
+            out.append(_capture("CALLS" if after == "(" and not named else "REFERENCES", t, line, scope[:2]))
+    return out
+
+
+def heritage_captures(text: str, language: str) -> list[dict]:
+    """Of Java and Kotlin, the types that classes implement; Kotlin's super
+    type with a call of its constructor is extended, as is Java's."""
+    plain, out = _blank(text), []
+    for m in re.finditer(r"\b(?:class|interface)\s+(\w+)", plain):
+        rest, scope = plain[m.end() :].split("{", 1)[0], (m[1], plain.count("\n", 0, m.start()) + 1)
+        line = lambda at, m=m: plain.count("\n", 0, m.end() + at) + 1
+        if language == "kotlin":
+            depth, start, rest = 0, None, rest.replace("->", "  ")
+            for at, c in enumerate(rest):
+                if c in "(<)>":
+                    depth += 1 if c in "(<" else -1
+                elif c == ":" and not depth and start is None:
+                    start = at + 1
+                elif c == "\n" and not depth and not re.search(r"[,:(]\s*$", rest[:at]) and not re.match(r"\s*[,:]", rest[at:]):
+                    rest = rest[:at]
+                    break
+            for x in re.finditer(r"([\w.]+)\s*(<[^()]*?>)?\s*(\()?[^,]*(?:,|$)", rest[start:]) if start else ():
+                out.append(_capture("EXTENDS" if x[3] else "IMPLEMENTS", x[1], line(start + x.start(1)), scope))
+        else:
+            while (flat := re.sub(r"<[^<>]*>", lambda x: re.sub(r"[^\n]", " ", x[0]), rest)) != rest:
+                rest = flat
+            for x in re.finditer(r"\b(extends|implements)\s+((?:[\w.]+\s*,\s*)*[\w.]+)", rest):
+                out += [_capture(x[1].upper(), n[0], line(x.start(2) + n.start()), scope) for n in re.finditer(r"[\w.]+", x[2])]
+    return out
+
+
+def captures_of(text: str, language: str) -> list[dict]:
+    if language == "python":
+        return python_captures(text)
+    return script_captures(text) if language in ("javascript", "typescript") else heritage_captures(text, language)
+
+
+CAPTURE = pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("scope_name", pa.string()), ("scope_line", pa.int32())])
+
+
 ITEM = pa.struct([("object_type", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("parent_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("docstring", pa.string()), ("signature", pa.string()), ("content", pa.string()), ("calls", pa.list_(pa.string())), ("cyclomatic", pa.int32()), ("nesting", pa.int32())])
-SCHEMA = "file_path string, language string, objects array<struct<object_type: string, name: string, qualified_name: string, parent_name: string, start_line: int, end_line: int, docstring: string, signature: string, content: string, calls: array<string>, cyclomatic: int, nesting: int>>, imports array<string>"
+SCHEMA = "file_path string, language string, objects array<struct<object_type: string, name: string, qualified_name: string, parent_name: string, start_line: int, end_line: int, docstring: string, signature: string, content: string, calls: array<string>, cyclomatic: int, nesting: int>>, imports array<string>, captures array<struct<kind: string, name: string, line: int, scope_name: string, scope_line: int>>"
 
 
 def extract(files: DataFrame) -> DataFrame:
-    """``file_path, language, objects, imports`` of code files (``file_path,
-    language, content``)."""
+    """``file_path, language, objects, imports, captures`` of code files
+    (``file_path, language, content``); null content counts as empty."""
 
     def run(batches):
-        for batch in batches:
-            paths, languages, texts = (c.to_pylist() for c in batch.columns)
+        for batch in by_bytes(batches, "content"):
+            _, languages, texts = (c.to_pylist() for c in batch.columns)
             found = [(python_objects(t or "") if g == "python" else brace_objects(t or "", g)) for g, t in zip(languages, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(ITEM)), pa.array([x for _, x in found], pa.list_(pa.string()))], ["file_path", "language", "objects", "imports"])
+            used = [captures_of(t or "", g) for g, t in zip(languages, texts, strict=True)]
+            columns = [batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.list_(ITEM)), pa.array([x for _, x in found], pa.list_(pa.string())), pa.array(used, pa.list_(CAPTURE))]
+            yield pa.RecordBatch.from_arrays(columns, ["file_path", "language", "objects", "imports", "captures"])
 
     return files.select("file_path", "language", "content").mapInArrow(run, SCHEMA)
 
 
+def captures(extracted: DataFrame) -> DataFrame:
+    """A row per capture, for ``graph.capture_edges``."""
+    return extracted.select("file_path", F.explode("captures").alias("c")).select("file_path", "c.*")
+
+
 def objects(extracted: DataFrame) -> DataFrame:
     """A row per object with its id, order in the project and parent's id."""
     rows = extracted.select("file_path", "language", F.posexplode("objects").alias("n", "o")).select("file_path", "language", "n", "o.*")

@@ -64,17 +64,80 @@ def direct_callers(edges: DataFrame) -> DataFrame:
     return edges.where(F.upper("relation_type") == "CALLS").groupBy(F.col("target_id").alias("id")).agg(F.count_distinct("source_id").alias("direct_callers"))
 
 
+#: Lines of a block within which a capture is compared with every object.
+BLOCK_LINES = 64
+
+
+def _with_nearest(captures: DataFrame, objects: DataFrame) -> DataFrame:
+    """``captures`` (file_path, name, line, source_line and more) with
+    ``target_id``, ``distance`` and ``n_targets`` (objects of file and name).
+
+    An as-of join without pairs.  Objects of one line count by their first.  A
+    file and name's lines are cut into blocks; a block has at most one object a
+    line, and is handed the nearest object before and after it by a window over
+    blocks.  So every capture meets one row of bounded size, and a name that
+    very many captures have is an ordinary hot key of an equi-join whose other
+    side is unique.
+    """
+    key = ["file_path", "name"]
+    block = lambda line: F.floor(F.col(line) / BLOCK_LINES).alias("block")
+    first = objects.groupBy(*key).agg(F.min_by(F.struct("id", "ordinal"), "ordinal").alias("first"), F.count_distinct("id").alias("n_targets"))
+    # the first object counts from the capture's own source, wherever it stands itself
+    later = objects.join(first.select(*key, F.col("first.ordinal").alias("o__")), key).where("ordinal > o__").groupBy(*key, "start_line").agg(F.min("ordinal").alias("ordinal"), F.min_by("id", "ordinal").alias("id"))
+    item = F.struct("start_line", "ordinal", "id")
+    none = F.lit(None).cast(later.select(item.alias("i")).schema["i"].dataType)
+    held = later.select(*key, block("start_line"), item.alias("item")).unionByName(captures.select(*key, block("line")).distinct().withColumn("item", none))
+    blocks = held.groupBy(*key, "block").agg(F.collect_list("item").alias("items"))
+    near = Window.partitionBy(*key).orderBy("block")
+    before = F.last(F.when(F.size("items") > 0, F.array_max("items")), ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(F.size("items") > 0, F.array_min("items")), ignorenulls=True).over(near.rowsBetween(1, Window.unboundedFollowing))
+    blocks = blocks.withColumns({"before": before, "after": after}).join(first, key)
+    met = captures.withColumn("block", block("line")).join(blocks, [*key, "block"])
+    far = lambda x: F.struct(F.abs(x["start_line"] - F.col("line")).alias("distance"), x["ordinal"].alias("ordinal"), x["id"].alias("id"))
+    own = F.struct(F.abs(F.col("source_line") - F.col("line")).alias("distance"), F.col("first.ordinal").alias("ordinal"), F.col("first.id").alias("id"))
+    others = F.transform(F.array_compact(F.concat("items", F.array("before", "after"))), far)
+    best = F.array_min(F.concat(F.array(own), others))
+    return met.withColumn("best", best).select(*captures.columns, F.col("best.id").alias("target_id"), F.col("best.distance").alias("distance"), "n_targets")
+
+
 def nearest_target(captures: DataFrame, objects: DataFrame) -> DataFrame:
     """The object that a captured name means: among those of the same file and
     name, the nearest by line.  The first candidate counts with the distance
     of the capture's own source; a later one must be strictly nearer.
     ``captures``: capture_id, file_path, name, line, source_line; ``objects``:
-    id, file_path, name, start_line, ordinal."""
-    pairs = captures.join(objects.select("file_path", "name", "id", "start_line", "ordinal"), ["file_path", "name"])
-    first = F.min("ordinal").over(Window.partitionBy("capture_id"))
-    line = F.when(F.col("ordinal") == first, F.col("source_line")).otherwise(F.col("start_line"))
-    order = Window.partitionBy("capture_id").orderBy("distance", "ordinal")
-    return pairs.withColumn("distance", F.abs(line - F.col("line"))).withColumn("n", F.row_number().over(order)).where("n = 1").select("capture_id", F.col("id").alias("target_id"), "distance")
+    id, file_path, name, start_line, ordinal.
+
+    Captures without an object of their file and name, or with a null in
+    either, have no row; repeated captures have a row each.
+    """
+    asked = captures.select("capture_id", "file_path", "name", "line", "source_line")
+    return _with_nearest(asked, objects).select("capture_id", "target_id", "distance")
+
+
+def scope_object(captures: DataFrame, objects: DataFrame) -> DataFrame:
+    """``captures`` with ``source_id`` and ``source_line``: the object that the
+    enclosing scope (scope_name, scope_line) means.  Of the objects of file and
+    name, that which starts on the scope's line, else the first; a capture
+    whose scope has no such object has no row."""
+    first = objects.groupBy("file_path", F.col("name").alias("scope_name")).agg(F.min_by(F.struct("id", "start_line"), "ordinal").alias("first"))
+    same = objects.groupBy("file_path", F.col("name").alias("scope_name"), F.col("start_line").alias("scope_line")).agg(F.min_by("id", "ordinal").alias("same"))
+    found = captures.join(first, ["file_path", "scope_name"]).join(same, ["file_path", "scope_name", "scope_line"], "left")
+    line = F.when(F.col("same").isNotNull(), F.col("scope_line")).otherwise(F.col("first.start_line"))
+    return found.select(*captures.columns, F.coalesce("same", "first.id").alias("source_id"), line.alias("source_line"))
+
+
+def capture_edges(captures: DataFrame, objects: DataFrame) -> DataFrame:
+    """CALLS, EXTENDS, IMPLEMENTS and REFERENCES edges within files, each once.
+
+    ``captures``: file_path, kind, name, line, scope_name, scope_line;
+    ``objects``: id, file_path, name, start_line, ordinal.  The edge starts at
+    the object of the capture's scope and ends at the nearest object of its
+    name.  A reference of which that object is the only meaning is none.
+    """
+    distinct = captures.select("file_path", "kind", "name", "line", "scope_name", "scope_line").distinct()
+    met = _with_nearest(scope_object(distinct, objects), objects)
+    own = (F.col("kind") == "REFERENCES") & (F.col("n_targets") == 1) & (F.col("target_id") == F.col("source_id"))
+    return met.where(~own).select("source_id", "target_id", F.col("kind").alias("relation_type")).distinct()
 
 
 def enclosing_scope(captures: DataFrame, objects: DataFrame, bin_lines: int = 64) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tokenize, vector
-from .operators import chunk, graph, keyword, ranking, tables
+from .operators import chunk, extract, graph, keyword, ranking, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -268,6 +268,40 @@ def nearest_targets(spark, sf_dir):
     return graph.nearest_target(captures, objects)
 
 
+_SOURCE = """class A{k}:
+    def run(self):
+        return helper(self)
+
+class B{c}(A{k}):
+    def go(self):
+        run = A{k}
+        return B{c}(run)
+
+def helper(x):
+    return x
+
+def helper(x, y):
+    return run(B{c}, x.helper)
+"""
+
+
+@query("""WITH f AS (SELECT c_custkey AS c, 'A' || (c_custkey % 5) AS a, 'B' || c_custkey AS b FROM customer), e(source, target, relation_type) AS (VALUES
+ ('run', 'helper:10', 'CALLS'), ('B', 'A', 'EXTENDS'), ('B', 'A', 'REFERENCES'), ('go', 'A', 'REFERENCES'), ('go', 'run', 'REFERENCES'), ('go', 'B', 'CALLS'),
+ ('helper:10', 'helper:10', 'REFERENCES'), ('helper:13', 'helper:10', 'REFERENCES'), ('helper:13', 'run', 'CALLS'), ('helper:13', 'B', 'REFERENCES'))
+SELECT c AS customer, CASE source WHEN 'A' THEN a WHEN 'B' THEN b ELSE split_part(source, ':', 1) END AS source, CASE target WHEN 'A' THEN a WHEN 'B' THEN b ELSE split_part(target, ':', 1) END AS target,
+ (CASE split_part(target, ':', 2) WHEN '10' THEN 10 WHEN '13' THEN 13 ELSE CASE target WHEN 'A' THEN 1 WHEN 'run' THEN 2 ELSE 5 END END)::INTEGER AS target_line, relation_type FROM f, e""")
+def captured_edges(spark, sf_dir):
+    """Edges within files: for each customer a Python file that uses its names."""
+    body = F.replace(F.replace(F.lit(_SOURCE), F.lit("{k}"), (F.col("c_custkey") % 5).cast("string")), F.lit("{c}"), F.col("c_custkey").cast("string"))
+    files = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
+    found = extract.extract(files)
+    held = extract.objects(found)
+    edges = graph.capture_edges(extract.captures(found), held)
+    end = lambda side, *more: held.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), *more)
+    named = edges.join(end("source", F.col("file_path").cast("long").alias("customer")), "source_id").join(end("target", F.col("start_line").alias("target_line")), "target_id")
+    return named.select("customer", "source", "target", "target_line", "relation_type")
+
+
 @query("""SELECT l_orderkey * 10 + l_linenumber AS capture_id, max_by(o.o_orderkey, o.o_orderkey) AS scope_id
 FROM lineitem JOIN orders o ON l_orderkey % 50 = o.o_orderkey % 50 AND l_orderkey BETWEEN o.o_orderkey AND o.o_orderkey + 120 GROUP BY 1""")
 def enclosing_scopes(spark, sf_dir):

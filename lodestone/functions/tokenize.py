@@ -35,11 +35,28 @@ def split_identifier(word: Column) -> Column:
     return F.transform(parts, lambda p: F.lower(p))
 
 
+#: Identifiers with an underscore or hyphen, whole.
+_JOINED = r"(?<![a-zA-Z0-9])[a-zA-Z0-9]*+[_\-][a-zA-Z0-9_\-]*+"
+#: Of other words, the parts of two characters or more between changes of case; runs of other scripts.
+_PARTS = rf"[a-z]{{2,}}|[A-Z]{{2,}}(?=[A-Z][a-z]|(?![a-zA-Z0-9_\-]))|[A-Z][a-z]+|[0-9]{{2,}}|[{HANGUL}]+|[{KANA}]+|[{CJK}]+"
+
+
 def tokens(text: Column) -> Column:
-    """All tokens of a text; one-character ASCII tokens are dropped."""
-    ascii_word = lambda w: F.ascii(w) < 128
-    parts = F.transform(words(text), lambda w: F.when(ascii_word(w), split_identifier(w)).otherwise(F.array(w)))
-    return F.filter(F.flatten(parts), lambda t: (F.length(t) > 1) | (F.ascii(t) >= 128))
+    """All tokens of a text; one-character ASCII tokens are dropped.
+
+    The same as ``split_identifier`` of all ``words``, in a few passes over the
+    whole text and none over single words: found parts are put on a line each
+    and made lower case together.  Where the text has underscores or hyphens,
+    lines are also cut at underscores, those without any at hyphens.
+    """
+    text = F.coalesce(text, F.lit(""))
+    lines = lambda pattern: F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "\n")
+    simple = F.split(F.nullif(F.lower(lines(_PARTS)), F.lit("")), "\n")
+    # hyphens of lines with an underscore stay
+    kept = F.regexp_replace(F.regexp_replace(lines(f"{_JOINED}|{_PARTS}"), r"-(?=[^\n]*_)", "\x02"), r"(_[^\n\-]*|(?!\A)\G[^\n\-]*)-", "$1\x02")
+    cut = F.lower(F.translate(kept, "_-\x02", "\n\n-"))
+    joined = F.regexp_extract_all(cut, F.lit(r"[^\n]{2,}|[^\x00-\x7F]"), F.lit(0))
+    return F.coalesce(F.when(F.contains(text, F.lit("_")) | F.contains(text, F.lit("-")), joined).otherwise(simple), F.array().cast("array<string>"))
 
 
 def token_hash(token: Column) -> Column:

@@ -26,9 +26,16 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(n == 0, 1.0).otherwise(n)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalised(v: Column) -> Column:
+    """A vector of length zero stays."""
     n = norm(v)
-    return F.transform(doubles(v), lambda x: x / F.when(n == 0, 1.0).otherwise(n))
+    both = F.struct(doubles(v).alias("v"), F.when(n == 0, 1.0).otherwise(n).alias("n"))
+    return bound(both, lambda s: F.transform(s["v"], lambda x: x / s["n"]))
 
 
 def finite(v: Column) -> Column:
@@ -55,4 +62,4 @@ def hashed_embedding(text: Column, dimension: int = 64) -> Column:
         return F.aggregate(hashes, F.array_repeat(F.lit(0.0), dimension), add)
 
     signed = total(lambda h: F.when(F.shiftright(h, 16) % 2 == 0, 1.0).otherwise(-1.0))
-    return normalised(F.when(F.exists(signed, lambda x: x != 0), signed).otherwise(total(lambda h: F.lit(1.0))))
+    return bound(F.when(F.exists(signed, lambda x: x != 0), signed).otherwise(total(lambda h: F.lit(1.0))), normalised)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import token_hash, tokens
+from ..functions.vector import bound
 
 # --- fixed values: saturation constants and field weights ---
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 100.0
@@ -27,12 +28,16 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float =
     of the whole row, weighted, and summed.  One pass: a row's fields are
     exploded together, counts are combined before the shuffle.
     """
-    held = F.array(*[F.struct(F.lit(w).alias("boost"), tokens(F.col(f)).alias("tokens")) for f, w in fields.items()])
-    sized = rows.select(F.col(key).alias("id"), held.alias("fields")).withColumn("length", F.greatest(F.lit(1), F.aggregate("fields", F.lit(0), lambda s, f: s + F.size(f["tokens"]))))
-    each = F.col("f.tokens")
-    if wanted is not None:
-        each = F.filter(each, lambda t: t.isin(wanted)) if wanted else F.slice(each, 1, 0)
-    spread = sized.select("id", "length", F.posexplode("fields").alias("field", "f")).select("id", "length", "field", "f.boost", F.explode(each).alias("token"))
+    held = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(w).alias("boost"), tokens(F.col(f)).alias("tokens")) for i, (f, w) in enumerate(fields.items())])
+    some = lambda t: t if wanted is None else F.filter(t, lambda x: x.isin(wanted)) if wanted else F.slice(t, 1, 0)
+
+    def sized(fs):
+        length = F.greatest(F.lit(1), F.aggregate(fs, F.lit(0), lambda s, f: s + F.size(f["tokens"])))
+        return F.transform(fs, lambda f: F.struct(f["field"].alias("field"), f["boost"].alias("boost"), length.alias("length"), some(f["tokens"]).alias("tokens")))
+
+    # the tokens are the argument of a function, so that they are made once
+    each = rows.select(F.col(key).alias("id"), F.explode(bound(held, sized)).alias("f"))
+    spread = each.select("id", "f.length", "f.field", "f.boost", F.explode("f.tokens").alias("token"))
     counted = spread.groupBy("id", "length", "field", "boost", "token").agg(F.count("*").alias("tf"))
     saturated = F.col("boost") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     return counted.groupBy("id", token_hash(F.col("token")).alias("token_hash")).agg(F.sum(saturated).alias("weight"))
@@ -41,7 +46,8 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float =
 def document_frequencies(posted: DataFrame, total: int | None = None) -> DataFrame:
     """``token_hash, df, idf`` with ``idf = ln(1 + (N - df + 0.5) / (df + 0.5))``."""
     n = total if total is not None else posted.agg(F.count_distinct("id")).first()[0]
-    df = posted.groupBy("token_hash").agg(F.count("*").alias("df"))
+    # counting the weights keeps the column, so that a plan which also needs it makes the postings once
+    df = posted.groupBy("token_hash").agg(F.count("weight").alias("df"))
     return df.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 

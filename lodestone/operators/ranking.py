@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokenize import tokens
-from ..functions.vector import dot, finite, normalised
+from ..functions.vector import bound, dot, finite, normalised
 
 # --- fixed values: boosts and fusion constants ---
 TYPE_BOOST = {"class": 0.12, "method": 0.10, "function": 0.10, "enum": 0.08, "interface": 0.06}
@@ -82,18 +82,24 @@ def name_boost(query: Column, name: Column, qualified: Column) -> Column:
     qualified name; all name tokens are in the query; all query tokens are in
     the name; else by the share of query tokens in the name.  The name is
     lower-cased before it is split."""
-    q, n = F.lower(F.trim(query)), F.lower(name)
-    qt, nt = F.array_distinct(tokens(query)), F.array_distinct(tokens(n))
-    both = F.size(F.array_intersect(qt, nt))
-    some = (F.size(qt) > 0) & (F.size(nt) > 0)
-    return (
-        F.when(q == n, 0.25)
-        .when(F.contains(F.lower(F.coalesce(qualified, F.lit(""))), q), 0.20)
-        .when(some & (F.size(F.array_except(nt, qt)) == 0), 0.15)
-        .when(some & (F.size(F.array_except(qt, nt)) == 0), 0.12)
-        .when(some & (both > 0), F.lit(0.05) * both / F.size(qt))
-        .otherwise(F.lit(0.0))
-    )
+    own = F.struct(
+        F.lower(F.trim(query)).alias("q"), F.lower(name).alias("n"), F.lower(F.coalesce(qualified, F.lit(""))).alias("full"),
+        F.array_distinct(tokens(query)).alias("qt"), F.array_distinct(tokens(F.lower(name))).alias("nt"),
+    )
+
+    def boost(x: Column) -> Column:
+        some = (F.size(x["qt"]) > 0) & (F.size(x["nt"]) > 0)
+        both = F.size(F.array_intersect(x["qt"], x["nt"]))
+        return (
+            F.when(x["q"] == x["n"], 0.25)
+            .when(F.contains(x["full"], x["q"]), 0.20)
+            .when(some & (F.size(F.array_except(x["nt"], x["qt"])) == 0), 0.15)
+            .when(some & (F.size(F.array_except(x["qt"], x["nt"])) == 0), 0.12)
+            .when(some & (both > 0), F.lit(0.05) * both / F.size(x["qt"]))
+            .otherwise(F.lit(0.0))
+        )
+
+    return bound(own, boost)
 
 
 def type_boost(kind: Column) -> Column:

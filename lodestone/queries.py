@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import tokenize, vector
 from .operators import chunk, extract, graph, keyword, ranking, tables
+from .sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,7 +76,7 @@ FIELDS = {"source": 5.0, "text": 5.0}
 
 
 def _sparse(spark, sf_dir) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS))
     asked = _one(spark, SEARCH_TEXT)
     posted = keyword.postings(docs, "doc_id", FIELDS, wanted=keyword.wanted_tokens(asked, "text"))
     return keyword.keyword_scores(posted, keyword.query_terms(asked, "query_id", "text"), docs.count())
@@ -92,18 +93,18 @@ def keyword_search(spark, sf_dir):
 
 @query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL")
 def token_frequencies(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select("doc_id", F.explode(tokenize.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
 @query(f"WITH {_POSTED} SELECT id, token_hash, round(weight, 6) AS weight FROM posted")
 def field_postings(spark, sf_dir):
-    return keyword.postings(_read(spark, sf_dir, "documents"), "doc_id", FIELDS).withColumn("weight", F.round("weight", 6))
+    return keyword.postings(spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS)), "doc_id", FIELDS).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {_POSTED} SELECT token_hash, df, round(idf, 6) AS idf FROM idf")
 def inverse_document_frequencies(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS))
     return keyword.document_frequencies(keyword.postings(docs, "doc_id", FIELDS), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
@@ -294,7 +295,7 @@ def captured_edges(spark, sf_dir):
     """Edges within files: for each customer a Python file that uses its names."""
     body = F.replace(F.replace(F.lit(_SOURCE), F.lit("{k}"), (F.col("c_custkey") % 5).cast("string")), F.lit("{c}"), F.col("c_custkey").cast("string"))
     files = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
-    found = extract.extract(files)
+    found = extract.extract(spread(files)).persist()  # read several times; lost parts are made again
     held = extract.objects(found)
     edges = graph.capture_edges(extract.captures(found), held)
     end = lambda side, *more: held.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), *more)
@@ -450,7 +451,7 @@ def markdown_sections(spark, sf_dir):
 def recursive_chunks(spark, sf_dir):
     """Tested against properties of the chunks: SQL has no recursion over
     separators."""
-    return chunk.recursive_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return chunk.recursive_chunks(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 @query("SELECT DISTINCT lang, CASE lang WHEN 'fr' THEN 'fra_Latn' WHEN 'de' THEN 'deu_Latn' WHEN 'es' THEN 'spa_Latn' ELSE 'eng_Latn' END AS code FROM documents")

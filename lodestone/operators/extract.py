@@ -15,11 +15,12 @@ import re
 import tokenize
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.batches import by_bytes
 from ..functions.text import object_id
+from ..functions.vector import bound
 
 _DECISIONS = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.BoolOp, ast.IfExp, ast.comprehension, ast.match_case)
 _NESTING = (ast.If, ast.For, ast.While, ast.Try, ast.With)
@@ -35,6 +36,7 @@ SCRIPT_WORDS = frozenset(
     implements import in instanceof interface let new null of private protected public readonly return set static super switch this throw true try type typeof undefined
     var void while with yield any boolean never number object string symbol unknown constructor""".split()
 )
+CLASS_CHARS, CLASS_METHODS = 2000, 20
 # --- end of fixed values ---
 
 
@@ -264,6 +266,7 @@ CAPTURE = pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.i
 
 
 ITEM = pa.struct([("object_type", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("parent_name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("docstring", pa.string()), ("signature", pa.string()), ("content", pa.string()), ("calls", pa.list_(pa.string())), ("cyclomatic", pa.int32()), ("nesting", pa.int32())])
+FIELDS = [f.name for f in ITEM]
 SCHEMA = "file_path string, language string, objects array<struct<object_type: string, name: string, qualified_name: string, parent_name: string, start_line: int, end_line: int, docstring: string, signature: string, content: string, calls: array<string>, cyclomatic: int, nesting: int>>, imports array<string>, captures array<struct<kind: string, name: string, line: int, scope_name: string, scope_line: int>>"
 
 
@@ -282,6 +285,36 @@ def extract(files: DataFrame) -> DataFrame:
     return files.select("file_path", "language", "content").mapInArrow(run, SCHEMA)
 
 
+def split_classes(extracted: DataFrame, most_chars: int = CLASS_CHARS, most_methods: int = CLASS_METHODS) -> DataFrame:
+    """``extracted`` with ``is_summary`` for every object: a class of more
+    characters or methods than given keeps, as its content, its declaration,
+    docstring, fields and the signatures of its methods.  The methods are
+    objects of their own either way.
+
+    Works within each file's nested objects, without a shuffle.  Fields are
+    lines of the class outside its inner objects that assign or end with a
+    semicolon.
+    """
+    inner = lambda o: F.filter("objects", lambda m: (m["parent_name"] == o["qualified_name"]) & (m["start_line"] >= o["start_line"]) & (m["end_line"] <= o["end_line"]) & ~((m["start_line"] == o["start_line"]) & (m["end_line"] == o["end_line"]) & (m["name"] == o["name"])))
+
+    def split(o: Column) -> Column:
+        def summary(children: Column) -> Column:
+            methods = F.filter(children, lambda m: m["object_type"] == "method")
+            line_no = lambda i: o["start_line"] + i
+            own = F.filter(F.split(o["content"], "\n"), lambda _, i: (i > 0) & ~F.exists(children, lambda m: line_no(i).between(m["start_line"], m["end_line"])))
+            fields = F.filter(F.transform(own, lambda x: F.trim(x)), lambda x: F.rlike(x, F.lit(r"^[\w\[\]<>,.?@: \t]+=(?!=)|^[\w\[\]<>,.? \t]+;$")))
+            parts = F.concat(F.array(o["signature"]), F.array(o["docstring"]), fields, F.transform(methods, lambda m: m["signature"]))
+            large = (o["object_type"] == "class") & ((F.length(o["content"]) > most_chars) | (F.size(methods) > most_methods))
+            return F.struct(
+                *[o[f].alias(f) if f != "content" else F.when(large, F.array_join(F.array_compact(parts), "\n\n")).otherwise(o["content"]).alias(f) for f in FIELDS],
+                F.coalesce(large, F.lit(False)).alias("is_summary"),
+            )
+
+        return bound(inner(o), summary)
+
+    return extracted.withColumn("objects", F.transform("objects", split))
+
+
 def captures(extracted: DataFrame) -> DataFrame:
     """A row per capture, for ``graph.capture_edges``."""
     return extracted.select("file_path", F.explode("captures").alias("c")).select("file_path", "c.*")

@@ -7,6 +7,7 @@ six decimals on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tokenize, vector
-from .operators import chunk, extract, graph, keyword, ranking, tables
+from .operators import chunk, extract, fuzzy, graph, keyword, lines, ranking, references, tables
+from .operators.index import PostingsIndex
 from .sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,3 +611,84 @@ def merged_chunks(spark, sf_dir):
 def heading_chunks(spark, sf_dir):
     """Tested against a fold over lines."""
     return chunk.heading_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# --- the stored index (J16, S21, S23) ---
+
+_ASKED = f"""{_POSTED},
+asked AS (SELECT item_id AS query_id, unnest({_tokens("text")}) AS t FROM benchmark WHERE item_id % 100 = 0),
+terms AS (SELECT query_id, {_HASH.format("t")} AS token_hash, count(*) AS qtf FROM asked GROUP BY 1, 2),
+found AS (SELECT query_id, id, sum(weight * qtf * idf) AS score FROM posted JOIN terms USING (token_hash) JOIN idf USING (token_hash) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_ASKED} SELECT query_id, id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY found.score DESC, id) AS rank, round(score, 6) AS score FROM found QUALIFY rank <= 10")
+def indexed_search(spark, sf_dir):
+    """The ten best documents for every benchmark item with an id divisible by
+    100, from a stored index.  The index is first written with older texts and
+    without some documents, and then brought up to date in its buckets."""
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS))
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    index = PostingsIndex(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", buckets=32)
+    older = docs.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text")))
+    index.write(keyword.postings(older, "doc_id", FIELDS), older.count())
+    changed = docs.where("doc_id % 10 = 0 or doc_id % 13 = 0")
+    state = index.replace(changed.select(F.col("doc_id").alias("id")), keyword.postings(changed, "doc_id", FIELDS), docs.count())
+    terms = keyword.query_terms(_read(spark, sf_dir, "benchmark").where("item_id % 100 = 0"), "item_id", "text")
+    best = ranking.top_k(keyword.keyword_scores(index.lookup(terms), terms, state["total"]), 10, ["query_id"])
+    return best.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+# --- lines by a budget, large classes, references, names alike (C7, C14, C15, J21, W8, X23) ---
+
+_PACKED = """WITH RECURSIVE l AS (SELECT rid, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce({text}, ''), chr(10)) AS l FROM documents)),
+f AS (SELECT rid, i, 0 AS chunk, {cost} AS held FROM l WHERE i = 1
+ UNION ALL SELECT l.rid, l.i, chunk + (held + {cost} - {free} > {budget})::INT, CASE WHEN held + {cost} - {free} > {budget} THEN 0 ELSE held END + {cost} FROM f JOIN l ON l.rid = f.rid AND l.i = f.i + 1)"""
+
+
+@query(_PACKED.format(text="replace(text, '. ', chr(10))", cost="(length(line) // 4)", free=0, budget=64) + """
+SELECT doc_id, chunk AS chunk_index, min(i) AS start_line, max(i) AS end_line, sum(length(line) // 4)::BIGINT AS token_count, 'Lines ' || min(i) || '-' || max(i) AS name, md5(string_agg(line, chr(10) ORDER BY i)) AS content_md5
+FROM f JOIN l USING (rid, i) GROUP BY rid, doc_id, chunk""")
+def line_chunks(spark, sf_dir):
+    """The documents' sentences as lines, packed by 64 tokens."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n")).alias("text"))
+    found = lines.line_chunks(docs, "doc_id", "text", 64)
+    return found.select("doc_id", "chunk_index", *[F.col(c).cast("long").alias(c) for c in ("start_line", "end_line", "token_count")], "name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(_PACKED.format(text="text", cost="(length(line) + 1)", free=1, budget=1500) + """, whole AS (SELECT rid, sum(length(line) + 1) - 1 AS n FROM l GROUP BY 1),
+chunks AS (SELECT rid, doc_id, CASE WHEN n <= 1500 THEN 0 ELSE chunk END AS chunk, n, sum(length(line) + 1) AS width, md5(string_agg(line, chr(10) ORDER BY i)) AS content_md5 FROM f JOIN l USING (rid, i) JOIN whole USING (rid) GROUP BY 1, 2, 3, 4)
+SELECT doc_id, chunk AS chunk_index, (sum(width) OVER w - width)::BIGINT AS start, least(sum(width) OVER w, n)::BIGINT AS "end", content_md5 FROM chunks WINDOW w AS (PARTITION BY rid ORDER BY chunk)""")
+def config_chunks(spark, sf_dir):
+    found = lines.config_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "chunk_index", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey + 1 AS n FROM supplier),
+m AS (SELECT s_suppkey, n, unnest(range(1, n + 1)) AS i FROM s)
+SELECT s_suppkey, 'S' || s_suppkey AS name, n > 20 AS is_summary, md5(CASE WHEN n > 20 THEN 'class S' || s_suppkey || ':' || chr(10) || chr(10) || 'About it.' || chr(10) || chr(10) || 'size = ' || n || chr(10) || chr(10) || string_agg('def m' || i || '(self, x)', chr(10) || chr(10) ORDER BY i)
+ ELSE 'class S' || s_suppkey || ':' || chr(10) || '    ' || repeat(chr(34), 3) || 'About it.' || repeat(chr(34), 3) || chr(10) || '    size = ' || n || chr(10) || string_agg('    def m' || i || '(self, x):' || chr(10) || '        y = x + ' || i || chr(10) || '        return y', chr(10) ORDER BY i) END) AS content_md5
+FROM m GROUP BY s_suppkey, n UNION ALL SELECT s_suppkey, 'm' || i, false, md5('    def m' || i || '(self, x):' || chr(10) || '        y = x + ' || i || chr(10) || '        return y') FROM m""")
+def class_chunks(spark, sf_dir):
+    """For each supplier a Python class of one to 25 methods."""
+    n = F.col("s_nationkey") + 1
+    body = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self, x):\n        y = x + "), i.cast("string"), F.lit("\n        return y"))), "\n")
+    text = F.concat(F.lit("class S"), F.col("s_suppkey").cast("string"), F.lit(':\n    """About it."""\n    size = '), n.cast("string"), F.lit("\n"), body)
+    files = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("python").alias("language"), text.alias("content"))
+    found = extract.objects(extract.split_classes(extract.extract(files)))
+    return found.select(F.col("file_path").cast("long").alias("s_suppkey"), "name", "is_summary", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query()
+def markdown_references(spark, sf_dir):
+    """Over the documents with clauses in back-ticks and sentences linked to
+    files; tested against a plain scan, as SQL's patterns tell no places."""
+    text = F.replace(F.replace("text", F.lit(", "), F.lit("`")), F.lit(". "), F.lit("\n```\n[see](a.py)"))
+    return references.markdown_references(_read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query()
+def similar_projects(spark, sf_dir):
+    """Addresses like those of every hundredth page; tested against all pairs
+    with the exact ratio, which SQL does not have."""
+    pages = _read(spark, sf_dir, "pages")
+    return fuzzy.similar(pages.where("page_id % 100 = 0").select(F.col("url").alias("query")), pages.select(F.col("page_id").cast("string").alias("project_id"), F.col("url").alias("name")))

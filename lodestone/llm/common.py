@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -18,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step inside a task handles at a time.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 #: Bytes, at most, of the rows that the JVM hands to Python workers at a time,
 #: or one row; Spark's own bound is 64 MB, which both sides hold several times.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: The six ASCII white-space characters between words.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -158,6 +160,15 @@ def steps(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = ST
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the system, as workers
+    live on for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def cut_at_spaces(text: str) -> str | list[str]:

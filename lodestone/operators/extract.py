@@ -85,7 +85,7 @@ def python_objects(text: str) -> tuple[list[dict], list[str]]:
 
 def _blank(text: str) -> str:
     """The text with comments and strings blanked, lines and places kept."""
-    pattern = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+    pattern = r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
     return re.sub(pattern, lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tokenize, vector
-from .operators import chunk, extract, fuzzy, graph, keyword, lines, ranking, references, tables
+from .operators import chunk, config, extract, fuzzy, graph, keyword, lines, parse_quality, prose, ranking, references, tables
 from .operators.index import PostingsIndex
 from .sources.tables import spread
 
@@ -692,3 +692,57 @@ def similar_projects(spark, sf_dir):
     with the exact ratio, which SQL does not have."""
     pages = _read(spark, sf_dir, "pages")
     return fuzzy.similar(pages.where("page_id % 100 = 0").select(F.col("url").alias("query")), pages.select(F.col("page_id").cast("string").alias("project_id"), F.col("url").alias("name")))
+
+
+# --- language of prose, dependencies, layers of settings, parse quality (A14, F17, X32, X40, X43) ---
+
+
+@query(r"""WITH g AS (SELECT row_number() OVER () AS rid, doc_id, lang, '_' || regexp_replace(lower(coalesce(text, '')), '[^\p{L}]+', '_', 'g') || '_' AS p FROM documents),
+t AS (SELECT rid, doc_id, lang, unnest(regexp_extract_all(p, '...') || regexp_extract_all(substr(p, 2), '...') || regexp_extract_all(substr(p, 3), '...')) AS gram FROM g),
+k AS (SELECT lang AS language, gram, 401 - row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, gram) AS weight FROM t WHERE doc_id % 2 = 0 AND lang IN ('de', 'en', 'es', 'fr') GROUP BY 1, 2 QUALIFY weight > 0),
+s AS (SELECT rid, language, sum(weight)::BIGINT AS score FROM t JOIN k USING (gram) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rid ORDER BY sum(weight) DESC, language) = 1)
+SELECT doc_id, coalesce(language, 'en') AS language, coalesce(score, 0) AS score FROM g LEFT JOIN s USING (rid)""")
+def detected_languages(spark, sf_dir):
+    """Profiles from the documents with even ids, applied to all."""
+    docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    languages = ("de", "en", "es", "fr")
+    return prose.languages_of(docs, "doc_id", "text", prose.profiles(docs.where("doc_id % 2 = 0"), "text", "lang", languages), languages)
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey::VARCHAR AS k, c_nationkey::VARCHAR AS n, (c_custkey % 7)::VARCHAR AS v, c_custkey % 2 = 0 AS j FROM customer)
+SELECT c_custkey, 'lib' || n AS name, '^1.' || v AS version, 'dependencies' AS scope FROM c WHERE j UNION ALL SELECT c_custkey, 'own', v, 'dependencies' FROM c WHERE j
+UNION ALL SELECT c_custkey, 'test' || v, '~2', 'devDependencies' FROM c WHERE j
+UNION ALL SELECT c_custkey, 'lib' || k, 'unspecified', 'dependencies' FROM c WHERE NOT j UNION ALL SELECT c_custkey, 'n' || n, '1.' || v, 'dependencies' FROM c WHERE NOT j
+UNION ALL SELECT c_custkey, 'unknown', v, 'dependencies' FROM c WHERE NOT j UNION ALL SELECT c_custkey, 'x', 'unspecified', 'packages' FROM c WHERE NOT j""")
+def declared_dependencies(spark, sf_dir):
+    """For each customer a project file, of JSON or YAML in turn."""
+    npm = '{"name": "p%1$d", "dependencies": {"lib%2$d": "^1.%3$d", "own": %3$d}, "devDependencies": {"test%3$d": "~2"}, "peerDependencies": "none"}'
+    yaml = "name: p%1$d\ndependencies:\n  - lib%1$d\n  - name: n%2$d\n    version: '1.%3$d'\n  - version: %3$d\n  - [a, b]\nrequires: none\npackages: [x]\n"
+    values = ["c_custkey", "c_nationkey", F.col("c_custkey") % 7]
+    text = F.when(F.col("c_custkey") % 2 == 0, F.format_string(npm, *values)).otherwise(F.format_string(yaml, *values))
+    return config.dependencies(_read(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+
+
+@query("""WITH m AS (SELECT o_orderkey, json_merge_patch(json_merge_patch('{"store": {"url": "u", "size": {"w": 1, "h": 2}}, "log": "on"}', '{"store": {"name": "' || o_orderpriority || '", "size": {"h": ' || o_custkey || '}}}'),
+ CASE WHEN o_orderkey % 3 = 0 THEN '{"log": {"level": ' || o_orderkey || '}, "store": {"size": {"d": 3}}}' ELSE '{"store": {"url": "v"}}' END) AS j FROM orders)
+SELECT o_orderkey, j ->> '$.store.url' AS url, j ->> '$.store.name' AS name, (j ->> '$.store.size.w')::BIGINT AS w, (j ->> '$.store.size.h')::BIGINT AS h, (j ->> '$.store.size.d')::BIGINT AS d, coalesce(j ->> '$.log.level', j ->> '$.log') AS log FROM m""")
+def merged_settings(spark, sf_dir):
+    """Three layers of settings for each order: defaults, its own, and some for
+    every third."""
+    own = F.format_string('{"store": {"name": "%s", "size": {"h": %d}}}', "o_orderpriority", "o_custkey")
+    third = F.when(F.col("o_orderkey") % 3 == 0, F.format_string('{"log": {"level": %d}, "store": {"size": {"d": 3}}}', "o_orderkey")).otherwise('{"store": {"url": "v"}}')
+    merged = _read(spark, sf_dir, "orders").select("o_orderkey", config.deep_merge(F.array(F.lit('{"store": {"url": "u", "size": {"w": 1, "h": 2}}, "log": "on"}'), own, third)).alias("j"))
+    at = lambda path: F.get_json_object("j", f"$.{path}")
+    return merged.select("o_orderkey", at("store.url").alias("url"), at("store.name").alias("name"), *[at(f"store.size.{c}").cast("long").alias(c) for c in "whd"], F.coalesce(at("log.level"), at("log")).alias("log"))
+
+
+@query("""WITH f AS (SELECT s_suppkey, s_nationkey AS errors, s_nationkey + 9 * (s_suppkey % 3) AS total FROM supplier)
+SELECT s_suppkey, errors::BIGINT AS error_nodes, total::BIGINT AS total_nodes, CASE WHEN total = 0 THEN 1 ELSE round(1 - errors / total, 6) END AS valid_ratio, errors = 0 OR 1 - errors / total >= 0.5 AS readable FROM f""")
+def parse_quality_gate(spark, sf_dir):
+    """For each supplier a Python file of up to two functions and up to 24
+    lines that do not parse."""
+    good = F.repeat(F.lit("def f(x):\n    return x + 1\n"), (F.col("s_suppkey") % 3).cast("int"))
+    files = _read(spark, sf_dir, "supplier").select("s_suppkey", F.lit("python").alias("language"), F.concat(good, F.repeat(F.lit("x = = 1\n"), F.col("s_nationkey").cast("int"))).alias("content"))
+    measured = parse_quality.parse_metrics(files).select("s_suppkey", "error_nodes", "total_nodes", "has_errors", "valid_ratio")
+    kept = parse_quality.readable(measured).select("s_suppkey").distinct().withColumn("readable", F.lit(True))
+    return measured.join(kept, "s_suppkey", "left").select("s_suppkey", "error_nodes", "total_nodes", F.round("valid_ratio", 6).alias("valid_ratio"), F.coalesce("readable", F.lit(False)).alias("readable"))

@@ -5,6 +5,12 @@ or fewer in one of their halves.  So there is one vantage-point tree per half,
 over the Hamming distance of that half alone: the smaller radius makes the
 triangle bounds prune far more than they would over all 64 bits.
 
+Beyond ``MANY`` fingerprints 32 bits are crowded, and every level of a tree
+sends more queries to both of its sides.  There the trees are over pairs of
+``radius + 2`` blocks: two of the blocks hold no differing bit, so the bounds
+have radius 0 in one of the trees, and a fingerprint goes to one shard a tree
+at any size of the table.
+
 The top of each tree is grown on a bounded sample.  Its leaves are shards: a
 fingerprint lives in one shard and is sent as a query to every shard that the
 bounds cannot exclude.  Within a shard the tree is grown further, and what is
@@ -15,6 +21,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +39,8 @@ HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 TREE_SAMPLE = 65_536
 #: Fingerprints that should live in one shard, and queries that one task takes.
 SHARD_HOMES, SHARD_QUERIES = 4_096, 65_536
+#: Fingerprints beyond which trees are over pairs of blocks, and those of one task in such a tree (8 MB).
+MANY, SHARD_EXACT = 1 << 24, 1 << 20
 #: Within a shard, below this many fingerprints all are compared.
 SMALL = 192
 
@@ -66,6 +75,14 @@ def fingerprints(documents: DataFrame, width: int = 3, more: tuple[str, ...] = (
     return only(documents, doc_id="doc_id", text="text", **{m: m for m in more}).mapInArrow(run, ", ".join(["doc_id long, fp long", *[f"{m} string" for m in more]]))
 
 
+def block_pairs(radius: int) -> list[np.uint64]:
+    """Masks of all pairs of ``radius + 2`` blocks of 64 bits.  ``radius``
+    differing bits leave two blocks alone, so one mask has none of them."""
+    cuts = [64 * i // (radius + 2) for i in range(radius + 3)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [np.uint64(a | b) for a, b in combinations(blocks, 2)]
+
+
 @dataclass
 class Node:
     """Inside: distances up to ``mu`` from ``vantage``; outside: beyond."""
@@ -125,7 +142,8 @@ def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int) -> Tree:
                 visit(node.outside, homes[d > mu], out, depth + 1)
                 return
         node.shard = len(tree.shards)
-        node.grid = (max(1, round(len(homes) * scale / (4 * SHARD_HOMES))), max(1, round(len(queries) * scale / SHARD_QUERIES)))
+        most = (4 * SHARD_HOMES, SHARD_QUERIES) if radius else (SHARD_EXACT, SHARD_EXACT)
+        node.grid = (max(1, round(len(homes) * scale / most[0])), max(1, round(len(queries) * scale / most[1])))
         tree.shards.append(node)
 
     visit(tree.root, sample, sample, 0)
@@ -196,12 +214,14 @@ def link_shard(homes: np.ndarray, queries: np.ndarray, mask: np.uint64, half_rad
     return every[tied], every[labels[tied]]
 
 
-def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def links(distinct: DataFrame, radius: int = 3, many: int = MANY) -> DataFrame:
     """Edges (a long, b long) between the distinct fingerprints ``fp`` of
-    ``distinct``; their components are those of all pairs within ``radius``."""
+    ``distinct``; their components are those of all pairs within ``radius``.
+    ``many`` bears on the work only."""
     total = distinct.count()
     sample = np.array([r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
-    trees = [grow(sample, total, mask, radius // 2) for mask in HALVES]
+    near = radius // 2 if total <= many else 0
+    trees = [grow(sample, total, mask, near) for mask in (HALVES if total <= many else block_pairs(radius))]
     cells, masks = 0, []
     for tree in trees:
         for shard in tree.shards:
@@ -216,7 +236,9 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
             for tree in trees:
                 for shard, homes, queries in place(tree, fps):
                     rows, columns = shard.grid
-                    for home, who, own, others in ((True, homes, rows, columns), (False, queries, columns, rows)):
+                    sides = ((True, homes, rows, columns), (False, queries, columns, rows))
+                    # at radius 0 the queries of a shard are its own fingerprints
+                    for home, who, own, others in sides[: 1 if near == 0 and shard.grid == (1, 1) else 2]:
                         mine = (spread[who] % np.uint64(own)).astype(np.int64)
                         for other in range(others):
                             cell = shard.first_cell + (mine * columns + other if home else other * columns + mine)
@@ -226,7 +248,8 @@ def links(distinct: DataFrame, radius: int = 3) -> DataFrame:
     def link(key, table):
         fps, home = np.asarray(table["fp"], dtype=np.int64).view(np.uint64), np.asarray(table["home"])
         mask = next(m for upto, m in masks if key[0].as_py() < upto)
-        a, b = link_shard(fps[home], fps[~home], mask, radius // 2, radius)
+        queries = fps[home] if home.all() and near == 0 else fps[~home]
+        a, b = link_shard(fps[home], queries, mask, near, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return distinct.select("fp").mapInArrow(send, "cell long, fp long, home boolean").groupBy("cell").applyInArrow(link, "a long, b long")

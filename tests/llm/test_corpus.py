@@ -85,6 +85,15 @@ def random_fingerprints(n, seed):
     return np.unique(np.concatenate(near))
 
 
+def assert_same_groups(fps, edges):
+    got = {r.node % (1 << 64): r.root for r in components.connected_components(edges).collect()}
+    groups, found = defaultdict(set), defaultdict(set)
+    for f, r in plain_components([int(f) for f in fps]).items():
+        groups[r].add(f)
+        found[got.get(f, f"alone {f}")].add(f)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+
+
 def test_trees_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD_HOMES", 64)
     monkeypatch.setattr(simhash, "SHARD_QUERIES", 200)
@@ -94,13 +103,39 @@ def test_trees_lose_no_link(spark, monkeypatch):
     edges = simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"))
     trees = [simhash.grow(fps[:300], len(fps), m, 1) for m in simhash.HALVES]
     assert min(len(t.shards) for t in trees) > 3 and max(s.grid for t in trees for s in t.shards) > (1, 1)
-    got = {r.node % (1 << 64): r.root for r in components.connected_components(edges).collect()}
-    want = plain_components([int(f) for f in fps])
-    groups, found = defaultdict(set), defaultdict(set)
-    for f, r in want.items():
-        groups[r].add(f)
-        found[got.get(f, f"alone {f}")].add(f)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, found.values()))
+    assert_same_groups(fps, edges)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 30])
+def test_block_trees_lose_no_link(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "SHARD_HOMES", 64)
+    monkeypatch.setattr(simhash, "SHARD_EXACT", most)
+    monkeypatch.setattr(simhash, "SMALL", 20)
+    monkeypatch.setattr(simhash, "TREE_SAMPLE", 300)
+    fps = random_fingerprints(1200, 4)
+    trees = [simhash.grow(fps[:300], len(fps), m, 0) for m in simhash.block_pairs(3)]
+    assert len(trees) == 10 and (max(s.grid for t in trees for s in t.shards) > (1, 1)) == (most == 30)
+    assert_same_groups(fps, simhash.links(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long"), many=0))
+
+
+def test_block_masks_leave_every_three_bits_alone():
+    masks = simhash.block_pairs(3)
+    at = [sum(1 << k for k, m in enumerate(masks) if not int(m) >> b & 1) for b in range(64)]
+    assert all(at[a] & at[b] & at[c] for a in range(64) for b in range(a, 64) for c in range(b, 64))
+
+
+@pytest.mark.parametrize("total", [1 << 25, 1 << 28, 1 << 32])
+def test_a_fingerprint_goes_to_as_many_shards_at_any_size(total):
+    rnd = np.random.default_rng(1)
+    sample = rnd.integers(0, 1 << 63, 16_384, dtype=np.uint64) * np.uint64(2)
+    sent = most = 0
+    for mask in simhash.block_pairs(3)[:3]:
+        tree = simhash.grow(sample, total, mask, 0)
+        placed = simhash.place(tree, sample)
+        sent += sum(len(h) * (1 if s.grid == (1, 1) else sum(s.grid)) for s, h, _ in placed) / len(sample) / 3
+        most = max([most, *[len(h) * total / len(sample) / s.grid[0] for s, h, _ in placed]])
+    # a row a tree; from 2^32 on shards are dealt to grids, as the sample ends
+    assert sent <= (1.01 if total <= 1 << 28 else 30) and most <= 2 * simhash.SHARD_EXACT
 
 
 def test_long_paths_and_empty_edges(spark):

@@ -92,13 +92,16 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1 / 2048,
     docs_per_bucket: int = 4096,
+    bytes_per_bucket: int = 32 << 20,
     special: bool = False,
 ) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     Returns a row per piece with its ids (little-endian, two bytes each where
     the vocabulary allows).  At most one sequence's worth of padding arises per
-    bucket of about ``docs_per_bucket`` documents.
+    bucket of about ``docs_per_bucket`` documents or ``bytes_per_bucket`` of
+    text, whichever is less; no bucket holds the ids of much more text, as each
+    piece is dealt on its own.
 
     Defined cases: a null or empty text is a document of the end id alone;
     repeated rows are packed one by one; an empty table gives no rows; a null
@@ -107,7 +110,8 @@ def pack(
     of one length go by id (nulls last), start and content; strings of special
     tokens are ordinary text unless ``special`` is set.
     """
-    n_buckets = max(1, math.ceil(documents.count() / docs_per_bucket))
+    found = only(documents, text="text").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    n_buckets = max(1, math.ceil(found.n / docs_per_bucket), math.ceil(found.size / bytes_per_bucket))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()

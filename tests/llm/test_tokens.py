@@ -52,6 +52,16 @@ def test_pieces_give_the_ids_of_the_text(text):
         assert np.frombuffer(got, "<u2").tolist() == ids_of(name, text)
 
 
+def test_long_texts_are_dealt_to_buckets_by_their_bytes(spark):
+    rows = spark.createDataFrame([(1, "some words " * 60_000), (2, "a"), (3, None)], "doc_id long, text string")
+    got = packing.pack(rows, P.path("byte_bpe_50k.json"), bytes_per_bucket=40_000).collect()
+    of_bucket = Counter()
+    for r in got:
+        of_bucket[r.sequence_id >> packing.LOCAL_BITS] += r.length
+    assert len(of_bucket) > 10 and max(of_bucket.values()) <= 40_000
+    assert Counter(r.doc_id for r in got)[2] == 1 and sum(r.length for r in got if r.doc_id == 1) == len(ids_of("byte_bpe_50k.json", "some words " * 60_000)) + 1
+
+
 def test_packing_holds_every_id_once(spark, docs):
     rows = packing.pack(docs, P.path("byte_bpe_50k.json"), docs_per_bucket=40).collect()
     by_sequence = defaultdict(list)

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, only, steps, texts
+from .common import column, only, release, steps, texts
 from .encoders import word_encoder
 
 #: Sequence numbers within a bucket use this many bits.
@@ -130,8 +130,12 @@ def pack(
             part = data[i][start * width : (start + n) * width]
             crc = zlib.crc32(np.frombuffer(part, f"<u{width}").astype("<u4").tobytes())
             out.append((ids[i], starts[i] + start, n, crc, doc_tokens[i], (bucket << LOCAL_BITS) | at, offset, part))
+        del table, data
         kinds = [pa.int64()] * 7 + [pa.binary()]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        packed = pa.table([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+        del out
+        release()
+        return packed
 
     return token_pieces(documents, vocabulary, end_id, capacity, n_buckets, special).groupBy("bucket").applyInArrow(run, PACKED_SCHEMA)
 

@@ -54,9 +54,9 @@ class WordCache:
         size = np.array([len(x) // self.dtype.itemsize for x in ids], np.uint32)
         start = (len(self.ids) + np.cumsum(size) - size).astype(np.uint32)
         order = np.argsort(high)
-        both = [np.concatenate([old, new[order]]) for old, new in ((self.high, high), (self.low, low), (self.start, start), (self.size, size))]
-        order = np.argsort(both[0], kind="stable")  # two ascending runs
-        self.high, self.low, self.start, self.size = (x[order] for x in both)
+        at = np.searchsorted(self.high, high[order], "right")
+        for name, new in (("high", high), ("low", low), ("start", start), ("size", size)):  # one at a time, as each is copied
+            setattr(self, name, np.insert(getattr(self, name), at, new[order]))
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), self.dtype)])
 
     def _spans(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -24,6 +24,20 @@ SECTION_HEADER = r"^(#{2,6})\s+(.+)$"
 # --- end of fixed values ---
 
 
+def section_array(text: Column, strip_headers: bool = False) -> Column:
+    """The sections of one text as an array of (level, title, content)."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"\n(?= *#{1,3} +[^ \n])")
+
+    def section(part: Column) -> Column:
+        line = F.trim(F.element_at(F.split(part, "\n", 2), 1))
+        level = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
+        title = F.when(level > 0, F.trim(F.regexp_replace(line, r"^#{1,3} ", "")))
+        shown = F.when(level > 0, F.regexp_replace(part, r"^[^\n]*\n?", "")).otherwise(part) if strip_headers else part
+        return F.struct(level.alias("level"), title.alias("title"), shown.alias("content"))
+
+    return F.filter(F.transform(parts, section), lambda x: F.rlike(x["content"], F.lit(r"\S")))
+
+
 def markdown_sections(texts: DataFrame, key: str, text: str, strip_headers: bool = False) -> DataFrame:
     """``key, section, level, title, content``: the text cut at headers of
     level one to three; what stands before the first has level 0.  Sections of
@@ -33,16 +47,7 @@ def markdown_sections(texts: DataFrame, key: str, text: str, strip_headers: bool
     line breaks before headers.  Hence rows that share a key, or have none, are
     numbered each from 0; null and empty texts have no sections.
     """
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?= *#{1,3} +[^ \n])")
-
-    def section(part: Column) -> Column:
-        line = F.trim(F.element_at(F.split(part, "\n", 2), 1))
-        level = F.length(F.regexp_extract(line, r"^(#{1,3}) ", 1))
-        title = F.when(level > 0, F.trim(F.regexp_replace(line, r"^#{1,3} ", "")))
-        shown = F.when(level > 0, F.regexp_replace(part, r"^[^\n]*\n?", "")).otherwise(part) if strip_headers else part
-        return F.struct(level.alias("level"), title.alias("title"), shown.alias("content"))
-
-    kept = F.filter(F.transform(parts, section), lambda x: F.rlike(x["content"], F.lit(r"\S")))
+    kept = section_array(F.col(text), strip_headers)
     return texts.select(F.col(key), F.posexplode(kept).alias("section", "s")).select(key, "section", "s.level", "s.title", "s.content")
 
 
@@ -98,7 +103,8 @@ def recursive_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SI
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "pieces"])
 
     split = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
-    return split.select(key, F.size("pieces").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select(key, "chunk_index", "total_chunks", "content")
+    # counted before the rows are made, which would each carry the whole list otherwise
+    return split.withColumn("total__", F.size("pieces")).select(key, F.col("total__").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select(key, "chunk_index", "total_chunks", "content")
 
 
 def hybrid_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:

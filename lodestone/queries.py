@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import tokenize, vector
-from .operators import chunk, config, extract, fuzzy, graph, keyword, lines, parse_quality, prose, ranking, references, tables
+from .operators import chunk, config, extract, fuzzy, graph, keyword, lines, nodes, parse_quality, prose, ranking, references, tables
 from .operators.index import PostingsIndex
 from .sources.tables import spread
 
@@ -746,3 +746,79 @@ def parse_quality_gate(spark, sf_dir):
     measured = parse_quality.parse_metrics(files).select("s_suppkey", "error_nodes", "total_nodes", "has_errors", "valid_ratio")
     kept = parse_quality.readable(measured).select("s_suppkey").distinct().withColumn("readable", F.lit(True))
     return measured.join(kept, "s_suppkey", "left").select("s_suppkey", "error_nodes", "total_nodes", F.round("valid_ratio", 6).alias("valid_ratio"), F.coalesce("readable", F.lit(False)).alias("readable"))
+
+
+# --- nodes of documents and stored rows (C4, C12, F9, F15, F16) ---
+
+
+@query()
+def markdown_nodes(spark, sf_dir):
+    """The documents as Markdown of many headers; tested against a plain fold,
+    as SQL has no recursive chunks."""
+    text = F.concat(F.lit("# "), "lang", F.lit("\n"), F.replace("text", F.lit(". "), F.lit("\n## ")))
+    files = _read(spark, sf_dir, "documents").select(F.format_string("/src/%d.md", "doc_id").alias("file_path"), F.format_string("%d.md", "doc_id").alias("relative_path"), text.alias("content"))
+    return nodes.markdown_nodes(files).drop("created_at", "updated_at", "metadata", "language")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey || '.' || CASE WHEN c_custkey % 2 = 0 THEN 'json' ELSE 'yaml' END AS f, CASE WHEN c_custkey % 2 = 0 THEN 'json' ELSE 'yaml' END AS k, chr(10) AS n FROM customer),
+t AS (SELECT c.*, c_nationkey AS m, '{' || n || '  "port": ' || c_custkey || ',' || n || '  "host": "${HOST_' || c_nationkey || '}"' || n || '}' || n || n || '"on"' AS content FROM c JOIN customer USING (c_custkey))
+SELECT '/etc/' || f AS file_path, left(sha256(f || ':config:0'), 32) AS deterministic_id, 0 AS chunk_index, 1 AS total_chunks, 'server + log' AS title, 1 AS start_line, 1 AS end_line, md5(content) AS content_md5,
+ 'log,server.host,server.port' AS config_keys, k AS config_format, 'HOST_' || m AS env_references, 1 AS section_depth FROM t""")
+def config_nodes(spark, sf_dir):
+    """For each customer a config file of two sections, JSON or YAML in turn."""
+    kind = F.when(F.col("c_custkey") % 2 == 0, "json").otherwise("yaml")
+    text = F.when(kind == "json", F.format_string('{"server": {"port": %d, "host": "${HOST_%d}"}, "log": "on"}', "c_custkey", "c_nationkey")).otherwise(F.format_string('server:\n  port: %d\n  host: "${HOST_%d}"\nlog: "on"\n', "c_custkey", "c_nationkey"))
+    name = F.concat(F.col("c_custkey").cast("string"), F.lit("."), kind)
+    files = _read(spark, sf_dir, "customer").select(F.concat(F.lit("/etc/"), name).alias("file_path"), name.alias("relative_path"), kind.alias("config_format"), text.alias("content"))
+    joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
+    return nodes.config_nodes(files).select("file_path", "deterministic_id", "chunk_index", "total_chunks", "title", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"), joined("config_keys"), "config_format", joined("env_references"), "section_depth")
+
+
+def _document_nodes(spark, sf_dir) -> DataFrame:
+    """Every document as a node, Markdown or config in turn."""
+    docs = _read(spark, sf_dir, "documents").withColumns({"lang": F.coalesce("lang", F.lit("")), "even": F.col("doc_id") % 2 == 0, "relative_path": F.format_string("../d/%d.md", "doc_id")})
+    n = lambda k: (F.col("doc_id") % k).cast("int")
+    kind, at = F.when(F.col("even"), "markdown").otherwise("config"), F.to_timestamp(F.lit("2024-01-02 03:04:05.5"))
+    return docs.select(
+        F.concat(F.lit("/src/"), "relative_path").alias("file_path"), "relative_path", kind.alias("node_type"), F.col("text").alias("content"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("checksum"),
+        nodes.node_id(F.col("relative_path"), kind, n(4)).alias("deterministic_id"), n(4).alias("chunk_index"), F.lit(4).alias("total_chunks"), F.lit(None).cast("string").alias("parent_doc_id"), F.when(n(3) > 0, F.col("lang")).alias("title"),
+        F.when(n(5) > 0, n(50)).alias("start_line"), F.when(n(5) > 0, n(50) + 2).alias("end_line"), F.col("lang").alias("language"), F.when(F.col("even"), F.array(F.struct(F.col("lang").alias("name"), F.lit("class").alias("type")))).alias("related_code"),
+        F.when(~F.col("even"), F.array(F.lit("a"), "lang")).alias("config_keys"), F.when(~F.col("even"), "yaml").alias("config_format"), F.when(n(4) == 1, F.array(F.lit("HOME"))).alias("env_references"), F.when(~F.col("even"), n(3)).alias("section_depth"),
+        F.when(n(7) == 0, F.create_map(F.lit("k"), F.col("lang"))).alias("metadata"), at.alias("created_at"), at.alias("updated_at"),
+    )
+
+
+_STORED = """WITH d AS (SELECT doc_id AS i, coalesce(lang, '') AS l, text, doc_id % 2 = 0 AS even, '../d/' || doc_id || '.md' AS p FROM documents),
+t AS (SELECT *, CASE WHEN i % 3 > 0 AND l <> '' THEN l END AS title_, CASE WHEN even THEN 'markdown' ELSE 'config' END AS k FROM d),
+stored AS (SELECT 'document' AS type, k AS node_type, 'document' AS object_type, coalesce(title_, i || '.md') AS name, p || coalesce('#' || title_, '') AS qualified_name, coalesce(title_, '') AS title, '' AS signature, left(coalesce(text, ''), 200) AS docstring, text AS content,
+ '/src/' || p AS file_path, p AS relative_path, (CASE WHEN i % 5 > 0 THEN i % 50 ELSE 0 END)::INT AS start_line, (CASE WHEN i % 5 > 0 THEN i % 50 + 2 ELSE 0 END)::INT AS end_line, md5(coalesce(text, '')) AS checksum, l AS language, (i % 4)::INT AS chunk_index, 4 AS total_chunks, '' AS parent_doc_id,
+ left(sha256(p || ':' || k || ':' || i % 4), 32) AS deterministic_id, CASE WHEN even THEN '[{"name":"' || l || '","type":"class"}]' ELSE '[]' END AS related_code, CASE WHEN even THEN '[]' ELSE '["a","' || l || '"]' END AS config_keys, CASE WHEN even THEN '' ELSE 'yaml' END AS config_format,
+ CASE WHEN i % 4 = 1 THEN '["HOME"]' ELSE '[]' END AS env_references, CASE WHEN even THEN '0' ELSE (i % 3)::VARCHAR END AS section_depth, CASE WHEN i % 7 = 0 THEN '{"k":"' || l || '"}' ELSE '{}' END AS custom_metadata, '2024-01-02T03:04:05.500000' AS created_at, '2024-01-02T03:04:05.500000' AS updated_at FROM t)"""
+
+
+@query(f"{_STORED} SELECT * FROM stored")
+def document_payloads(spark, sf_dir):
+    """Read back into nodes once, and stored again."""
+    return nodes.document_payload(nodes.document_nodes(nodes.document_payload(_document_nodes(spark, sf_dir))))
+
+
+@query(f"""{_STORED} SELECT deterministic_id, CASE WHEN title = '' THEN string_split(file_path, '/')[-1] ELSE title END AS name, title, node_type, chunk_index, total_chunks, start_line, end_line, regexp_replace(relative_path, '^\\.\\./', '') AS relative_path,
+ CASE node_type WHEN 'markdown' THEN related_code END AS related_code, CASE node_type WHEN 'config' THEN config_keys END AS config_keys, CASE node_type WHEN 'config' THEN env_references END AS env_references, CASE node_type WHEN 'config' THEN section_depth END AS section_depth, CASE node_type WHEN 'config' THEN config_format END AS config_format FROM stored""")
+def shown_documents(spark, sf_dir):
+    shown = nodes.shown_documents(nodes.document_payload(_document_nodes(spark, sf_dir)), "deterministic_id")
+    return shown.withColumns({c: F.to_json(c) for c in ("related_code", "config_keys", "env_references")})
+
+
+@query("""SELECT 'code' AS type, 'class' AS object_type, p_name AS name, CASE WHEN p_size % 2 = 0 THEN p_brand || '.' || p_name ELSE '' END AS qualified_name, '' AS signature, p_type AS docstring, p_name || chr(10) || p_type AS content, '/s/' || p_partkey AS file_path, p_partkey::VARCHAR AS relative_path, p_size AS start_line, p_size + 1 AS end_line,
+ md5(p_name) AS checksum, 'python' AS language, p_size AS token_count, 2 AS unique_token_count, p_retailprice AS score_weight, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS parent_id, left(sha256(p_partkey || ':' || p_name), 32) AS deterministic_id, 'v1' AS embedding_model_version, CASE WHEN p_size % 5 = 0 THEN '{"calls":["' || p_brand || '"]}' ELSE '' END AS ast_metadata,
+ '2024-01-02T00:00:00.000000' AS created_at, '2024-01-02T00:00:00.000000' AS updated_at FROM part""")
+def object_payloads(spark, sf_dir):
+    """Each part as a code object: stored, read back, and stored again."""
+    size, at, key = F.col("p_size"), F.to_timestamp(F.lit("2024-01-02 00:00:00")), F.col("p_partkey").cast("string")
+    made = {
+        "object_type": F.lit("class"), "name": F.col("p_name"), "qualified_name": F.when(size % 2 == 0, F.concat("p_brand", F.lit("."), "p_name")), "signature": F.lit(None).cast("string"), "docstring": F.col("p_type"), "content": F.concat("p_name", F.lit("\n"), "p_type"),
+        "file_path": F.concat(F.lit("/s/"), key), "relative_path": key, "start_line": size, "end_line": size + 1, "checksum": F.md5(F.col("p_name").cast("binary")), "language": F.lit("python"), "token_count": size, "unique_token_count": F.lit(2), "score_weight": F.col("p_retailprice"),
+        "parent_id": F.when(size % 3 != 0, F.col("p_brand")), "deterministic_id": T.object_id(key, F.col("p_name")), "embedding_model_version": F.lit("v1"), "ast_metadata": F.when(size % 5 == 0, F.format_string('{"calls":["%s"]}', "p_brand")), "created_at": at, "updated_at": at,
+    }
+    objects = _read(spark, sf_dir, "part").select(*[c.alias(name) for name, c in made.items()])
+    return nodes.object_payload(nodes.code_objects(nodes.object_payload(objects)))

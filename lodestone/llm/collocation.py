@@ -245,7 +245,7 @@ def collocations(documents: DataFrame, least: int = LEAST, longest: int = LONGES
     texts of any length are read whole; other columns are ignored.
     """
     rows = only(documents, lang="lang", text="text").withColumn("lang", F.coalesce(F.col("lang").cast("string"), F.lit("und")))
-    cut = written(shards(rows))
+    cut = written(shards(rows), SHARD_BYTES)
     tables, filters = [counted(cut, 1, [], least)], []
     for n in range(2, longest + 1):
         phrases = tables[-1].where("phrase <> ''")

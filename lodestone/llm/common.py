@@ -71,11 +71,18 @@ def clear_scratch(spark: SparkSession) -> int:
     return len(made)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and
-    later steps do not compute it again."""
+    later steps do not compute it again.
+
+    Rows of megabytes need ``group_bytes``: Parquet looks at the size of what
+    it holds after 100 rows only, and a row group is read in one piece.  With
+    it, both are cut at so many bytes, or one row."""
     path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
+    rows = df.write
+    if group_bytes:
+        rows = rows.options(**{"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    rows.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _TABLES[table] = path
     return table

@@ -6,9 +6,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from lodestone.llm import bloom, centroids, collocation, decontam
+from lodestone.llm import bloom, centroids, collocation, common, decontam
 from lodestone.llm import queries as llm_queries
 
 from .data import ODD_TEXTS, SCHEMA
@@ -234,6 +235,18 @@ def test_collocations_of_small_shards(spark, monkeypatch):
     assert collocation.collocations(table.limit(0)).count() == 0
 
 
+def test_shards_of_one_task_are_row_groups_of_bounded_size(spark, monkeypatch, tmp_path):
+    """Else a task that reads them holds all shards of the one that wrote them."""
+    monkeypatch.setattr(collocation, "SHARD_BYTES", 1 << 16)
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}/{len(list(tmp_path.iterdir()))}")
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") + str(rnd.randint(0, 99)) for _ in range(8000)), f"l{i}", "s", 1) for i in range(12)]
+    monkeypatch.setattr(collocation, "discard", lambda *tables: None)
+    collocation.collocations(spark.createDataFrame(rows, SCHEMA).coalesce(1), 10, 3, 50, 50)
+    kept = [pq.ParquetFile(f).metadata for f in sorted(tmp_path.glob("0/*.parquet"))]
+    assert sum(m.num_rows for m in kept) == 12 and max(m.row_group(i).total_byte_size for m in kept for i in range(m.num_row_groups)) < 4 << 16
+
+
 def test_suffix_intervals():
     numbers = np.array([1, 2, 3, 1, 2, 3, 1, 2, 0, 1, 2, 3, 0])
     pairs = np.unique(numbers[:-1] * 10 + numbers[1:], return_inverse=True)[1]

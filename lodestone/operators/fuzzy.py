@@ -1,60 +1,84 @@
-"""Names that resemble each other, by a similarity join with filters.
+"""Names that resemble each other: queries against names on a grid of cells.
 
 The ratio of two names is twice the number of matched characters over the sum
 of their lengths, where matches are the longest common blocks, left and right
 of each taken in the same way.  Matched characters are common to both names, so
-a ratio of ``t`` needs ``t / 2`` of both lengths in common characters: names of
-very different length, or with too few common characters, are never compared.
+a ratio of ``t`` needs ``t / 2`` of both lengths in common characters: names
+with too few of them are never compared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: thresholds ---
 THRESHOLD, SUBSTRING = 0.6, 0.8
 # --- end of fixed values ---
 
-#: Characters of the grams that substrings are looked up by.
-GRAM = 4
-
-
-def _numbered(name: Column) -> Column:
-    """A name's characters, each with how often it stood there before."""
-    letters = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
-    return F.transform(letters, lambda c, i: F.struct(c.alias("c"), (i - F.array_position(letters, c) + 1).cast("int").alias("k")))
-
-
-def _grams(name: Column) -> Column:
-    spans = F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - n + 1)), lambda i: F.substr(name, i, n))))))
-    return spans
-
-
-def _near(queries: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (q, s) with enough common characters for ``threshold``.
-
-    With the characters in one order for all, rarest first, two names with
-    enough in common share one among the first ``length - least common + 1``
-    of each; only these are joined.
-    """
-    both = queries.select(F.col("q").alias("s")).union(names).distinct()
-    rare = Window.partitionBy("s").orderBy("freq", "c", "k")
-    spread = both.select("s", F.explode(_numbered(F.col("s"))).alias("x")).select("s", "x.c", "x.k")
-    placed = spread.join(spread.groupBy("c", "k").agg(F.count("*").alias("freq")), ["c", "k"]).withColumn("place", F.row_number().over(rare)).withColumn("length", F.length("s"))
-    # the shortest partner that can reach the threshold needs the fewest in common
-    shortest = F.ceil(F.col("length") * threshold / (2 - threshold) - 1e-9)
-    least = F.greatest(F.lit(1), F.ceil((F.col("length") + shortest) * threshold / 2 - 1e-9))
-    first = placed.where(F.col("place") <= F.col("length") - least + 1).select("s", "c", "k", "length")
-    asked = first.join(queries.select(F.col("q").alias("s")), "s", "left_semi").select(F.col("s").alias("q"), "c", "k", F.col("length").alias("n"))
-    named = first.join(names, "s", "left_semi")
-    near = (2 - threshold) * F.least("n", "length") + 1e-9 >= threshold * F.greatest("n", "length")
-    pairs = asked.join(named, ["c", "k"]).where(near).select("q", "s").distinct()
-    common = F.size(F.array_intersect(_numbered(F.col("q")), _numbered(F.col("s"))))
-    return pairs.where(2 * common + 1e-9 >= threshold * (F.length("q") + F.length("s")))
+#: Names and queries, about, that one cell of the grid compares, and partitions that cells are dealt to at most.
+SIDE, MOST_PARTITIONS = 256, 4096
+
+
+def _counts(texts: list[str], places: dict[str, int]) -> np.ndarray:
+    """How often each character stands in each text."""
+    out = np.zeros((len(texts), len(places)), np.int32)
+    for i, text in enumerate(texts):
+        for c, n in Counter(text).items():
+            out[i, places[c]] = n
+    return out
+
+
+def rated_pairs(queries: list[str], names: list[str], threshold: float) -> tuple[list[int], list[int], list[float]]:
+    """Places of the queries and names whose ratio, 0.8 at least for a part, is
+    ``threshold`` or more, and the ratios.  Names are looked into once each."""
+    places = {c: i for i, c in enumerate(sorted(set().union(*queries, *names)))}
+    held, lengths = _counts(queries, places), np.array([len(q) for q in queries])
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    for j, (name, own) in enumerate(zip(names, _counts(names, places), strict=True)):
+        matcher = SequenceMatcher(None, "", name)
+        able = 2 * np.minimum(held, own).sum(axis=1) + 1e-9 >= threshold * (lengths + len(name))
+        for i, near in enumerate(able.tolist()):
+            part = queries[i] in name
+            if not near and not part:
+                continue
+            ratio = 0.0
+            if near:
+                matcher.set_seq1(queries[i])
+                ratio = matcher.ratio()
+            ratio = max(ratio, SUBSTRING) if part else ratio
+            if ratio >= threshold:
+                for column, value in zip(out, (i, j, ratio), strict=True):
+                    column.append(value)
+    return out
+
+
+def _rated(queries: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """``q, s, ratio`` of the texts ``q`` and ``s``.  Both are dealt to a grid
+    by hash, so that a cell has a bounded number of pairs and no text that many
+    names have in common makes a task large."""
+    parts, slices = (-(-df.count() // SIDE) or 1 for df in (names, queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    homes = names.select("s", own("s", parts).alias("part"), every(slices).alias("slice")).withColumn("asks", F.lit(False))
+    asking = queries.select(F.col("q").alias("s"), own("q", slices).alias("slice"), every(parts).alias("part")).withColumn("asks", F.lit(True))
+    cells = homes.unionByName(asking).select((F.col("part").cast("long") * slices + F.col("slice")).alias("cell"), "s", "asks")
+
+    def rate(table: pa.Table) -> pa.Table:
+        asks = table["asks"]
+        q, s = (table["s"].filter(side).to_pylist() for side in (asks, pc.invert(asks)))
+        i, j, ratio = rated_pairs(q, s, threshold) if q and s else ([], [], [])
+        return pa.table({"q": pa.array([q[x] for x in i], pa.string()), "s": pa.array([s[x] for x in j], pa.string()), "ratio": pa.array(ratio, pa.float64())})
+
+    # a stated number of partitions, as few bytes make much work here
+    dealt = cells.repartition(min(parts * slices, MOST_PARTITIONS), "cell")
+    return dealt.groupBy("cell").applyInArrow(rate, "q string, s string, ratio double")
 
 
 def similar(queries: DataFrame, projects: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -70,13 +94,6 @@ def similar(queries: DataFrame, projects: DataFrame, threshold: float = THRESHOL
     keyed = projects.select("project_id", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("project_id")))).alias("s")).where("s <> ''").distinct()
     names = keyed.select("s").distinct()
 
-    @F.pandas_udf("double")
-    def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    held = names.select("s", _grams(F.col("s")).alias("gram"))
-    part = asked.withColumn("gram", F.left("q", F.lit(GRAM))).join(held, "gram").where(F.contains("s", F.col("q"))).select("q", "s", F.lit(SUBSTRING).alias("floor"))
-    pairs = _near(asked, names, threshold).withColumn("floor", F.lit(0.0)).unionByName(part).groupBy("q", "s").agg(F.max("floor").alias("floor"))
-    rated = pairs.withColumn("ratio", F.greatest(exact("q", "s"), "floor")).where(F.col("ratio") >= threshold)
+    rated = _rated(asked, names, threshold)
     best = rated.join(keyed, "s").groupBy("q", "project_id").agg(F.max("ratio").alias("ratio"))
     return queries.select("query").distinct().join(best, F.lower("query") == F.col("q")).select("query", "project_id", "ratio")

@@ -136,3 +136,12 @@ def test_similar_names_against_all_pairs(spark, threshold):
     got = {(r["query"], r.project_id): r.ratio for r in df.where(F.col("project_id").isNotNull()).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "Cartesian" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_names_with_common_beginnings_are_dealt_to_cells(spark, monkeypatch):
+    """No join by what many names share: rows of a cell are bounded."""
+    monkeypatch.setattr(fuzzy, "SIDE", 8)
+    names = spark.createDataFrame([(f"https://host/{i}",) for i in range(200)], "s string")
+    asked = names.limit(20).withColumnRenamed("s", "q")
+    plan = fuzzy._rated(asked, names, 0.6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and fuzzy._rated(asked, names, 0.6).rdd.getNumPartitions() == 75

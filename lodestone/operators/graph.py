@@ -77,13 +77,14 @@ def _with_nearest(captures: DataFrame, objects: DataFrame) -> DataFrame:
     line, and is handed the nearest object before and after it by a window over
     blocks.  So every capture meets one row of bounded size, and a name that
     very many captures have is an ordinary hot key of an equi-join whose other
-    side is unique.
+    side is unique.  All sides grow with the files, so none is broadcast: read
+    from small files, they are far larger than Spark takes them to be.
     """
     key = ["file_path", "name"]
     block = lambda line: F.floor(F.col(line) / BLOCK_LINES).alias("block")
     first = objects.groupBy(*key).agg(F.min_by(F.struct("id", "ordinal"), "ordinal").alias("first"), F.count_distinct("id").alias("n_targets"))
     # the first object counts from the capture's own source, wherever it stands itself
-    later = objects.join(first.select(*key, F.col("first.ordinal").alias("o__")), key).where("ordinal > o__").groupBy(*key, "start_line").agg(F.min("ordinal").alias("ordinal"), F.min_by("id", "ordinal").alias("id"))
+    later = objects.join(first.select(*key, F.col("first.ordinal").alias("o__")).hint("merge"), key).where("ordinal > o__").groupBy(*key, "start_line").agg(F.min("ordinal").alias("ordinal"), F.min_by("id", "ordinal").alias("id"))
     item = F.struct("start_line", "ordinal", "id")
     none = F.lit(None).cast(later.select(item.alias("i")).schema["i"].dataType)
     held = later.select(*key, block("start_line"), item.alias("item")).unionByName(captures.select(*key, block("line")).distinct().withColumn("item", none))
@@ -91,8 +92,8 @@ def _with_nearest(captures: DataFrame, objects: DataFrame) -> DataFrame:
     near = Window.partitionBy(*key).orderBy("block")
     before = F.last(F.when(F.size("items") > 0, F.array_max("items")), ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, -1))
     after = F.first(F.when(F.size("items") > 0, F.array_min("items")), ignorenulls=True).over(near.rowsBetween(1, Window.unboundedFollowing))
-    blocks = blocks.withColumns({"before": before, "after": after}).join(first, key)
-    met = captures.withColumn("block", block("line")).join(blocks, [*key, "block"])
+    blocks = blocks.withColumns({"before": before, "after": after}).join(first.hint("merge"), key)
+    met = captures.withColumn("block", block("line")).join(blocks.hint("merge"), [*key, "block"])
     far = lambda x: F.struct(F.abs(x["start_line"] - F.col("line")).alias("distance"), x["ordinal"].alias("ordinal"), x["id"].alias("id"))
     own = F.struct(F.abs(F.col("source_line") - F.col("line")).alias("distance"), F.col("first.ordinal").alias("ordinal"), F.col("first.id").alias("id"))
     others = F.transform(F.array_compact(F.concat("items", F.array("before", "after"))), far)
@@ -121,7 +122,7 @@ def scope_object(captures: DataFrame, objects: DataFrame) -> DataFrame:
     whose scope has no such object has no row."""
     first = objects.groupBy("file_path", F.col("name").alias("scope_name")).agg(F.min_by(F.struct("id", "start_line"), "ordinal").alias("first"))
     same = objects.groupBy("file_path", F.col("name").alias("scope_name"), F.col("start_line").alias("scope_line")).agg(F.min_by("id", "ordinal").alias("same"))
-    found = captures.join(first, ["file_path", "scope_name"]).join(same, ["file_path", "scope_name", "scope_line"], "left")
+    found = captures.join(first.hint("merge"), ["file_path", "scope_name"]).join(same.hint("merge"), ["file_path", "scope_name", "scope_line"], "left")
     line = F.when(F.col("same").isNotNull(), F.col("scope_line")).otherwise(F.col("first.start_line"))
     return found.select(*captures.columns, F.coalesce("same", "first.id").alias("source_id"), line.alias("source_line"))
 

@@ -301,7 +301,7 @@ def captured_edges(spark, sf_dir):
     held = extract.objects(found)
     edges = graph.capture_edges(extract.captures(found), held)
     end = lambda side, *more: held.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), *more)
-    named = edges.join(end("source", F.col("file_path").cast("long").alias("customer")), "source_id").join(end("target", F.col("start_line").alias("target_line")), "target_id")
+    named = edges.join(end("source", F.col("file_path").cast("long").alias("customer")).hint("merge"), "source_id").join(end("target", F.col("start_line").alias("target_line")).hint("merge"), "target_id")
     return named.select("customer", "source", "target", "target_line", "relation_type")
 
 

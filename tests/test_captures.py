@@ -116,3 +116,12 @@ def test_scopes_prefer_the_object_on_their_line(spark):
     rows = [("f", "CALLS", "x", 3, "go", 9), ("f", "CALLS", "x", 4, "go", 5), ("f", "CALLS", "x", 5, "gone", 1), (None, "CALLS", "x", 5, "go", 1)]
     got = graph.scope_object(spark.createDataFrame(rows, "file_path string, kind string, name string, line int, scope_name string, scope_line int"), objects)
     assert Counter((r.line, r.source_id, r.source_line) for r in got.collect()) == {(3, "b", 9): 1, (4, "a", 1): 1}
+
+
+def test_no_side_of_the_edges_is_broadcast(spark, tmp_path):
+    """A file of few bytes makes captures of many, and the driver would hold them."""
+    from lodestone import queries
+
+    spark.range(40).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    df = queries.QUERIES["captured_edges"](spark, str(tmp_path))
+    assert df.count() == 400 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -39,10 +39,13 @@ def split_identifier(word: Column) -> Column:
 _JOINED = r"(?<![a-zA-Z0-9])[a-zA-Z0-9]*+[_\-][a-zA-Z0-9_\-]*+"
 #: Of other words, the parts of two characters or more between changes of case; runs of other scripts.
 _PARTS = rf"[a-z]{{2,}}|[A-Z]{{2,}}(?=[A-Z][a-z]|(?![a-zA-Z0-9_\-]))|[A-Z][a-z]+|[0-9]{{2,}}|[{HANGUL}]+|[{KANA}]+|[{CJK}]+"
+#: The same, where capitals before a digit are a part too.
+_ALL_PARTS = _PARTS.replace("(?![a-zA-Z0-9_\\-])", "(?![a-zA-Z_\\-])")
 
 
-def tokens(text: Column) -> Column:
-    """All tokens of a text; one-character ASCII tokens are dropped.
+def tokens(text: Column, capitals: bool = False) -> Column:
+    """All tokens of a text; one-character ASCII tokens are dropped.  Capitals
+    before a digit, as in ``ABC123``, are a token only if ``capitals`` is set.
 
     The same as ``split_identifier`` of all ``words``, in a few passes over the
     whole text and none over single words: found parts are put on a line each
@@ -50,10 +53,11 @@ def tokens(text: Column) -> Column:
     lines are also cut at underscores, those without any at hyphens.
     """
     text = F.coalesce(text, F.lit(""))
+    parts = _ALL_PARTS if capitals else _PARTS
     lines = lambda pattern: F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "\n")
-    simple = F.split(F.nullif(F.lower(lines(_PARTS)), F.lit("")), "\n")
+    simple = F.split(F.nullif(F.lower(lines(parts)), F.lit("")), "\n")
     # hyphens of lines with an underscore stay
-    kept = F.regexp_replace(F.regexp_replace(lines(f"{_JOINED}|{_PARTS}"), r"-(?=[^\n]*_)", "\x02"), r"(_[^\n\-]*|(?!\A)\G[^\n\-]*)-", "$1\x02")
+    kept = F.regexp_replace(F.regexp_replace(lines(f"{_JOINED}|{parts}"), r"-(?=[^\n]*_)", "\x02"), r"(_[^\n\-]*|(?!\A)\G[^\n\-]*)-", "$1\x02")
     cut = F.lower(F.translate(kept, "_-\x02", "\n\n-"))
     joined = F.regexp_extract_all(cut, F.lit(r"[^\n]{2,}|[^\x00-\x7F]"), F.lit(0))
     return F.coalesce(F.when(F.contains(text, F.lit("_")) | F.contains(text, F.lit("-")), joined).otherwise(simple), F.array().cast("array<string>"))
@@ -64,7 +68,7 @@ def token_hash(token: Column) -> Column:
     return F.conv(F.left(F.sha2(token, 256), F.lit(8)), 16, 10).cast("long")
 
 
-def token_counts(text: Column) -> tuple[Column, Column]:
+def token_counts(text: Column, capitals: bool = False) -> tuple[Column, Column]:
     """The number of tokens and of distinct tokens."""
-    found = tokens(text)
+    found = tokens(text, capitals)
     return F.size(found), F.size(F.array_distinct(found))

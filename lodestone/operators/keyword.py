@@ -20,15 +20,16 @@ DOCUMENT_FIELDS = {"name": 5.0, "content": 5.0, "file_path": 2.0}
 FEW_TOKENS = 200
 
 
-def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH, wanted: list[str] | None = None) -> DataFrame:
+def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float = K1, b: float = B, average: float = AVERAGE_LENGTH, wanted: list[str] | None = None, capitals: bool = False) -> DataFrame:
     """``id, token_hash, weight`` of every row and token, or of those tokens
     that are ``wanted``: then only they are exploded, hashed and shuffled.
 
     Tokens are counted per field; each count is saturated against the length
     of the whole row, weighted, and summed.  One pass: a row's fields are
-    exploded together, counts are combined before the shuffle.
+    exploded together, counts are combined before the shuffle.  ``capitals`` is
+    that of ``tokens``; queries need the same.
     """
-    held = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(w).alias("boost"), tokens(F.col(f)).alias("tokens")) for i, (f, w) in enumerate(fields.items())])
+    held = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(w).alias("boost"), tokens(F.col(f), capitals).alias("tokens")) for i, (f, w) in enumerate(fields.items())])
     some = lambda t: t if wanted is None else F.filter(t, lambda x: x.isin(wanted)) if wanted else F.slice(t, 1, 0)
 
     def sized(fs):
@@ -51,15 +52,15 @@ def document_frequencies(posted: DataFrame, total: int | None = None) -> DataFra
     return df.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
-def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
+def query_terms(queries: DataFrame, key: str, text: str, capitals: bool = False) -> DataFrame:
     """``query_id, token_hash, qtf`` of every query."""
-    spread = queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text))).alias("token"))
+    spread = queries.select(F.col(key).alias("query_id"), F.explode(tokens(F.col(text), capitals)).alias("token"))
     return spread.groupBy("query_id", token_hash(F.col("token")).alias("token_hash")).agg(F.count("*").alias("qtf"))
 
 
-def wanted_tokens(queries: DataFrame, text: str) -> list[str] | None:
+def wanted_tokens(queries: DataFrame, text: str, capitals: bool = False) -> list[str] | None:
     """The queries' distinct tokens, if they are at most ``FEW_TOKENS``."""
-    found = queries.select(F.explode(tokens(F.col(text))).alias("t")).distinct().limit(FEW_TOKENS + 1).collect()
+    found = queries.select(F.explode(tokens(F.col(text), capitals)).alias("t")).distinct().limit(FEW_TOKENS + 1).collect()
     return sorted(r.t for r in found) if len(found) <= FEW_TOKENS else None
 
 

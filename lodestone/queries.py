@@ -80,8 +80,8 @@ FIELDS = {"source": 5.0, "text": 5.0}
 def _sparse(spark, sf_dir) -> DataFrame:
     docs = spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS))
     asked = _one(spark, SEARCH_TEXT)
-    posted = keyword.postings(docs, "doc_id", FIELDS, wanted=keyword.wanted_tokens(asked, "text"))
-    return keyword.keyword_scores(posted, keyword.query_terms(asked, "query_id", "text"), docs.count())
+    posted = keyword.postings(docs, "doc_id", FIELDS, wanted=keyword.wanted_tokens(asked, "text", True), capitals=True)
+    return keyword.keyword_scores(posted, keyword.query_terms(asked, "query_id", "text", True), docs.count())
 
 
 # --- keyword search (X1-X4, A1-A5, J16, L1) ---
@@ -96,23 +96,23 @@ def keyword_search(spark, sf_dir):
 @query(f"SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) GROUP BY ALL")
 def token_frequencies(spark, sf_dir):
     docs = spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.explode(tokenize.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    return docs.select("doc_id", F.explode(tokenize.tokens(F.col("text"), True)).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
 
 
 @query(f"WITH {_POSTED} SELECT id, token_hash, round(weight, 6) AS weight FROM posted")
 def field_postings(spark, sf_dir):
-    return keyword.postings(spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS)), "doc_id", FIELDS).withColumn("weight", F.round("weight", 6))
+    return keyword.postings(spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS)), "doc_id", FIELDS, capitals=True).withColumn("weight", F.round("weight", 6))
 
 
 @query(f"WITH {_POSTED} SELECT token_hash, df, round(idf, 6) AS idf FROM idf")
 def inverse_document_frequencies(spark, sf_dir):
     docs = spread(_read(spark, sf_dir, "documents").select("doc_id", *FIELDS))
-    return keyword.document_frequencies(keyword.postings(docs, "doc_id", FIELDS), docs.count()).withColumn("idf", F.round("idf", 6))
+    return keyword.document_frequencies(keyword.postings(docs, "doc_id", FIELDS, capitals=True), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"""SELECT doc_id, len({_tokens("text")}) AS token_count, len(list_distinct({_tokens("text")})) AS unique_token_count FROM documents""")
 def token_count_columns(spark, sf_dir):
-    a, b = tokenize.token_counts(F.col("text"))
+    a, b = tokenize.token_counts(F.col("text"), True)
     return _read(spark, sf_dir, "documents").select("doc_id", a.alias("token_count"), b.alias("unique_token_count"))
 
 
@@ -200,7 +200,7 @@ def diverse_results(spark, sf_dir):
  * (1.0::DOUBLE + CASE WHEN lang = 'en' THEN 0.15 ELSE 0 END + CASE WHEN source = 'src1' THEN 0.10 ELSE 0 END), 0.1), 1.2), 6) AS weight
 FROM (SELECT *, len({_tokens("text")}) AS n FROM documents)""")
 def score_weights(spark, sf_dir):
-    n, _ = tokenize.token_counts(F.col("text"))
+    n, _ = tokenize.token_counts(F.col("text"), True)
     return _read(spark, sf_dir, "documents").withColumn("n", n).select("doc_id", F.round(T.score_weight(F.col("n"), F.col("lang") == "en", F.col("source") == "src1"), 6).alias("weight"))
 
 
@@ -630,10 +630,10 @@ def indexed_search(spark, sf_dir):
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     index = PostingsIndex(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", buckets=32)
     older = docs.where("doc_id % 13 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" older words"))).otherwise(F.col("text")))
-    index.write(keyword.postings(older, "doc_id", FIELDS), older.count())
+    index.write(keyword.postings(older, "doc_id", FIELDS, capitals=True), older.count())
     changed = docs.where("doc_id % 10 = 0 or doc_id % 13 = 0")
-    state = index.replace(changed.select(F.col("doc_id").alias("id")), keyword.postings(changed, "doc_id", FIELDS), docs.count())
-    terms = keyword.query_terms(_read(spark, sf_dir, "benchmark").where("item_id % 100 = 0"), "item_id", "text")
+    state = index.replace(changed.select(F.col("doc_id").alias("id")), keyword.postings(changed, "doc_id", FIELDS, capitals=True), docs.count())
+    terms = keyword.query_terms(_read(spark, sf_dir, "benchmark").where("item_id % 100 = 0"), "item_id", "text", True)
     best = ranking.top_k(keyword.keyword_scores(index.lookup(terms), terms, state["total"]), 10, ["query_id"])
     return best.select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 

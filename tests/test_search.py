@@ -113,6 +113,22 @@ def test_tokens(spark, word, parts):
     assert one(spark, word, tokenize.tokens) == parts
 
 
+def test_capitals_before_digits_as_in_sql(spark, tmp_path):
+    """The four token queries over texts with keys of capitals and digits."""
+    import duckdb
+
+    from lodestone import queries
+
+    texts = ["key AKIAMD62HKU6VBL", "AB1 ABc2 aB3CD4ef X9Y", "AB-C1 A_BC2 HTTPServer2x", "ABC\uac00DE5", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("SRC1")).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("token_frequencies", "field_postings", "inverse_document_frequencies", "token_count_columns"):
+        df, want = queries.QUERIES[name](spark, str(tmp_path)), con.sql(queries.ORACLE[name])
+        got = sorted(tuple(r[c] for c in want.columns) for r in df.where("doc_id < 4" if name == "token_count_columns" else "true").collect())
+        assert got == sorted(r for r in want.fetchall() if None not in r), name
+
+
 def test_text_functions(spark):
     assert one(spark, "a/b/My.PY", T.language_of) == "python" and one(spark, "a/none", T.language_of) is None
     assert one(spark, "../a/b", T.normal_path) == "a/b" and one(spark, "x/src/a/b.py", T.module_path) == "a.b"

@@ -674,7 +674,7 @@ def class_chunks(spark, sf_dir):
     body = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: F.concat(F.lit("    def m"), i.cast("string"), F.lit("(self, x):\n        y = x + "), i.cast("string"), F.lit("\n        return y"))), "\n")
     text = F.concat(F.lit("class S"), F.col("s_suppkey").cast("string"), F.lit(':\n    """About it."""\n    size = '), n.cast("string"), F.lit("\n"), body)
     files = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("file_path"), F.lit("python").alias("language"), text.alias("content"))
-    found = extract.objects(extract.split_classes(extract.extract(files)))
+    found = extract.objects(extract.split_classes(extract.extract(spread(files))))
     return found.select(F.col("file_path").cast("long").alias("s_suppkey"), "name", "is_summary", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
@@ -771,7 +771,7 @@ def config_nodes(spark, sf_dir):
     name = F.concat(F.col("c_custkey").cast("string"), F.lit("."), kind)
     files = _read(spark, sf_dir, "customer").select(F.concat(F.lit("/etc/"), name).alias("file_path"), name.alias("relative_path"), kind.alias("config_format"), text.alias("content"))
     joined = lambda c: F.array_join(F.array_sort(c), ",").alias(c)
-    return nodes.config_nodes(files).select("file_path", "deterministic_id", "chunk_index", "total_chunks", "title", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"), joined("config_keys"), "config_format", joined("env_references"), "section_depth")
+    return nodes.config_nodes(spread(files)).select("file_path", "deterministic_id", "chunk_index", "total_chunks", "title", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"), joined("config_keys"), "config_format", joined("env_references"), "section_depth")
 
 
 def _document_nodes(spark, sf_dir) -> DataFrame:

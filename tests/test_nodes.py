@@ -100,3 +100,15 @@ def test_registered_query_against_a_fold(spark):
             first = text[: text.index(content)].count("\n") + 1
             wanted[f"{row.doc_id}.md", i] = (title, first, first + content.count("\n"), content, len(chunks))
     assert found == wanted
+
+
+@pytest.mark.parametrize(("name", "columns"), [("config_nodes", "id AS c_custkey, id % 5 AS c_nationkey"), ("class_chunks", "id AS s_suppkey, id % 5 AS s_nationkey")])
+def test_small_files_are_dealt_to_all_cores(spark, tmp_path, monkeypatch, name, columns):
+    """A file of few bytes is one row group, and made much work of one task."""
+    from lodestone import queries
+
+    dealt = []
+    monkeypatch.setattr(queries, "spread", lambda df: dealt.append(df.columns) or df)
+    spark.range(10).selectExpr(*columns.split(", ")).write.parquet(str(tmp_path / ("customer.parquet" if "c_" in columns else "supplier.parquet")))
+    queries.QUERIES[name](spark, str(tmp_path))
+    assert len(dealt) == 1 and "content" in dealt[0]

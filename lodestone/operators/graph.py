@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import REVERSE_RELATION, reverse_relation
+from ..sources.tables import dealt
 
 # --- fixed values: edge weights and expansion constants ---
 EDGE_WEIGHT = {
@@ -23,7 +24,7 @@ def with_reverse(edges: DataFrame) -> DataFrame:
     are read once."""
     back = F.when(F.upper("relation_type").isin(*REVERSE_RELATION), F.struct(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), reverse_relation(F.col("relation_type")).alias("relation_type")))
     both = F.filter(F.array(F.struct(*EDGE), back), lambda e: e.isNotNull())
-    return edges.select(F.explode(both).alias("e")).select("e.*").dropDuplicates(list(EDGE))
+    return dealt(edges.select(F.explode(both).alias("e")).select("e.*"), *EDGE).dropDuplicates(list(EDGE))
 
 
 def contains_edges(objects: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from .functions import text as T
 from .functions import tokenize, vector
 from .operators import chunk, config, extract, fuzzy, graph, keyword, lines, nodes, parse_quality, prose, ranking, references, tables
 from .operators.index import PostingsIndex
-from .sources.tables import spread
+from .sources.tables import dealt, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -218,13 +218,13 @@ def _edges(spark, sf_dir):
     def side(table, a, source, b, target, kind):
         return _read(spark, sf_dir, table).select(F.concat(F.lit(a), source).alias("source_id"), F.concat(F.lit(b), target).alias("target_id"), F.lit(kind).alias("relation_type"))
 
-    return (
+    every = (
         side("customer", "n", "c_nationkey", "c", "c_custkey", "CONTAINS")
         .unionByName(side("orders", "c", "o_custkey", "o", "o_orderkey", "CALLS"))
         .unionByName(side("lineitem", "o", "l_orderkey", "p", "l_partkey", "REFERENCES"))
         .unionByName(side("lineitem", "s", "l_suppkey", "p", "l_partkey", "IMPORTS"))
-        .distinct()
     )
+    return dealt(every, *graph.EDGE).distinct()
 
 
 @query(f"WITH {_EDGES} SELECT * FROM both_ways")

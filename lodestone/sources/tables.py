@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame
 #: Bytes for each core up to which a table counts as small.
 SMALL_BYTES = 32 << 20
 
+#: Bytes, as Spark takes them to be in files, for each task that drops repeated rows; in memory they are many times that.
+PART_BYTES = 4 << 20
+
 
 def spread(df: DataFrame) -> DataFrame:
     """``df``, dealt out to all cores if it is small.
@@ -18,3 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size <= SMALL_BYTES * cores else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df``, dealt by its ``keys`` to partitions that grow with it in number
+    and not in size, so that what a task holds of it is bounded.  Grouping by
+    the keys then needs no further shuffle."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES)), *keys)

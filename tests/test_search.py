@@ -113,6 +113,15 @@ def test_tokens(spark, word, parts):
     assert one(spark, word, tokenize.tokens) == parts
 
 
+def test_both_ways_in_partitions_that_grow_in_number(spark, monkeypatch):
+    from lodestone.sources import tables as sources
+
+    monkeypatch.setattr(sources, "PART_BYTES", 1 << 10)
+    edges = spark.range(1000).selectExpr("concat('a', id % 500) AS source_id", "concat('b', id % 500) AS target_id", "'CALLS' AS relation_type")
+    both = graph.with_reverse(edges)
+    assert both.count() == 1000 and both.rdd.getNumPartitions() > 20
+
+
 def test_capitals_before_digits_as_in_sql(spark, tmp_path):
     """The four token queries over texts with keys of capitals and digits."""
     import duckdb

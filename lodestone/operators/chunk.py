@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.batches import by_bytes
+from ..functions.batches import by_bytes, small_batches
 
 # --- fixed values: chunk sizes and separators ---
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 50
@@ -102,7 +102,7 @@ def recursive_chunks(texts: DataFrame, key: str, text: str, size: int = CHUNK_SI
             found = [[t[a:b] for a, b in chunk_spans(t, size, overlap) if not t[a:b].isspace()] if t else [] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], [key, "pieces"])
 
-    split = texts.select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
+    split = small_batches(texts).select(key, text).mapInArrow(run, f"`{key}` {kind}, pieces array<string>")
     # counted before the rows are made, which would each carry the whole list otherwise
     return split.withColumn("total__", F.size("pieces")).select(key, F.col("total__").alias("total_chunks"), F.posexplode("pieces").alias("chunk_index", "content")).select(key, "chunk_index", "total_chunks", "content")
 

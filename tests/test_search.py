@@ -122,6 +122,19 @@ def test_both_ways_in_partitions_that_grow_in_number(spark, monkeypatch):
     assert both.count() == 1000 and both.rdd.getNumPartitions() > 20
 
 
+def test_chunks_go_to_python_in_small_batches(spark):
+    from lodestone.functions import batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    try:
+        rows = spark.createDataFrame([(1, "a b")], "k long, t string")
+        assert chunk.recursive_chunks(rows, "k", "t").count() == 1 and int(spark.conf.get(name)) <= batches.STEP_BYTES
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_capitals_before_digits_as_in_sql(spark, tmp_path):
     """The four token queries over texts with keys of capitals and digits."""
     import duckdb

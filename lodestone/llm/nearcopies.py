@@ -1,17 +1,25 @@
 """Near copies by the Jaccard similarity of five-word shingles.
 
-Candidates come from MinHash bands, and every candidate is compared exactly.
-A pair of similarity ``s`` shares none of the bands with probability
-``(1 - s ** ROWS) ** BANDS``: 0.0005 at 0.8, less above.
-
-Texts of equal shingles are one node before any comparison.  In a bucket of
-nodes with a common band, all are first compared with the least; what is still
-apart after that is compared pair by pair, in cells of bounded size.
+Candidates come from SimHash fingerprints through vantage-point trees, and
+every candidate is compared exactly.  Sets of similarity ``s`` and of sizes
+that differ or not are vectors of cosine ``2 s / (1 + s)`` or more, so that two
+bits of their fingerprints differ with probability 0.1515 at most at 0.8.
+Over one word of 64 bits the radius that this asks for prunes next to nothing.
+So a fingerprint has many words and each word two trees, over ``bits`` bits of
+either half, whose radius is 1: a near pair meets in one tree with probability
+0.16 (0.05 with 30 bits), other pairs hardly ever, and there are as many trees
+as leave a pair at 0.8 apart in all with a computed probability of 0.0005.
+
+Texts of equal shingles are one node before any comparison.  A tree groups the
+nodes that its links lead to.  In a group, all are first compared with the
+least; what is still apart after that is compared pair by pair, in cells of
+bounded size.
 """
 
 from __future__ import annotations
 
 from functools import partial
+from math import acos, comb, pi
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +27,36 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .bloom import bloom_filter, may_hold
-from .common import LOWER_ASCII, column, discard, join_unique, only, reading, steps, texts, written
+from .common import LOWER_ASCII, column, discard, join_unique, only, reading, release, steps, texts, written
 from .components import connected_components
 from .simhash import least_of_each, row_key
 
 WIDTH = 5
 #: Pairs are near copies from 4 / 5 on.
 SHARE = (4, 5)
-BANDS, ROWS = 32, 7
 #: Nodes of one side of a cell, and bytes of their hashes.
 CELL, CELL_BYTES = 256, 2 << 20
 
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SHIFTS = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
+#: Up to so many documents, a tree is over so many bits, and so many words make a fingerprint (see ``missed``).
+TREES = ((1 << 18, 22, 28), (1 << 21, 26, 48), (1 << 63, 30, 82))
+#: Bits of a word that may differ in all, and in a tree.
+RADIUS, TREE_RADIUS = 11, 1
+#: Fingerprints of one task, and how many of a word the tree tops are grown on, at most.
+SHARD, SAMPLE = 1 << 18, 1 << 13
+#: Places that the shingles of a text are summed into before they are projected.
+PLACES = 1024
+#: Texts that are projected together.
+ROWS = 256
+
+
+def missed(bits: int, words: int, differ: float = acos(8 / 9) / pi, radius: int = RADIUS) -> float:
+    """The probability that a pair whose bits differ with probability
+    ``differ`` meets in no tree."""
+    upto = lambda n, k: sum(comb(n, i) * differ**i * (1 - differ) ** (n - i) for i in range(k + 1))
+    met = sum(comb(bits, i) * differ**i * (1 - differ) ** (bits - i) * upto(64 - bits, radius - i) for i in range(TREE_RADIUS + 1))
+    return (1 - met) ** (2 * words)
 
 
 def shingles(text: str) -> np.ndarray:
@@ -50,31 +74,111 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.array([digest(line[a:b]) for a, b in spans], np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A signed long for each band; of no shingles, none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), 512):
-        some = hashes[i : i + 512]
-        np.minimum(least, (_FACTORS[:, None] * some[None, :] + _SHIFTS[:, None]).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=k) for k, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+class Projection:
+    """SimHash of a set of hashes in ``words`` words: the signs of its
+    projections on random directions.  The hashes are first summed, with signs,
+    into ``PLACES`` places, which keeps distances and makes the rest a product
+    of matrices of small whole numbers, exact in any order."""
+
+    def __init__(self, words: int):
+        self.directions = (2 * np.random.default_rng(42).integers(-64, 64, (PLACES, 64 * words), dtype=np.int16) + 1).astype(np.float32)
 
+    @staticmethod
+    def sums(hashes: np.ndarray) -> np.ndarray:
+        signs = 1 - 2 * ((hashes >> np.uint64(11)) & np.uint64(1)).astype(np.float64)
+        return np.bincount((hashes % np.uint64(PLACES)).astype(np.int64), signs, PLACES)
 
-def _sketches(documents: DataFrame) -> DataFrame:
-    """``doc_id, key, node`` (a hash of all shingles) and ``bands`` of every row."""
+    def __call__(self, sums: np.ndarray) -> np.ndarray:
+        """A row of signed longs for each row of ``sums``."""
+        exact = np.float32 if len(sums) == 0 or np.abs(sums).sum(axis=1).max() < 1 << 17 else np.float64
+        bits = sums.astype(exact) @ self.directions > 0
+        return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _sketches(documents: DataFrame, words: int) -> DataFrame:
+    """``doc_id, key, node`` (a hash of all shingles) and ``words`` (the
+    fingerprint; of no shingles, none) of every row."""
 
     def run(batches):
+        project = Projection(words)
         for batch in steps(batches):
-            nodes, keys = [], []
-            for t in texts(column(batch, "text")):
+            nodes, some, sums, found = [], [], [], [[]] * batch.num_rows
+
+            def flush(some=some, sums=sums, found=found):
+                for at, own in zip(some, project(np.array(sums)) if some else (), strict=True):
+                    found[at] = own
+                some.clear()
+                sums.clear()
+
+            for i, t in enumerate(texts(column(batch, "text"))):
                 hashes = shingles(t)
                 nodes.append(xxhash.xxh64_intdigest(hashes.tobytes()))
-                keys.append(bands(hashes))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "node", "bands"])
+                if len(hashes):
+                    some.append(i)
+                    sums.append(project.sums(hashes))
+                if len(some) == ROWS:
+                    flush()
+            flush()
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "node", "words"])
 
     keyed = only(documents, doc_id="doc_id", text="text").withColumn("key", row_key())
-    return keyed.mapInArrow(run, "doc_id long, key string, node long, bands array<long>")
+    return keyed.mapInArrow(run, "doc_id long, key string, node long, words array<long>")
+
+
+def _trees(nodes: DataFrame, total: int, bits: int, words: int, shard: int) -> list[simhash.Tree]:
+    """Two trees for every word.  Their tops are grown on a sample, which bears
+    on balance only, where more fingerprints than a shard takes are there."""
+    sample = np.zeros((0, words), np.uint64)
+    if total > shard:
+        held = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("words").collect()
+        sample = np.array([r.words for r in held], np.int64).view(np.uint64)
+    low = (1 << bits) - 1
+    return [simhash.grow(sample[:, w], total, np.uint64(low << shift), TREE_RADIUS, shard) for w in range(words) for shift in (32, 0)]
+
+
+def _groups(nodes: DataFrame, bits: int, words: int) -> DataFrame:
+    """``bucket, node``: the nodes that the links of a tree lead to, where there
+    are two or more.  A link is a pair within ``TREE_RADIUS`` bits of the tree
+    and ``RADIUS`` bits of the word."""
+    known = nodes.where(F.size("words") > 0).select("node", "words")
+    total = known.count()
+    trees = _trees(known, total, bits, words, SHARD)
+    cells, masks = 0, []
+    for tree in trees:
+        for s in tree.shards:
+            s.first_cell = cells
+            cells += s.grid[0] * s.grid[1]
+        masks.append((cells, tree.mask))
+
+    def send(batches):
+        for batch in batches:
+            own = column(batch, "node")
+            flat = column(batch, "words").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
+            for k, tree in enumerate(trees):
+                fps = np.ascontiguousarray(flat[:, k // 2])
+                for cell, who, home in simhash.sent(tree, fps):
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), own.take(pa.array(who)), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["cell", "node", "fp", "home"])
+
+    def link(key, table):
+        cell = key[0].as_py()
+        mask = next(m for upto, m in masks if cell < upto)
+        node, first = np.unique(np.asarray(table["node"]), return_index=True)
+        fps, home = np.asarray(table["fp"]).view(np.uint64), np.asarray(table["home"])
+        homes = np.unique(fps[home])
+        queries = homes if home.all() else np.unique(fps[~home])
+        a, b = simhash.link_shard(homes, queries, mask, TREE_RADIUS, RADIUS)
+        every, at = np.unique(fps[first], return_inverse=True)
+        root = np.arange(len(every))
+        root[np.searchsorted(every, a)] = np.searchsorted(every, b)
+        group = root[at]
+        some = np.bincount(group, minlength=len(every))[group] > 1
+        bucket = (every[group[some]] + np.uint64(cell)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(cell)
+        found = pa.table({"bucket": bucket.view(np.int64), "node": node[some]})
+        release()
+        return found
+
+    return known.mapInArrow(send, "cell long, node long, fp long, home boolean").groupBy("cell").applyInArrow(link, "bucket long, node long")
 
 
 def near(size: int, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -123,7 +227,7 @@ def _edges(cells: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
-    """Cells of each least node and a share of those that share a band with it."""
+    """Cells of each least node and a share of those that share a group with it."""
     shares = pairs.groupBy("least").agg(_cells(2).alias("shares"))
     counts = pairs.groupBy("least").agg(F.count("*").alias("n"))
     others = join_unique(pairs, shares, ["least"], counts, "n", pairs.count()).select("least", F.expr("pmod(xxhash64(node), shares)").alias("share"), "node", F.lit(False).alias("ask"))
@@ -148,8 +252,7 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     columns stay.
 
     Bloom filters of bounded size keep what cannot matter out of the shuffles:
-    band entries without a second node, texts without a candidate, rows that
-    stay in any case.  What they let through is joined exactly.
+    texts without a candidate, rows that stay in any case.  What they let through is joined exactly.
 
     Defined cases: texts without words, null ones included, are one group;
     repeated rows are one group, of which the first by all columns stays; rows
@@ -157,16 +260,15 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     whole; columns of any name stay as they are; an empty table gives no rows.
     """
     spark = documents.sparkSession
-    rows = written(_sketches(documents))
+    _, bits, words = next(x for x in TREES if documents.count() <= x[0])
+    rows = written(_sketches(documents, words))
     keys = written(rows.groupBy("key").agg(F.first("node").alias("node"), F.first("doc_id").alias("doc_id"), F.count("*").alias("n")))
-    nodes = written(rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min("key").alias("key"), F.count("*").alias("copies")))
+    nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.min("key").alias("key"), F.count("*").alias("copies")))
     discard(rows)
-    entries = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = written(entries.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1"))
-    shared = entries.where(may_hold(spark, bloom_filter(buckets, "bucket"), F.col("bucket")))
-    total = nodes.agg(F.sum(F.size("bands"))).first()[0] or 0
-    members = written(join_unique(shared, buckets, ["bucket"], buckets, "size", total).select("bucket", "node", "size", "least"))
-    discard(buckets)
+    groups = written(_groups(nodes, bits, words))
+    buckets = groups.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least"))
+    members = written(join_unique(groups, buckets, ["bucket"], buckets, "size", groups.count()).select("bucket", "node", "size", "least"))
+    discard(groups)
 
     def hashed(batches):
         for batch in steps(batches):

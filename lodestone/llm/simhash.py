@@ -19,6 +19,7 @@ left is compared exactly.  The sample affects balance only, never the links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 from itertools import combinations
@@ -123,15 +124,16 @@ def _split(homes: np.ndarray, mask: np.uint64, depth: int) -> tuple[np.uint64, i
     return None
 
 
-def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int) -> Tree:
+def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int, shard_homes: int | None = None) -> Tree:
     """The top of a tree: nodes are split while the share of the sample that
-    lives there stands for more than ``SHARD_HOMES`` fingerprints.  A shard
-    that the bounds cannot split further is dealt to a grid of tasks."""
+    lives there stands for more than ``SHARD_HOMES`` fingerprints, or those
+    given.  A shard that the bounds cannot split further is dealt to a grid of
+    tasks."""
     tree = Tree(Node(), mask, radius)
     scale = total / max(1, len(sample))
 
     def visit(node: Node, homes: np.ndarray, queries: np.ndarray, depth: int) -> None:
-        found = _split(homes, mask, depth) if len(homes) >= 16 and len(homes) * scale > SHARD_HOMES else None
+        found = _split(homes, mask, depth) if len(homes) >= 16 and len(homes) * scale > (shard_homes or SHARD_HOMES) else None
         if found:
             vantage, mu, d = found
             dq = _distance(queries, vantage, mask)
@@ -142,7 +144,7 @@ def grow(sample: np.ndarray, total: int, mask: np.uint64, radius: int) -> Tree:
                 visit(node.outside, homes[d > mu], out, depth + 1)
                 return
         node.shard = len(tree.shards)
-        most = (4 * SHARD_HOMES, SHARD_QUERIES) if radius else (SHARD_EXACT, SHARD_EXACT)
+        most = (4 * shard_homes, 4 * shard_homes) if shard_homes else (4 * SHARD_HOMES, SHARD_QUERIES) if radius else (SHARD_EXACT, SHARD_EXACT)
         node.grid = (max(1, round(len(homes) * scale / most[0])), max(1, round(len(queries) * scale / most[1])))
         tree.shards.append(node)
 
@@ -167,6 +169,20 @@ def place(tree: Tree, fps: np.ndarray) -> list[tuple[Node, np.ndarray, np.ndarra
     return out
 
 
+def sent(tree: Tree, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(cells, positions sent there, whether they live there) of each shard."""
+    spread = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+    for shard, homes, queries in place(tree, fps):
+        rows, columns = shard.grid
+        sides = ((True, homes, rows, columns), (False, queries, columns, rows))
+        # where nothing but its own fingerprints can query a shard, they are sent once
+        alone = shard.grid == (1, 1) and (tree.radius == 0 or shard is tree.root)
+        for home, who, own, others in sides[: 1 if alone else 2]:
+            mine = (spread[who] % np.uint64(own)).astype(np.int64)
+            for other in range(others):
+                yield shard.first_cell + (mine * columns + other if home else other * columns + mine), who, home
+
+
 def _roots(labels: np.ndarray) -> np.ndarray:
     while not np.array_equal(up := labels[labels], labels):
         labels = up
@@ -232,23 +248,15 @@ def links(distinct: DataFrame, radius: int = 3, many: int = MANY) -> DataFrame:
     def send(batches):
         for batch in batches:
             fps = column(batch, "fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            spread = (fps * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
             for tree in trees:
-                for shard, homes, queries in place(tree, fps):
-                    rows, columns = shard.grid
-                    sides = ((True, homes, rows, columns), (False, queries, columns, rows))
-                    # at radius 0 the queries of a shard are its own fingerprints
-                    for home, who, own, others in sides[: 1 if near == 0 and shard.grid == (1, 1) else 2]:
-                        mine = (spread[who] % np.uint64(own)).astype(np.int64)
-                        for other in range(others):
-                            cell = shard.first_cell + (mine * columns + other if home else other * columns + mine)
-                            if len(who):
-                                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["cell", "fp", "home"])
+                for cell, who, home in sent(tree, fps):
+                    if len(who):
+                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["cell", "fp", "home"])
 
     def link(key, table):
         fps, home = np.asarray(table["fp"], dtype=np.int64).view(np.uint64), np.asarray(table["home"])
         mask = next(m for upto, m in masks if key[0].as_py() < upto)
-        queries = fps[home] if home.all() and near == 0 else fps[~home]
+        queries = fps[home] if home.all() else fps[~home]
         a, b = link_shard(fps[home], queries, mask, near, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 

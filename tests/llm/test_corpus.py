@@ -197,6 +197,38 @@ def test_pipeline_drops_near_copies_from_four_fifths_on(spark, monkeypatch, most
     assert corpus_pipeline.drop_near_copies(spark, table.limit(0), "").count() == 0
 
 
+@pytest.mark.parametrize("shard", [20, 1 << 18])
+def test_near_copies_meet_in_vantage_point_trees(spark, monkeypatch, shard):
+    """Every pair within the radii of a tree is in a group of it, however the
+    tree is cut into shards, and pairs at 0.8 hardly ever meet in none."""
+    monkeypatch.setattr(nearcopies, "SHARD", shard)
+    monkeypatch.setattr(simhash, "SMALL", 8)
+    assert all(nearcopies.missed(bits, words) <= 0.0005 for _, bits, words in nearcopies.TREES)
+    _, bits, words = nearcopies.TREES[0]
+    sets = {h.tobytes(): h for h in map(nearcopies.shingles, filter(None, edited_texts()))}
+    fps = nearcopies.Projection(words)(np.array([nearcopies.Projection.sums(h) for h in sets.values()]))
+    assert {len(t.shards) > 2 for t in nearcopies._trees(spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(fps)], "node long, words array<long>"), len(fps), bits, words, shard)} == {shard == 20}
+    want, near, met = set(), 0, 0
+    all_sets = list(sets.values())
+    for i in range(len(fps)):
+        apart = (fps[:i] ^ fps[i]).view(np.uint64)
+        low = np.uint64((1 << bits) - 1)
+        tree = np.minimum(np.bitwise_count(apart & low), np.bitwise_count(apart & (low << np.uint64(32))))
+        linked = ((tree <= 1) & (np.bitwise_count(apart) <= nearcopies.RADIUS)).any(axis=1)
+        want |= {(j, i) for j in np.flatnonzero(linked).tolist()}
+        for j in range(i):
+            common = len(np.intersect1d(all_sets[i], all_sets[j], assume_unique=True))
+            if 5 * common >= 4 * (len(all_sets[i]) + len(all_sets[j]) - common):
+                near, met = near + 1, met + linked[j]
+    assert near > 200 and met >= 0.999 * near
+    nodes = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(fps)] + [(-1, [])], "node long, words array<long>")
+    groups = defaultdict(set)
+    for r in nearcopies._groups(nodes, bits, words).collect():
+        groups[r.bucket].add(r.node)
+    got = {(j, i) for g in groups.values() for i in g for j in g if j < i}
+    assert want <= got and min(map(len, groups.values())) > 1 and -1 not in {n for g in groups.values() for n in g}
+
+
 def test_steps_drop_their_tables(spark, tmp_path, monkeypatch):
     """Near copies leave the shared folder less than what they read."""
     made = []

@@ -252,6 +252,32 @@ def test_many_queries_go_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, ranking.nearest(rows, "vec_id", "embedding", asked, 3).collect())) == whole and len(whole) == 180
 
 
+def test_nearest_meets_in_blocks_and_is_exact(spark, monkeypatch):
+    """Copies, null ids, other lengths, zero vectors and ids of text, in blocks
+    of few rows; no join of all rows with all queries is in the plan."""
+    from lodestone.functions import vector
+    from lodestone.operators import ranking
+
+    rnd = random.Random(3)
+    rows = [(f"v{i}", [rnd.uniform(-1, 1) for _ in range(5)]) for i in range(300)]
+    rows += [(f"w{i}", list(rows[i % 7][1])) for i in range(120)] + [(None, list(rows[0][1])), ("z", [0.0] * 5), ("nan", [float("nan")] * 5), ("none", None)]
+    rows += [(f"s{i}", [float(i), 1.0]) for i in range(3)]
+    table = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    asked = table.where("vec_id like 'v%0' or vec_id in ('z', 's1')").selectExpr("vec_id AS query_id", "embedding")
+    a, b = (table.where(vector.finite(F.col("embedding"))).select(F.col("vec_id").alias(n), vector.normalised(F.col("embedding")).alias(v)) for n, v in (("id", "v"), ("query_id", "q")))
+    pairs = a.join(b.join(asked.select("query_id"), "query_id", "left_semi")).where("size(v) = size(q)")
+    want = sorted(map(repr, ranking.top_k(pairs.select("query_id", "id", vector.dot(F.col("v"), F.col("q")).alias("score")), 4, ["query_id"]).collect()))
+    for block, exact in ((1024, 1 << 14), (7, 5)):
+        monkeypatch.setattr(ranking, "BLOCK_ROWS", block)
+        monkeypatch.setattr(ranking, "EXACT_PAIRS", exact)
+        monkeypatch.setattr(ranking, "BLOCK_QUERIES", block)
+        got = ranking.nearest(table, "vec_id", "embedding", asked, 4)
+        assert sorted(map(repr, got.collect())) == want and len(want) == 4 * 31 + 3
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ranking.nearest(table.limit(0), "vec_id", "embedding", asked, 4).count() == 0
+    assert ranking.nearest(table, "vec_id", "embedding", asked.limit(0), 4).count() == 0
+
+
 def test_scan(spark, tmp_path):
     for name, body in {"a/x.py": "x = 1", "a/build/y.py": "y", "docs/r.md": "# r", "conf/c.yml": "a: 1", "keep.log.py": "z", "skip/me.py": "m", "skip/not.py": "n", "image.bin": "b", "pom.xml": "<a/>", "a/big.py": "b" * 3000}.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

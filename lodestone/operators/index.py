@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Ids of replaced rows that are broadcast, at most.
+BROADCAST_IDS = 1_000_000
+
 SCHEMA = "id {id}, token_hash long, weight double"
 
 
@@ -60,12 +63,15 @@ class PostingsIndex:
             raise RuntimeError("the index state read back is not the one that was written")
         return state
 
-    def _store(self, posted: DataFrame) -> dict[int, tuple[str, int]]:
-        """Writes postings; the folder and number of each bucket's."""
+    def _store(self, posted: DataFrame, stored: bool = False) -> dict[int, tuple[str, int]]:
+        """Writes postings; the folder and number of each bucket's.  Those read
+        from ``stored`` buckets lie together already and are not shuffled."""
         name = f"data-{uuid.uuid4().hex}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # a bucket is spread over some tasks, as a token of a third of all rows makes one large
-        dealt = posted.select("id", "token_hash", "weight", self._bucket().alias("bucket")).repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+        dealt = posted.select("id", "token_hash", "weight", self._bucket().alias("bucket"))
+        if not stored:
+            # a bucket is spread over some tasks, as a token of a third of all rows makes one large
+            dealt = dealt.repartition(parts, "bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
         dealt.sortWithinPartitions("bucket", "token_hash").write.partitionBy("bucket").parquet(f"{self.root}/{name}")
         if not self._fs().globStatus(self._path(f"{name}/bucket=*")):
             return {}
@@ -84,12 +90,17 @@ class PostingsIndex:
         """A new version in which the rows ``ids`` (id) have the postings
         ``posted`` and no others; rows without any are thus deleted.  Only
         buckets with postings of theirs, old or new, are written."""
-        old = self.state()
-        held = self._read(old["buckets"])
-        changed = held.join(ids.select("id").distinct(), "id", "left_semi").select(self._bucket().alias("b")).union(posted.select(self._bucket().alias("b"))).distinct()
-        touched = {r.b for r in changed.collect()}
-        kept = self._read({b: x for b, x in old["buckets"].items() if b in touched}).join(ids.select("id"), "id", "left_anti")
-        new = self._store(kept.unionByName(posted.select("id", "token_hash", "weight")))
+        old, own = self.state(), ids.select("id").distinct()
+        own = F.broadcast(own) if own.count() <= BROADCAST_IDS else own
+        fresh = self._store(posted)
+        # a bucket of new postings is written in any case; of the others, those that lose some
+        rest = {b: x for b, x in old["buckets"].items() if b not in fresh}
+        changed = self._read(rest).join(own, "id", "left_semi").select(self._bucket().alias("b")).distinct().collect() if rest else []
+        touched = {r.b for r in changed} | set(fresh)
+        kept = self._read({b: x for b, x in old["buckets"].items() if b in touched}).join(own, "id", "left_anti")
+        new = self._store(kept.unionByName(self._read(fresh)), stored=True)
+        for path in {path.split("/")[0] for path, _ in fresh.values()}:
+            self._fs().delete(self._path(path), True)
         return self._publish(old["version"] + 1, total, {b: x for b, x in old["buckets"].items() if b not in touched} | new)
 
     def lookup(self, terms: DataFrame) -> DataFrame:

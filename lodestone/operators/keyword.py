@@ -26,9 +26,12 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float =
 
     Tokens are counted per field; each count is saturated against the length
     of the whole row, weighted, and summed.  One pass: a row's fields are
-    exploded together, counts are combined before the shuffle.  ``capitals`` is
-    that of ``tokens``; queries need the same.
+    exploded together.  Rows are dealt by their id before they are cut, so that
+    texts are shuffled once and their tokens never; the rows of one id are
+    counted in one task.  ``capitals`` is that of ``tokens``; queries need the
+    same.
     """
+    rows = rows.select(F.col(key).alias("id"), *[f for f in fields if f != "id"]).repartition("id")
     held = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(w).alias("boost"), tokens(F.col(f), capitals).alias("tokens")) for i, (f, w) in enumerate(fields.items())])
     some = lambda t: t if wanted is None else F.filter(t, lambda x: x.isin(wanted)) if wanted else F.slice(t, 1, 0)
 
@@ -37,7 +40,7 @@ def postings(rows: DataFrame, key: str, fields: Mapping[str, float], k1: float =
         return F.transform(fs, lambda f: F.struct(f["field"].alias("field"), f["boost"].alias("boost"), length.alias("length"), some(f["tokens"]).alias("tokens")))
 
     # the tokens are the argument of a function, so that they are made once
-    each = rows.select(F.col(key).alias("id"), F.explode(bound(held, sized)).alias("f"))
+    each = rows.select("id", F.explode(bound(held, sized)).alias("f"))
     spread = each.select("id", "f.length", "f.field", "f.boost", F.explode("f.tokens").alias("token"))
     counted = spread.groupBy("id", "length", "field", "boost", "token").agg(F.count("*").alias("tf"))
     saturated = F.col("boost") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))

@@ -252,6 +252,14 @@ def test_many_queries_go_in_slices(spark, monkeypatch):
     assert sorted(map(tuple, ranking.nearest(rows, "vec_id", "embedding", asked, 3).collect())) == whole and len(whole) == 180
 
 
+def test_postings_shuffle_texts_once_and_tokens_never(spark):
+    rows = spark.createDataFrame([(1, "a file", "two two words"), (1, "b", "two rows"), (None, "c", "no id"), (2, None, None)], "doc_id long, source string, text string")
+    posted = keyword.postings(rows, "doc_id", {"source": 5.0, "text": 5.0})
+    plan = posted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.id, r.n) for r in posted.groupBy("id").agg(F.count("*").alias("n")).collect()} == {(1, 4), (None, 2)}
+
+
 def test_nearest_meets_in_blocks_and_is_exact(spark, monkeypatch):
     """Copies, null ids, other lengths, zero vectors and ids of text, in blocks
     of few rows; no join of all rows with all queries is in the plan."""

@@ -10,12 +10,13 @@ import shutil
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,9 @@ LOWER_ASCII = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Keys of more than one row in so many are joined by a broadcast of their own.
 HOT = 1000
 
+#: What a worker keeps, and the stage that last asked for it.
+_KEPT: dict[tuple, tuple[int | None, object]] = {}
+
 _LOCAL: dict[str, str] = {}
 _MADE: dict[str, list[str]] = {}
 #: The folder of each table that ``written`` has returned.
@@ -159,6 +163,7 @@ def texts(array: pa.Array) -> list[str]:
 def steps(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that each holds about ``limit`` bytes of ``name``
     (a single longer text makes a step of its own)."""
+    forget()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -170,6 +175,29 @@ def steps(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = ST
     release()
 
 
+def kept(key: tuple, make: Callable[[], object]):
+    """What a worker keeps from task to task of a stage, made where it is not
+    there; tasks of another stage drop it (see ``forget``)."""
+    stage = _stage()
+    found = _KEPT[key][1] if key in _KEPT else make()
+    _KEPT[key] = (stage, found)
+    return found
+
+
+def forget() -> None:
+    """Drops what this worker kept for tasks of other stages."""
+    gone = [key for key, (stage, _) in _KEPT.items() if stage != _stage()]
+    for key in gone:
+        del _KEPT[key]
+    if gone:
+        release()
+
+
+def _stage() -> int | None:
+    context = TaskContext.get()
+    return context.stageId() if context else None
+
+
 def release() -> None:
     """Gives memory that a worker no longer uses back to the system, as workers
     live on for the tasks of other stages."""

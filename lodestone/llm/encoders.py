@@ -3,7 +3,6 @@ per Python worker."""
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 import unicodedata
@@ -11,6 +10,7 @@ from array import array
 
 import numpy as np
 
+from .common import kept
 from .wordcache import WordCache
 
 #: ASCII punctuation other than the apostrophe, which can begin a contraction.
@@ -119,7 +119,7 @@ class WordEncoder:
         return self.cache.encode([t.replace("\n", " ") if self.plain else _parts(t) for t in texts])
 
 
-@functools.cache
 def word_encoder(path: str, plain: bool = False, special: bool = False) -> WordEncoder:
-    """One encoder per worker process and vocabulary file."""
-    return WordEncoder(path, plain, special)
+    """One encoder per worker process and vocabulary file, until the worker
+    turns to another stage."""
+    return kept(("words", path, plain, special), lambda: WordEncoder(path, plain, special))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import simhash
 from .bloom import bloom_filter, may_hold
-from .common import LOWER_ASCII, column, discard, join_unique, only, reading, release, steps, texts, written
+from .common import LOWER_ASCII, column, discard, forget, join_unique, only, reading, release, steps, texts, written
 from .components import connected_components
 from .simhash import least_of_each, row_key
 
@@ -138,7 +138,7 @@ def _trees(nodes: DataFrame, total: int, bits: int, words: int, shard: int) -> l
 
 def _groups(nodes: DataFrame, bits: int, words: int) -> DataFrame:
     """``bucket, node``: the nodes that the links of a tree lead to, where there
-    are two or more.  A link is a pair within ``TREE_RADIUS`` bits of the tree
+    are two or more; a group that several trees find is one.  A link is a pair within ``TREE_RADIUS`` bits of the tree
     and ``RADIUS`` bits of the word."""
     known = nodes.where(F.size("words") > 0).select("node", "words")
     total = known.count()
@@ -150,21 +150,32 @@ def _groups(nodes: DataFrame, bits: int, words: int) -> DataFrame:
             cells += s.grid[0] * s.grid[1]
         masks.append((cells, tree.mask))
 
+    def packed(cell, pairs, home):
+        """A row for each cell, as many small ones would cost more than they hold."""
+        order = np.argsort(cell, kind="stable")
+        cell, pairs = cell[order], pairs[order]
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 1], pa.int64()), pa.array([pairs[a:b].tobytes()], pa.binary()), pa.array([home])], ["cell", "pairs", "home"])
+
     def send(batches):
         for batch in batches:
-            own = column(batch, "node")
+            own = column(batch, "node").to_numpy(zero_copy_only=False).view(np.uint64)
             flat = column(batch, "words").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
             for k, tree in enumerate(trees):
                 fps = np.ascontiguousarray(flat[:, k // 2])
                 for cell, who, home in simhash.sent(tree, fps):
                     if len(who):
-                        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), own.take(pa.array(who)), pa.array(fps[who].view(np.int64)), pa.array(np.full(len(who), home))], ["cell", "node", "fp", "home"])
+                        yield from packed(cell, np.stack([own[who], fps[who]], axis=1), home)
 
     def link(key, table):
+        forget()
         cell = key[0].as_py()
         mask = next(m for upto, m in masks if cell < upto)
-        node, first = np.unique(np.asarray(table["node"]), return_index=True)
-        fps, home = np.asarray(table["fp"]).view(np.uint64), np.asarray(table["home"])
+        held = [np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, 2) for x in table["pairs"]]
+        home = np.repeat(np.asarray(table["home"]), [len(x) for x in held])
+        node, fps = np.concatenate(held).T
+        node, first = np.unique(node, return_index=True)
         homes = np.unique(fps[home])
         queries = homes if home.all() else np.unique(fps[~home])
         a, b = simhash.link_shard(homes, queries, mask, TREE_RADIUS, RADIUS)
@@ -173,12 +184,13 @@ def _groups(nodes: DataFrame, bits: int, words: int) -> DataFrame:
         root[np.searchsorted(every, a)] = np.searchsorted(every, b)
         group = root[at]
         some = np.bincount(group, minlength=len(every))[group] > 1
-        bucket = (every[group[some]] + np.uint64(cell)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(cell)
-        found = pa.table({"bucket": bucket.view(np.int64), "node": node[some]})
+        mark = np.zeros(len(every), np.uint64)
+        np.add.at(mark, group, node ^ (node >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15))
+        found = pa.table({"bucket": mark[group[some]].view(np.int64), "node": node[some].view(np.int64)})
         release()
         return found
 
-    return known.mapInArrow(send, "cell long, node long, fp long, home boolean").groupBy("cell").applyInArrow(link, "bucket long, node long")
+    return known.mapInArrow(send, "cell long, pairs binary, home boolean").groupBy("cell").applyInArrow(link, "bucket long, node long").distinct()
 
 
 def near(size: int, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -20,12 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, only, release, steps, texts
+from .common import column, forget, only, release, steps, texts
 from .encoders import word_encoder
 
 #: Sequence numbers within a bucket use this many bits.
 LOCAL_BITS = 24
 
+#: Text bytes that a step encodes: what its words need besides is many times that.
+STEP_BYTES = 1 << 19
+
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary, bucket long"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -68,7 +71,7 @@ def token_pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: i
         task, had = TaskContext.get().partitionId(), Counter()
         dtype, width = encoder.dtype, encoder.dtype.itemsize
         end = np.array([end_id], dtype=dtype).tobytes()
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             rows = []
             for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encoder.encode(texts(column(batch, "text"))), strict=True):
                 ids += end
@@ -114,6 +117,7 @@ def pack(
     n_buckets = max(1, math.ceil(found.n / docs_per_bucket), math.ceil(found.size / bytes_per_bucket))
 
     def run(table: pa.Table) -> pa.Table:
+        forget()
         table = table.combine_chunks()
         lengths = np.asarray(table["length"], dtype=np.int64)
         ids, starts, data = (table[c].to_pylist() for c in ("doc_id", "start", "ids"))

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, packing, tokenfile
+from lodestone.llm import bpe, common, packing, tokenfile
 from lodestone.llm.encoders import WordEncoder, word_encoder
 
 from .data import SCHEMA, documents
@@ -242,3 +242,14 @@ def test_word_encoder_agrees_with_the_library_on_odd_texts(name, plain):
     encoder = WordEncoder(P.path(name), plain)
     want = [np.array(e.ids, dtype=encoder.dtype).tobytes() for e in encoder.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
     assert encoder.encode(odd) == want
+
+
+def test_workers_drop_what_another_stage_kept(monkeypatch):
+    monkeypatch.setattr(common, "_KEPT", {})
+    monkeypatch.setattr(common, "_stage", lambda: 7)
+    mine = common.kept(("words",), object)
+    list(common.steps(iter([])))
+    assert common.kept(("words",), object) is mine
+    monkeypatch.setattr(common, "_stage", lambda: 8)
+    list(common.steps(iter([])))
+    assert not common._KEPT

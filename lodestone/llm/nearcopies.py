@@ -11,15 +11,19 @@ either half, whose radius is 1: a near pair meets in one tree with probability
 as leave a pair at 0.8 apart in all with a computed probability of 0.0005.
 
 Texts of equal shingles are one node before any comparison.  A tree groups the
-nodes that its links lead to.  In a group, all are first compared with the
-least; what is still apart after that is compared pair by pair, in cells of
+nodes that its links lead to.  Most of these are chains of chance links, and a
+group of near copies comes back from every tree.  So whole fingerprints are
+compared first: pairs that differ in more bits than any pair at 0.8 (see
+``most_apart``) are left out, and what the others lead to, in all trees, is one
+family.  Only members of families are compared exactly, once: all with a few
+leaders, then what is still apart with the rest of its family, in cells of
 bounded size.
 """
 
 from __future__ import annotations
 
 from functools import partial
-from math import acos, comb, pi
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,11 @@ WIDTH = 5
 #: Pairs are near copies from 4 / 5 on.
 SHARE = (4, 5)
 #: Nodes of one side of a cell, and bytes of their hashes.
-CELL, CELL_BYTES = 256, 2 << 20
+CELL, CELL_BYTES = 512, 4 << 20
+#: Nodes whose fingerprints one task compares; below so many of a bucket, all pairs at once.
+ALIKE, FEW = 4096, 9
+#: Nodes of a family that all others are compared with first.
+LEADERS = 8
 
 #: Up to so many documents, a tree is over so many bits, and so many words make a fingerprint (see ``missed``).
 TREES = ((1 << 18, 22, 28), (1 << 21, 26, 48), (1 << 63, 30, 82))
@@ -59,6 +67,12 @@ def missed(bits: int, words: int, differ: float = acos(8 / 9) / pi, radius: int
     return (1 - met) ** (2 * words)
 
 
+def most_apart(words: int, differ: float = acos(8 / 9) / pi) -> int:
+    """Bits of a whole fingerprint that a pair at 0.8 differs in, at most:
+    eight standard deviations above the mean."""
+    return int(64 * words * differ + 8 * sqrt(64 * words * differ * (1 - differ)))
+
+
 def shingles(text: str) -> np.ndarray:
     """The distinct hashes of the shingles, ascending; a text of fewer than
     five words is one shingle, one without words has none."""
@@ -200,9 +214,55 @@ def near(size: int, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (a + b) * common >= a * (size + sizes)
 
 
-def _cells(members: int):
-    """How many sides the rows of a group need."""
-    return F.ceil(F.greatest(F.count("*") / (members * CELL), F.sum("bytes") / (members * CELL_BYTES)))
+def _alike(groups: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """Edges (a, b) that lead to what all pairs of a bucket lead to whose
+    fingerprints differ in ``most_apart`` bits or fewer."""
+    most = most_apart(words)
+    sizes = groups.groupBy("bucket").agg(F.count("*").alias("n"))
+    total = groups.count()
+    sided = join_unique(groups, sizes.select("bucket", F.ceil(F.col("n") / ALIKE).alias("sides")), ["bucket"], sizes, "n", total).withColumn("side", F.expr("pmod(xxhash64(node), sides)"))
+    # small buckets share a cell, a large one is dealt to the pairs of its sides
+    whole = sided.where("sides = 1").select(F.expr(f"pmod(xxhash64(bucket), {max(1, total // ALIKE)}L)").alias("cell"), "bucket", "node")
+    dealt = sided.where("sides > 1").withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)")))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "bucket", "node")
+
+    def link(table: pa.Table) -> pa.Table:
+        forget()
+        bucket, node = np.asarray(table["bucket"]), np.asarray(table["node"])
+        order = np.lexsort((node, bucket))
+        bucket, node = bucket[order], node[order]
+        fps = table["words"].combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)[order]
+        near = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32) <= most
+        cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1, append=bucket[-1] + 1))
+        size = np.repeat(np.diff(cuts), np.diff(cuts))
+        a, b = [], []
+        for k in range(1, FEW):
+            i = np.flatnonzero((bucket[:-k] == bucket[k:]) & (size[:-k] < FEW)) if k < len(node) else np.zeros(0, np.int64)
+            i = i[near(i, i + k)]
+            a.append(i)
+            b.append(i + k)
+        for start in cuts[:-1][np.diff(cuts) >= FEW]:
+            left = np.arange(start, start + size[start])
+            while len(left):
+                queue, left = [left[0]], left[1:]
+                while queue and len(left):
+                    i = queue.pop()
+                    met = near(left, i)
+                    a.append(np.full(met.sum(), i))
+                    b.append(left[met])
+                    queue += left[met].tolist()
+                    left = left[~met]
+        found = pa.table({"a": node[np.concatenate(a)], "b": node[np.concatenate(b)]})
+        release()
+        return found
+
+    cells = whole.unionByName(dealt).join(nodes.select("node", "words"), "node")
+    return cells.groupBy("cell").applyInArrow(link, "a long, b long").distinct()
+
+
+def _cells(nodes, size):
+    """How many sides so many nodes with hashes of that ``size`` need."""
+    return F.ceil(F.greatest(nodes / CELL, size / CELL_BYTES))
 
 
 def _edges(cells: DataFrame, sets: DataFrame) -> DataFrame:
@@ -238,24 +298,32 @@ def _edges(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return cells.join(sets, "node").groupBy("cell").applyInArrow(link, "a long, b long")
 
 
-def _with_least(pairs: DataFrame) -> DataFrame:
-    """Cells of each least node and a share of those that share a group with it."""
-    shares = pairs.groupBy("least").agg(_cells(2).alias("shares"))
-    counts = pairs.groupBy("least").agg(F.count("*").alias("n"))
-    others = join_unique(pairs, shares, ["least"], counts, "n", pairs.count()).select("least", F.expr("pmod(xxhash64(node), shares)").alias("share"), "node", F.lit(False).alias("ask"))
-    asking = shares.select("least", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"), F.col("least").alias("node"), F.lit(True).alias("ask"))
-    return others.unionByName(asking).select(F.xxhash64("least", "share").alias("cell"), "node", "ask", F.col("node").alias("part"))
-
-
-def _pair_by_pair(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Cells of those buckets of three nodes or more where parts are apart."""
-    rooted = members.where("size > 2").join(parts, "node", "left").select("bucket", "node", "bytes", F.coalesce("root", "node").alias("part"))
-    rooted = written(rooted)
-    counts = rooted.groupBy("bucket").agg(_cells(1).alias("sides"), F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"))
-    dealt = join_unique(rooted, counts.where("p <> q").select("bucket", "sides"), ["bucket"], counts, "n", rooted.count()).withColumn("side", F.expr("pmod(xxhash64(node), sides)"))
-    other = F.explode(F.expr("sequence(0L, sides - 1)")).alias("other")
-    dealt = dealt.select("bucket", "node", "part", "side", other)
-    return reading(dealt.select(F.xxhash64("bucket", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "node", (F.col("side") <= F.col("other")).alias("ask"), "part"), rooted)
+def _with_leaders(members: DataFrame, families: DataFrame) -> DataFrame:
+    """Cells of a family's leaders and a share of the others."""
+    joined = join_unique(members, families.select("family", "leaders", "shares"), ["family"], families, "size", members.count())
+    others = joined.where(~F.array_contains("leaders", F.col("node"))).select("family", F.expr("pmod(xxhash64(node), shares)").alias("share"), "node", F.lit(False).alias("ask"))
+    shares = families.select("family", "leaders", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"))
+    asking = shares.select("family", "share", F.explode("leaders").alias("node"), F.lit(True).alias("ask"))
+    return others.unionByName(asking).select(F.xxhash64("family", "share").alias("cell"), "node", "ask", F.col("node").alias("part"))
+
+
+def _with_the_rest(members: DataFrame, families: DataFrame, parts: DataFrame) -> DataFrame:
+    """Cells of those families that have two nodes besides their leaders and
+    parts that are apart.  The nodes of the largest part never ask."""
+    more = families.where("size > 1 + size(leaders)")
+    rooted = join_unique(members, more.select("family"), ["family"], more, "size", members.count()).join(parts, "node", "left")
+    rooted = written(rooted.select("family", "node", "bytes", F.coalesce("root", "node").alias("part")))
+    by_part = written(rooted.groupBy("family", "part").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    main = by_part.groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("main_n"), F.max_by("bytes", F.struct("n", "part")).alias("main_bytes"), F.sum("n").alias("n"), F.sum("bytes").alias("all_bytes")).where("n > main_n")
+    sides = main.select("family", "main", "n", _cells(F.col("n") - F.col("main_n"), F.col("all_bytes") - F.col("main_bytes")).alias("asking"), _cells(F.col("main_n"), F.col("main_bytes")).alias("asked"))
+    sides = written(sides)
+    dealt = join_unique(rooted, sides.drop("n"), ["family"], sides, "n", rooted.count())
+    dealt = dealt.withColumn("side", F.expr("if(part = main, asking + pmod(xxhash64(node), asked), pmod(xxhash64(node), asking))"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, asking + if(part = main, 0L, asked) - 1)")))
+    cells = dealt.select(F.xxhash64("family", F.least("side", "other"), F.greatest("side", "other")).alias("cell"), "node", (F.col("side") <= F.col("other")).alias("ask"), "part")
+    cells, before = written(cells), (rooted, by_part, sides)
+    discard(*before)
+    return cells
 
 
 def one_of_each_group(documents: DataFrame) -> DataFrame:
@@ -278,29 +346,30 @@ def one_of_each_group(documents: DataFrame) -> DataFrame:
     nodes = written(rows.groupBy("node").agg(F.first("words").alias("words"), F.min("key").alias("key"), F.count("*").alias("copies")))
     discard(rows)
     groups = written(_groups(nodes, bits, words))
-    buckets = groups.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    members = written(join_unique(groups, buckets, ["bucket"], buckets, "size", groups.count()).select("bucket", "node", "size", "least"))
+    alike = written(_alike(groups, nodes, words))
     discard(groups)
+    found = connected_components(alike)
+    discard(alike)
 
     def hashed(batches):
         for batch in steps(batches):
             yield pa.RecordBatch.from_arrays([column(batch, "node"), pa.array([shingles(t).tobytes() for t in texts(column(batch, "text"))], pa.binary())], ["node", "hashes"])
 
-    wanted = written(nodes.select("node", "key").join(members.select("node").distinct(), "node", "left_semi"))
+    wanted = written(nodes.select("node", "key").join(found.select("node"), "node", "left_semi"))
     keyed = only(documents, doc_id="doc_id", text="text").withColumn("key", row_key()).select("key", "text")
     some = keyed.where(may_hold(spark, bloom_filter(wanted.select(F.xxhash64("key").alias("h")), "h"), F.xxhash64("key")))
     chosen = join_unique(some, wanted, ["key"], keys, "n", keys.agg(F.sum("n")).first()[0] or 0).select("node", "text")
     sets = written(chosen.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"]).withColumn("bytes", F.octet_length("hashes")))
     discard(wanted)
-    before, members = members, written(members.join(sets.select("node", "bytes"), "node"))
-    discard(before)
-    pairs = written(members.where("node <> least").select("least", "node", "bytes").distinct())
-    edges = written(_edges(_with_least(pairs), sets))
-    discard(pairs)
+    members = written(found.withColumnRenamed("root", "family").join(sets.select("node", "bytes"), "node"))
+    discard(found)
+    leaders = F.array_distinct(F.array(*[F.min_by("node", F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in range(LEADERS)]))
+    families = written(members.groupBy("family").agg(leaders.alias("leaders"), F.count("*").alias("size"), _cells(F.count("*"), F.sum("bytes")).alias("shares")))
+    edges = written(_edges(_with_leaders(members, families), sets))
     parts = connected_components(edges)
-    apart = _pair_by_pair(members, parts)
+    apart = _with_the_rest(members, families, parts)
     rest = written(_edges(apart, sets))
-    discard(parts, members, sets, apart)
+    discard(parts, members, families, sets, apart)
     parts = connected_components(edges.unionByName(rest))
     discard(edges, rest)
     rooted = written(nodes.join(parts, "node", "left").select("node", "copies", F.coalesce("root", "node").alias("root")))

@@ -229,6 +229,59 @@ def test_near_copies_meet_in_vantage_point_trees(spark, monkeypatch, shard):
     assert want <= got and min(map(len, groups.values())) > 1 and -1 not in {n for g in groups.values() for n in g}
 
 
+def test_a_large_group_of_near_copies_is_dealt_once(spark, monkeypatch):
+    """However many trees find a group, its nodes go to exact comparison a few
+    times; it holds copies that are near one another and ones near none."""
+    rnd = np.random.default_rng(5)
+    base = [f"b{i}" for i in range(150)]
+    out = []
+    for k in range(300):
+        copy = list(base)
+        for at in rnd.integers(0, 150, 1 + k % 12):
+            copy[at] = f"e{rnd.integers(0, 1 << 30)}"
+        out.append(" ".join(copy))
+    dealt, plain = [], nearcopies._edges
+
+    def edges(cells, sets):
+        dealt.append(cells.count())
+        return plain(cells, sets)
+
+    monkeypatch.setattr(nearcopies, "_edges", edges)
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(out)], SCHEMA)
+    kept = {r.doc_id for r in nearcopies.one_of_each_group(rows).collect()}
+    sets, root = [set(nearcopies.shingles(t).tolist()) for t in out], list(range(len(out)))
+    for i in range(len(out)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert kept == set(root) and 20 < len(kept) < 280
+    assert sum(dealt) <= 4 * len(out)
+
+
+@pytest.mark.parametrize("alike", [16, 4096])
+def test_families_are_what_alike_fingerprints_of_a_bucket_lead_to(spark, monkeypatch, alike):
+    monkeypatch.setattr(nearcopies, "ALIKE", alike)
+    words = 28
+    sets = list({h.tobytes(): h for h in map(nearcopies.shingles, filter(None, edited_texts()))}.values())
+    fps = nearcopies.Projection(words)(np.array([nearcopies.Projection.sums(h) for h in sets]))
+    apart = np.bitwise_count((fps[:, None] ^ fps[None]).view(np.uint64)).sum(axis=2, dtype=np.int64)
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * (c := len(np.intersect1d(sets[i], sets[j]))) >= 4 * (len(sets[i]) + len(sets[j]) - c)]
+    assert len(near) > 200 and max(apart[p] for p in near) <= nearcopies.most_apart(words) < np.median(apart)
+    buckets = [range(len(sets)), range(0, len(sets), 3), *[range(i, i + 3) for i in range(0, 90, 2)]]
+    root = list(range(len(sets)))
+    for bucket in buckets:
+        for i in bucket:
+            for j in bucket:
+                if j < i and root[i] != root[j] and apart[i, j] <= nearcopies.most_apart(words):
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+    groups = spark.createDataFrame([(k, i) for k, bucket in enumerate(buckets) for i in bucket], "bucket long, node long")
+    nodes = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(fps)], "node long, words array<long>")
+    found = {r.node: r.root for r in components.connected_components(nearcopies._alike(groups, nodes, words)).collect()}
+    assert [found.get(i, i) for i in range(len(sets))] == root
+
+
 def test_steps_drop_their_tables(spark, tmp_path, monkeypatch):
     """Near copies leave the shared folder less than what they read."""
     made = []

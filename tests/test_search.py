@@ -122,6 +122,20 @@ def test_both_ways_in_partitions_that_grow_in_number(spark, monkeypatch):
     assert both.count() == 1000 and both.rdd.getNumPartitions() > 20
 
 
+def test_rows_of_unknown_size_and_joins_are_dealt_too(spark, tmp_path):
+    """Spark takes both to be larger than any number of partitions could hold."""
+    from lodestone.sources import tables as sources
+
+    rdd = spark.createDataFrame([("a", "b", "CALLS")], "source_id string, target_id string, relation_type string")
+    assert graph.with_reverse(rdd).count() == 2
+    spark.range(3000).selectExpr("id", "repeat(md5(string(id)), 99) AS x").write.parquet(f"{tmp_path}/t")
+    joined = spark.read.parquet(f"{tmp_path}/t")
+    for i in range(4):
+        joined = joined.join(spark.read.parquet(f"{tmp_path}/t").withColumnRenamed("x", f"x{i}").hint("merge"), "id")
+    found = sources.dealt(joined, "id")
+    assert found.count() == 3000 and found.rdd.getNumPartitions() == 4
+
+
 def test_chunks_go_to_python_in_small_batches(spark):
     from lodestone.functions import batches
 

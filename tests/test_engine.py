@@ -145,3 +145,37 @@ def test_names_with_common_beginnings_are_dealt_to_cells(spark, monkeypatch):
     asked = names.limit(20).withColumnRenamed("s", "q")
     plan = fuzzy._rated(asked, names, 0.6)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and fuzzy._rated(asked, names, 0.6).rdd.getNumPartitions() == 75
+
+
+def plain_pairs(queries, names, threshold):
+    rated = ((q, s, max(SequenceMatcher(None, q, s).ratio(), 0.8 * (q in s))) for q in queries for s in names)
+    return {(q, s): r for q, s, r in rated if r >= threshold}
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_pairs_rated_together_against_one_by_one(threshold, monkeypatch):
+    rnd = random.Random(11)
+    monkeypatch.setattr(fuzzy, "STEP_BYTES", 20_000)
+    pieces = ["https://", "www.", "shop", "aba", "ab", "x", "/", "?page=2", "é", "검색", "\U0001f600", "\0"]
+    of = lambda n, most: list({"".join(rnd.choice(pieces) for _ in range(rnd.randint(1, most))) for _ in range(n)})
+    wide = [chr(0x4E00 + i) + chr(0x5000 + i) + "ab" for i in range(300)]  # more characters than a byte holds
+    queries, names = of(40, 10) + of(8, 40) + ["a" * 450, "b", *wide[:3]], of(120, 10) + of(20, 45) + ["ab" * 110, "a" * 199, "a" * 200, *wide]
+    i, j, ratio = fuzzy.rated_pairs(queries, names, threshold)
+    assert {(queries[a], names[b]): r for a, b, r in zip(i.tolist(), j.tolist(), ratio.tolist(), strict=True)} == plain_pairs(queries, names, threshold)
+    assert [len(x) for x in fuzzy.rated_pairs(["zz"], ["ab", "c"], threshold)] == [0, 0, 0]
+
+
+def test_many_pairs_take_little_time():
+    import time
+
+    rnd = random.Random(12)
+    urls = [f"https://{rnd.choice(('www', 'm', 'blog'))}.th{rnd.randint(1, 99)}.example.{rnd.choice(('org', 'net'))}/en/{rnd.randint(1, 9999)}?page=2&ref=x" for _ in range(600)]
+    began = time.process_time()
+    assert len(fuzzy.rated_pairs(urls[:300], urls[300:], 0.6)[0]) > 50_000
+    assert time.process_time() - began < 4
+
+
+def test_projects_of_several_names_have_one_row(spark):
+    projects = [("p", "shop cart"), ("p", "shop card"), ("p", None), (None, "shop"), (None, "shop cart"), ("shop cart", "other"), ("z", ""), ("q", "Shop Cart")]
+    df = fuzzy.similar(spark.createDataFrame([("Shop Cart",), ("shop cart",)], "query string"), spark.createDataFrame(projects, "project_id string, name string"))
+    assert sorted((r["query"], r.project_id or "", r.ratio) for r in df.collect()) == [(q, p, 1.0) for q in ("Shop Cart", "shop cart") for p in ("", "p", "q", "shop cart")]

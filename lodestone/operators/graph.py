@@ -136,10 +136,46 @@ def capture_edges(captures: DataFrame, objects: DataFrame) -> DataFrame:
     the object of the capture's scope and ends at the nearest object of its
     name.  A reference of which that object is the only meaning is none.
     """
-    distinct = captures.select("file_path", "kind", "name", "line", "scope_name", "scope_line").distinct()
-    met = _with_nearest(scope_object(distinct, objects), objects)
-    own = (F.col("kind") == "REFERENCES") & (F.col("n_targets") == 1) & (F.col("target_id") == F.col("source_id"))
-    return met.where(~own).select("source_id", "target_id", F.col("kind").alias("relation_type")).distinct()
+    own = objects.select("file_path", F.struct("ordinal", "id", "name", "start_line").alias("o"))
+    asked = captures.select("file_path", F.struct("kind", "name", "line", "scope_name", "scope_line").alias("c"))
+    rows = dealt(own.unionByName(asked, allowMissingColumns=True), "file_path")
+    return edges_of_files(rows).select("source.id", F.col("target.id").alias("target_id"), "relation_type").toDF(*EDGE)
+
+
+def edges_of_files(rows: DataFrame) -> DataFrame:
+    """``file_path, source, target, relation_type``: ``capture_edges`` with
+    whole objects at the ends.  ``rows``: file_path with either ``o`` (ordinal,
+    id, name, start_line and more) or ``c`` (a capture).
+
+    Every step is a window over parts of one file, so rows that are dealt by
+    file_path are read once, stay where they are and are sorted there; no side
+    is kept or sent again.  The scope is the object that ``scope_object``
+    finds, the target that of ``nearest_target``: objects of a name but the
+    first, by lines in both directions, hand themselves on to the captures.
+    """
+    is_object = F.col("o").isNotNull()
+    valid = is_object & F.col("o.name").isNotNull() | F.col("c.name").isNotNull() & F.col("c.line").isNotNull() & F.col("c.scope_name").isNotNull()
+    rows = rows.where(F.col("file_path").isNotNull() & valid)
+    first = lambda *by: F.min(F.when(F.col("o").isNotNull(), F.struct("o.ordinal", "o"))).over(Window.partitionBy(*by))["o"]
+
+    scopes = rows.withColumns({"at": F.coalesce("o.name", "c.scope_name"), "place": F.coalesce("o.start_line", "c.scope_line")})
+    same = F.when(F.col("place").isNotNull(), first("file_path", "at", "place"))
+    scopes = scopes.withColumn("same", same).withColumn("source", F.coalesce("same", first("file_path", "at")))
+    scopes = scopes.withColumn("source_line", F.when(F.col("same").isNotNull(), F.col("place")).otherwise(F.col("source.start_line")))
+
+    met = scopes.where(is_object | F.col("source").isNotNull()).select("file_path", "o", F.when(is_object, F.lit(None)).otherwise(F.col("source")).alias("source"), "source_line", F.col("c.kind").alias("relation_type"), F.coalesce("o.name", "c.name").alias("at"), F.coalesce("o.start_line", "c.line").alias("line"))
+    every = Window.partitionBy("file_path", "at")
+    met = met.withColumns({"first": first("file_path", "at"), "one": F.min("o.id").over(every) == F.max("o.id").over(every)})
+    later = F.when(F.col("o.ordinal") > F.col("first.ordinal"), F.when(F.col("o.start_line").isNotNull(), F.col("o")))
+    reach = lambda line: F.last(later, ignorenulls=True).over(every.orderBy(line, F.col("o").isNull(), F.desc("o.ordinal")).rowsBetween(Window.unboundedPreceding, 0))
+    met = met.withColumns({"before": reach(F.asc("line")), "after": reach(F.desc("line"))}).where(~is_object & F.col("first").isNotNull())
+
+    far = lambda x, line: F.struct(F.abs(line - F.col("line")).alias("distance"), x["ordinal"].alias("ordinal"), x.alias("o"))
+    others = [F.when(F.col(side).isNotNull(), far(F.col(side), F.col(f"{side}.start_line"))) for side in ("before", "after")]
+    target = F.array_min(F.array_compact(F.array(far(F.col("first"), F.col("source_line")), *others)))["o"]
+    met = met.select("file_path", "source", target.alias("target"), "relation_type", "one")
+    own = (F.col("relation_type") == "REFERENCES") & F.col("one") & (F.col("target.id") == F.col("source.id"))
+    return met.where(~own).select("file_path", "source", "target", "relation_type").distinct()
 
 
 def enclosing_scope(captures: DataFrame, objects: DataFrame, bin_lines: int = 64) -> DataFrame:

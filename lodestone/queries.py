@@ -297,12 +297,8 @@ def captured_edges(spark, sf_dir):
     """Edges within files: for each customer a Python file that uses its names."""
     body = F.replace(F.replace(F.lit(_SOURCE), F.lit("{k}"), (F.col("c_custkey") % 5).cast("string")), F.lit("{c}"), F.col("c_custkey").cast("string"))
     files = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_path"), F.lit("python").alias("language"), body.alias("content"))
-    found = extract.extract(spread(files)).persist()  # read several times; lost parts are made again
-    held = extract.objects(found)
-    edges = graph.capture_edges(extract.captures(found), held)
-    end = lambda side, *more: held.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(side), *more)
-    named = edges.join(end("source", F.col("file_path").cast("long").alias("customer")).hint("merge"), "source_id").join(end("target", F.col("start_line").alias("target_line")).hint("merge"), "target_id")
-    return named.select("customer", "source", "target", "target_line", "relation_type")
+    edges = graph.edges_of_files(extract.captures_and_objects(files))
+    return edges.select(F.col("file_path").cast("long").alias("customer"), F.col("source.name").alias("source"), F.col("target.name").alias("target"), F.col("target.start_line").alias("target_line"), "relation_type")
 
 
 @query("""SELECT l_orderkey * 10 + l_linenumber AS capture_id, max_by(o.o_orderkey, o.o_orderkey) AS scope_id

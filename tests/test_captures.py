@@ -125,3 +125,42 @@ def test_no_side_of_the_edges_is_broadcast(spark, tmp_path):
     spark.range(40).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
     df = queries.QUERIES["captured_edges"](spark, str(tmp_path))
     assert df.count() == 400 and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def plain_edges(captures, objects):
+    out = set()
+    for path, kind, name, line, scope, scope_line in captures:
+        of = lambda n: sorted((o, i, at) for i, p, m, at, o in objects if (p, m) == (path, n))  # noqa: B023, E731
+        around, there = of(scope), of(name)
+        if path is None or None in (name, scope, line) or not around or not there:
+            continue
+        same = [x for x in around if x[2] == scope_line]
+        _, source, source_line = (same or around)[0]
+        best = min([(abs(source_line - line), *there[0][:2]), *[(abs(at - line), o, i) for o, i, at in there[1:]]])[2]
+        if not (kind == "REFERENCES" and len(there) == 1 and best == source):
+            out.add((source, best, kind))
+    return sorted(out)
+
+
+def test_edges_against_one_capture_after_the_other(spark):
+    rnd = random.Random(8)
+    path, name = lambda: rnd.choice(("f", "f", "g", None)), lambda: rnd.choice(("n", "n", "m", "k", None))
+    objects = [(f"o{i}", path(), name(), rnd.choice((rnd.randint(1, 900), rnd.randint(300, 310))), i) for i in range(120)] + [("z", "h", "only", 5, 200)]
+    captures = [(path(), rnd.choice(("CALLS", "REFERENCES")), name(), rnd.choice((rnd.randint(1, 900), rnd.randint(300, 310), None)), name(), rnd.choice((rnd.randint(300, 310), 7, None))) for _ in range(700)]
+    captures += [("h", "REFERENCES", "only", 6, "only", 5), ("h", "CALLS", "only", 6, "only", 5), ("h", "CALLS", "gone", 6, "only", 5), ("h", "CALLS", "only", 6, "gone", 5)]
+    held = spark.createDataFrame(objects, "id string, file_path string, name string, start_line int, ordinal int")
+    got = graph.capture_edges(spark.createDataFrame(captures * 2, "file_path string, kind string, name string, line int, scope_name string, scope_line int"), held)
+    assert sorted(map(tuple, got.collect())) == plain_edges(captures, objects)
+    assert len(plain_edges(captures, objects)) > 150
+
+
+def test_files_are_dealt_once_and_never_kept(spark, tmp_path, monkeypatch):
+    """In partitions that grow in number; what a task holds is bounded."""
+    from lodestone import queries
+
+    monkeypatch.setattr(extract, "FILE_BYTES", 1 << 10)
+    spark.range(100).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    df = queries.QUERIES["captured_edges"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "InMemoryTableScan" not in plan
+    assert df.rdd.getNumPartitions() > 20 and df.count() == 1000
